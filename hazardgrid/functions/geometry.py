@@ -1,0 +1,121 @@
+"""Small numpy helpers for one path at a time: projection, clipping, equal pieces."""
+
+from __future__ import annotations
+
+import numpy as np
+
+# --- fixed values: UTM zone 18N on GRS80 ---------------------------------------
+_A, _F = 6378137.0, 1 / 298.257222101
+_LON0, _K0, _EASTING = np.radians(-75.0), 0.9996, 500000.0
+_N = _F / (2 - _F)
+_R = _A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+_E = np.sqrt(_F * (2 - _F))
+# Coefficients of the Krueger series, to the fourth power of the third flattening.
+_ALPHA = (
+    _N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16 + 41 * _N**4 / 180,
+    13 * _N**2 / 48 - 3 * _N**3 / 5 + 557 * _N**4 / 1440,
+    61 * _N**3 / 240 - 103 * _N**4 / 140, 49561 * _N**4 / 161280,
+)
+_BETA = (
+    _N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96 - _N**4 / 360,
+    _N**2 / 48 + _N**3 / 15 - 437 * _N**4 / 1440,
+    17 * _N**3 / 480 - 37 * _N**4 / 840, 4397 * _N**4 / 161280,
+)
+
+
+def to_array(points) -> np.ndarray:
+    return np.array([(p["x"], p["y"]) for p in points], dtype=float)
+
+
+def to_rows(paths) -> list:
+    return [[{"x": float(x), "y": float(y)} for x, y in path] for path in paths]
+
+
+def to_metric(lonlat: np.ndarray) -> np.ndarray:
+    lat, lon = np.radians(lonlat[:, 1]), np.radians(lonlat[:, 0]) - _LON0
+    s = np.sin(lat)
+    t = np.sinh(np.arctanh(s) - _E * np.arctanh(_E * s))
+    z = np.arctan2(t, np.cos(lon)) + 1j * np.arcsinh(np.sin(lon) / np.hypot(t, np.cos(lon)))
+    w = z + sum(a * np.sin(2 * (j + 1) * z) for j, a in enumerate(_ALPHA))
+    return np.column_stack((_EASTING + _K0 * _R * w.imag, _K0 * _R * w.real))
+
+
+def to_lonlat(metric: np.ndarray) -> np.ndarray:
+    w = metric[:, 1] / (_K0 * _R) + 1j * (metric[:, 0] - _EASTING) / (_K0 * _R)
+    z = w - sum(b * np.sin(2 * (j + 1) * w) for j, b in enumerate(_BETA))
+    tau = np.sin(z.real) / np.hypot(np.sinh(z.imag), np.cos(z.real))   # conformal latitude
+    target, t = tau, tau
+    for _ in range(6):
+        sigma = np.sinh(_E * np.arctanh(_E * t / np.hypot(1, t)))
+        now = t * np.hypot(1, sigma) - sigma * np.hypot(1, t)
+        slope = (1 - _E**2) * np.hypot(1, now) * np.hypot(1, t) / (1 + (1 - _E**2) * t**2)
+        t = t + (target - now) / slope
+    lon = _LON0 + np.arctan2(np.sinh(z.imag), np.cos(z.real))
+    return np.column_stack((np.degrees(lon), np.degrees(np.arctan(t))))
+
+
+def _covered(points: np.ndarray, rings: list[np.ndarray]) -> np.ndarray:
+    """Even-odd test of many points against the rings, boundary included."""
+    px, py = points[:, 0][:, None], points[:, 1][:, None]
+    odd = np.zeros(len(points), dtype=int)
+    edge = np.zeros(len(points), dtype=bool)
+    for ring in rings:
+        ax, ay, bx, by = ring[:-1, 0], ring[:-1, 1], ring[1:, 0], ring[1:, 1]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            hit = ((ay > py) != (by > py)) & (px < ax + (py - ay) * (bx - ax) / (by - ay))
+        odd += hit.sum(axis=1)
+        cross = (bx - ax) * (py - ay) - (by - ay) * (px - ax)
+        near = (np.abs(cross) <= 1e-15) & (px >= np.minimum(ax, bx)) & (px <= np.maximum(ax, bx))
+        near &= (py >= np.minimum(ay, by)) & (py <= np.maximum(ay, by))
+        edge |= near.any(axis=1)
+    return (odd % 2 == 1) | edge
+
+
+def clip(path: np.ndarray, rings: list[np.ndarray]) -> list[np.ndarray]:
+    """Stretches of a path inside a polygon, in path order."""
+    sides = np.concatenate([np.hstack((r[:-1], r[1:])) for r in rings])
+    parts: list[list[np.ndarray]] = []
+    open_part: list[np.ndarray] = []
+    for a, b in zip(path[:-1], path[1:]):
+        d = b - a
+        if not d.any():
+            continue
+        c, e = sides[:, :2], sides[:, 2:] - sides[:, :2]
+        den = d[0] * e[:, 1] - d[1] * e[:, 0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = ((c[:, 0] - a[0]) * e[:, 1] - (c[:, 1] - a[1]) * e[:, 0]) / den
+            u = ((c[:, 0] - a[0]) * d[1] - (c[:, 1] - a[1]) * d[0]) / den
+        cuts = t[(den != 0) & (t > 0) & (t < 1) & (u >= 0) & (u <= 1)]
+        # Where the edge runs along a side, the side's corners are the cuts.
+        along = ((sides.reshape(-1, 2) - a) @ d) / (d @ d)
+        off = np.abs((sides.reshape(-1, 2) - a) @ np.array([-d[1], d[0]])) <= 1e-15
+        cuts = np.unique(np.concatenate(([0.0, 1.0], cuts, along[off & (along > 0) & (along < 1)])))
+        middles = a + np.outer((cuts[:-1] + cuts[1:]) / 2, d)
+        for keep, t0, t1 in zip(_covered(middles, rings), cuts[:-1], cuts[1:]):
+            if not keep:
+                if open_part:
+                    parts.append(open_part)
+                open_part = []
+                continue
+            start, end = a + t0 * d if t0 > 0 else a, a + t1 * d if t1 < 1 else b
+            open_part = open_part + [end] if open_part else [start, end]
+    if open_part:
+        parts.append(open_part)
+    return [np.array(p) for p in parts]
+
+
+def split_equal(path: np.ndarray, target_m: float) -> list[np.ndarray]:
+    """Equal pieces by projected length, at least one, none longer than the target."""
+    xy = to_metric(path)
+    steps = np.hypot(*np.diff(xy, axis=0).T)
+    run = np.concatenate(([0.0], np.cumsum(steps)))
+    total = run[-1]
+    count = max(1, int(np.ceil(total / target_m)))
+    marks = total * np.arange(count + 1) / count
+    xs, ys = np.interp(marks, run, xy[:, 0]), np.interp(marks, run, xy[:, 1])
+    pieces = []
+    for i in range(count):
+        inner = xy[(run > marks[i]) & (run < marks[i + 1])]
+        ends = np.array([(xs[i], ys[i])]), np.array([(xs[i + 1], ys[i + 1])])
+        pieces.append(to_lonlat(np.vstack((ends[0], inner, ends[1]))))
+    return pieces
