@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("screening",)
+MODULES = ("screening", "reports", "ingest")
 
 
 def load_all() -> None:

@@ -101,10 +101,12 @@ def nearest_in(near: Column, distance_m: float) -> Column:
         (f["e"]["ay"] + f["t"] * f["e"]["ey"] - py).alias("dy"),
         # Middle latitude of point and foot, relative to the edge's middle.
         ((py - f["e"]["ay"] + (f["t"] - 1) * f["e"]["ey"]) / 2).alias("rise")))
-    ranked = F.transform(offsets, lambda o: F.struct(
-        (F.hypot(o["dx"] * (o["e"]["kx"] + o["e"]["dkx"] * o["rise"]),
-                 o["dy"] * (o["e"]["ky"] + o["e"]["dky"] * o["rise"])) * 1e6 + 0.5).cast("long").alias("um"),
+    measured = F.transform(offsets, lambda o: F.struct(
+        F.hypot(o["dx"] * (o["e"]["kx"] + o["e"]["dkx"] * o["rise"]),
+                o["dy"] * (o["e"]["ky"] + o["e"]["dky"] * o["rise"])).alias("d"),
         o["e"]["segment_id"].alias("segment_id")))
+    ranked = F.transform(measured, lambda m: F.struct(
+        (m["d"] * 1e6 + 0.5).cast("long").alias("um"), m["segment_id"].alias("segment_id"), m["d"].alias("distance")))
     return F.array_min(F.filter(ranked, lambda r: r["um"] <= F.lit(int(distance_m * 1e6 + 0.5))))
 
 
@@ -148,7 +150,7 @@ def snap_crashes(crashes: DataFrame, roads: DataFrame, *, distance_m: float = V.
         )
     return found.withColumns({
         "segment_id": F.when(F.col("_scope"), F.col("_best.segment_id")).otherwise(F.col("segment_id")),
-        "snap_distance": F.when(F.col("_scope"), F.col("_best.um") / 1e6).otherwise(F.col("snap_distance")),
+        "snap_distance": F.when(F.col("_scope"), F.col("_best.distance")).otherwise(F.col("snap_distance")),
     }).select(*columns)
 
 
