@@ -20,6 +20,7 @@ from hazardgrid.operators import reconcile as R
 from hazardgrid.operators import upserts as U
 from hazardgrid.operators import validation as C
 from hazardgrid.plans import dashboard as J
+from hazardgrid.session import cut_lineage
 
 
 def archive(spark, d):
@@ -341,7 +342,7 @@ def features(spark, d):
     last = F.when(kind == "nomeasure", F.array(x + 0.002, y)).otherwise(F.array(x + 0.002, y, F.lit(0.2)))
     bent = F.array(F.array(x, y, F.lit(0.0)), F.array(x + 0.001, y, m1), last)
     path = F.when(kind == "nolength", F.array(F.array(x, y, F.lit(0.0)), F.array(x, y, F.lit(0.1)))).when(
-        kind == "range", F.array(F.array(x, y, F.lit(0.0)), F.array(x + 200, y, F.lit(0.1)))).otherwise(bent)
+        kind == "range", F.array(F.array(x, y, F.lit(0.0)), F.array(x + 300, y, F.lit(0.1)))).otherwise(bent)
     return view(spark, d, "part", _FEATURE).withColumn("OBJECTID", F.col("p_partkey")).withColumn("paths", F.array(path, bent.alias("b")))
 
 
@@ -565,14 +566,14 @@ r_out AS (SELECT *, CASE
 
 
 def staged(spark, d):
-    audited = C.duplicate_identity_audit(tagged_dash(spark, d))
+    audited = C.duplicate_identity_audit(cut_lineage(tagged_dash(spark, d)))
     once = audited.filter(F.col("reason").isNull() | (F.col("reason") == "ambiguous_legacy_identity"))
-    return once.filter(~F.col("external_id").endswith("AB-17")).drop("reason", "repeat", "line", "source_year")
+    return cut_lineage(once.filter(~F.col("external_id").endswith("AB-17")).drop("reason", "repeat", "line", "source_year"))
 
 
-def known_crashes(spark, d):
+def known_crashes(spark, d, s=None):
     """Stored crashes that some of the staged records match, built from the records."""
-    s = staged(spark, d)
+    s = staged(spark, d) if s is None else s
     n = F.col("dashboard_id").try_cast("long")
     box = munis(spark, d).select("muni_id", "x0", "y0")
     wrong_day = F.when(n % 24 == 8, F.date_add("crash_date", 1)).otherwise(F.col("crash_date"))
@@ -596,13 +597,14 @@ def known_crashes(spark, d):
 
 
 def actions(spark, d):
-    matched_ = R.match_records(staged(spark, d), known_crashes(spark, d), muni_polygons(spark, d))
-    return R.reconcile_dashboard(matched_)
+    s = staged(spark, d)
+    return R.reconcile_dashboard(R.match_records(s, known_crashes(spark, d, s), muni_polygons(spark, d)))
 
 
 @query("identity_match", f"""WITH {STAGED} SELECT id_cr AS dashboard_id, how <> 'none' AS matched, how = 'both' AS identity_conflict FROM r_match""")
 def identity_match(spark, d):
-    return R.identity_match(staged(spark, d), known_crashes(spark, d)).select(
+    s = staged(spark, d)
+    return R.identity_match(s, known_crashes(spark, d, s)).select(
         "dashboard_id", F.col("existing").isNotNull().alias("matched"), "identity_conflict")
 
 
@@ -613,7 +615,7 @@ def unknown_source_overlap(spark, d):
     foreign = s.filter(F.col("dashboard_id").try_cast("long") % 6 == 3).select(
         "muni_id", "crash_date", F.lit(None).cast("string").alias("dashboard_id"),
         F.when(F.col("severity") == "fatal", F.lit("legacy-1")).alias("external_id"))
-    m = R.identity_match(s, known_crashes(spark, d))
+    m = R.identity_match(s, known_crashes(spark, d, s))
     return R.unknown_source_overlap(m, foreign).select("dashboard_id", F.col("unknown_source_overlap").alias("overlap"))
 
 
@@ -643,7 +645,10 @@ def reconciliation_outcomes(spark, d):
   UNION ALL SELECT CAST(CASE WHEN idn % 24 = 8 THEN dt + 1 ELSE dt END AS VARCHAR), CASE WHEN idn % 7 IN (0, 1) THEN 1 END, 'injury_unknown' FROM r_out, range(2) t(g)
     WHERE outcome <> 'updated' AND (how = 'both' OR (how <> 'none' AND g = 0))) x GROUP BY 1""")
 def apply_reconciliation(spark, d):
-    state = R.apply_reconciliation(known_crashes(spark, d), actions(spark, d))
+    s = staged(spark, d)
+    stored = cut_lineage(known_crashes(spark, d, s))
+    done = R.reconcile_dashboard(R.match_records(s, stored, muni_polygons(spark, d)))
+    state = R.apply_reconciliation(stored, cut_lineage(done))
     return state.groupBy(F.col("crash_date").cast("string").alias("crash_date")).agg(
         F.count("*").alias("crashes"), F.count("bike_involved").alias("bikes"),
         F.count_if(F.col("severity") != "injury_unknown").alias("rated"))
@@ -651,7 +656,8 @@ def apply_reconciliation(spark, d):
 
 @query("dry_run_reconciliation", f"WITH {STAGED} SELECT outcome, count(*) AS records FROM r_out GROUP BY 1")
 def dry_run_reconciliation(spark, d):
-    run = J.run_reconciliation(staged(spark, d), known_crashes(spark, d), muni_polygons(spark, d))
+    s = staged(spark, d)
+    run = J.run_reconciliation(s, known_crashes(spark, d, s), muni_polygons(spark, d))
     return run.actions.groupBy("outcome").agg(F.count("*").alias("records"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from hazardgrid import fixed_values as V
+from hazardgrid.functions.binding import let
 from hazardgrid.functions.text import strip
 
 _INTEGER = r"^[+-]?\d+(_\d+)*$"
@@ -14,24 +15,22 @@ _NOT_FINITE = r"(?i)^[+-]?(nan|inf|infinity)$"
 
 def parse_float(col) -> Column:
     """Text to DOUBLE; NULL when not a number, NaN for the not-finite words."""
-    text = strip(col)
-    return (
+    return let(strip(col), lambda text: (
         F.when(text.rlike(_DECIMAL), F.regexp_replace(text, "_", "").try_cast("double"))
-        .when(text.rlike(_NOT_FINITE), F.lit(float("nan")))
-    )
+        .when(text.rlike(_NOT_FINITE), F.lit(float("nan")))))
 
 
 def finite(col) -> Column:
     """``col`` when it is a finite number, else NULL."""
-    return F.when(~F.isnan(col) & (F.abs(col) < float("inf")), col)
+    return let(col, lambda v: F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v))
 
 
 def optional_nonneg_int(col) -> tuple[Column, Column]:
     """``(value, bad)`` of an optional count: blank is NULL, negative or text is bad."""
     text = strip(F.coalesce(col, F.lit("")))
     value = F.when(text.rlike(_INTEGER), F.regexp_replace(text, "_", "").try_cast("int"))
-    bad = (text != "") & ~F.coalesce(value >= 0, F.lit(False))
-    return F.when(~bad, value), bad
+    good = let(value, lambda v: F.when(v >= 0, v))
+    return good, (text != "") & good.isNull()
 
 
 def dashboard_count(col) -> tuple[Column, Column]:
@@ -44,17 +43,20 @@ def dashboard_count(col) -> tuple[Column, Column]:
 def optional_number(col, minimum: float, maximum: float | None = None,
                     integer: bool = False) -> tuple[Column, Column]:
     """``(value, bad)`` of an optional measure where -999 also means missing."""
+    def judge(v):
+        inside = ~F.isnan(v) & (F.abs(v) < float("inf")) & (v >= minimum)
+        if maximum is not None:
+            inside = inside & (v <= maximum)
+        if integer:
+            inside = inside & (v == F.floor(v))
+        missing = F.coalesce(v == -999, F.lit(False))
+        good = F.coalesce(inside, F.lit(False)) & ~missing
+        return F.struct(F.when(good, v).alias("value"), (~missing & ~good).alias("bad"))
+
     text = F.coalesce(col.cast("string"), F.lit(""))
-    number = parse_float(text)
-    missing = (text == "") | F.coalesce(number == -999, F.lit(False))
-    inside = ~F.isnan(number) & (F.abs(number) < float("inf")) & (number >= minimum)
-    if maximum is not None:
-        inside = inside & (number <= maximum)
-    if integer:
-        inside = inside & (number == F.floor(number))
-    bad = ~missing & ~F.coalesce(inside, F.lit(False))
-    value = F.when(~missing & ~bad, number)
-    return (value.cast("long") if integer else value), bad
+    judged = let(parse_float(text), judge)
+    value = judged["value"].cast("long") if integer else judged["value"]
+    return value, (text != "") & judged["bad"]
 
 
 def inside_bounds(lon, lat, bounds=V.STATE_BOUNDS) -> Column:
@@ -64,33 +66,32 @@ def inside_bounds(lon, lat, bounds=V.STATE_BOUNDS) -> Column:
 
 def reported_point(lat, lon) -> Column:
     """``struct(lon, lat, issue)``; a positive longitude is taken as west."""
-    lat_text = strip(F.coalesce(lat, F.lit("")))
-    lon_text = strip(F.coalesce(lon, F.lit("")))
-    y, x = parse_float(lat_text), parse_float(lon_text)
-    x = F.when(x > 0, -x).otherwise(x)
-    issue = (
-        F.when((lat_text == "") & (lon_text == ""), "reported_missing")
-        .when((lat_text == "") | (lon_text == ""), "reported_incomplete")
-        .when(x.isNull() | y.isNull(), "reported_non_numeric")
-        .when(~inside_bounds(finite(x), finite(y)), "reported_out_of_bounds")
-        .when(finite(x).isNull() | finite(y).isNull(), "reported_out_of_bounds")
-    )
-    good = issue.isNull()
-    return F.struct(
-        F.when(good, x).alias("lon"), F.when(good, y).alias("lat"), issue.alias("issue"),
-    )
+    def judge(p):
+        x = F.when(p["x"] > 0, -p["x"]).otherwise(p["x"])
+        return F.struct(x.alias("x"), p["y"].alias("y"), (
+            F.when((p["lat"] == "") & (p["lon"] == ""), "reported_missing")
+            .when((p["lat"] == "") | (p["lon"] == ""), "reported_incomplete")
+            .when(p["x"].isNull() | p["y"].isNull(), "reported_non_numeric")
+            # Not-a-number sorts above every bound, so it is out of bounds too.
+            .when(~inside_bounds(x, p["y"]), "reported_out_of_bounds")).alias("issue"))
+
+    texts = F.struct(strip(F.coalesce(lat, F.lit(""))).alias("lat"), strip(F.coalesce(lon, F.lit(""))).alias("lon"))
+    parsed = let(texts, lambda t: F.struct(
+        t["lat"].alias("lat"), t["lon"].alias("lon"), parse_float(t["lon"]).alias("x"), parse_float(t["lat"]).alias("y")))
+    return let(let(parsed, judge), lambda j: F.struct(
+        F.when(j["issue"].isNull(), j["x"]).alias("lon"), F.when(j["issue"].isNull(), j["y"]).alias("lat"),
+        j["issue"].alias("issue")))
 
 
 def bounded_point(lon_text, lat_text) -> Column:
     """``struct(lon, lat)`` of two numeric texts inside the state bounds, else NULL."""
-    x, y = finite(parse_float(lon_text)), finite(parse_float(lat_text))
-    return F.when(inside_bounds(x, y), F.struct(x.alias("lon"), y.alias("lat")))
+    parsed = F.struct(parse_float(lon_text).alias("lon"), parse_float(lat_text).alias("lat"))
+    return let(parsed, lambda p: F.when(inside_bounds(p["lon"], p["lat"]), p))
 
 
 def json_point(col) -> Column:
     """Point of a ``{"lon":…, "lat":…}`` cell; numbers may be quoted."""
-    obj = F.from_json(col, "lon string, lat string")
-    return bounded_point(obj["lon"], obj["lat"])
+    return let(F.from_json(col, "lon string, lat string"), lambda o: bounded_point(o["lon"], o["lat"]))
 
 
 def share_pct(part, whole) -> Column:
@@ -100,8 +101,8 @@ def share_pct(part, whole) -> Column:
 
 def us_date(col) -> Column:
     """``m/d/yyyy`` to DATE, NULL when it is not a calendar date."""
-    text = strip(F.coalesce(col, F.lit("")))
-    return F.when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_date(text, "M/d/yyyy"))
+    return let(strip(F.coalesce(col, F.lit(""))), lambda text: F.when(
+        text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_date(text, "M/d/yyyy")))
 
 
 def iso_date(col) -> Column:

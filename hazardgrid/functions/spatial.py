@@ -86,10 +86,8 @@ def point_edge_distance_m(px, py, scale, ax, ay, bx, by) -> Column:
 
 def edges(pts: Column) -> Column:
     """Consecutive vertex pairs of a path as ``struct(a, b)``; empty below two vertices."""
-    n = F.size(pts)
-    return F.when(n > 1, F.arrays_zip(
-        F.slice(pts, 1, n - 1).alias("a"), F.slice(pts, 2, n - 1).alias("b"),
-    )).otherwise(F.array().cast(f"array<struct<a:{POINT_TYPE},b:{POINT_TYPE}>>"))
+    pairs = F.greatest(F.size(pts) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(pts, 1, pairs).alias("a"), F.slice(pts, 2, pairs).alias("b"))
 
 
 def point_line_distance_m(px, py, pts) -> Column:
@@ -194,10 +192,7 @@ def locate_on_edge(m, a, b) -> Column:
 
 def locate_along_measure(pts, m) -> Column:
     """Points of a measured path at measure ``m``, one per distinct location."""
-    n = F.size(pts)
-    pairs = F.when(n > 1, F.arrays_zip(
-        F.slice(pts, 1, n - 1).alias("a"), F.slice(pts, 2, n - 1).alias("b")))
-    hits = F.filter(pairs, lambda e: m.between(
+    hits = F.filter(edges(pts), lambda e: m.between(
         F.least(e["a"]["m"], e["b"]["m"]), F.greatest(e["a"]["m"], e["b"]["m"])))
     return F.array_distinct(F.transform(hits, lambda e: locate_on_edge(m, e["a"], e["b"])))
 

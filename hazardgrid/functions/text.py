@@ -7,6 +7,7 @@ from itertools import chain
 from pyspark.sql import Column, functions as F
 
 from hazardgrid import fixed_values as V
+from hazardgrid.functions.binding import let
 
 # ASCII whitespace plus the Latin-1 separators that also count as blank.
 _BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
@@ -54,7 +55,7 @@ def normalize_municipality(col) -> Column:
     words = F.trim(F.regexp_replace(F.upper(F.coalesce(col, F.lit(""))), "[^A-Z0-9]+", " "))
     for short, full in V.MUNICIPALITY_SUFFIXES.items():
         words = F.regexp_replace(words, f"(^| ){short}$", f"$1{full}")
-    return F.coalesce(lookup(V.MUNICIPALITY_ALIASES, words), words)
+    return let(words, lambda w: F.coalesce(lookup(V.MUNICIPALITY_ALIASES, w), w))
 
 
 def build_external_id(county, year, source_id) -> Column:
@@ -62,12 +63,9 @@ def build_external_id(county, year, source_id) -> Column:
     token = F.regexp_replace(F.upper(county), " ", "_")
     year = year.cast("string")
     raw = F.concat_ws(":", F.lit(V.SOURCE_PREFIX), year, token, strip(source_id))
-    hashed = F.concat_ws(
-        ":", F.lit(V.SOURCE_PREFIX), year, F.substring(token, 1, 8),
-        F.substring(F.sha2(raw, 256), 1, 20),
-    )
     complete = county.isNotNull() & year.isNotNull() & source_id.isNotNull()
-    return F.when(complete, F.when(F.length(raw) <= V.EXTERNAL_ID_MAX, raw).otherwise(hashed))
+    return F.when(complete, let(raw, lambda r: F.when(F.length(r) <= V.EXTERNAL_ID_MAX, r).otherwise(
+        F.concat_ws(":", F.lit(V.SOURCE_PREFIX), year, F.substring(token, 1, 8), F.substring(F.sha2(r, 256), 1, 20)))))
 
 
 def map_severity_fip(col) -> Column:
@@ -76,9 +74,8 @@ def map_severity_fip(col) -> Column:
 
 def kabco_code(col) -> Column:
     """Trailing ``(K)``-style letter, or the bare letter itself."""
-    text = strip(F.coalesce(col, F.lit("")))
-    tagged = F.nullif(F.regexp_extract(text, r"\(([KABCO])\)$", 1), F.lit(""))
-    return F.coalesce(tagged, F.when(text.isin(*V.KABCO_SEVERITY), text))
+    return let(strip(F.coalesce(col, F.lit(""))), lambda text: F.coalesce(
+        F.nullif(F.regexp_extract(text, r"\(([KABCO])\)$", 1), F.lit("")), F.when(text.isin(*V.KABCO_SEVERITY), text)))
 
 
 def summary_labels(col) -> Column:
@@ -86,16 +83,15 @@ def summary_labels(col) -> Column:
 
     NULL marks an invalid cell (broken JSON or a member that is not a string).
     """
-    text = strip(F.coalesce(col, F.lit("")))
-    is_json = text.startswith("[")
-    kind = F.schema_of_variant(F.try_parse_json(F.when(is_json, text)))
-    parsed = F.from_json(text, "array<string>")
-    usable = kind.isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(parsed, lambda x: x.isNull())
-    return (
-        F.when(text == "", F.array().cast("array<string>"))
-        .when(~is_json, F.array(text))
-        .when(usable, parsed)
-    )
+    def labels(text):
+        kind = F.schema_of_variant(F.try_parse_json(text))
+        strings = F.when(kind.isin("ARRAY<STRING>", "ARRAY<VOID>"), F.from_json(text, "array<string>"))
+        return (
+            F.when(text == "", F.array().cast("array<string>"))
+            .when(~text.startswith("["), F.array(text))
+            .otherwise(let(strings, lambda p: F.when(~F.exists(p, lambda x: x.isNull()), p)))
+        )
+    return let(strip(F.coalesce(col, F.lit(""))), labels)
 
 
 def severity_weight(col) -> Column:
@@ -146,14 +142,17 @@ def functional_road_class(code) -> Column:
     """``struct(road_class, road_type)`` of a numeric functional class code."""
     from hazardgrid.functions.numbers import parse_float
 
-    value = parse_float(code.cast("string"))
-    whole = F.when((value == F.floor(value)) & (F.abs(value) < 1e15), value.cast("long"))
-    road_class = (
-        F.when(whole.between(1, 4), "arterial").when(whole.between(5, 6), "collector")
-        .when(whole == 7, "local").otherwise("unclassified")
-    )
-    label = F.concat(F.lit("functional_class_"), F.coalesce(whole.cast("string"), F.lit("unknown")))
-    return F.struct(road_class.alias("road_class"), label.alias("road_type"))
+    def classify(whole):
+        road_class = (
+            F.when(whole.between(1, 4), "arterial").when(whole.between(5, 6), "collector")
+            .when(whole == 7, "local").otherwise("unclassified")
+        )
+        label = F.concat(F.lit("functional_class_"), F.coalesce(whole.cast("string"), F.lit("unknown")))
+        return F.struct(road_class.alias("road_class"), label.alias("road_type"))
+
+    number = let(parse_float(code.cast("string")), lambda v: F.when(
+        (v == F.floor(v)) & (F.abs(v) < 1e15), v.cast("long")))
+    return let(number, classify)
 
 
 def osm_road_class(col) -> Column:

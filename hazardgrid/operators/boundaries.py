@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -12,6 +10,7 @@ from hazardgrid.functions import geometry as Geo
 from hazardgrid.functions import spatial as S
 from hazardgrid.operators.grid import (
     cell_index, explode_edge_cells, explode_edges, level_size, levels_in_use, point_cells, polygon_cells,
+    polygon_rows,
 )
 
 _CELL = ["level", "cx", "cy"]
@@ -23,22 +22,16 @@ def point_covered(points: DataFrame, munis: DataFrame, out: str = "covered",
 
     One join on (municipality, latitude row); a missing point is not covered.
     """
-    bands = (
-        polygon_cells(munis.select("muni_id", "rings"))
-        .select("muni_id", "level", "cy", "band").dropDuplicates(["muni_id", "level", "cy"])
-    )
-    levels = levels_in_use(bands)
-    # The level of a municipality is not known on the point side, so each point
-    # carries its row at every level in use and the one that matches is taken.
-    keyed = bands.select("muni_id", F.concat_ws(":", "level", "cy").alias("_row"), "band")
-    level_of = bands.select("muni_id", "level").distinct().withColumnRenamed("level", "_level")
-    located = points.join(level_of, "muni_id", "left")
-    row = reduce(lambda acc, v: F.when(F.col("_level") == v, F.concat_ws(
-        ":", F.lit(v), cell_index(F.col(lat), level_size(F.lit(v))))).otherwise(acc), levels, F.lit(None).cast("string"))
+    rows = polygon_rows(munis.select("muni_id", "rings"))
+    bands = rows.select("muni_id", F.col("cy").alias("_row"), "band")
+    # The row height belongs to the municipality, so it is looked up first.
+    heights = rows.select("muni_id", level_size(F.col("level")).alias("_height")).distinct()
     return (
-        located.withColumn("_row", row).join(keyed, ["muni_id", "_row"], "left")
+        points.join(heights, "muni_id", "left")
+        .withColumn("_row", cell_index(F.col(lat), F.col("_height")))
+        .join(bands, ["muni_id", "_row"], "left")
         .withColumn(out, F.coalesce(S.covered_by(F.col(lon), F.col(lat), F.col("band")), F.lit(False)))
-        .drop("_row", "_level", "band")
+        .drop("_row", "_height", "band")
     )
 
 

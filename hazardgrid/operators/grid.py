@@ -53,11 +53,11 @@ def level_size(level: Column) -> Column:
     return F.lit(BASE_CELL_DEG) * F.pow(F.lit(2.0), level)
 
 
-def polygon_cells(polygons: DataFrame, rings: str = "rings") -> DataFrame:
-    """Replace ``rings`` by rows ``level, cx, cy, band``.
+def polygon_rows(polygons: DataFrame, rings: str = "rings") -> DataFrame:
+    """Replace ``rings`` by rows ``level, cy, band`` (with the extent ``_x0, _x1``).
 
-    ``band`` holds the polygon's edges that reach into the cell's latitude row:
-    all that is needed to decide any question about a point in that row.
+    ``band`` holds the polygon's edges that reach into the latitude row: all that is
+    needed to decide any question about a point in that row.
     """
     box = S.ring_extent(F.col(rings))
     extent = F.greatest(F.col("_box.x1") - F.col("_box.x0"), F.col("_box.y1") - F.col("_box.y0"))
@@ -76,12 +76,17 @@ def polygon_cells(polygons: DataFrame, rings: str = "rings") -> DataFrame:
         sized.withColumn("band", F.filter("_edges", lambda e: (
             (F.greatest(e["a"]["y"], e["b"]["y"]) >= low - reach)
             & (F.least(e["a"]["y"], e["b"]["y"]) <= high + reach))))
-        .withColumn("cx", F.explode(F.sequence(
-            cell_index(F.col("_box.x0"), F.col("_size")), cell_index(F.col("_box.x1"), F.col("_size")))))
-        .drop("_box", "_size", "_edges")
+        .withColumns({"_x0": F.col("_box.x0"), "_x1": F.col("_box.x1")}).drop("_box", "_size", "_edges")
     )
 
 
+def polygon_cells(polygons: DataFrame, rings: str = "rings") -> DataFrame:
+    """As :func:`polygon_rows`, one row per cell ``level, cx, cy``."""
+    size = level_size(F.col("level"))
+    return polygon_rows(polygons, rings).withColumn("cx", F.explode(F.sequence(
+        cell_index(F.col("_x0"), size), cell_index(F.col("_x1"), size)))).drop("_x0", "_x1")
+
+
 def levels_in_use(cells: DataFrame) -> list[int]:
     """The polygon levels present: at most 21 small numbers, whatever the data size."""
     return sorted(r[0] for r in cells.select("level").distinct().collect())

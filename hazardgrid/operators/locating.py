@@ -18,9 +18,7 @@ MEASURE_BUCKET = 0.1        # miles
 
 def measure_edges(routes: DataFrame) -> DataFrame:
     """``source_id, sri, a, b, mp_start, mp_end, bucket`` of every measured edge."""
-    n = F.size("pts")
-    pairs = F.when(n > 1, F.arrays_zip(F.slice("pts", 1, n - 1).alias("a"), F.slice("pts", 2, n - 1).alias("b")))
-    edges = routes.select("source_id", "sri", "mp_start", "mp_end", F.explode(pairs).alias("e")).select(
+    edges = routes.select("source_id", "sri", "mp_start", "mp_end", F.explode(S.edges(F.col("pts"))).alias("e")).select(
         "source_id", "sri", "mp_start", "mp_end", "e.a", "e.b")
     low, high = F.least("a.m", "b.m"), F.greatest("a.m", "b.m")
     return edges.withColumn("bucket", F.explode(F.sequence(

@@ -37,13 +37,16 @@ def tag_crash(df: DataFrame, county: str | Column, year: int | Column) -> DataFr
     """
     county = F.lit(county) if isinstance(county, str) else county
     year = F.lit(year) if isinstance(year, int) else year
-    own = T.normalize_county(F.col("county_name"))
-    source_id = T.strip(F.coalesce("id", F.lit("")))
-    day = N.us_date(F.col("crash_date"))
-    severity = T.map_severity_fip(F.coalesce("severity", F.lit("")))
-    name = T.normalize_municipality(F.col("municipality_name"))
-    counts = {c: N.optional_nonneg_int(F.col(c)) for c in V.CASUALTY_COLUMNS}
-    milepost = N.finite(N.parse_float(F.coalesce("milepost", F.lit(""))))
+    parsed = {c: N.optional_nonneg_int(F.col(c)) for c in V.CASUALTY_COLUMNS}
+    # Every parsed value becomes a column first, so that no check parses it again.
+    df = df.withColumns({
+        "_own": T.normalize_county(F.col("county_name")), "_id": T.strip(F.coalesce("id", F.lit(""))),
+        "_day": N.us_date(F.col("crash_date")), "_severity": T.map_severity_fip(F.coalesce("severity", F.lit(""))),
+        "_name": T.normalize_municipality(F.col("municipality_name")),
+        **{f"_{c}": value for c, (value, _) in parsed.items()},
+    })
+    own, source_id, day, severity, name = (F.col(c) for c in ("_own", "_id", "_day", "_severity", "_name"))
+    blank = {c: T.strip(F.coalesce(c, F.lit(""))) == "" for c in V.CASUALTY_COLUMNS}
     reason = first_reason(
         (own.isNull(), F.concat(F.lit("unknown county: "), F.coalesce("county_name", F.lit("")))),
         (own != T.normalize_county(county), "county"),
@@ -52,7 +55,7 @@ def tag_crash(df: DataFrame, county: str | Column, year: int | Column) -> DataFr
         (F.year(day) != year, "year"),
         (severity.isNull(), "severity"),
         (name == "", "municipality_name"),
-        *[(bad, c) for c, (_, bad) in counts.items()],
+        *[(F.col(f"_{c}").isNull() & ~blank[c], c) for c in V.CASUALTY_COLUMNS],
     )
     place = F.when(F.coalesce("crash_location", F.lit("")) != "", F.col("crash_location")).otherwise(F.col("route"))
     carried = [c for c in ("archive", "line") if c in df.columns]
@@ -61,15 +64,15 @@ def tag_crash(df: DataFrame, county: str | Column, year: int | Column) -> DataFr
         source_id.alias("source_id"), T.build_external_id(own, year, source_id).alias("external_id"),
         own.alias("county"), name.alias("municipality_name"), day.alias("crash_date"),
         T.blank_to_null(F.col("crash_time")).alias("crash_time"), severity.alias("severity"),
-        (F.coalesce(counts["pedestrians_killed"][0] > 0, F.lit(False))
-         | F.coalesce(counts["pedestrians_injured"][0] > 0, F.lit(False))).alias("ped_involved"),
+        (F.coalesce(F.col("_pedestrians_killed") > 0, F.lit(False))
+         | F.coalesce(F.col("_pedestrians_injured") > 0, F.lit(False))).alias("ped_involved"),
         F.lit(None).cast("boolean").alias("bike_involved"),
-        *[value.alias(c) for c, (value, _) in counts.items()],
+        *[F.col(f"_{c}").alias(c) for c in V.CASUALTY_COLUMNS],
         T.blank_to_null(place).alias("road_name"),
         T.blank_to_null(F.col("light_condition")).alias("light_condition"),
         N.reported_point(F.col("latitude"), F.col("longitude")).alias("reported"),
         T.blank_to_null(F.upper("sri_std_rte_identifier")).alias("sri"),
-        milepost.alias("milepost"), reason.alias("reason"),
+        N.finite(N.parse_float(F.coalesce("milepost", F.lit("")))).alias("milepost"), reason.alias("reason"),
     )
 
 
@@ -212,18 +215,21 @@ def tag_dashboard(df: DataFrame, munis: DataFrame, **provenance) -> DataFrame:
     base = df.withColumns({
         "_county": county, "_name": T.normalize_municipality(name), "_day": day, "_when": when,
         "_labels": labels, "_code": code, **{f"_{c}": v for c, (v, _) in parsed.items()}})
+    injury = (
+        F.coalesce(F.col("_injurycount") > 0, F.lit(False)) | F.coalesce(F.col("_pedestrianinjurycount") > 0, F.lit(False))
+        | F.coalesce(F.array_contains("_labels", V.INJURY_LABEL), F.lit(False)))
+    base = base.withColumn("_injury", injury)
     lookup = municipality_keys(munis).groupBy("county", "municipality_name").agg(
         F.count(F.lit(1)).alias("_candidates"), F.min_by(F.struct("muni_id", "muni_code"), "muni_id").alias("_m"),
     ).withColumnsRenamed({"county": "_county", "municipality_name": "_name"})
     joined = base.join(lookup, ["_county", "_name"], "left")
 
     counts = {c: F.col(f"_{c}") for c in V.DASHBOARD_COUNTS}
-    injury = (
-        F.coalesce(counts["injurycount"] > 0, F.lit(False)) | F.coalesce(counts["pedestrianinjurycount"] > 0, F.lit(False))
-        | F.coalesce(F.array_contains("_labels", V.INJURY_LABEL), F.lit(False)))
-    severity = reconcile_severity(
+    injury = F.col("_injury")
+    joined = joined.withColumn("_severity", reconcile_severity(
         F.col("_code"), counts["crashfatalitycount"], cell("fatalcrashind"), injury,
-        (counts["fatalitycount"], counts["pedestrianfatalitycount"]))
+        (counts["fatalitycount"], counts["pedestrianfatalitycount"])))
+    severity = F.col("_severity")
     conflicts = severity_conflicts(F.col("_code"), counts, cell("fatalcrashind"), injury)
     pedestrian, bicycle = involvement_flags(F.col("_labels"), cell("Crash Type"), counts)
     y1, y2 = V.DASHBOARD_YEARS
@@ -241,7 +247,7 @@ def tag_dashboard(df: DataFrame, munis: DataFrame, **provenance) -> DataFrame:
         ((case == "") | (F.length(case) > 200), "invalid_case_number"),
         ((when_text != "") & F.col("_when").isNull(), "invalid_datetime"),
         (F.to_date("_when") != F.col("_day"), "datetime_date_conflict"),
-        *[(bad, "invalid_" + c) for c, (_, bad) in parsed.items()],
+        *[(counts[c].isNull() & (T.strip(cell(c)) != ""), "invalid_" + c) for c in V.DASHBOARD_COUNTS],
         (F.col("_labels").isNull(), "invalid_summary"),
         (severity.isNull(), "unrecognized_severity"),
     )

@@ -33,7 +33,8 @@ class Reconciled:
 
 def stage_and_audit(raw: DataFrame, munis: DataFrame, **provenance) -> Staged:
     """Validate a whole export (with ``line``) and resolve repeated identities."""
-    audited = duplicate_identity_audit(tag_dashboard(raw, munis, **provenance))
+    # The audit groups the validated rows and joins them back: validate once.
+    audited = duplicate_identity_audit(cut_lineage(tag_dashboard(raw, munis, **provenance)))
     records = audited.filter(F.col("reason").isNull() & ~F.col("repeat")).drop("reason", "repeat", "line", "source_year")
     return Staged(audited, records, audit_counts(audited))
 
