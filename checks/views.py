@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -218,8 +219,16 @@ def with_views(sql: str) -> str:
     return ("WITH " + ",\n".join(parts) + "\n" + body) if parts else body
 
 
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A supplied table; its schema is read from the file once."""
+    path = f"{sf_dir}/{name}.parquet"
+    key = (path, name)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str, sql: str | None = None) -> DataFrame:
