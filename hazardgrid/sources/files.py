@@ -44,7 +44,7 @@ def scan_dashboard_csv(spark: SparkSession, path: str, *, multi_line: bool = Tru
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     rows = spark.read.schema(schema).csv(
         path, header=True, multiLine=multi_line, mode="FAILFAST", enforceSchema=True, encoding="UTF-8",
-        quote='"', escape='"', nullValue="\u0000", emptyValue="")
+        quote='"', escape='"').fillna("")          # a blank cell is text, a short row already failed
     if rows.isEmpty():
         raise SourceContractError("empty_csv")
     return rows

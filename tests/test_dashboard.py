@@ -102,7 +102,7 @@ def test_reconciliation_outcomes(spark, munis):
     fought = outcome(spark, munis, record={"NJDOT Summary": "Bicycle Involved"}, bike_involved=False)
     assert fought["values"]["bike_involved"] is True and fought["values"]["source_metadata"]["conflicts"] == ["bicycle_flag_conflicts_with_existing_evidence"]
     nowhere = {"Geopoint": '{"lon":-75.2,"lat":40.35}', "Geopoint (Calculated)": ""}
-    assert outcome(spark, munis, record=nowhere)["outcome"] == "updated"            # falls back to the stored point
+    assert outcome(spark, munis, record=nowhere)["outcome"] == "unchanged"          # falls back to the stored point
     assert outcome(spark, munis, record=nowhere, lon=-75.3)["outcome"] == "location_unresolved"
     assert outcome(spark, munis, external_id="other", dashboard_id=None)["outcome"] == "historical_identity_unmatched"
     assert outcome(spark, munis, external_id="other", dashboard_id=None, allow_new=True)["outcome"] == "unknown_source_overlap"
