@@ -24,7 +24,9 @@ def screen_segments(crashes: DataFrame, roads: DataFrame, y1: int, y2: int, *,
         raise ValueError("start year must not exceed end year")
     years = y2 - y1 + 1
     snapped = N.snap_crashes(crashes, roads, distance_m=distance_m)
-    stats = G.segment_stats(roads, snapped, y1, y2)
+    # The baseline aggregates the statistics and joins them back.  Cutting here, at one
+    # row per segment, keeps the crashes from being snapped a second time for that.
+    stats = cut_lineage(G.segment_stats(roads, snapped, y1, y2))
     return G.poisson_screen(G.leave_one_out_baseline(stats, years), years, alpha)
 
 
