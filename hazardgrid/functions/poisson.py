@@ -2,8 +2,8 @@
 
 ``P(X >= n)`` for mean ``lam``.  The larger tail is never subtracted from one:
 above the mean the series runs upwards from the first term, otherwise the lower
-sum runs downwards from ``n - 1``.  The number of terms follows from the mean, so
-it is not capped at a size that only fits small counts.
+sum runs downwards from ``n - 1``.  The number of terms follows from count and mean,
+so it is not capped at a size that only fits small counts.
 """
 
 from __future__ import annotations
@@ -38,13 +38,20 @@ def upper_tail(n: Column, lam: Column) -> Column:
     """P(X >= n) for X ~ Poisson(lam), lam > 0; 1 when n is 0."""
     n = n.cast("long")
     x, lam = n.cast("double"), lam.cast("double")
-    # Terms shrink like exp(-k^2 / 2(n+k)), so this many leave nothing above 1e-17.
-    reach = (F.lit(90) + F.ceil(F.lit(9.0) * F.sqrt(F.greatest(x, lam)))).cast("int")
+    # Terms shrink at least like exp(-k^2 / 2(n+k)) and at least geometrically by the
+    # first ratio; the shorter of the two leaves nothing above 1e-16 of the first term.
+    bell = F.lit(39.0) + F.sqrt(F.lit(1521.0) + F.lit(78.0) * F.greatest(x, lam))
+
+    def reach(ratio):
+        return F.ceil(F.least(bell, F.coalesce(F.try_divide(F.lit(37.0), F.log(ratio)), bell)) + 1).cast("int")
+
     above = _series(
-        F.exp(-lam + x * F.log(lam) - ln_factorial(n)), reach, lambda i: lam / (x + i),
+        F.exp(-lam + x * F.log(lam) - ln_factorial(n)), reach(F.greatest((x + 1) / lam, F.lit(1.0))),
+        lambda i: lam / (x + i),
     )
     last = x - 1
-    down = F.greatest(F.lit(1), F.least(reach.cast("long"), n)).cast("int")
+    terms = reach(F.greatest(lam / F.greatest(last, F.lit(1.0)), F.lit(1.0)))
+    down = F.greatest(F.lit(1), F.least(terms, n.cast("int")))
     below = _series(
         F.exp(-lam + last * F.log(lam) - ln_factorial(F.greatest(n - 1, F.lit(0)))), down,
         lambda i: F.greatest(last - i + 1, F.lit(0.0)) / lam,

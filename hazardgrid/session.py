@@ -19,6 +19,8 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "hazard
         .config("spark.sql.autoBroadcastJoinThreshold", "2m")
         # Reading a shuffle by mapper would leave a one-file table in one task.
         .config("spark.sql.adaptive.localShuffleReader.enabled", "false")
+        # Small tables with expensive expressions should still use every core.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.driver.memory", "12g")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")

@@ -95,15 +95,19 @@ def _open_text(path: str, content: bytes, ending: str) -> io.TextIOBase:
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return archive_inventory(files)
+    return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
 def scan_crash_archive(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """``(rows, rejects)``: 50 trimmed text columns with ``archive, county, year, line``.
+    """``(rows, rejects)``: 50 trimmed text columns with ``archive, source_county, source_year, line``.
 
     A file that cannot be opened gives one reject, the others go on.
     """
+    return read_crash_files(_files(spark, path))
+
+
+def read_crash_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As :func:`scan_crash_archive` for a frame of ``path, content``."""
     columns = list(V.ARCHIVE_COLUMNS)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,7 +132,7 @@ def scan_crash_archive(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     names = ["archive", "source_county", "source_year", "line", "reason", *columns]
     schema = "archive string, source_county string, source_year int, line long, reason string, " + ", ".join(
         f"`{c}` string" for c in columns)
-    rows = _files(spark, path).mapInPandas(read, schema)
+    rows = archive_inventory(files.select("path", "content")).mapInPandas(read, schema)
     good = rows.filter(F.col("reason").isNull()).drop("reason")
     return good, rows.filter(F.col("reason").isNotNull()).select("archive", "source_county", "source_year", "line", "reason")
 
@@ -152,7 +156,7 @@ def scan_person_archive(spark: SparkSession, path: str, county: str | Column | N
                     yield pd.DataFrame(buffer, columns=names)
 
     names = ["archive", "county", "year", "line", "columns"]
-    rows = _files(spark, path).mapInPandas(
+    rows = archive_inventory(_files(spark, path)).mapInPandas(
         read, "archive string, county string, year int, line long, columns array<string>")
     if county is not None:
         rows = rows.withColumn("county", F.lit(county) if isinstance(county, str) else county)
