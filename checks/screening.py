@@ -125,6 +125,12 @@ def nearest_segment(spark, d):
         "distance", F.round("distance", 3))
 
 
+@query("point_line_distance", f"""SELECT crash_id, round({DISTANCE}, 3) AS distance FROM t_crash JOIN t_road ON segment_id = l_partkey + 1""")
+def point_line_distance(spark, d):
+    own = crashes(spark, d).withColumn("segment_id", F.col("l_partkey") + 1).join(roads(spark, d).select("segment_id", "pts"), "segment_id")
+    return own.select("crash_id", F.round(S.point_line_distance_m(F.col("lon"), F.col("lat"), F.col("pts")), 3).alias("distance"))
+
+
 @query("within_distance", f"""WITH {SNAPPED}
 SELECT crash_id FROM s_best""")
 def within_distance(spark, d):

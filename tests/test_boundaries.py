@@ -99,3 +99,26 @@ def test_wkt(spark):
         S.to_multipolygon_wkt(F.array(S.box_rings(F.lit(0), F.lit(0), F.lit(1), F.lit(2)))).alias("ok"),
         S.to_multipolygon_wkt(F.array(F.array(S.line((F.lit(0), F.lit(0)), (F.lit(1), F.lit(1)))))).alias("bad")).first()
     assert one["ok"] == "MULTIPOLYGON (((0.0 0.0, 1.0 0.0, 1.0 2.0, 0.0 2.0, 0.0 0.0)))" and one["bad"] is None
+
+
+def test_boundary_features(spark):
+    from hazardgrid.operators.validation import normalize_boundary
+    box = [ring(0, 0, 1, 1)]
+    df = spark.createDataFrame([
+        (1, "1113 ", "West Windsor", None, "MERCER", "Township", "Polygon", box), (2, "1114", None, "Princeton", "cape may", "Borough", "MultiPolygon", box),
+        (3, "1113", "Again", None, "MERCER", "Township", "Polygon", box), (4, "", "No Code", None, "MERCER", "Town", "Polygon", box),
+        (5, "1115", "Line", None, "MERCER", "Town", "LineString", box)],
+        f"seq long, MUN_CODE string, MUN_LABEL string, NAME string, COUNTY string, MUN_TYPE string, geometry_type string, rings array<{PTS}>")
+    good, bad = normalize_boundary(df)
+    assert rows(good, "muni_code", "name", "county") == [("1113", "West Windsor", "Mercer"), ("1114", "Princeton", "Cape May")]
+    assert rows(bad, "seq", "reason") == [(3, "duplicate_code"), (4, "required_fields"), (5, "boundary_geometry")]
+
+
+def test_lengths_and_legacy_csv(spark, tmp_path):
+    from hazardgrid.operators.validation import standardize_legacy_crashes
+    from hazardgrid.sources.files import scan_legacy_crash_csv
+    one = spark.range(1).select(S.line_length_m(S.line((F.lit(-75.0), F.lit(40.0)), (F.lit(-75.0), F.lit(40.01)))).alias("m")).first()
+    assert one["m"] == pytest.approx(1110.36, abs=.05)
+    (tmp_path / "c.csv").write_text("DATE,SEVERITY,LAT,LON,BICYCLE\n2020-01-02,Killed,40.1,-74.5,yes\n,PDO,40.1,-74.5,no\n2020-01-03,?,50,-74.5,1\n")
+    out = standardize_legacy_crashes(scan_legacy_crash_csv(spark, str(tmp_path / "c.csv")))
+    assert rows(out, "severity", "bike_involved", "geocode_quality") == [("fatal", True, "medium")]
