@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where a local session keeps intermediate data unless told otherwise.
+LOCAL_WORK = "/tmp/hazardgrid-work"
+
 
 def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "hazardgrid") -> SparkSession:
     """A local session for tests and the benchmark; clusters bring their own."""
@@ -22,6 +25,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "hazard
         # Small tables with expensive expressions should still use every core.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", LOCAL_WORK)
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.ui.enabled", "false")
@@ -30,19 +34,28 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "hazard
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
+def work_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate data: ``spark.checkpoint.dir``, else one beside the warehouse.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only a
-    local session without that setting gets a temporary one.
+    The same rule holds for every master; both places are reachable by all executors.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    return (folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work").rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="hazardgrid-checkpoint-")
-        context.setCheckpointDir(folder)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(work_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as Parquet to a new folder below :func:`work_folder` and read it back.
+
+    Like :func:`cut_lineage`, but columnar and compressed, so later readers prune columns.
+    """
+    path = f"{work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
