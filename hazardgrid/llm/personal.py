@@ -33,9 +33,10 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # Runs of digits are tried from their start only; a start inside a run could only fail in the same way.
-_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+){3}")
+_IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+_GAPS = str.maketrans(",.-", "   ")
 _SEPARATORS = str.maketrans("", "", " ().+-")
 
 
@@ -83,7 +84,11 @@ _TOP = "com|org|net|edu|gov|info|io|co|eu|de|fr|es|uk|ch|at|it|nl|us|ca|au|jp|cn
 _AT = rf"\s?{_OPEN}(?:at|a|@){_CLOSE}\s?|(?<=[\w%+-])\s+at\s+(?=(?:[\w-]+(?:\s+dot\s+|\s?{_OPEN}(?:dot|\.){_CLOSE}\s?|\.))*[\w-]+(?:\s+dot\s+|\s?{_OPEN}(?:dot|\.){_CLOSE}\s?)(?:{_TOP})\b)"
 _DOT = rf"\s?{_OPEN}(?:dot|\.){_CLOSE}\s?|(?<=\w)\s+dot\s+(?=(?:[\w-]+\s+dot\s+)*(?:{_TOP}|[0-9]{{1,3}})\b)"
 _DIGITS = rf"\b(?:(?:{_DIGIT})\b[\s,.-]{{0,2}}){{4,}}"
-_STEP = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})|(?P<digits>{_DIGITS})|(?P<char>[{_NOT_PLAIN}！-～]|[^\W_](?<=[^\x00-˿])(?<=\d))", re.I)
+_CHARS = f"[{_NOT_PLAIN}\uff01-\uff5e\u0660-\u0669\u06f0-\u06f9\u0966-\u096f]"
+_STEP = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})|(?P<digits>{_DIGITS})|(?P<char>{_CHARS})", re.I)
+# Signs of disguise that are quick to look for; without any of them the transducer changes nothing.
+_ODD_CHAR = re.compile(_CHARS)
+_IN_BRACKETS = re.compile(r"[\[({<]\s?(?:at|a|@|dot|\.)\s?[\])}>]", re.I)
 _DIGIT_WORD = re.compile(_DIGIT, re.I)
 
 
@@ -97,6 +102,14 @@ def _fold(char: str) -> str:
     return unicodedata.normalize("NFKC", char)
 
 
+def disguised(text: str) -> bool:
+    """Whether the transducer could change anything that matters."""
+    if not text.isascii() and _ODD_CHAR.search(text) or _IN_BRACKETS.search(text):
+        return True
+    words = text.lower().translate(_GAPS).split()
+    return "dot" in words or b"\1\1\1\1" in bytes(map(DIGIT_WORDS.__contains__, words))
+
+
 def rewrite(text: str) -> tuple[str, list[int], list[int]] | None:
     """The normalised text and, for each of its characters, source start and end.
 
@@ -146,7 +159,7 @@ def spans(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[t
     """Plain spans, and further ones that only the rewritten text shows; those never overlap plain ones of their kind."""
     found = plain(text)
     more: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    seen = rewrite(text)
+    seen = rewrite(text) if disguised(text) else None
     if seen:
         new, starts, ends = seen
         for kind, got in plain(new).items():
