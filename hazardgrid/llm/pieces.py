@@ -9,6 +9,7 @@ one whole text against the sentencepiece library.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import re
 import struct
@@ -19,8 +20,8 @@ from pyspark.sql import DataFrame
 from hazardgrid.llm.common import map_texts
 
 SPACE = "▁"
-#: Units remembered per task, and the longest that is.
-REMEMBERED = 200_000
+#: Units remembered per Python worker (about 100 MB), and the longest that is.
+REMEMBERED = 300_000
 LONGEST_REMEMBERED = 64
 
 # Fixed values of the model file: kinds of pieces.
@@ -77,14 +78,16 @@ class Pieces:
         table = read_pieces(self.library.serialized_model_proto())
         if any(kind == USER for *_, kind in table):
             raise ValueError("vocabularies with user-defined pieces are not supported")
-        self.rank = {p: (-score, i) for i, (p, score, kind) in enumerate(table) if kind == NORMAL}
+        self.id = {p: i for i, (p, _, kind) in enumerate(table) if kind == NORMAL}
+        order = {score: i for i, score in enumerate(sorted({-table[i][1] for i in self.id.values()}))}
+        self.place = {p: order[-table[i][1]] for p, i in self.id.items() if len(p) > 1}
         self.byte = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(table) if kind == BYTE}
         if len(self.byte) < 256:
             raise ValueError("the vocabulary has no byte pieces")
         self.end = next(i for i, (p, _, kind) in enumerate(table) if kind == CONTROL and p == "</s>")
         self.text = [b"" if kind in (CONTROL, UNUSED) else bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(SPACE, " ").encode()
                      for p, _, kind in table]
-        joined = {p for p in self.rank if len(p) > 1}
+        joined = self.place
         if any(SPACE in p.lstrip(SPACE) for p in joined):
             raise ValueError("pieces reach over spaces")
         together = re.escape("".join(sorted({c for p in joined for c in p} - {SPACE})))
@@ -93,36 +96,33 @@ class Pieces:
         self.fresh: list[str] = []
 
     def merge(self, unit: str) -> list[int]:
-        """Ids of one unit: best-scored adjacent pair first, leftmost of equals."""
-        symbols: list[str | None] = list(unit)
-        n = len(symbols)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        agenda: list[tuple[float, int, int, str]] = []
-
-        def offer(left: int, right: int) -> None:
-            pair = symbols[left] + symbols[right]
-            if pair in self.rank:
-                heapq.heappush(agenda, (self.rank[pair][0], left, right, pair))
+        """Ids of one unit: best-scored adjacent pair first, leftmost of equals.
 
-        for i in range(n - 1):
-            offer(i, i + 1)
+        An agenda entry is ``place of the score * n + left``; it is stale if that pair is no longer there.
+        """
+        place, n = self.place, len(unit)
+        symbols: list[str | None] = list(unit)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        agenda = [place[p] * n + i for i, p in enumerate(map(str.__add__, symbols, symbols[1:])) if p in place]
+        heapq.heapify(agenda)
         while agenda:
-            _, left, right, pair = heapq.heappop(agenda)
-            # Stale if a side was merged meanwhile.
-            if symbols[left] is None or after[left] != right or symbols[left] + symbols[right] != pair:
+            score, left = divmod(heapq.heappop(agenda), n)
+            right = after[left]
+            if symbols[left] is None or right == n or place.get(pair := symbols[left] + symbols[right]) != score:
                 continue
             symbols[left], symbols[right] = pair, None
-            after[left] = after[right]
-            if after[left] >= 0:
-                before[after[left]] = left
-                offer(left, after[left])
-            if before[left] >= 0:
-                offer(before[left], left)
+            after[left] = right = after[right]
+            if right < n:
+                before[right] = left
+                if (p := pair + symbols[right]) in place:
+                    heapq.heappush(agenda, place[p] * n + left)
+            if (first := before[left]) >= 0 and (p := symbols[first] + pair) in place:
+                heapq.heappush(agenda, place[p] * n + first)
         ids = []
         for s in symbols:
             if s is not None:
-                if s in self.rank:
-                    ids.append(self.rank[s][1])
+                if s in self.id:
+                    ids.append(self.id[s])
                 else:
                     ids.extend(self.byte[b] for b in s.encode())
         return ids
@@ -164,6 +164,12 @@ class Pieces:
             self.known.clear()
 
 
+@functools.lru_cache(maxsize=1)
+def load(model_path: str) -> Pieces:
+    """The vocabulary, kept by a Python worker over its tasks."""
+    return Pieces(model_path)
+
+
 def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``<id_col>, ids, decoded``: piece ids with the end id, and the text decoded from them.
 
@@ -171,7 +177,7 @@ def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_c
     carried; other columns are ignored.  ``model_path`` must be readable on every executor.
     """
     def make():
-        pieces = Pieces(model_path)
+        pieces = load(model_path)
 
         def work(ids, texts):
             codes, decoded = [], []
