@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hazardgrid.llm import personal, pieces, repetition, simhash
+from hazardgrid.llm import personal, pieces, repetition, simhash, urllists, warc
 from hazardgrid.llm.common import read_table
 from hazardgrid.llm.registry import query
+from hazardgrid.session import stage
 
 
 @query("op9_simhash")
@@ -49,3 +50,63 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op4_warc")
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    folder = warc.new_folder(spark)
+    warc.write_archives(warc.plan_records(pages, "page_id", "url", "html"), folder)
+    columns = "record_type string, record_id string, payload_digest string, refers_to string, payload_bytes bigint, digest_ok boolean"
+
+    def page(c):
+        return F.regexp_extract(c, r"^<urn:record:(-?\d+)>$", 1).try_cast("bigint")
+
+    return warc.read_archives(spark, folder, columns).select(
+        page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page(F.col("refers_to")).alias("refers_to"), "digest_ok")
+
+
+@query("op7_url_lists", """
+WITH hosts AS (SELECT DISTINCT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*[^/?#:.])', 1)) AS host FROM pages),
+     named AS (SELECT host, CAST(('0x' || substr(md5(host), 1, 6)) AS BIGINT) AS n FROM hosts WHERE host <> ''),
+     events AS (
+       SELECT 'host' AS kind, host AS entry, CASE WHEN n % 3 = 0 THEN 'allow' ELSE 'block' END AS action, DATE '2023-01-01' + CAST(n % 700 AS INT) AS day FROM named
+       UNION ALL SELECT 'host', host, 'remove', DATE '2023-01-01' + CAST(n % 700 + 1 + n % 97 AS INT) FROM named WHERE n % 2 = 0
+       UNION ALL SELECT 'host', host, 'block', DATE '2023-01-01' + CAST(n % 700 + 200 AS INT) FROM named WHERE n % 4 = 0
+       UNION ALL SELECT 'domain', regexp_replace(host, '^[^.]*[.]', ''), 'block', DATE '2023-01-01' + CAST(n % 700 AS INT) FROM named WHERE n % 5 = 0 AND contains(host, '.')
+       UNION ALL SELECT 'domain', regexp_replace(host, '^[^.]*[.]', ''), 'remove', DATE '2023-01-01' + CAST(n % 700 + 3 AS INT) FROM named WHERE n % 5 < 2 AND contains(host, '.')),
+     daily AS (SELECT kind, entry, day, max(CASE action WHEN 'block' THEN 3 WHEN 'allow' THEN 2 ELSE 1 END) AS r FROM events GROUP BY 1, 2, 3),
+     spans AS (SELECT *, lead(day) OVER (PARTITION BY kind, entry ORDER BY day) AS until FROM daily),
+     caps AS (SELECT page_id, url, DATE '2023-01-01' + CAST((page_id * 37) % 1000 AS INT) AS fetched_on,
+                     lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*[^/?#:.])', 1)) AS host FROM pages),
+     hits AS (SELECT c.page_id, c.url, s.kind, s.entry, s.r, s.day,
+                     row_number() OVER (PARTITION BY c.page_id, c.url ORDER BY s.kind DESC, length(s.entry) DESC, s.entry DESC) AS k
+              FROM caps c JOIN spans s ON s.r > 1 AND s.day <= c.fetched_on AND (s.until IS NULL OR c.fetched_on < s.until)
+               AND ((s.kind = 'host' AND s.entry = c.host) OR (s.kind = 'domain' AND (s.entry = c.host OR ends_with(c.host, '.' || s.entry)))))
+SELECT c.page_id, c.fetched_on, CASE h.r WHEN 3 THEN 'block' WHEN 2 THEN 'allow' ELSE 'none' END AS verdict, h.kind AS matched_kind, h.entry AS matched_entry, h.day AS listed_on
+FROM caps c LEFT JOIN hits h ON h.k = 1 AND h.page_id = c.page_id AND h.url = c.url
+""")
+def op7_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages get a fetch day from their id; the lists are dated events on the hosts and domains that occur in the pages."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    start = F.to_date(F.lit("2023-01-01"))
+
+    def on(days):
+        return F.date_add(start, days.cast("int")).alias("day")
+
+    named = pages.select(urllists.host_of(F.col("url")).alias("host")).distinct().filter("host <> ''").withColumn(
+        "n", F.conv(F.substring(F.md5(F.col("host").cast("binary")), 1, 6), 16, 10).cast("bigint"))
+    named = stage(named, "url-hosts")
+    n, parent, has_parent = F.col("n"), F.regexp_replace("host", r"^[^.]*\.", ""), F.contains("host", F.lit("."))
+
+    def event(rows, kind, entry, action, days):
+        return rows.select(F.lit(kind).alias("kind"), entry.alias("entry"), action.alias("action"), on(days))
+
+    host = F.col("host")
+    events = event(named, "host", host, F.when(n % 3 == 0, "allow").otherwise("block"), n % 700).unionByName(
+        event(named.filter(n % 2 == 0), "host", host, F.lit("remove"), n % 700 + 1 + n % 97)).unionByName(
+        event(named.filter(n % 4 == 0), "host", host, F.lit("block"), n % 700 + 200)).unionByName(
+        event(named.filter((n % 5 == 0) & has_parent), "domain", parent, F.lit("block"), n % 700)).unionByName(
+        event(named.filter((n % 5 < 2) & has_parent), "domain", parent, F.lit("remove"), n % 700 + 3))
+    captures = pages.withColumn("fetched_on", F.date_add(start, ((F.col("page_id") * 37) % 1000).cast("int")))
+    return urllists.judge(captures, events).drop("url")
