@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hazardgrid.llm import personal, pieces, repetition, simhash, urllists, warc
-from hazardgrid.llm.common import read_table
+from hazardgrid.llm import personal, pieces, repetition, simhash, toxicity, urllists, warc
+from hazardgrid.llm.common import held_out, read_table
 from hazardgrid.llm.registry import query
 from hazardgrid.session import stage
 
@@ -110,3 +110,9 @@ def op7_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
         event(named.filter((n % 5 < 2) & has_parent), "domain", parent, F.lit("remove"), n % 700 + 3))
     captures = pages.withColumn("fetched_on", F.date_add(start, ((F.col("page_id") * 37) % 1000).cast("int")))
     return urllists.judge(captures, events).drop("url")
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), remainder=0)
+    return found.select("doc_id", held_out("doc_id", 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
