@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hazardgrid.llm import personal, pieces, repetition, simhash, toxicity, urllists, warc
+from hazardgrid.llm import decontam, personal, pieces, repetition, simhash, toxicity, urllists, warc
 from hazardgrid.llm.common import held_out, read_table
 from hazardgrid.llm.registry import query
 from hazardgrid.session import stage
@@ -116,3 +116,8 @@ def op7_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), remainder=0)
     return found.select("doc_id", held_out("doc_id", 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+@query("op2_decontamination")
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
