@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hazardgrid.llm import decontam, personal, pieces, repetition, simhash, toxicity, urllists, warc
+from hazardgrid.llm import decontam, language, personal, pieces, repetition, simhash, toxicity, urllists, warc
 from hazardgrid.llm.common import held_out, read_table
 from hazardgrid.llm.registry import query
 from hazardgrid.session import stage
@@ -121,3 +121,9 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_decontamination")
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_language_model")
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.score_documents(read_table(spark, sf_dir, "documents"), remainder=1)
+    return found.select("doc_id", held_out("doc_id", 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
