@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hazardgrid.llm import decontam, language, personal, pieces, repetition, simhash, toxicity, urllists, warc
+from hazardgrid.llm import decontam, language, personal, pieces, repetition, simhash, substrings, toxicity, urllists, warc
 from hazardgrid.llm.common import held_out, read_table
 from hazardgrid.llm.registry import query
 from hazardgrid.session import stage
@@ -127,3 +127,9 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language.score_documents(read_table(spark, sf_dir, "documents"), remainder=1)
     return found.select("doc_id", held_out("doc_id", 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op8_substrings")
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(read_table(spark, sf_dir, "documents"), window=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
