@@ -23,10 +23,12 @@ from hazardgrid.session import stage
 
 #: Labelled examples per class that are indexed; which ones is decided by a hash of their id.
 EXAMPLES_PER_CLASS = 8192
-#: Features kept, and what makes one: examples that have it, and standard errors between the classes.
-FEATURES = 4096
+#: Features kept, and what makes one: examples that have it, standard errors between the classes, and how many times
+#: as frequent it is among toxic examples.  Ordinary texts then have few or none.
+FEATURES = 1024
 MIN_EXAMPLES = 3
 MIN_Z = 5.0
+MIN_RATIO = 10.0
 NGRAMS = (4, 5)
 BLOCK = 64
 NEIGHBOURS = 25
@@ -94,7 +96,8 @@ def choose_features(docs: DataFrame, examples: DataFrame) -> list[str]:
         F.sum("toxic").alias("x"), F.sum("other").alias("y"))
     share = (F.col("x") + F.col("y")) / (a + b)
     z = (F.col("x") / a - F.col("y") / b) / F.sqrt(share * (1 - share) * (1 / a + 1 / b))
-    best = counts.filter((F.col("x") >= MIN_EXAMPLES) & (share < 1)).withColumn("z", z).filter(F.col("z") >= MIN_Z)
+    often = F.col("x") / a >= MIN_RATIO * (F.col("y") + 1) / b
+    best = counts.filter((F.col("x") >= MIN_EXAMPLES) & (share < 1) & often).withColumn("z", z).filter(F.col("z") >= MIN_Z)
     return [r["feature"] for r in best.orderBy(F.desc("z"), "feature").limit(FEATURES).collect()]
 
 
