@@ -12,6 +12,9 @@ very many documents share sends one row per batch.  Window hashes have 96 bits.
 
 from __future__ import annotations
 
+import gc
+import time
+
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
@@ -55,7 +58,7 @@ def lengths(window: int, base: int) -> list[int]:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("id"), F.xxhash64(text).cast("int").alias("th"), text.alias("text"))
 
 
 def _batches(batches, needs: int):
@@ -83,11 +86,11 @@ def first_level(docs: DataFrame, size: int, window: int) -> DataFrame:
                 h.append(part[at])
                 pos.append(at)
                 ids.append(np.full(len(at), i))
-                ths.append(np.full(len(at), th))
+                ths.append(np.full(len(at), th, np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(ths)),
                                               pa.array(np.concatenate(pos).astype(np.int32))], ["h", "id", "th", "pos"])
 
-    places = _keyed(docs).mapInArrow(run, "h bigint, id bigint, th bigint, pos int")
+    places = _keyed(docs).mapInArrow(run, "h bigint, id bigint, th int, pos int")
     again = stage(places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "substring-again")
     return places.join(again, "h").select("id", "th", "pos")
 
@@ -110,11 +113,11 @@ def next_level(docs: DataFrame, survivors: DataFrame, base: int, size: int, wind
                     h.append(part[s[good]])
                     pos.append(at[good])
                     ids.append(np.full(int(good.sum()), i))
-                    ths.append(np.full(int(good.sum()), th))
+                    ths.append(np.full(int(good.sum()), th, np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(ths)),
                                               pa.array(np.concatenate(pos).astype(np.int32))], ["h", "id", "th", "pos"])
 
-    places = _keyed(docs).join(survivors, ["id", "th"]).select("id", "th", "text", "places").mapInArrow(run, "h bigint, id bigint, th bigint, pos int")
+    places = _keyed(docs).join(survivors, ["id", "th"]).select("id", "th", "text", "places").mapInArrow(run, "h bigint, id bigint, th int, pos int")
     again = stage(places.groupBy("h").agg(F.countDistinct("id", "th", "pos").alias("n")).filter("n > 1").select("h"), "substring-again")
     return places.join(again, "h").select("id", "th", "pos").distinct()
 
@@ -133,7 +136,7 @@ def last_level(docs: DataFrame, survivors: DataFrame, base: int, window: int) ->
                 check.append((window_hashes(other, window, {1: other})[s] >> np.uint64(33)).astype(np.int32))
                 pos.append(s)
                 ids.append(np.full(len(s), i))
-                ths.append(np.full(len(s), th))
+                ths.append(np.full(len(s), th, np.int32))
             h, check, ids, ths, pos = map(np.concatenate, (h, check, ids, ths, pos))
             order = np.lexsort((ths, pos, ids, check, h))
             h, check, ids, ths, pos = (x[order] for x in (h, check, ids, ths, pos))
@@ -153,7 +156,7 @@ def last_level(docs: DataFrame, survivors: DataFrame, base: int, window: int) ->
                 yield _rows(mix64(i.view(np.uint64) + p.astype(np.uint64) * _A), np.zeros(len(i), np.int32), i, t, p, n, True)
 
     found = _keyed(docs).join(survivors, ["id", "th"]).select("id", "th", "text", "places").mapInArrow(
-        run, "h bigint, check int, id bigint, th bigint, pos int, len int, sure boolean")
+        run, "h bigint, check int, id bigint, th int, pos int, len int, sure boolean")
     same = Window.partitionBy("h", "check", "sure").orderBy("id", "pos")
     return found.withColumn("rank", F.rank().over(same)).filter("sure OR rank > 1").select("id", "th", "pos", "len")
 
@@ -166,7 +169,10 @@ def _rows(h, check, ids, ths, pos, n, sure: bool) -> pa.RecordBatch:
 
 def _release(df: DataFrame) -> None:
     """Let the driver notice that the shuffles behind staged tables are no longer needed, so their files go."""
-    df.sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, base: int = 10) -> DataFrame:
@@ -182,6 +188,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, base: int = 10) -> DataFra
     for size in sizes[1:-1]:
         places = next_level(docs, _gathered(places), base, size, window)
     survivors = _gathered(places)
+    del places
     _release(docs)
     removed = stage(last_level(docs, survivors, base, window).groupBy("id", "th").agg(
         F.collect_list(F.struct("pos", "len")).alias("runs")), "substring-removed")
