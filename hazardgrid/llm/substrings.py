@@ -58,7 +58,7 @@ def lengths(window: int, base: int) -> list[int]:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("id"), F.xxhash64(text).cast("int").alias("th"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("id"), F.pmod(F.xxhash64(text), F.lit(2147483647)).cast("int").alias("th"), text.alias("text"))
 
 
 def _batches(batches, needs: int):
