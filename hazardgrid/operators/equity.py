@@ -65,4 +65,6 @@ def vulnerability_index(df: DataFrame) -> DataFrame:
     parts = F.array_compact(F.array(*[F.col(f"{c}_norm") for c in shares]))
     mean = F.try_divide(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), F.size(parts))
     scored = scored.withColumn("svi_score", F.coalesce(mean, F.lit(0.0)))
-    return average_rank_pct(scored, "svi_score", "svi_percentile")
+    # Without any usable component there is nothing to rank.
+    ranked = average_rank_pct(scored.withColumn("_usable", F.size(parts) > 0), "svi_score", "svi_percentile")
+    return ranked.withColumn("svi_percentile", F.when(F.col("_usable"), F.col("svi_percentile")).otherwise(0.0)).drop("_usable")

@@ -12,11 +12,11 @@ from hazardgrid.operators.summaries import coverage_by_year, crash_year, missing
 
 
 class MissingCrashData(ValueError):
-    """Requested years without any loaded crash."""
+    """Requested years without any loaded crash: how many municipalities lack some, and a DataFrame that names them all."""
 
-    def __init__(self, rows):
-        self.rows = rows
-        super().__init__(V.MISSING_DATA_MESSAGE)
+    def __init__(self, rows: DataFrame, count: int):
+        self.rows, self.count = rows, count
+        super().__init__(f"{V.MISSING_DATA_MESSAGE} ({count} municipalities)")
 
 
 def row_fingerprint(df: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
@@ -87,9 +87,10 @@ def unavailable_years(crashes: DataFrame, munis: DataFrame, y1: int, y2: int) ->
 
 def require_years(crashes: DataFrame, munis: DataFrame, y1: int, y2: int) -> None:
     """Raise before any work when a requested year has no crashes."""
-    lacking = unavailable_years(crashes, munis, y1, y2).limit(20).collect()     # sample for the message
-    if lacking:
-        raise MissingCrashData(lacking)
+    lacking = unavailable_years(crashes, munis, y1, y2)
+    count = lacking.count()
+    if count:
+        raise MissingCrashData(lacking, count)
 
 
 def crash_counts_by_year(before: DataFrame, after: DataFrame, scope: tuple[int, int] = V.DASHBOARD_YEARS) -> DataFrame:

@@ -6,6 +6,8 @@ new one, to be written to a new snapshot folder.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hazardgrid import fixed_values as V
@@ -72,9 +74,17 @@ def check_affected(state: DataFrame, expected: int) -> DataFrame:
 
 
 def insert_if_absent(existing: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Existing rows plus new ones whose key is unknown; the first of equal new keys."""
-    fresh = new.dropDuplicates(key).join(existing.select(*key).distinct(), key, "left_anti")
-    return existing.unionByName(fresh, allowMissingColumns=True)
+    """Existing rows plus new ones whose key is unknown; of equal new keys the row that sorts lowest.
+
+    A key with a null is never equal to another: such rows are all inserted, and they take no part in the shuffle.
+    """
+    whole = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in key))
+    row = F.struct(*[F.col(c) for c in new.columns])
+    fresh = (
+        new.filter(whole).groupBy(*key).agg(F.min(row).alias("_row")).select("_row.*")
+        .join(existing.select(*key).filter(whole).distinct(), key, "left_anti").select(*new.columns)
+    )
+    return existing.unionByName(fresh, allowMissingColumns=True).unionByName(new.filter(~whole), allowMissingColumns=True)
 
 
 def legacy_crash_key() -> Column:
@@ -88,13 +98,13 @@ def enrich_bicycle(crashes: DataFrame, evidence: DataFrame, munis: DataFrame) ->
 
     ``evidence`` has ``external_id, year, county``.  Adds ``matched`` and ``prior``.
     """
-    ids = evidence.select("external_id", "year", F.upper("county").alias("_county")).distinct().withColumn("_hit", F.lit(True))
+    ids = evidence.select("external_id", F.col("year").alias("_year"), F.upper("county").alias("_county")).distinct().withColumn("_hit", F.lit(True))
     home = munis.select("muni_id", F.upper("county").alias("_county"))
-    joined = crashes.withColumn("year", F.year("crash_date")).join(home, "muni_id", "left").join(
-        ids, ["external_id", "year", "_county"], "left")
+    joined = crashes.withColumn("_year", F.year("crash_date")).join(home, "muni_id", "left").join(
+        ids, ["external_id", "_year", "_county"], "left")
     hit = F.coalesce("_hit", F.lit(False))
     return joined.withColumn("prior", F.col("bike_involved")).withColumn("matched", hit).withColumn(
-        "bike_involved", F.when(hit, F.lit(True)).otherwise(F.col("bike_involved"))).drop("_county", "_hit", "year")
+        "bike_involved", F.when(hit, F.lit(True)).otherwise(F.col("bike_involved"))).drop("_county", "_hit", "_year")
 
 
 def bicycle_counters(enriched: DataFrame, evidence: DataFrame) -> DataFrame:
