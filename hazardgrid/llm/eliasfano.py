@@ -68,12 +68,11 @@ class Sequence:
     def successor(self, x: np.ndarray) -> np.ndarray:
         """Index of the first value that is at least ``x``; ``n`` if there is none."""
         bucket = x >> self.width
-        inside = bucket < int(self.zeros[-1])
-        b = np.where(inside, bucket, 0)
-        word = np.searchsorted(self.zeros, b - 1, side="right") - 1
-        word = np.maximum(word, 0)
-        place = word * 64 + _select_in_word(~self.high[word], np.maximum(b - 1 - self.zeros[word], 0))
-        i = np.where(inside, np.where(b > 0, place - (b - 1), 0), self.n)
+        i = np.where(bucket < int(self.zeros[-1]), 0, self.n)
+        some = np.flatnonzero((bucket > 0) & (i == 0))
+        before = bucket[some] - 1                        # the zero that ends the bucket before
+        word = np.searchsorted(self.zeros, before, side="right") - 1
+        i[some] = word * 64 + _select_in_word(~self.high[word], before - self.zeros[word]) - before
         going = np.flatnonzero(i < self.n)
         while len(going):                                # within a bucket: a few steps
             less = self[i[going]] < x[going]

@@ -22,6 +22,13 @@ def test_sequences(n, top):
         assert (s.successor(x) == np.searchsorted(v, x)).all()
 
 
+def test_sequence_with_many_equal_values():
+    v = np.sort(np.concatenate([np.zeros(300, int), np.full(200, 7), np.arange(5000, 5100)]))
+    s = Sequence.of(v)
+    x = np.arange(6000)
+    assert (s[np.arange(len(v))] == v).all() and (s.successor(x) == np.searchsorted(v, x)).all()
+
+
 def test_levels_in_files(tmp_path):
     rng = np.random.default_rng(3)
     pairs = np.unique(rng.integers(0, [300, 50], (2000, 2)), axis=0)
