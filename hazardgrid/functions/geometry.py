@@ -72,10 +72,11 @@ def _covered(points: np.ndarray, rings: list[np.ndarray]) -> np.ndarray:
 
 
 def clip(path: np.ndarray, rings: list[np.ndarray]) -> list[np.ndarray]:
-    """Stretches of a path inside a polygon, in path order."""
+    """Stretches of a path inside a polygon, in path order; a path wholly inside stays as it is."""
     sides = np.concatenate([np.hstack((r[:-1], r[1:])) for r in rings])
     parts: list[list[np.ndarray]] = []
     open_part: list[np.ndarray] = []
+    outside = False
     for a, b in zip(path[:-1], path[1:]):
         d = b - a
         if not d.any():
@@ -93,14 +94,20 @@ def clip(path: np.ndarray, rings: list[np.ndarray]) -> list[np.ndarray]:
         middles = a + np.outer((cuts[:-1] + cuts[1:]) / 2, d)
         for keep, t0, t1 in zip(_covered(middles, rings), cuts[:-1], cuts[1:]):
             if not keep:
+                outside = True
                 if open_part:
                     parts.append(open_part)
                 open_part = []
                 continue
             start, end = a + t0 * d if t0 > 0 else a, a + t1 * d if t1 < 1 else b
-            open_part = open_part + [end] if open_part else [start, end]
+            if open_part:
+                open_part.append(end)
+            else:
+                open_part = [start, end]
     if open_part:
         parts.append(open_part)
+    if parts and not outside:
+        return [path]
     return [np.array(p) for p in parts]
 
 

@@ -8,9 +8,10 @@ Spark broadcasts it on its measured size and the crashes do not move at all; hot
 cells on the crash side are split by AQE's skew join.
 
 Identical edges are merged first (the lowest segment id wins every tie, so the
-others can never be chosen).  The densest cell is measured before the arrays are
-built; cells beyond the bound are split over several rows and only their crashes
-take one extra aggregation.
+others can never be chosen).  Cells with more edges than an array may hold are split
+over several rows.  What is nearest depends on the point alone, so only the distinct
+points in such cells are aggregated and joined back; rows are never told apart by an
+id, and the result is the same for every bound.
 """
 
 from __future__ import annotations
@@ -71,18 +72,24 @@ def _edge_struct() -> Column:
     )
 
 
-def _edge_index(cells: DataFrame, edges_per_row: int) -> tuple[DataFrame, bool]:
-    """Edge arrays per cell, and whether some cell needed more than one row."""
+def _edge_index(cells: DataFrame, edges_per_row: int) -> tuple[DataFrame, DataFrame | None]:
+    """One row per cell with its edge array, and the arrays of overfull cells (None if there are none).
+
+    An overfull cell has an empty array and ``_overfull`` in the first table, and several rows in the second.
+    """
     keys = ["muni_id", "cx", "cy"]
     counts = cells.groupBy(*keys).agg(F.count("*").alias("n"))
     densest = counts.agg(F.max("n")).first()[0] or 0          # one number
-    gather = F.collect_list(_edge_struct()).alias("near")
     if densest <= edges_per_row:
-        return cells.groupBy(*keys).agg(gather), False
-    parts = F.ceil(F.col("n") / edges_per_row)
-    split = cells.join(counts, keys).withColumn(
-        "_part", F.pmod(F.xxhash64("ax", "ay", "bx", "by"), parts.cast("long")))
-    return split.groupBy(*keys, "_part").agg(gather).drop("_part"), True
+        return cells.groupBy(*keys).agg(F.collect_list(_edge_struct()).alias("near"), F.lit(False).alias("_overfull")), None
+    counted = cells.join(counts, keys)
+    overfull = F.col("n") > edges_per_row
+    single = counted.groupBy(*keys).agg(
+        F.collect_list(F.when(~overfull, _edge_struct())).alias("near"), F.max(overfull).alias("_overfull"))
+    parts = F.ceil(F.col("n") / edges_per_row).cast("long")
+    several = counted.filter(overfull).groupBy(
+        *keys, F.pmod(F.xxhash64("ax", "ay", "bx", "by"), parts).alias("_part")).agg(F.collect_list(_edge_struct()).alias("near"))
+    return single, several.drop("_part")
 
 
 def nearest_in(near: Column, distance_m: float) -> Column:
@@ -118,7 +125,8 @@ def snap_crashes(crashes: DataFrame, roads: DataFrame, *, distance_m: float = V.
     The nearest segment within ``distance_m`` (inclusive) wins, the lowest id on
     a tie; without one both columns are cleared.  ``force=False`` leaves crashes
     alone that already have a segment; ``muni_id`` leaves other municipalities
-    alone.  ``key`` identifies a crash and is used only for overfull cells.
+    alone.  ``key`` only spreads crashes without a cell over the tasks; equal and null keys are
+    kept apart like any other rows.
     """
     distance_m = validate_distance(distance_m)
     for name, kind in (("segment_id", "bigint"), ("snap_distance", "double")):
@@ -126,7 +134,7 @@ def snap_crashes(crashes: DataFrame, roads: DataFrame, *, distance_m: float = V.
             crashes = crashes.withColumn(name, F.lit(None).cast(kind))
     if muni_id is not None:
         roads = roads.filter(F.col("muni_id") == muni_id)
-    index, split = _edge_index(segment_edge_cells(roads, distance_m), edges_per_row)
+    single, several = _edge_index(segment_edge_cells(roads, distance_m), edges_per_row)
     in_scope = F.lit(True)
     if muni_id is not None:
         in_scope = F.coalesce(F.col("muni_id") == muni_id, F.lit(False))
@@ -140,14 +148,20 @@ def snap_crashes(crashes: DataFrame, roads: DataFrame, *, distance_m: float = V.
         .withColumn("cx", F.when(F.col("_scope"), cell_index(F.col("lon"), F.lit(size))))
         .withColumn("cy", F.when(F.col("_scope"), cell_index(F.col("lat"), F.lit(size))))
     )
-    found = probes.join(index, ["muni_id", "cx", "cy"], "left").withColumn(
+    # Crashes without a cell match nothing; under one null key they would all meet in one task.
+    idle = F.col("muni_id").isNull() | F.col("cx").isNull() | F.col("cy").isNull()
+    probes = probes.withColumn("_spread", F.when(idle, F.xxhash64(*key)).otherwise(F.lit(0)))
+    found = probes.join(single.withColumn("_spread", F.lit(0).cast("bigint")), ["muni_id", "cx", "cy", "_spread"], "left").withColumn(
         "_best", nearest_in(F.col("near"), distance_m)).drop("near")
-    if split:
-        row = F.struct(*[F.col(c) for c in columns], F.col("_scope"))
-        found = (
-            found.groupBy(*key).agg(F.any_value(row).alias("_row"), F.min("_best").alias("_best"))
-            .select("_row.*", "_best")
+    if several is not None:
+        overfull = F.coalesce("_overfull", F.lit(False))
+        crowded = found.filter(overfull).drop("_best")
+        best = (
+            crowded.select("muni_id", "cx", "cy", "lon", "lat").distinct().join(several, ["muni_id", "cx", "cy"])
+            .withColumn("_best", nearest_in(F.col("near"), distance_m))
+            .groupBy("muni_id", "lon", "lat").agg(F.min("_best").alias("_best"))
         )
+        found = found.filter(~overfull).unionByName(crowded.join(best, ["muni_id", "lon", "lat"], "left"))
     return found.withColumns({
         "segment_id": F.when(F.col("_scope"), F.col("_best.segment_id")).otherwise(F.col("segment_id")),
         "snap_distance": F.when(F.col("_scope"), F.col("_best.distance")).otherwise(F.col("snap_distance")),

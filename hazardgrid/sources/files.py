@@ -30,7 +30,7 @@ def check_source_contract(available: dict[str, str] | T.StructType, required: li
 
 
 def scan_dashboard_csv(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
-    """Headered UTF-8 CSV as strings; a bad header or row width fails the whole job.
+    """Headered UTF-8 CSV as strings; a bad header or row width fails the whole job, also files whose headers differ.
 
     With ``multi_line=False`` (no line breaks inside cells) one file is split over
     many tasks.
@@ -43,7 +43,7 @@ def scan_dashboard_csv(spark: SparkSession, path: str, *, multi_line: bool = Tru
         raise SourceContractError("missing_or_duplicate_columns")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     rows = spark.read.schema(schema).csv(
-        path, header=True, multiLine=multi_line, mode="FAILFAST", enforceSchema=True, encoding="UTF-8",
+        path, header=True, multiLine=multi_line, mode="FAILFAST", enforceSchema=False, encoding="UTF-8",
         quote='"', escape='"').fillna("")          # a blank cell is text, a short row already failed
     if rows.isEmpty():
         raise SourceContractError("empty_csv")
@@ -129,15 +129,19 @@ def scan_road_features(spark: SparkSession, path: str, properties: T.StructType)
 def scan_header_row_json(spark: SparkSession, path: str) -> DataFrame:
     """Arrays of text whose first row names the columns; adds ``tract_id``.
 
-    The header is the first row of the first file by name.
+    Every file is read by its own header; the order of columns may differ, their names may not.
     """
-    files = spark.read.text(path, wholetext=True).withColumn("_file", F.col("_metadata.file_path"))
-    rows = files.select("_file", F.posexplode(F.from_json("value", "array<array<string>>")).alias("_pos", "_row"))
-    header = rows.filter("_pos = 0").orderBy("_file").select("_row").first()
-    if header is None:
+    files = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("_file"), F.from_json("value", "array<array<string>>").alias("_rows"))
+    headed = files.withColumn("_header", F.try_element_at("_rows", F.lit(1))).filter("_header IS NOT NULL")
+    first = headed.orderBy("_file").select("_header").first()
+    if first is None:
         raise SourceContractError("payload has no header row")
-    names = header[0]
-    data = rows.filter("_pos > 0").select(*[F.try_element_at("_row", F.lit(i)).alias(n) for i, n in enumerate(names, 1)])
+    names = first[0]
+    if not headed.filter(F.array_sort("_header") != F.array_sort(F.array(*map(F.lit, names)))).isEmpty():
+        raise SourceContractError("payloads disagree on their columns")
+    rows = headed.select("_header", F.explode(F.slice("_rows", F.lit(2), F.greatest(F.size("_rows") - 1, F.lit(0)))).alias("_row"))
+    data = rows.select(*[F.try_element_at("_row", F.array_position("_header", n).cast("int")).alias(n) for n in names])
     return data.withColumn("tract_id", F.concat("state", "county", "tract"))
 
 

@@ -51,6 +51,15 @@ def test_unforced_run_keeps_assignments(spark):
     assert rows(N.snap_crashes(c, r, force=False), "crash_id", "segment_id") == [(1, 99), (2, 1)]
 
 
+@pytest.mark.parametrize("bound", [1, 3, 4096])
+def test_any_bound_gives_the_same_rows(spark, bound):
+    r = roads(spark, *[(i, 7, [(-74.5 + i * 1e-5, 40.2999), (-74.5 + i * 1e-5, 40.3001)]) for i in range(1, 9)])
+    c = crash(spark, (5, 7, -74.49996, 40.3), (5, 7, -74.49996, 40.3), (None, 7, -74.49994, 40.3), (None, 7, -74.49994, 40.3),
+              (6, 7, None, None, 9, 1.0), (7, None, -74.5, 40.3, 9, 1.0), (8, 7, -74.3, 40.3, 9, 1.0))
+    got = [(x["crash_id"], x["segment_id"]) for x in N.snap_crashes(c, r, edges_per_row=bound).collect()]
+    assert sorted(got, key=str) == sorted([(5, 4), (5, 4), (None, 6), (None, 6), (6, None), (7, None), (8, None)], key=str)
+
+
 @pytest.mark.parametrize("bad", [-1, float("nan"), float("inf"), "far", None])
 def test_invalid_distance_is_refused_before_any_work(bad):
     with pytest.raises(ValueError):
