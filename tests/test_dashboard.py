@@ -190,3 +190,26 @@ def test_sample_documents(spark, tmp_path):
     assert len(out["municipalities"].first()["rings"][0]) == 4 and len(out["road_segments"].first()["pts"]) == 2
     assert str(out["crashes"].first()["crash_date"]) == "2022-01-02" and out["crashes"].first()["bike_involved"] is None
     assert len(out["census_tracts"].first()["rings"]) == 1
+
+
+def test_files_are_read_by_their_own_header(spark, tmp_path):
+    from hazardgrid.sources.files import SourceContractError, scan_header_row_json
+    (tmp_path / "a.json").write_text('[["state","county","tract","n"],["34","001","000100","7"]]')
+    (tmp_path / "b.json").write_text('[["n","tract","county","state"],["8","000200","003","34"],["9","000300"]]')
+    got = sorted(map(tuple, scan_header_row_json(spark, str(tmp_path)).select("tract_id", "n").collect()), key=lambda r: r[1])
+    assert got == [("34001000100", "7"), ("34003000200", "8"), (None, "9")]
+    (tmp_path / "c.json").write_text('[["state","other"]]')
+    with pytest.raises(SourceContractError):
+        scan_header_row_json(spark, str(tmp_path))
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_a_second_header_order_is_refused(spark, tmp_path, multi_line):
+    from hazardgrid import fixed_values as V
+    from hazardgrid.sources.files import scan_dashboard_csv
+    names = list(V.DASHBOARD_REQUIRED)
+    (tmp_path / "a.csv").write_bytes(b"\xef\xbb\xbf" + (",".join(names) + "\n" + ",".join("1" for _ in names) + "\n").encode())
+    assert scan_dashboard_csv(spark, str(tmp_path), multi_line=multi_line).count() == 1
+    (tmp_path / "b.csv").write_text(",".join(reversed(names)) + "\n" + ",".join("2" for _ in names) + "\n")
+    with pytest.raises(Exception):
+        scan_dashboard_csv(spark, str(tmp_path), multi_line=multi_line).collect()
