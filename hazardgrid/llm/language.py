@@ -5,6 +5,8 @@ tokens (so at most its inverse in number) are broadcast with their counts; the c
 all other words are joined.  N-grams are counted among words with at least ``TRIE_SHARE``
 of the tokens and kept from ``NGRAM_SHARE`` of the tokens on, so the trie has a bound too
 and workers may map its files.  Levels are built in tasks, one file per range of contexts.
+Texts are split into words twice: to count the words, and to write their numbers, which
+the later steps read.
 
 Probability of a kept n-gram: its count smoothed by the shorter context's probability;
 of any other word: the shorter context's probability times a weight that makes the sum
@@ -15,9 +17,12 @@ from __future__ import annotations
 
 import functools
 import uuid
+from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -54,12 +59,11 @@ def count_words(docs: DataFrame, remainder: int | None) -> DataFrame:
         return out
 
     def run(batches):
-        count: dict[bytes, int] = {}
+        count: Counter[bytes] = Counter()
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 if _learns(key, remainder):
-                    for w in tokens(text):
-                        count[w] = count.get(w, 0) + 1
+                    count.update(tokens(text))
             if len(count) > _WORDS_AT_ONCE:
                 yield make_rows(count)
         if count:
@@ -84,20 +88,14 @@ class Dictionary:
         self.start = self.number.get(END, -1) if self.number.get(END, self.size) < self.size else -1
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        get = self.number.get
-        return np.fromiter([get(w, -1) for w in words], np.int64, len(words))
-
-    def contexts(self, numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word, word before and the one before that, -1 outside the trie, over several texts."""
-        w = np.concatenate(numbers)
-        w = np.where(w < self.size, w, -1)
-        first = np.zeros(len(w), bool)
-        first[np.cumsum([0] + [len(x) for x in numbers[:-1]])] = True
+        return np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+
+    def contexts(self, every: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Word and word before, -1 outside the trie, over several texts that begin at ``starts``."""
+        w = np.where(every < self.size, every, -1)
         v = np.concatenate(([-1], w[:-1]))
-        v[first] = self.start
-        u = np.concatenate(([-1], v[:-1]))
-        u[first] = -1
-        return w, v, u
+        v[starts] = self.start
+        return w, v
 
 
 @functools.lru_cache(maxsize=4)
@@ -106,32 +104,73 @@ def open_levels(paths: tuple[str, ...]) -> Levels:
     return Levels(list(paths))
 
 
-def _counted(docs: DataFrame, remainder: int | None, pairs_of) -> DataFrame:
+def encode(docs: DataFrame, d, remainder: int | None) -> DataFrame:
+    """One row per text: ``uid, doc_id, learns, n_tokens, n_known, base``, the words' ``numbers`` (-1 outside the
+    dictionary), and hashes and counts of the words outside it."""
+    rare_type = pa.list_(pa.struct([("h", pa.int64()), ("tf", pa.int32())]))
+
+    def make():
+        digest = xxhash.xxh64_intdigest
+        uid = TaskContext.get().partitionId() << 40
+
+        def work(ids, texts):
+            nonlocal uid
+            words = [tokens(t) for t in texts]
+            sizes = np.array([len(w) for w in words])
+            edges = np.concatenate(([0], np.cumsum(sizes)))
+            every = np.fromiter(map(d.value.number.get, (w for ws in words for w in ws), repeat(-1)), np.int64, edges[-1])
+            known = every >= 0
+            base = np.where(known, d.value.log10[np.maximum(every, 0)], 0.0) if len(d.value.c) else np.zeros(len(every))
+            rare: list[list] = [[] for _ in words]
+            place = np.flatnonzero(~known)
+            text_of = np.searchsorted(edges, place, "right") - 1
+            count = Counter((t, words[t][i]) for t, i in zip(text_of.tolist(), (place - edges[text_of]).tolist()))
+            for (t, w), k in count.items():
+                rare[t].append({"h": (h := digest(w, 42)) - (h >> 63 << 64), "tf": k})
+            out = pa.RecordBatch.from_arrays([
+                pa.array(np.arange(uid, uid + len(words))), ids, pa.array([_learns(key, remainder) for key in ids.to_pylist()]), pa.array(sizes, pa.int64()),
+                pa.array(np.add.reduceat(known.astype(np.int64), edges[:-1])), pa.array(np.add.reduceat(base, edges[:-1])),
+                pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(every, pa.int32())), pa.array(rare, rare_type)],
+                ["uid", "doc_id", "learns", "n_tokens", "n_known", "base", "numbers", "rare"])
+            uid += len(words)
+            return out
+        return work
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return map_texts(docs, "doc_id", "text", f"uid bigint, doc_id {id_type}, learns boolean, n_tokens bigint, n_known bigint, base double, "
+                     "numbers array<int>, rare array<struct<h:bigint,tf:int>>", make)
+
+
+def _flat(numbers: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of several texts in a row, and where each text begins."""
+    sizes = pc.list_value_length(numbers).to_numpy(zero_copy_only=False)
+    return numbers.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(sizes) - sizes
+
+
+def _counted(coded: DataFrame, pairs_of) -> DataFrame:
     """``context, word, c`` of the training texts' pairs, summed per task first."""
     def run(batches):
         keys, sizes = [], 0
 
         def flush():
-            context, word = (np.concatenate([k[i] for k in keys]) for i in (0, 1))
-            order = np.lexsort((word, context))
-            context, word = context[order], word[order]
-            first = np.flatnonzero(np.concatenate(([True], (context[1:] != context[:-1]) | (word[1:] != word[:-1]))))
-            c = np.diff(np.append(first, len(context)))
-            return pa.RecordBatch.from_arrays([pa.array(context[first]), pa.array(word[first]), pa.array(c)], ["context", "word", "c"])
+            packed = np.sort(np.concatenate(keys))
+            first = np.flatnonzero(np.concatenate(([True], packed[1:] != packed[:-1])))
+            c = np.diff(np.append(first, len(packed)))
+            return pa.RecordBatch.from_arrays([pa.array(packed[first] >> 24), pa.array(packed[first] & (1 << 24) - 1), pa.array(c)], ["context", "word", "c"])
 
         for batch in batches:
-            texts = [t for key, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()) if _learns(key, remainder)]
-            if texts:
-                keys.append(pairs_of(texts))
-                sizes += len(keys[-1][0])
+            if batch.num_rows:
+                context, word = pairs_of(*_flat(batch.column(0)))
+                keys.append(context << 24 | word)
+                sizes += len(word)
             if sizes > 4_000_000:
                 yield flush()
                 keys, sizes = [], 0
         if sizes:
             yield flush()
 
-    small_batches(docs.sparkSession)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
+    small_batches(coded.sparkSession)
+    return coded.filter("learns").select("numbers").mapInArrow(
         run, "context bigint, word bigint, c bigint").groupBy("context", "word").agg(F.sum("c").alias("c"))
 
 
@@ -175,20 +214,31 @@ class Model:
 
     def log10(self, numbers: list[np.ndarray]) -> np.ndarray:
         """Per token log10 probability; of tokens outside the dictionary only the weights that stand before theirs."""
+        sizes = np.array([len(x) for x in numbers])
+        return self.log10_flat(np.concatenate(numbers), np.cumsum(sizes) - sizes)
+
+    def log10_flat(self, every: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """As :meth:`log10`, for texts in a row that begin at ``starts``."""
         d = self.d
-        every = np.concatenate(numbers)
         out = np.where(every >= 0, d.log10[np.maximum(every, 0)], 0.0) if len(d.c) else np.zeros(len(every))
         if self.pairs is None:
             return out
-        w, v, u = d.contexts(numbers)
+        w, v = d.contexts(every, starts)
         two = self._find(self.pairs, v, w)
         out = np.where(two >= 0, self.pairs.prob(two), out + self.pairs.backoff(v))
         if self.triples is not None:
-            before = self._find(self.pairs, u, v)
+            before = self.shifted(two, starts)
             three = self._find(self.triples, before, w)
             out = np.where(three >= 0, self.triples.prob(three), out + self.triples.backoff(before))
         return out
 
+    @staticmethod
+    def shifted(pairs: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The pair that ends one token earlier in the same text."""
+        before = np.concatenate(([-1], pairs[:-1]))
+        before[starts] = -1
+        return before
+
     @staticmethod
     def _find(levels: Levels, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Look up distinct pairs once."""
@@ -214,24 +264,26 @@ def score_documents(docs: DataFrame, remainder: int | None = 1) -> DataFrame:
     common = max(2, DICTIONARY_SHARE * n)
     d = spark.sparkContext.broadcast(Dictionary(words.filter(F.col("c") >= common).select("word", "c").collect(), n, v))   # at most 1 / DICTIONARY_SHARE words
     least = max(2, NGRAM_SHARE * n)
+    coded = stage(encode(docs, d, remainder), "lm-numbers")
 
-    def pairs_of(texts):
-        w, before, _ = d.value.contexts([d.value.numbers(tokens(t)) for t in texts])
+    def pairs_of(every, starts):
+        w, before = d.value.contexts(every, starts)
         both = (w >= 0) & (before >= 0)
         return before[both], w[both]
 
     counts, logs = d.value.c[:d.value.size], d.value.log10[:d.value.size]
-    pairs = build_level(stage(_counted(docs, remainder, pairs_of).filter(F.col("c") >= least), "lm-pairs"), d.value.size,
+    pairs = build_level(stage(_counted(coded, pairs_of).filter(F.col("c") >= least), "lm-pairs"), d.value.size,
                         lambda context, word: (counts[context], 10.0 ** logs[word]))
     triples: tuple[str, ...] = ()
     if pairs:
-        def triples_of(texts):
-            w, before, earlier = d.value.contexts([d.value.numbers(tokens(t)) for t in texts])
-            context = Model._find(open_levels(pairs), earlier, before)
-            both = (context >= 0) & (Model._find(open_levels(pairs), before, w) >= 0)
+        def triples_of(every, starts):
+            w, before = d.value.contexts(every, starts)
+            two = Model._find(open_levels(pairs), before, w)
+            context = Model.shifted(two, starts)
+            both = (context >= 0) & (two >= 0)
             return context[both], w[both]
 
-        rows = stage(_counted(docs, remainder, triples_of).filter(F.col("c") >= least), "lm-triples")
+        rows = stage(_counted(coded, triples_of).filter(F.col("c") >= least), "lm-triples")
         size = 0
         for s in open_levels(pairs).parts:
             size = max(size, s.offset + s.words.n)
@@ -242,49 +294,29 @@ def score_documents(docs: DataFrame, remainder: int | None = 1) -> DataFrame:
             return levels.count(context).astype(float), 10.0 ** levels.prob(shorter)
 
         triples = build_level(rows, size, lower)
-    scored = stage(_scores(docs, d, pairs, triples), "lm-scores")
-    rare = scored.select("uid", F.explode("rare").alias("r")).select("uid", "r.h", "r.tf")
+    rare = coded.select("uid", F.explode("rare").alias("r")).select("uid", "r.h", "r.tf")
     known = stage(words.filter(F.col("c") < common).groupBy("h").agg(F.max("c").alias("c")), "lm-rare")
     unit = n + 0.5 * (v + 1)
     c = F.coalesce("c", F.lit(0))
     sums = rare.join(known, "h", "left").groupBy("uid").agg(
         F.sum(F.col("tf") * F.log10((c + 0.5) / unit)).alias("rest"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("more"))
     rest = F.coalesce("rest", F.lit(0.0))
-    return scored.drop("rare").join(sums, "uid", "left").select(
+    return _scores(coded, d, pairs, triples).join(sums, "uid", "left").select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).cast("bigint").alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
         (F.col("base") + rest).alias("base_score"), (F.col("model") + rest).alias("score"))
 
 
-def _scores(docs: DataFrame, d, pairs, triples) -> DataFrame:
-    """One row per text: tokens, sums over the dictionary's words, and hashes and counts of the other words."""
-    rare_type = pa.list_(pa.struct([("h", pa.int64()), ("tf", pa.int32())]))
-
-    def make():
+def _scores(coded: DataFrame, d, pairs, triples) -> DataFrame:
+    """The coded texts with the sum of the model's log10 probabilities over the dictionary's words."""
+    def run(batches):
         model = Model(d.value, pairs, triples)
-        digest = xxhash.xxh64_intdigest
-        uid = TaskContext.get().partitionId() << 40
-
-        def work(ids, texts):
-            nonlocal uid
-            words = [tokens(t) for t in texts]
-            numbers = [d.value.numbers(w) for w in words]
-            per = model.log10(numbers)
-            edges = np.cumsum([0] + [len(x) for x in numbers])[:-1]
-            every = np.concatenate(numbers)
-            base = np.where(every >= 0, d.value.log10[np.maximum(every, 0)], 0.0) if len(d.value.c) else np.zeros(len(every))
-            rare = []
-            for ws, x in zip(words, numbers):
-                count: dict[bytes, int] = {}
-                for i in np.flatnonzero(x < 0).tolist():
-                    count[ws[i]] = count.get(ws[i], 0) + 1
-                rare.append([{"h": (h := digest(w, 42)) - (h >> 63 << 64), "tf": k} for w, k in count.items()])
-            out = pa.RecordBatch.from_arrays([
-                pa.array(np.arange(uid, uid + len(words))), ids, pa.array([len(w) for w in words], pa.int64()),
-                pa.array(np.add.reduceat((every >= 0).astype(np.int64), edges)), pa.array(np.add.reduceat(base, edges)),
-                pa.array(np.add.reduceat(per, edges)), pa.array(rare, rare_type)], ["uid", "doc_id", "n_tokens", "n_known", "base", "model", "rare"])
-            uid += len(words)
-            return out
-        return work
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return map_texts(docs, "doc_id", "text", f"uid bigint, doc_id {id_type}, n_tokens bigint, n_known bigint, base double, model double, rare array<struct<h:bigint,tf:int>>", make)
+        for batch in batches:
+            if batch.num_rows:
+                every, starts = _flat(batch.column("numbers"))
+                total = np.add.reduceat(model.log10_flat(every, starts), starts)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(total)], [*batch.schema.names[:-1], "model"])
+
+    small_batches(coded.sparkSession)
+    id_type = coded.schema["doc_id"].dataType.simpleString()
+    return coded.select("uid", "doc_id", "n_tokens", "n_known", "base", "numbers").mapInArrow(
+        run, f"uid bigint, doc_id {id_type}, n_tokens bigint, n_known bigint, base double, model double")
