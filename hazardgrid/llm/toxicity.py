@@ -164,29 +164,40 @@ class Index:
         return v / np.sqrt((v * v).sum())
 
     def nearest(self, at, tf, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` examples of the highest cosine and their cosines, exactly; ties go to the lower place."""
+        """The ``k`` examples of the highest cosine and their cosines, exactly; ties go to the lower place.
+
+        Blocks are visited in groups of doubling size, by falling bound.
+        """
         q = self.weigh(at, tf)
         n = -(-len(self.ids) // BLOCK)
         bound = np.zeros(n)
         for f, w in zip(at, q):
             block, _, top = self.blocks[f]
             bound[block] += w * top
+        order = np.argsort(-bound, kind="stable")
+        slot = np.full(n, -1)
         who, score, least = np.zeros(0, int), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(score) == k and bound[b] < least - 1e-12:
+        done, size = 0, 4
+        while done < n:
+            group = order[done:done + size]
+            group = group[(bound[group] > 0) & ((len(score) < k) | (bound[group] >= least - 1e-12))]
+            if not len(group):
                 break
-            got = np.zeros(BLOCK)
+            slot[group] = np.arange(len(group))
+            got = np.zeros(len(group) * BLOCK)
             for f, w in zip(at, q):
                 block, edge, _ = self.blocks[f]
-                i = np.searchsorted(block, b)
-                if i < len(block) and block[i] == b:
-                    s = slice(edge[i], edge[i + 1])
-                    got[self.who[s] - b * BLOCK] += w * self.val[s]
+                i = np.flatnonzero(slot[block] >= 0)
+                sizes = edge[i + 1] - edge[i]
+                s = np.repeat(edge[i] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+                got[slot[self.who[s] // BLOCK] * BLOCK + self.who[s] % BLOCK] += w * self.val[s]
+            slot[group] = -1
             hit = np.flatnonzero(got > 0)
-            who, score = np.append(who, hit + b * BLOCK), np.append(score, got[hit])
+            who, score = np.append(who, group[hit // BLOCK] * BLOCK + hit % BLOCK), np.append(score, got[hit])
             best = np.lexsort((who, -score))[:k]
             who, score = who[best], score[best]
             least = score[-1] if len(score) else 0.0
+            done, size = done + size, 2 * size
         return who, score
 
     def vote(self, at, tf, own: int | None = None) -> tuple[float | None, np.ndarray, np.ndarray]:
