@@ -9,6 +9,9 @@ of bounded size with numpy: every pair inside a key is verified by its Hamming
 distance, but only the links of a spanning forest leave the task.  Keys with more
 members than ``PACK_MEMBERS`` are cut into chunks and each pair of chunks is a task of
 its own.  Components come from large-star/small-star rounds.
+
+:func:`keep_first` needs pairs from a Jaccard similarity on, which few of these keys share, so it has keys of its own
+(lowest values of the shingle set under permutations) and verifies the candidates on the sets.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from hazardgrid.llm.common import map_texts, mix64, small_batches
@@ -28,6 +32,11 @@ from hazardgrid.session import stage
 PACK_MEMBERS = 4096
 #: Rows of small keys that share a task.
 PACK_ROWS = 40_000
+#: Keys of a shingle set and lowest values in each: a pair of similarity s has none in common with probability
+#: (1 - s ** BAND_ROWS) ** BANDS, 1.3e-7 at 0.8.
+BANDS, BAND_ROWS = 40, 5
+#: Shingles compared in one task; keys with more are cut into chunks of half that size.
+PACK_SHINGLES = 2_000_000
 
 
 def fingerprint(words: list[bytes], shingle: int, count: int = 1) -> np.ndarray:
@@ -176,19 +185,130 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return fps.join(named, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = 5, count: int = 6, similarity: float = 0.8, margin: float = 1.0) -> DataFrame:
+def shingle_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """``uid, id, digest, n, shingles, keys`` per row: the set of hashed word shingles, a digest of it, and ``BANDS`` keys.
+
+    Words as in :func:`fingerprints`; a text of fewer words is one shingle, one without words the empty shingle.  A key is
+    the lowest values of the set under ``BAND_ROWS`` permutations.
+    """
+    rng = np.random.default_rng(17)
+    times = rng.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) << np.uint64(1) | np.uint64(1)
+    plus = rng.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64)
+
+    def make():
+        digest = xxhash.xxh64_intdigest
+        uid = TaskContext.get().partitionId() << 40
+
+        def work(ids, texts):
+            nonlocal uid
+            sets, keys = [], []
+            for t in texts:
+                words = t.lower().split()
+                size = min(shingle, len(words))
+                line = [b" ".join(words[i:i + size]) for i in range(len(words) - size + 1)] if words else [b""]
+                own = np.unique(np.fromiter({digest(s, 42) for s in line}, np.uint64))
+                low = np.full(len(times), (1 << 64) - 1, np.uint64)
+                for at in range(0, len(own), 2048):        # bounded memory for long texts
+                    low = np.minimum(low, (own[at:at + 2048, None] * times + plus).min(axis=0))
+                band = np.arange(1, BANDS + 1, dtype=np.uint64)
+                for part in low.reshape(BANDS, BAND_ROWS).T:
+                    band = mix64(band ^ part)
+                sets.append(own.view(np.int64))
+                keys.append(band.view(np.int64))
+            sizes = np.array([len(s) for s in sets])
+            out = pa.RecordBatch.from_arrays([
+                pa.array(np.arange(uid, uid + len(sets))), ids, pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(sizes, pa.int64()),
+                pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.concatenate(sets))),
+                pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(np.concatenate(keys)))],
+                ["uid", "id", "digest", "n", "shingles", "keys"])
+            uid += len(sets)
+            return out
+        return work
+
+    id_type = df.schema[id_col].dataType.simpleString()
+    return map_texts(df, id_col, text_col, f"uid bigint, id {id_type}, digest binary, n bigint, shingles array<bigint>, keys array<bigint>", make)
+
+
+def alike(shared, total, similarity: float):
+    """Whether ``shared`` of two sets with ``total`` elements together (the sum of both sizes) are enough."""
+    return shared >= similarity * (total - shared) - 1e-9
+
+
+def links_of_sets(table: pa.Table, similarity: float) -> pa.Table:
+    """Links ``u, v`` of ids that join what pairs of one ``key`` of different ``root`` with alike sets join."""
+    key, ids, root = (table[c].to_numpy() for c in ("key", "id", "root"))
+    shingles = table["shingles"].combine_chunks()
+    edges = shingles.offsets.to_numpy()
+    values = shingles.values.to_numpy()
+    u, v = [], []
+    order = np.argsort(key, kind="stable")
+    for group in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+        parts = [values[edges[i]:edges[i + 1]] for i in group]
+        sizes = np.array([len(p) for p in parts])
+        starts = np.cumsum(sizes) - sizes
+        names, code = np.unique(np.concatenate(parts), return_inverse=True)
+        mark = np.zeros(len(names), bool)
+        label = root[group].copy()
+        for i in range(len(group)):
+            if (label == label[0]).all():
+                break
+            own = code[starts[i]:starts[i] + sizes[i]]
+            mark[own] = True
+            shared = np.add.reduceat(mark[code], starts, dtype=np.int64)
+            mark[own] = False
+            for j in np.flatnonzero(alike(shared, sizes + sizes[i], similarity) & (label != label[i])).tolist():
+                if label[j] != label[i]:
+                    u.append(ids[group[i]])
+                    v.append(ids[group[j]])
+                    label[label == label[j]] = label[i]
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def alike_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """``u, v``: links of ids that connect what pairs with a common key and a Jaccard similarity of ``similarity`` connect.
+
+    ``sets``: one row per distinct set.  First every set is compared with one other of its keys, which settles groups of
+    near copies in linear time; then all pairs of the keys that still hold several components.
+    """
+    keys = sets.select(F.explode("keys").alias("key"), "uid")
+    shared = keys.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("uid").cast("decimal(38,0)")).alias("sum"), F.min("uid").alias("low"), F.max("uid").alias("high")).filter("n > 1")
+    # Keys with the same members say the same.
+    shared = stage(shared.dropDuplicates(["n", "sum", "low", "high"]).select("key", "low"), "near-keys")
+    members = stage(keys.join(shared, "key").join(sets.select("uid", "id", "n"), "uid"), "near-members")
+    first = members.groupBy("uid").agg(F.min("low").alias("low")).filter("low < uid")
+    mine = sets.select("uid", F.col("id").alias("v"), F.col("shingles").alias("b"))
+    other = sets.select(F.col("uid").alias("low"), F.col("id").alias("u"), F.col("shingles").alias("a"))
+    common = F.size(F.array_intersect("a", "b"))
+    stars = stage(first.join(mine, "uid").join(other, "low").filter(alike(common, F.size("a") + F.size("b"), similarity)).select("u", "v"), "near-stars")
+    roots = connected_components(stars.filter("u <> v").select(F.lit(0).alias("scope"), "u", "v")).select(F.col("node").alias("id"), "root")
+    rooted = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    unsettled = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.sum("n").alias("total")).filter("a < b").select("key", "total")
+    rooted = stage(rooted.join(unsettled, "key").select("key", "uid", "root", "n", "total"), "near-unsettled")
+    packs = max(1, -(-(rooted.agg(F.sum("n")).first()[0] or 0) // PACK_SHINGLES))
+    chunks = F.ceil(2 * F.col("total") / PACK_SHINGLES).cast("int")
+    # Chunks i <= j of a large key meet in task (i, j); a small key is one chunk in a shared pack.
+    own = F.pmod(F.xxhash64("uid"), chunks).cast("int")
+    tasks = F.when(F.col("total") <= PACK_SHINGLES, F.array(F.pmod(F.xxhash64("key"), F.lit(packs)))).otherwise(
+        F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.xxhash64("key", F.least(c, own), F.greatest(c, own))))
+    placed = rooted.withColumn("task", F.explode(tasks)).join(sets.select("uid", "id", "shingles"), "uid").select("task", "key", "id", "root", "shingles")
+    found = placed.groupBy("task").applyInArrow(lambda t: links_of_sets(t, similarity), "u bigint, v bigint")
+    return stars.unionByName(found).filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def keep_first(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of near copies, that with the smallest id.
 
-    Near means a Jaccard similarity of about ``similarity`` or more on word shingles, read off the Hamming distance of
-    ``count`` fingerprints together (``margin`` standard deviations are granted to the estimate).  Rows equal in id and
-    text are one; rows without an id stay, once per text.
+    A group is what pairs with a Jaccard similarity of ``similarity`` or more on sets of word shingles connect; every link
+    is verified on the sets.  Rows equal in id and text are one; rows without an id stay, once per text.
     """
-    cosine = 2 * similarity / (1 + similarity)
-    rate = float(np.arccos(cosine) / np.pi)
-    bits = 64 * count
-    most = int(bits * rate + margin * (bits * rate * (1 - rate)) ** 0.5)
-    found = near_duplicates(docs, shingle=shingle, count=count, most=most)
-    gone = found.filter(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    gone = stage(gone, "simhash-gone")
+    rows = stage(shingle_sets(docs, shingle=shingle), "near-sets").filter("id IS NOT NULL").withColumn("id", F.col("id").cast("bigint"))
+    classes = stage(rows.groupBy("digest").agg(F.min(F.struct("id", "uid")).alias("of")).select("digest", "of.id", "of.uid"), "near-classes")
+    sets = rows.join(classes.select("uid"), "uid", "left_semi")
+    roots = connected_components(alike_links(sets, similarity).select(F.lit(0).alias("scope"), "u", "v"))
+    # Sets of one id are one node.
+    named = classes.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("digest", F.coalesce("root", "id").alias("component_id"))
+    gone = rows.join(named, "digest").filter(F.col("component_id") < F.col("id")).select(F.col("id").alias("_gone")).distinct()
+    gone = stage(gone, "near-gone")
     left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left").filter("_gone IS NULL").drop("_gone")
     return left.dropDuplicates(["doc_id", "text"])

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from hazardgrid.llm import simhash
@@ -82,3 +83,48 @@ def test_keep_first_keeps_one_of_each_group(spark):
     rows = [(3, " ".join(base)), (1, " ".join(near)), (7, " ".join(base)), (7, " ".join(base)), (9, "alone in here"), (None, "x y"), (None, "x y")]
     left = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r.doc_id or -1) for r in left.collect()) == [-1, 1, 9]
+
+
+def pairs_at(similar, other, n=25, seed=8):
+    """Pairs of texts: per pair ``(shared, own)`` of one-shingle words, so that Jaccard is shared / (shared + 2 own)."""
+    rng = random.Random(seed)
+    rows = []
+    for k in range(2 * n):
+        shared, own = similar if k < n else other
+        a, b = ([f"p{k}s{i}" for i in range(shared)] + [f"p{k}{side}{i}" for i in range(own)] for side in "ab")
+        rng.shuffle(a)
+        rng.shuffle(b)
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    return rows
+
+
+@pytest.mark.parametrize("pack", [2_000_000, 300])
+def test_keep_first_keeps_to_the_threshold(spark, monkeypatch, pack):
+    """All pairs of exactly 0.8 lose one text, none just below does."""
+    monkeypatch.setattr(simhash, "PACK_SHINGLES", pack)
+    rows = pairs_at((240, 30), (238, 31))
+    left = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"), shingle=1).collect()}
+    assert left == set(range(0, 50, 2)) | set(range(50, 100))
+
+
+def test_keep_first_against_all_pairs(spark, monkeypatch):
+    """Chains of growing distance, also where keys are cut into chunks."""
+    monkeypatch.setattr(simhash, "PACK_SHINGLES", 900)
+    rng = random.Random(4)
+    rows = []
+    for g in range(6):
+        words = [f"g{g}w{i}" for i in range(150)]
+        for _ in range(12):
+            for _ in range(rng.randrange(0, 6)):
+                words[rng.randrange(150)] = f"n{rng.randrange(10**6)}"
+            rows.append((len(rows) * 7 % 73, " ".join(words)))
+    rows.append((1000, rows[0][1]))
+    sets = {k: {tuple(t.split()[i:i + 5]) for i in range(146)} for k, t in rows}
+    root = {k: k for k in sets}
+    for a in sets:
+        for b in sets:
+            if root[a] != root[b] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    left = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == set(root.values()) and 6 < len(left) < len(rows)
