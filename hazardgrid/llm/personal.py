@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from hazardgrid.llm.common import map_texts, small_batches
+from hazardgrid.llm.toplevels import TOP_LEVELS
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -79,9 +80,9 @@ def plain(text: str) -> dict[str, list[tuple[int, int]]]:
 _NOT_PLAIN = "".join(LOOKALIKES) + INVISIBLE
 _DIGIT = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _OPEN, _CLOSE = r"[\[({<]\s?", r"\s?[\])}>]"
-#: A bare "at" or "dot" counts only before one of these.
-_TOP = "com|org|net|edu|gov|info|io|co|eu|de|fr|es|uk|ch|at|it|nl|us|ca|au|jp|cn|ru|br|in"
-_AT = rf"\s?{_OPEN}(?:at|a|@){_CLOSE}\s?|(?<=[\w%+-])\s+at\s+(?=(?:[\w-]+(?:\s+dot\s+|\s?{_OPEN}(?:dot|\.){_CLOSE}\s?|\.))*[\w-]+(?:\s+dot\s+|\s?{_OPEN}(?:dot|\.){_CLOSE}\s?)(?:{_TOP})\b)"
+#: A bare "at" or "dot" counts only before one of these; before a dot in brackets an at needs no more than a letter label.
+_TOP = "|".join(sorted(TOP_LEVELS, key=len, reverse=True)) + "|xn--[a-z0-9-]+"
+_AT = rf"\s?{_OPEN}(?:at|a|@){_CLOSE}\s?|(?<=[\w%+-])\s+at\s+(?=(?:[\w-]+(?:\s+dot\s+|\s?{_OPEN}(?:dot|\.){_CLOSE}\s?|\.))*[\w-]+(?:\s+dot\s+(?:{_TOP})|\s?{_OPEN}(?:dot|\.){_CLOSE}\s?(?:{_TOP}|[a-z]{{2,}}))\b)"
 _DOT = rf"\s?{_OPEN}(?:dot|\.){_CLOSE}\s?|(?<=\w)\s+dot\s+(?=(?:[\w-]+\s+dot\s+)*(?:{_TOP}|[0-9]{{1,3}})\b)"
 _DIGITS = rf"\b(?:(?:{_DIGIT})\b[\s,.-]{{0,2}}){{4,}}"
 _CHARS = f"[{_NOT_PLAIN}\uff01-\uff5e\u0660-\u0669\u06f0-\u06f9\u0966-\u096f]"
@@ -156,7 +157,10 @@ def rewrite(text: str) -> tuple[str, list[int], list[int]] | None:
 
 
 def spans(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
-    """Plain spans, and further ones that only the rewritten text shows; those never overlap plain ones of their kind."""
+    """Plain spans, and further ones that only the rewritten text shows; those never lie inside plain ones of their kind.
+
+    They may contain them: a disguised letter or dot often leaves a part that is an identifier by itself.
+    """
     found = plain(text)
     more: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     seen = rewrite(text) if disguised(text) else None
@@ -165,7 +169,7 @@ def spans(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[t
         for kind, got in plain(new).items():
             for a, b in got:
                 s, e = starts[a], ends[b - 1]
-                if text[s:e] != new[a:b] and all(e <= x or y <= s for x, y in found[kind]):
+                if text[s:e] != new[a:b] and not any(x <= s and e <= y for x, y in found[kind]):
                     more[kind].append((s, e))
     return found, more
 

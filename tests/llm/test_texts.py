@@ -100,6 +100,21 @@ def test_disguises_map_back_to_the_source(text, kind, piece):
     assert [text[s["start"]:s["end"]] for s in found] == [piece] and piece not in personal.masked(text)
 
 
+@pytest.mark.parametrize("text, piece, base", [
+    ("mail jаne@example.com ok", "jаne@example.com", "ne@example.com"),
+    ("mail a.b@mail.example [dot] com ok", "a.b@mail.example [dot] com", "a.b@mail.example"),
+])
+def test_a_disguised_address_around_a_plain_one(text, piece, base):
+    found = [(text[s["start"]:s["end"]], s["disguised"]) for s in personal.listed(text)]
+    assert found == [(piece, True), (base, False)] or found == [(base, False), (piece, True)]
+    assert personal.masked(text) == text.replace(piece, "[EMAIL]")
+
+
+@pytest.mark.parametrize("piece", ["jane at example dot pl", "jane at mail dot example dot se", "jane at example dot museum", "jane at example [dot] internal"])
+def test_any_top_level(piece):
+    assert personal.masked(f"write {piece}, please") == "write [EMAIL], please"
+
+
 @pytest.mark.parametrize("text", ["look at that dot over there", "he sat at home. Then one two went", "un deux", "", "a at b", "version 1.2.3 at 10.5"])
 def test_ordinary_text_is_left_alone(text):
     assert personal.listed(text) == [] and personal.masked(text) == text
