@@ -1,12 +1,11 @@
 """N-gram language model in an Elias-Fano trie, trained and applied as Spark jobs.
 
 All training tokens are counted.  Words that make up at least ``DICTIONARY_SHARE`` of the
-tokens (so at most its inverse in number) are broadcast with their counts; the counts of
-all other words are joined.  N-grams are counted among words with at least ``TRIE_SHARE``
-of the tokens and kept from ``NGRAM_SHARE`` of the tokens on, so the trie has a bound too
-and workers may map its files.  Levels are built in tasks, one file per range of contexts.
-Texts are split into words twice: to count the words, and to write their numbers, which
-the later steps read.
+tokens (so at most its inverse in number) are broadcast with their counts; the numbers and
+counts of all other words are joined.  Words that occur ``MIN_WORD`` times and n-grams that
+occur ``MIN_NGRAM`` times are in the trie, so it grows with the texts.  Levels are built in
+tasks, one file per range of contexts, and mapped by the workers.  Texts are split into
+words twice: to count the words, and to write their numbers, which the later steps read.
 
 Probability of a kept n-gram: its count smoothed by the shorter context's probability;
 of any other word: the shorter context's probability times a weight that makes the sum
@@ -28,15 +27,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from hazardgrid.llm.common import crc_mod5, map_texts, small_batches
-from hazardgrid.llm.eliasfano import Level, Levels, save
+from hazardgrid.llm.eliasfano import Level, Levels, load, save
 from hazardgrid.session import stage, work_folder
 
 DICTIONARY_SHARE = 2.5e-7
-TRIE_SHARE = 1e-5
-NGRAM_SHARE = 1e-7
+#: Occurrences of a word and of an n-gram in the trie.
+MIN_WORD = 2
+MIN_NGRAM = 2
 #: Smoothing: as many imagined tokens of the shorter context's distribution.
 PRIOR = 100.0
-#: Kept n-grams per file.
+#: Kept n-grams, and words beside the broadcast ones, per file.
 SEGMENT = 2_000_000
 END = b""
 _WORDS_AT_ONCE = 500_000
@@ -73,29 +73,57 @@ def count_words(docs: DataFrame, remainder: int | None) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+@functools.lru_cache(maxsize=4)
+def open_counts(paths: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """First number and counts of each file, by ascending numbers; mapped once per Python worker."""
+    files = sorted((load(p) for p in paths), key=lambda f: int(f["first"][0]))
+    return np.array([f["first"][0] for f in files], np.int64), [f["count"] for f in files]
+
+
 class Dictionary:
-    """Counts of the common words; the words of the trie are numbered from 0, the most frequent first."""
+    """Counts of the common words, numbered from 0, the most frequent first; the counts of the other words of the trie,
+    numbered on from there, are in files."""
 
     def __init__(self, rows: list, n: int, v: int):
         self.n, self.v = n, v
         self.total = n + 0.5 * (v + 1)
         words = sorted(rows, key=lambda r: (-r["c"], bytes(r["word"])))
-        self.size = sum(1 for r in words if r["c"] >= max(2, TRIE_SHARE * n))
         self.c = np.array([r["c"] for r in words], np.int64)
         self.number = {bytes(r["word"]): i for i, r in enumerate(words)}
         self.log10 = np.log10((self.c + 0.5) / self.total)
-        # The end stands before a text too; if it is rare, texts start without a context.
-        self.start = self.number.get(END, -1) if self.number.get(END, self.size) < self.size else -1
+        self.size, self.paths = len(words), ()
+        # The end stands before a text too.
+        self.start = self.number.get(END, -1)
+
+    @property
+    def bits(self) -> int:
+        return self.size.bit_length()
+
+    def counts(self, numbers: np.ndarray) -> np.ndarray:
+        """Counts of words of the trie, 0 for -1."""
+        out = np.zeros(len(numbers), np.int64)
+        common = (numbers >= 0) & (numbers < len(self.c))
+        out[common] = self.c[numbers[common]]
+        rare = np.flatnonzero(numbers >= len(self.c))
+        if len(rare):
+            first, files = open_counts(self.paths)
+            part = np.searchsorted(first, numbers[rare], side="right") - 1
+            for p in np.unique(part):
+                at = rare[part == p]
+                out[at] = files[p][numbers[at] - first[p]]
+        return out
+
+    def prob(self, numbers: np.ndarray) -> np.ndarray:
+        return (self.counts(numbers) + 0.5) / self.total
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
 
     def contexts(self, every: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word and word before, -1 outside the trie, over several texts that begin at ``starts``."""
-        w = np.where(every < self.size, every, -1)
-        v = np.concatenate(([-1], w[:-1]))
+        v = np.concatenate(([-1], every[:-1]))
         v[starts] = self.start
-        return w, v
+        return every, v
 
 
 @functools.lru_cache(maxsize=4)
@@ -106,8 +134,8 @@ def open_levels(paths: tuple[str, ...]) -> Levels:
 
 def encode(docs: DataFrame, d, remainder: int | None) -> DataFrame:
     """One row per text: ``uid, doc_id, learns, n_tokens, n_known, base``, the words' ``numbers`` (-1 outside the
-    dictionary), and hashes and counts of the words outside it."""
-    rare_type = pa.list_(pa.struct([("h", pa.int64()), ("tf", pa.int32())]))
+    dictionary), and hashes and places of the words outside it."""
+    rare_type = pa.list_(pa.struct([("h", pa.int64()), ("at", pa.list_(pa.int32()))]))
 
     def make():
         digest = xxhash.xxh64_intdigest
@@ -124,9 +152,11 @@ def encode(docs: DataFrame, d, remainder: int | None) -> DataFrame:
             rare: list[list] = [[] for _ in words]
             place = np.flatnonzero(~known)
             text_of = np.searchsorted(edges, place, "right") - 1
-            count = Counter((t, words[t][i]) for t, i in zip(text_of.tolist(), (place - edges[text_of]).tolist()))
-            for (t, w), k in count.items():
-                rare[t].append({"h": (h := digest(w, 42)) - (h >> 63 << 64), "tf": k})
+            where: dict[tuple, list[int]] = {}
+            for t, i in zip(text_of.tolist(), (place - edges[text_of]).tolist()):
+                where.setdefault((t, words[t][i]), []).append(i)
+            for (t, w), at in where.items():
+                rare[t].append({"h": (h := digest(w, 42)) - (h >> 63 << 64), "at": at})
             out = pa.RecordBatch.from_arrays([
                 pa.array(np.arange(uid, uid + len(words))), ids, pa.array([_learns(key, remainder) for key in ids.to_pylist()]), pa.array(sizes, pa.int64()),
                 pa.array(np.add.reduceat(known.astype(np.int64), edges[:-1])), pa.array(np.add.reduceat(base, edges[:-1])),
@@ -138,7 +168,67 @@ def encode(docs: DataFrame, d, remainder: int | None) -> DataFrame:
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return map_texts(docs, "doc_id", "text", f"uid bigint, doc_id {id_type}, learns boolean, n_tokens bigint, n_known bigint, base double, "
-                     "numbers array<int>, rare array<struct<h:bigint,tf:int>>", make)
+                     "numbers array<int>, rare array<struct<h:bigint,at:array<int>>>", make)
+
+
+def number_rare(words: DataFrame, first: int) -> tuple[DataFrame, tuple[str, ...], int]:
+    """``h, c, number`` of the words outside the dictionary, numbered from ``first`` on (null below ``MIN_WORD``), the
+    files of the numbered ones' counts, and the number after the last."""
+    spark = words.sparkSession
+    folder = f"{work_folder(spark)}/words-{uuid.uuid4().hex}"
+    words = words.groupBy("h").agg(F.max("c").alias("c"))
+    parts = max(1, -(-words.count() // SEGMENT))
+    words = stage(words.withColumn("part", F.pmod("h", F.lit(parts))), "lm-rare")
+    start = {}
+    for r in words.filter(F.col("c") >= MIN_WORD).groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():
+        start[r["part"]] = first
+        first += r["n"]
+
+    def build(key, table):
+        h, c = table["h"].to_numpy(), table["c"].to_numpy()
+        order = np.argsort(h)
+        h, c = h[order], c[order]
+        often = c >= MIN_WORD
+        number = np.cumsum(often) - 1 + start.get(key[0].as_py(), 0)
+        path = [None] * len(h)
+        if often.any():
+            path[0] = f"{folder}/{uuid.uuid4().hex}.words"
+            save(path[0], {"first": number[often][:1], "count": c[often]})
+        return pa.table({"h": h, "c": c, "number": pa.array(number, pa.int32(), mask=~often), "path": pa.array(path, pa.string())})
+
+    done = stage(words.groupBy("part").applyInArrow(build, "h bigint, c bigint, number int, path string"), "lm-numbered")
+    return done.select("h", "c", "number"), tuple(sorted(r["path"] for r in done.filter("path IS NOT NULL").select("path").collect())), first
+
+
+def fill(coded: DataFrame, rare: DataFrame, unit: float) -> DataFrame:
+    """``coded`` with the numbers of all words of the trie; ``rest``: log10 probability of the words outside the
+    dictionary, ``bare``: of those also outside the trie, ``more``: how many occur in the training texts."""
+    c, tf = F.coalesce("c", F.lit(0)), F.size("at")
+    log = tf * F.log10((c + 0.5) / unit)
+    found = coded.select("uid", F.explode("rare").alias("r")).select("uid", "r.h", "r.at").join(rare, "h", "left").groupBy("uid").agg(
+        F.sum(log).alias("rest"), F.sum(F.when(F.col("number").isNull(), log).otherwise(0.0)).alias("bare"), F.sum(F.when(c > 0, tf).otherwise(0)).alias("more"),
+        F.collect_list(F.when(F.col("number").isNotNull(), F.struct("number", "at"))).alias("fills"))
+    columns = ["uid", "doc_id", "learns", "n_tokens", "n_known", "base"]
+    rows = coded.drop("rare").join(found, "uid", "left").select(
+        *columns, F.coalesce("rest", F.lit(0.0)).alias("rest"), F.coalesce("bare", F.lit(0.0)).alias("bare"), F.coalesce("more", F.lit(0)).cast("bigint").alias("more"), "numbers", "fills")
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                numbers, fills = batch.column("numbers"), batch.column("fills")
+                every, starts = _flat(numbers)
+                text = pc.list_parent_indices(fills).to_numpy()
+                new = fills.flatten()
+                if len(new):
+                    number, at = pc.struct_field(new, "number").to_numpy(), pc.struct_field(new, "at")
+                    one = pc.list_parent_indices(at).to_numpy()
+                    every[starts[text[one]] + at.flatten().to_numpy()] = number[one]
+                edges = pa.array(np.append(starts, len(every)), pa.int32())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.ListArray.from_arrays(edges, pa.array(every, pa.int32()))], batch.schema.names[:-1])
+
+    small_batches(coded.sparkSession)
+    id_type = coded.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"uid bigint, doc_id {id_type}, learns boolean, n_tokens bigint, n_known bigint, base double, rest double, bare double, more bigint, numbers array<int>")
 
 
 def _flat(numbers: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -147,8 +237,8 @@ def _flat(numbers: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return numbers.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(sizes) - sizes
 
 
-def _counted(coded: DataFrame, pairs_of) -> DataFrame:
-    """``context, word, c`` of the training texts' pairs, summed per task first."""
+def _counted(coded: DataFrame, pairs_of, bits: int) -> DataFrame:
+    """``context, word, c`` of the training texts' pairs, summed per task first; a word has ``bits`` bits."""
     def run(batches):
         keys, sizes = [], 0
 
@@ -156,12 +246,12 @@ def _counted(coded: DataFrame, pairs_of) -> DataFrame:
             packed = np.sort(np.concatenate(keys))
             first = np.flatnonzero(np.concatenate(([True], packed[1:] != packed[:-1])))
             c = np.diff(np.append(first, len(packed)))
-            return pa.RecordBatch.from_arrays([pa.array(packed[first] >> 24), pa.array(packed[first] & (1 << 24) - 1), pa.array(c)], ["context", "word", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(packed[first] >> bits), pa.array(packed[first] & (1 << bits) - 1), pa.array(c)], ["context", "word", "c"])
 
         for batch in batches:
             if batch.num_rows:
                 context, word = pairs_of(*_flat(batch.column(0)))
-                keys.append(context << 24 | word)
+                keys.append(context << bits | word)
                 sizes += len(word)
             if sizes > 4_000_000:
                 yield flush()
@@ -207,28 +297,28 @@ def build_level(grams: DataFrame, contexts: int, lower) -> tuple[str, ...]:
 
 
 class Model:
-    """Scores of texts under the dictionary and the trie; without the words that the dictionary lacks."""
+    """Scores of texts under the dictionary and the trie; without the words that the trie lacks."""
 
     def __init__(self, dictionary: Dictionary, pairs: tuple[str, ...], triples: tuple[str, ...]):
         self.d, self.pairs, self.triples = dictionary, open_levels(pairs) if pairs else None, open_levels(triples) if triples else None
 
     def log10(self, numbers: list[np.ndarray]) -> np.ndarray:
-        """Per token log10 probability; of tokens outside the dictionary only the weights that stand before theirs."""
+        """Per token log10 probability; of tokens outside the trie only the weights that stand before theirs."""
         sizes = np.array([len(x) for x in numbers])
         return self.log10_flat(np.concatenate(numbers), np.cumsum(sizes) - sizes)
 
     def log10_flat(self, every: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """As :meth:`log10`, for texts in a row that begin at ``starts``."""
         d = self.d
-        out = np.where(every >= 0, d.log10[np.maximum(every, 0)], 0.0) if len(d.c) else np.zeros(len(every))
+        out = np.where(every >= 0, np.log10(d.prob(every)), 0.0)
         if self.pairs is None:
             return out
         w, v = d.contexts(every, starts)
-        two = self._find(self.pairs, v, w)
+        two = self._find(self.pairs, v, w, d.bits)
         out = np.where(two >= 0, self.pairs.prob(two), out + self.pairs.backoff(v))
         if self.triples is not None:
             before = self.shifted(two, starts)
-            three = self._find(self.triples, before, w)
+            three = self._find(self.triples, before, w, d.bits)
             out = np.where(three >= 0, self.triples.prob(three), out + self.triples.backoff(before))
         return out
 
@@ -240,13 +330,13 @@ class Model:
         return before
 
     @staticmethod
-    def _find(levels: Levels, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    def _find(levels: Levels, context: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
         """Look up distinct pairs once."""
         out = np.full(len(context), -1)
         some = np.flatnonzero((context >= 0) & (word >= 0))
         if len(some):
-            packed, back = np.unique(context[some] << 24 | word[some], return_inverse=True)
-            out[some] = levels.find(packed >> 24, packed & (1 << 24) - 1)[back]
+            packed, back = np.unique(context[some] << bits | word[some], return_inverse=True)
+            out[some] = levels.find(packed >> bits, packed & (1 << bits) - 1)[back]
         return out
 
 
@@ -262,31 +352,34 @@ def score_documents(docs: DataFrame, remainder: int | None = 1) -> DataFrame:
     total = words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = total["n"] or 0, total["v"]
     common = max(2, DICTIONARY_SHARE * n)
-    d = spark.sparkContext.broadcast(Dictionary(words.filter(F.col("c") >= common).select("word", "c").collect(), n, v))   # at most 1 / DICTIONARY_SHARE words
-    least = max(2, NGRAM_SHARE * n)
-    coded = stage(encode(docs, d, remainder), "lm-numbers")
+    end = F.col("word") == F.lit(END)
+    own = Dictionary(words.filter((F.col("c") >= common) | end).select("word", "c").collect(), n, v)   # at most 1 / DICTIONARY_SHARE words
+    rare, own.paths, own.size = number_rare(words.filter((F.col("c") < common) & ~end), own.size)
+    d = spark.sparkContext.broadcast(own)
+    coded = stage(fill(stage(encode(docs, d, remainder), "lm-coded"), rare, own.total), "lm-numbers")
 
     def pairs_of(every, starts):
         w, before = d.value.contexts(every, starts)
         both = (w >= 0) & (before >= 0)
         return before[both], w[both]
 
-    counts, logs = d.value.c[:d.value.size], d.value.log10[:d.value.size]
-    pairs = build_level(stage(_counted(coded, pairs_of).filter(F.col("c") >= least), "lm-pairs"), d.value.size,
-                        lambda context, word: (counts[context], 10.0 ** logs[word]))
+    pairs = build_level(stage(_counted(coded, pairs_of, own.bits).filter(F.col("c") >= MIN_NGRAM), "lm-pairs"), own.size,
+                        lambda context, word: (d.value.counts(context), d.value.prob(word)))
     triples: tuple[str, ...] = ()
     if pairs:
         def triples_of(every, starts):
             w, before = d.value.contexts(every, starts)
-            two = Model._find(open_levels(pairs), before, w)
+            two = Model._find(open_levels(pairs), before, w, d.value.bits)
             context = Model.shifted(two, starts)
             both = (context >= 0) & (two >= 0)
             return context[both], w[both]
 
-        rows = stage(_counted(coded, triples_of).filter(F.col("c") >= least), "lm-triples")
         size = 0
-        for s in open_levels(pairs).parts:
-            size = max(size, s.offset + s.words.n)
+        for f in open_levels(pairs).parts:
+            size = max(size, f.offset + f.words.n)
+        if size.bit_length() + own.bits > 63:
+            raise ValueError("too many pairs and words for keys of 63 bits")
+        rows = stage(_counted(coded, triples_of, own.bits).filter(F.col("c") >= MIN_NGRAM), "lm-triples")
 
         def lower(context, word):
             levels = open_levels(pairs)
@@ -294,20 +387,13 @@ def score_documents(docs: DataFrame, remainder: int | None = 1) -> DataFrame:
             return levels.count(context).astype(float), 10.0 ** levels.prob(shorter)
 
         triples = build_level(rows, size, lower)
-    rare = coded.select("uid", F.explode("rare").alias("r")).select("uid", "r.h", "r.tf")
-    known = stage(words.filter(F.col("c") < common).groupBy("h").agg(F.max("c").alias("c")), "lm-rare")
-    unit = n + 0.5 * (v + 1)
-    c = F.coalesce("c", F.lit(0))
-    sums = rare.join(known, "h", "left").groupBy("uid").agg(
-        F.sum(F.col("tf") * F.log10((c + 0.5) / unit)).alias("rest"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("more"))
-    rest = F.coalesce("rest", F.lit(0.0))
-    return _scores(coded, d, pairs, triples).join(sums, "uid", "left").select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).cast("bigint").alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
-        (F.col("base") + rest).alias("base_score"), (F.col("model") + rest).alias("score"))
+    return _scores(coded, d, pairs, triples).select(
+        "doc_id", "n_tokens", (F.col("n_known") + F.col("more")).cast("bigint").alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
+        (F.col("base") + F.col("rest")).alias("base_score"), (F.col("model") + F.col("bare")).alias("score"))
 
 
 def _scores(coded: DataFrame, d, pairs, triples) -> DataFrame:
-    """The coded texts with the sum of the model's log10 probabilities over the dictionary's words."""
+    """The coded texts with the sum of the model's log10 probabilities over the trie's words."""
     def run(batches):
         model = Model(d.value, pairs, triples)
         for batch in batches:
@@ -318,5 +404,5 @@ def _scores(coded: DataFrame, d, pairs, triples) -> DataFrame:
 
     small_batches(coded.sparkSession)
     id_type = coded.schema["doc_id"].dataType.simpleString()
-    return coded.select("uid", "doc_id", "n_tokens", "n_known", "base", "numbers").mapInArrow(
-        run, f"uid bigint, doc_id {id_type}, n_tokens bigint, n_known bigint, base double, model double")
+    return coded.select("doc_id", "n_tokens", "n_known", "base", "rest", "bare", "more", "numbers").mapInArrow(
+        run, f"doc_id {id_type}, n_tokens bigint, n_known bigint, base double, rest double, bare double, more bigint, model double")

@@ -110,3 +110,27 @@ def test_tiny_tables(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = language.score_documents(df).collect()
     assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in got) == [w[:4] for w in brute(rows)]
+
+
+@pytest.mark.parametrize("share", [2.5e-7, 0.05])
+def test_trie_holds_every_repeated_word_and_ngram(spark, monkeypatch, share):
+    """Also where the words' numbers are joined and their counts are in several files."""
+    kept = {}
+    plain = language._scores
+    monkeypatch.setattr(language, "_scores", lambda docs, d, pairs, triples: kept.update(d=d.value, pairs=pairs, triples=triples) or plain(docs, d, pairs, triples))
+    monkeypatch.setattr(language, "DICTIONARY_SHARE", share)
+    monkeypatch.setattr(language, "SEGMENT", 50)
+    rng = random.Random(2)
+    rows = [(k, " ".join(rng.choice(["red", "green", f"x{rng.randrange(300)}", "u v w"]) for _ in range(2000))) for k in range(200)]
+    rows += [(1000, "alpha beta gamma"), (1001, "alpha beta gamma"), (1002, "lonely word")]
+    got = {r.doc_id: r for r in language.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), None).collect()}
+    toks = [[b"", *t.encode().split(), b""] for _, t in rows]
+    one = Counter(w for t in toks for w in t[1:])
+    two = Counter(p for t in toks for p in zip(t, t[1:]))
+    three = Counter(p for t in toks for p in zip(t, t[1:], t[2:]))
+    d, model = kept["d"], language.Model(kept["d"], kept["pairs"], kept["triples"])
+    assert d.size == sum(c >= 2 for c in one.values())
+    for levels, want in ((model.pairs, two), (model.triples, three)):
+        assert sum(p.words.n for p in levels.parts) == sum(c >= 2 for c in want.values())
+        assert sorted(np.concatenate([p.count for p in levels.parts]).tolist()) == sorted(c for c in want.values() if c >= 2)
+    assert got[1000].score > got[1000].base_score + 1 and got[1000].score == got[1001].score
