@@ -259,7 +259,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, remainder: int | None =
     for r in found.select(F.explode("at").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).collect():
         df[r["f"]] = r["n"]
     idf = np.log((n + 1) / (df + 1)) + 1
-    labelled = stage(found.join(F.broadcast(examples.withColumnRenamed("doc_id", "id")), "id").select("id", "at", "tf", "toxic"), "toxicity-index")
+    # Of several texts of one id the first by hash stands for it, so that there are no more vectors than examples.
+    of = found.join(F.broadcast(examples.withColumnRenamed("doc_id", "id")), "id")
+    of = of.groupBy("id").agg(F.min(F.struct(F.xxhash64("at", "tf").alias("hash"), "at", "tf", "toxic")).alias("v"))
+    labelled = stage(of.select("id", "v.at", "v.tf", "v.toxic"), "toxicity-index")
     rows = labelled.groupBy("at", "tf").agg(F.sum("toxic").alias("x"), F.sum(1 - F.col("toxic")).alias("y"), F.min("id").alias("first")).collect()
     index = Index([(tuple(r["at"]), tuple(r["tf"]), r["x"], r["y"], r["first"]) for r in rows], idf, weight)
     shared = spark.sparkContext.broadcast(index)      # bounded: 2 * EXAMPLES_PER_CLASS vectors

@@ -69,3 +69,16 @@ def test_query_on_held_out_labels(spark):
     toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     rows = [r for r in queries.op1_toxicity(spark, sf).collect() if r.held_out and r.doc_id in toxic]
     assert np.mean([r.predicted == toxic[r.doc_id] for r in rows]) > 0.9
+
+
+def test_one_vector_per_example(spark, monkeypatch):
+    """An id with many texts is one example."""
+    sizes = []
+    plain = toxicity.Index.__init__
+    monkeypatch.setattr(toxicity.Index, "__init__", lambda self, rows, *more: sizes.append(sum(r[2] + r[3] for r in rows)) or plain(self, rows, *more))
+    rows, labels = corpus()
+    rows += [(1, f"filthy rotten {'filthy ' * i}", 1) for i in range(500)]
+    examples = {k for k, t in labels if k is not None and t is not None}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score int")
+    assert toxicity.score_documents(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), None).count() == len(rows)
+    assert sizes == [len(examples)]
