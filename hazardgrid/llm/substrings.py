@@ -58,7 +58,9 @@ def lengths(window: int, base: int) -> list[int]:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("id"), F.pmod(F.xxhash64(text), F.lit(2147483647)).cast("int").alias("th"), text.alias("text"))
+    # Tells texts of one id apart; all rows without an id share one, so theirs has all bits.
+    th = F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(F.pmod(F.xxhash64(text), F.lit(2147483647)))
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("id"), th.alias("th"), text.alias("text"))
 
 
 def _batches(batches, needs: int):
@@ -86,11 +88,11 @@ def first_level(docs: DataFrame, size: int, window: int) -> DataFrame:
                 h.append(part[at])
                 pos.append(at)
                 ids.append(np.full(len(at), i))
-                ths.append(np.full(len(at), th, np.int32))
+                ths.append(np.full(len(at), th, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(ths)),
                                               pa.array(np.concatenate(pos).astype(np.int32))], ["h", "id", "th", "pos"])
 
-    places = _keyed(docs).mapInArrow(run, "h bigint, id bigint, th int, pos int")
+    places = _keyed(docs).mapInArrow(run, "h bigint, id bigint, th bigint, pos int")
     again = stage(places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "substring-again")
     return places.join(again, "h").select("id", "th", "pos")
 
@@ -113,11 +115,11 @@ def next_level(docs: DataFrame, survivors: DataFrame, base: int, size: int, wind
                     h.append(part[s[good]])
                     pos.append(at[good])
                     ids.append(np.full(int(good.sum()), i))
-                    ths.append(np.full(int(good.sum()), th, np.int32))
+                    ths.append(np.full(int(good.sum()), th, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(ths)),
                                               pa.array(np.concatenate(pos).astype(np.int32))], ["h", "id", "th", "pos"])
 
-    places = _keyed(docs).join(survivors, ["id", "th"]).select("id", "th", "text", "places").mapInArrow(run, "h bigint, id bigint, th int, pos int")
+    places = _keyed(docs).join(survivors, ["id", "th"]).select("id", "th", "text", "places").mapInArrow(run, "h bigint, id bigint, th bigint, pos int")
     again = stage(places.groupBy("h").agg(F.countDistinct("id", "th", "pos").alias("n")).filter("n > 1").select("h"), "substring-again")
     return places.join(again, "h").select("id", "th", "pos").distinct()
 
@@ -136,7 +138,7 @@ def last_level(docs: DataFrame, survivors: DataFrame, base: int, window: int) ->
                 check.append((window_hashes(other, window, {1: other})[s] >> np.uint64(33)).astype(np.int32))
                 pos.append(s)
                 ids.append(np.full(len(s), i))
-                ths.append(np.full(len(s), th, np.int32))
+                ths.append(np.full(len(s), th, np.int64))
             h, check, ids, ths, pos = map(np.concatenate, (h, check, ids, ths, pos))
             order = np.lexsort((ths, pos, ids, check, h))
             h, check, ids, ths, pos = (x[order] for x in (h, check, ids, ths, pos))
@@ -156,7 +158,7 @@ def last_level(docs: DataFrame, survivors: DataFrame, base: int, window: int) ->
                 yield _rows(mix64(i.view(np.uint64) + p.astype(np.uint64) * _A), np.zeros(len(i), np.int32), i, t, p, n, True)
 
     found = _keyed(docs).join(survivors, ["id", "th"]).select("id", "th", "text", "places").mapInArrow(
-        run, "h bigint, check int, id bigint, th int, pos int, len int, sure boolean")
+        run, "h bigint, check int, id bigint, th bigint, pos int, len int, sure boolean")
     same = Window.partitionBy("h", "check", "sure").orderBy("id", "pos")
     return found.withColumn("rank", F.rank().over(same)).filter("sure OR rank > 1").select("id", "th", "pos", "len")
 

@@ -66,3 +66,11 @@ def test_query_on_the_small_table(spark):
 
 def test_empty_table(spark):
     assert found(spark, []) == [] and substrings.lengths(20, 5) == [5, 10, 20] and substrings.lengths(20, 10) == [10, 20]
+
+
+def test_texts_without_id_whose_short_hashes_agree(spark):
+    """These two have the same xxhash64 modulo 2**31 - 1."""
+    shared, other = " ".join(f"p{i}" for i in range(25)), " ".join(f"q{i}" for i in range(30))
+    rows = [(1, shared), (None, f"a195013 {shared}"), (None, f"b15112 {other}"), (2, other + " end")]
+    assert found(spark, rows[:3]) == brute(rows[:3])
+    assert found(spark, rows) == brute(rows)
