@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hazardgrid.llm import decontam, language, personal, pieces, repetition, simhash, substrings, toxicity, urllists, warc
+from hazardgrid.llm import decontam, exact, language, personal, pieces, repetition, simhash, substrings, toxicity, urllists, warc
 from hazardgrid.llm.common import held_out, read_table
 from hazardgrid.llm.registry import query
 from hazardgrid.session import stage
@@ -133,3 +133,12 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(read_table(spark, sf_dir, "documents"), window=20)
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op13_exact", """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+""")
+def op13_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact.deduplicate(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
