@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hazardgrid.llm import decontam, exact, language, personal, pieces, repetition, simhash, substrings, toxicity, urllists, warc
+from hazardgrid.llm import decontam, exact, language, personal, pieces, repetition, simhash, substrings, toxicity, urllists, warc, whitening
 from hazardgrid.llm.common import held_out, read_table
 from hazardgrid.llm.registry import query
 from hazardgrid.session import stage
@@ -142,3 +142,8 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 def op13_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact.deduplicate(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"), components=4)
