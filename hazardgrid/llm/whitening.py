@@ -206,7 +206,7 @@ def fit(blocks: DataFrame, dim: int, components: int) -> Fit | None:
     trace = float(summed(blocks, dim, (1,), scatter)[0]) / n
     wanted = min(components, dim)
     values, vectors = (np.zeros(wanted), np.eye(dim)[:, :wanted]) if trace == 0 else leading_pairs(times, dim, wanted)
-    values = np.where(values > dim * np.finfo(float).eps * max(values[0], 0), values, 0.0)
+    values = np.where(values > max(dim, 16) * np.finfo(float).eps * max(values[0], 0), values, 0.0)
     real = int((values > 0).sum())
     error = 0.0
     if real:
