@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hazardgrid.llm import decontam, exact, language, personal, pieces, repetition, simhash, substrings, toxicity, urllists, warc, whitening
+from hazardgrid.llm import decontam, exact, language, personal, pieces, prefixes, repetition, simhash, substrings, toxicity, urllists, warc, whitening
 from hazardgrid.llm.common import held_out, read_table
 from hazardgrid.llm.registry import query
 from hazardgrid.session import stage
@@ -147,3 +147,26 @@ def op13_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_whitening")
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read_table(spark, sf_dir, "embeddings"), components=4)
+
+
+@query("op11_prefix_trie", r"""
+WITH turns AS (SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id,
+                      len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+     own AS (SELECT conv_id, list({'id': id, 'words': words} ORDER BY turn NULLS FIRST, id) AS own FROM turns GROUP BY conv_id),
+     bits AS (SELECT conv_id, [4294967295::UBIGINT] || flatten([[512::UBIGINT + ascii(c)] || [1024::UBIGINT for k in range(8)] for c in string_split(conv_id::VARCHAR, '')]) AS steps FROM own),
+     crc AS (SELECT conv_id, (xor(list_reduce(steps, lambda acc, s: CASE WHEN s < 1024 THEN xor(acc, s - 512) ELSE xor(acc >> 1, 3988292384::UBIGINT * (acc & 1)) END),
+                                  4294967295::UBIGINT) % 4)::BIGINT AS h FROM bits),
+     rebuilt AS (SELECT o.conv_id, coalesce(b.own[1:h], []) || o.own[h + 1:] AS seq FROM own o JOIN crc USING (conv_id) LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20),
+     members AS (SELECT conv_id, len(seq) AS size, d AS depth, [t.id for t in seq[1:d]] AS path, CASE WHEN d > 0 THEN seq[d].words ELSE 0 END AS words
+                 FROM (SELECT conv_id, seq, unnest(range(len(seq) + 1)) AS d FROM rebuilt)),
+     nodes AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words,
+                      sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE size = depth), '')) AS ends_sha256 FROM members GROUP BY path, depth),
+     kids AS (SELECT path[1:depth - 1] AS path, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+     full_nodes AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k USING (path, depth)),
+     up AS (SELECT path[1:d] AS path, d AS depth, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * words)::BIGINT AS saved_tokens
+            FROM (SELECT *, unnest(range(depth + 1)) AS d FROM full_nodes) GROUP BY ALL)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, u.n_leaves, u.saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN up u USING (path, depth) LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = n.path[1:n.depth - 1]
+""")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.conversation_trie(read_table(spark, sf_dir, "conversations"))
