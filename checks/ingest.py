@@ -20,7 +20,7 @@ from hazardgrid.operators import reconcile as R
 from hazardgrid.operators import upserts as U
 from hazardgrid.operators import validation as C
 from hazardgrid.plans import dashboard as J
-from hazardgrid.session import cut_lineage
+from hazardgrid.session import new_folder, stage
 
 
 def archive(spark, d):
@@ -407,7 +407,7 @@ def stale_segments(spark, d):
 
 # --- dashboard ---------------------------------------------------------------------------------
 def raw_dash(spark, d):
-    return view(spark, d, "t_dash").withColumn("line", F.monotonically_increasing_id()).withColumnsRenamed({
+    return view(spark, d, "t_dash").withColumnsRenamed({
         "county": "County", "municipality": "Municipality", "year": "Year", "crash_at": "Date & Time of Crash",
         "rating": "Highest Injury Severity Rating", "summary": "NJDOT Summary", "crash_type": "Crash Type",
         "geopoint": "Geopoint", "geopoint_calculated": "Geopoint (Calculated)", "weather": "Weather Condition"})
@@ -507,8 +507,10 @@ def public_metadata(spark, d):
 
 AUDIT = DASH + f""",
 u_good AS (SELECT *, {_DEXT} AS external_id, count(*) OVER (PARTITION BY id_cr) AS copies FROM d_tag WHERE reason IS NULL),
-u_id AS (SELECT id_cr, min(external_id) AS external_id, max(copies) > 1 AS conflict FROM u_good GROUP BY id_cr),
-u_ext AS (SELECT external_id, count(*) AS ids FROM u_id GROUP BY external_id)"""
+u_id AS (SELECT id_cr, arg_min(external_id, line) AS external_id, max(copies) > 1 AS conflict, min(line) AS first_line FROM u_good GROUP BY id_cr),
+u_ext AS (SELECT external_id, count(*) AS ids FROM u_id GROUP BY external_id),
+u_all AS (SELECT t.*, CASE WHEN t.reason IS NOT NULL THEN t.reason WHEN i.conflict THEN 'conflicting_dashboard_id' WHEN e.ids > 1 THEN 'ambiguous_legacy_identity' END AS final_reason
+  FROM d_tag t LEFT JOIN u_id i ON i.id_cr = t.id_cr AND t.reason IS NULL LEFT JOIN u_ext e ON e.external_id = i.external_id)"""
 
 
 @query("conflicting_dashboard_ids", f"WITH {AUDIT} SELECT id_cr AS dashboard_id, copies FROM u_good WHERE copies > 1")
@@ -518,25 +520,23 @@ def conflicting_dashboard_ids(spark, d):
     return bad.join(bad.groupBy("dashboard_id").agg(F.count("*").alias("copies")), "dashboard_id").select("dashboard_id", "copies")
 
 
-@query("duplicate_identity_audit", f"""WITH {DASH},
-u AS (SELECT * FROM d_tag)
-SELECT year AS source_year, 2 * count(*) AS input, count(CASE WHEN reason IS NULL THEN 1 END) AS eligible,
-  count(CASE WHEN reason IS NULL THEN 1 END) AS duplicates, 2 * count(reason) AS quarantined
-FROM u WHERE regexp_full_match(id_cr, '[0-9]+') AND CAST(id_cr AS BIGINT) % 13 <> 0 AND casenumber NOT IN ('AB-17') GROUP BY year""")
+@query("duplicate_identity_audit", f"""WITH {AUDIT} SELECT year AS source_year, 2 * count(*) AS input, count(*) - count(final_reason) AS eligible,
+  count(*) - count(final_reason) AS duplicates, 2 * count(final_reason) AS quarantined FROM u_all GROUP BY year""")
 def duplicate_identity_audit(spark, d):
     # Every row twice: equal payloads are repeats, not conflicts.
-    raw = raw_dash(spark, d).filter(F.col("id_cr").rlike("^[0-9]+$") & (F.col("id_cr").try_cast("long") % 13 != 0)
-                                    & (F.col("casenumber") != "AB-17")).drop("line")
-    twice = raw.withColumn("line", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))))
-    return C.audit_counts(C.duplicate_identity_audit(C.tag_dashboard(twice, labels(spark, d))))
+    twice = raw_dash(spark, d).withColumn("line", F.explode(F.array(2 * F.col("line"), 2 * F.col("line") + 1)))
+    return J.stage_and_audit(twice, labels(spark, d)).counts
 
 
-@query("ambiguous_legacy_identity", f"""WITH {AUDIT} SELECT g.id_cr AS dashboard_id FROM u_good g JOIN u_ext e ON e.external_id = g.external_id
-WHERE g.copies = 1 AND e.ids > 1 AND g.external_id NOT IN (SELECT external_id FROM u_good WHERE copies > 1)""")
+@query("stage_and_audit", f"""WITH {AUDIT} SELECT line, id_cr AS dashboard_id, year AS source_year, final_reason AS reason FROM u_all""")
+def stage_and_audit(spark, d):
+    return J.stage_and_audit(raw_dash(spark, d), labels(spark, d)).audited.select("line", "dashboard_id", "source_year", "reason")
+
+
+@query("ambiguous_legacy_identity", f"WITH {AUDIT} SELECT id_cr AS dashboard_id FROM u_all WHERE final_reason = 'ambiguous_legacy_identity'")
 def ambiguous_legacy_identity(spark, d):
     audited = C.duplicate_identity_audit(tagged_dash(spark, d))
-    split = audited.filter("reason = 'conflicting_dashboard_id'").select("external_id").distinct()
-    return audited.filter("reason = 'ambiguous_legacy_identity'").join(split, "external_id", "left_anti").select("dashboard_id")
+    return audited.filter("reason = 'ambiguous_legacy_identity'").select("dashboard_id")
 
 
 @query("validate_export", f"""SELECT CAST(count(*) AS BIGINT) AS rows, count(DISTINCT id_cr) AS unique_ids, count(CASE WHEN r = 'year' THEN 1 END) AS outside_years, count(CASE WHEN r = 'date' THEN 1 END) AS invalid_dates,
@@ -554,7 +554,7 @@ r_new AS (SELECT g.*, CASE WHEN reported_lon BETWEEN x0 AND x0 + 0.3 AND reporte
   FROM (SELECT *, CASE WHEN geopoint <> '' THEN TRY_CAST(geopoint ->> 'lon' AS DOUBLE) ELSE TRY_CAST(longitude AS DOUBLE) END AS reported_lon,
       CASE WHEN geopoint <> '' THEN TRY_CAST(geopoint ->> 'lat' AS DOUBLE) ELSE TRY_CAST(latitude AS DOUBLE) END AS reported_lat,
       TRY_CAST(NULLIF(geopoint_calculated, '') ->> 'lon' AS DOUBLE) AS calc_lon, TRY_CAST(NULLIF(geopoint_calculated, '') ->> 'lat' AS DOUBLE) AS calc_lat,
-      CAST(id_cr AS BIGINT) AS idn FROM u_good WHERE copies = 1 AND casenumber <> 'AB-17') g JOIN t_muni m ON m.muni_id = g.muni_id),
+      CAST(id_cr AS BIGINT) AS idn FROM u_all WHERE final_reason IS NULL) g JOIN t_muni m ON m.muni_id = g.muni_id),
 r_match AS (SELECT *, CASE WHEN idn % 4 = 0 THEN 'dash' WHEN idn % 4 = 1 THEN 'ext' WHEN idn % 40 = 2 THEN 'both' ELSE 'none' END AS how FROM r_new),
 r_out AS (SELECT *, CASE
     WHEN how = 'both' THEN 'dashboard_and_legacy_identity_conflict'
@@ -566,9 +566,8 @@ r_out AS (SELECT *, CASE
 
 
 def staged(spark, d):
-    audited = C.duplicate_identity_audit(cut_lineage(tagged_dash(spark, d)))
-    once = audited.filter(F.col("reason").isNull() | (F.col("reason") == "ambiguous_legacy_identity"))
-    return cut_lineage(once.filter(~F.col("external_id").endswith("AB-17")).drop("reason", "repeat", "line", "source_year"))
+    """The records of the whole export that pass validation and audit."""
+    return stage(J.stage_and_audit(raw_dash(spark, d), labels(spark, d)).records, "checks-records")
 
 
 def known_crashes(spark, d, s=None):
@@ -593,7 +592,7 @@ def known_crashes(spark, d, s=None):
     other = F.when(F.col("n") % 20 == 5, F.concat(F.lit("other"), "dashboard_id"))
     ext = base.filter((F.col("n") % 4 == 1) | (F.col("n") % 40 == 2)).withColumns({
         "crash_id": F.col("n") * 10 + 1, "dashboard_id": other})
-    return dash.unionByName(ext).drop("n")
+    return stage(dash.unionByName(ext).drop("n"), "checks-known")
 
 
 def actions(spark, d):
@@ -646,9 +645,7 @@ def reconciliation_outcomes(spark, d):
     WHERE outcome <> 'updated' AND (how = 'both' OR (how <> 'none' AND g = 0))) x GROUP BY 1""")
 def apply_reconciliation(spark, d):
     s = staged(spark, d)
-    stored = cut_lineage(known_crashes(spark, d, s))
-    done = R.reconcile_dashboard(R.match_records(s, stored, muni_polygons(spark, d)))
-    state = R.apply_reconciliation(stored, cut_lineage(done))
+    state = J.run_reconciliation(s, known_crashes(spark, d, s), muni_polygons(spark, d), apply_to=new_folder(spark, "checks-table")).state
     return state.groupBy(F.col("crash_date").cast("string").alias("crash_date")).agg(
         F.count("*").alias("crashes"), F.count("bike_involved").alias("bikes"),
         F.count_if(F.col("severity") != "injury_unknown").alias("rated"))
@@ -661,6 +658,16 @@ def dry_run_reconciliation(spark, d):
     return run.actions.groupBy("outcome").agg(F.count("*").alias("records"))
 
 
+@query("reconciliation_report", f"""WITH {STAGED} SELECT 'outcome' AS counter, CAST(year(dt) AS INT) AS year, outcome AS name, count(*) AS records FROM r_out GROUP BY ALL
+UNION ALL SELECT 'matched', CAST(year(dt) AS INT), NULL, count(*) FROM r_out WHERE how <> 'none' GROUP BY ALL
+UNION ALL SELECT 'unmatched_with_valid_location', CAST(year(dt) AS INT), NULL, count(*) FROM r_out WHERE outcome = 'historical_identity_unmatched' AND (rep_ok = 1 OR calc_ok = 1) GROUP BY ALL
+UNION ALL SELECT 'location', NULL, CASE WHEN rep_ok = 1 THEN 'dashboard_current' WHEN calc_ok = 1 THEN 'dashboard_calculated' WHEN idn % 2 = 0 THEN 'reported' ELSE 'historical_validated' END,
+  count(*) FROM r_out WHERE outcome IN ('updated', 'inserted') GROUP BY ALL
+UNION ALL SELECT 'conflict', NULL, conflict, count(*) FROM (SELECT unnest(conflicts) AS conflict FROM r_out) c GROUP BY ALL""")
+def reconciliation_report(spark, d):
+    return R.reconciliation_report(actions(spark, d))
+
+
 # --- upserts and enrichment ----------------------------------------------------------------------
 _OLD = """SELECT CONCAT('NJDOT:', CAST(o_orderkey AS STRING)) AS external_id, CASE WHEN o_orderkey % 5 = 0 THEN CONCAT('D', CAST(o_orderkey AS STRING)) ELSE NULL END AS dashboard_id,
  'property_damage' AS severity, o_orderkey % 3 = 0 AS ped_involved, CASE o_orderkey % 4 WHEN 0 THEN TRUE WHEN 1 THEN FALSE ELSE NULL END AS bike_involved,

@@ -152,7 +152,7 @@ SELECT CAST(n_nationkey AS INT) AS muni_id,
 FROM nation""",
     # Raw dashboard rows (text as exported), dirty by modulus.
     "t_dash": """
-SELECT CASE WHEN o_orderkey % 101 = 0 THEN 'x1' WHEN o_orderkey % 13 = 0 THEN CAST(CAST(FLOOR(o_orderkey / 26) * 26 AS BIGINT) AS STRING)
+SELECT CAST(o_orderkey AS BIGINT) AS line, CASE WHEN o_orderkey % 101 = 0 THEN 'x1' WHEN o_orderkey % 13 = 0 THEN CAST(CAST(FLOOR(o_orderkey / 26) * 26 AS BIGINT) AS STRING)
             ELSE CAST(o_orderkey AS STRING) END AS id_cr,
        CASE WHEN o_orderkey % 71 = 0 THEN ' ' WHEN o_orderkey % 17 = 0 THEN 'AB-17' ELSE CONCAT('AB-', CAST(o_orderkey AS STRING)) END AS casenumber,
        CASE WHEN o_custkey % 5 = 4 THEN 'Essex' WHEN o_custkey % 103 = 0 THEN 'Atlantis' ELSE 'Mercer' END AS county,

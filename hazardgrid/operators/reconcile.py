@@ -1,6 +1,6 @@
 """Conservative reconciliation of dashboard records with stored crashes.
 
-The outcome of a record is a chain of column conditions over two identity joins;
+The outcome of a record is a chain of column conditions over one identity join and one coverage join;
 no row is looked at from Python.
 """
 
@@ -11,44 +11,85 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hazardgrid import fixed_values as V
 from hazardgrid.functions.numbers import inside_bounds
 from hazardgrid.operators.boundaries import point_covered
+from hazardgrid.operators.sketches import bloom_filter, keep_possible
 from hazardgrid.operators.validation import first_reason
+from hazardgrid.session import stage
 
 BICYCLE_CONFLICT = "bicycle_flag_conflicts_with_existing_evidence"
 
 
 def identity_match(staged: DataFrame, crashes: DataFrame) -> DataFrame:
-    """Add ``existing`` (struct or NULL) and ``identity_conflict`` to each record.
+    """Add ``existing`` (struct or NULL) and ``identity_conflict`` to each record; ``staged`` has unique dashboard ids.
 
-    A crash matches by dashboard id or by external id; both matching different
-    crashes is a conflict.
+    A crash matches by dashboard id or by external id; both matching different crashes is a conflict.  If several crashes share an id, the one
+    of the lowest crash id is meant.
     """
-    row = F.struct(*[F.col(c) for c in crashes.columns])
-    by_dash = crashes.filter(F.col("dashboard_id").isNotNull()).select("dashboard_id", row.alias("_d"))
-    by_ext = crashes.filter(F.col("external_id").isNotNull()).select("external_id", row.alias("_h"))
-    joined = staged.join(by_dash, "dashboard_id", "left").join(by_ext, "external_id", "left")
-    return joined.withColumn("existing", F.coalesce("_d", "_h")).withColumn(
-        "identity_conflict", F.coalesce(F.col("_d.crash_id") != F.col("_h.crash_id"), F.lit(False))).drop("_d", "_h")
+    return staged.join(_identities(staged, crashes), "dashboard_id", "left").withColumn(
+        "identity_conflict", F.coalesce("identity_conflict", F.lit(False)))
+
+
+def _identities(staged: DataFrame, crashes: DataFrame) -> DataFrame:
+    """``dashboard_id, existing, identity_conflict`` of the records that match a crash.
+
+    Both identities are one join on (kind, id).  A Bloom filter over the export's ids drops nearly all other crashes before it, and rows without an id
+    take no part.
+    """
+    def keyed(dashboard, external, *carried):
+        pairs = F.array(F.struct(F.lit("d").alias("kind"), dashboard.alias("id")), F.struct(F.lit("e").alias("kind"), external.alias("id")))
+        return F.explode(F.filter(pairs, lambda p: p["id"].isNotNull())).alias("key"), *carried
+
+    filters = {c: bloom_filter(staged.select(c), c) for c in ("dashboard_id", "external_id")}
+    row = F.struct(*[F.col(c) for c in crashes.columns]).alias("row")
+    possible = keep_possible(crashes, filters).select(*keyed(F.col("dashboard_id"), F.col("external_id"), row))
+    asked = staged.select(*keyed(F.col("dashboard_id"), F.col("external_id"), F.col("dashboard_id")))
+
+    def lowest(kind):
+        return F.min_by("row", F.when(F.col("key.kind") == kind, F.col("row.crash_id")))
+
+    found = asked.join(possible, "key").groupBy("dashboard_id").agg(lowest("d").alias("_d"), lowest("e").alias("_h"))
+    return found.select("dashboard_id", F.coalesce("_d", "_h").alias("existing"), F.coalesce(
+        F.col("_d.crash_id") != F.col("_h.crash_id"), F.lit(False)).alias("identity_conflict"))
+
+
+def _foreign_days(crashes: DataFrame) -> DataFrame:
+    """``muni_id, crash_date`` of crashes that are of unknown origin."""
+    foreign = F.col("external_id").isNull() | ~F.col("external_id").startswith(f"{V.SOURCE_PREFIX}:")
+    return crashes.filter(F.col("dashboard_id").isNull() & foreign).select("muni_id", "crash_date").distinct()
 
 
 def unknown_source_overlap(matched: DataFrame, crashes: DataFrame) -> DataFrame:
     """Add ``unknown_source_overlap``: a new record meets a same-day crash of unknown origin."""
-    foreign = F.col("external_id").isNull() | ~F.col("external_id").startswith(f"{V.SOURCE_PREFIX}:")
-    days = crashes.filter(F.col("dashboard_id").isNull() & foreign).select("muni_id", "crash_date").distinct().withColumn("_u", F.lit(True))
+    days = _foreign_days(crashes).withColumn("_u", F.lit(True))
     return matched.join(days, ["muni_id", "crash_date"], "left").withColumn(
         "unknown_source_overlap", F.col("existing").isNull() & F.coalesce("_u", F.lit(False))).drop("_u")
 
 
+_POINTS = ("reported_valid", "calculated_valid", "existing_valid")
+
+
 def match_records(staged: DataFrame, crashes: DataFrame, munis: DataFrame) -> DataFrame:
-    """Identity, overlap and the three point checks of every record."""
-    df = unknown_source_overlap(identity_match(staged, crashes), crashes)
-    old_x, old_y = F.col("existing.lon"), F.col("existing.lat")
-    df = df.withColumns({
-        "_rx": F.col("reported_point.lon"), "_ry": F.col("reported_point.lat"),
-        "_cx": F.col("calculated_point.lon"), "_cy": F.col("calculated_point.lat"), "_ex": old_x, "_ey": old_y})
-    for out, x, y in (("reported_valid", "_rx", "_ry"), ("calculated_valid", "_cx", "_cy"), ("existing_valid", "_ex", "_ey")):
-        df = point_covered(df, munis, out, x, y)
-    return df.withColumn("existing_valid", F.col("existing_valid") & F.coalesce(
-        inside_bounds(F.col("_ex"), F.col("_ey")), F.lit(False))).drop("_rx", "_ry", "_cx", "_cy", "_ex", "_ey")
+    """Identity, overlap and the three point checks of every record; ``staged`` has unique dashboard ids.
+
+    Ids, days and points travel as narrow rows of their own: the points of all three kinds meet the municipalities in one join.  The wide record is
+    shuffled once, to its facts.
+    """
+    identities = stage(_identities(staged, crashes), "reconcile-identities")
+
+    def points(rows, which, lon, lat):
+        return rows.select("dashboard_id", "muni_id", F.lit(which).alias("which"), lon.alias("lon"), lat.alias("lat")).filter("lon IS NOT NULL AND lat IS NOT NULL")
+
+    old = identities.filter("existing IS NOT NULL").join(staged.select("dashboard_id", "muni_id"), "dashboard_id")
+    x, y = F.col("existing.lon"), F.col("existing.lat")
+    asked = points(staged, "reported_valid", F.col("reported_point.lon"), F.col("reported_point.lat")).unionByName(
+        points(staged, "calculated_valid", F.col("calculated_point.lon"), F.col("calculated_point.lat"))).unionByName(
+        points(old.filter(inside_bounds(x, y)), "existing_valid", x, y))
+    overlap = staged.select("dashboard_id", "muni_id", "crash_date").join(_foreign_days(crashes), ["muni_id", "crash_date"], "left_semi").select(
+        "dashboard_id", F.lit("unknown_source_overlap").alias("fact"))
+    facts = point_covered(asked, munis).filter("covered").select("dashboard_id", F.col("which").alias("fact")).unionByName(overlap)
+    facts = facts.groupBy("dashboard_id").agg(*[F.bool_or(F.col("fact") == f).alias(f) for f in (*_POINTS, "unknown_source_overlap")])
+    joined = staged.join(identities, "dashboard_id", "left").join(facts, "dashboard_id", "left")
+    return joined.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("identity_conflict", *_POINTS, "unknown_source_overlap")}).withColumn(
+        "unknown_source_overlap", F.col("unknown_source_overlap") & F.col("existing").isNull())
 
 
 def _without_provenance(meta: Column) -> Column:
@@ -127,18 +168,34 @@ def reconciliation_outcomes(actions: DataFrame) -> DataFrame:
         F.count_if((F.col("outcome") == "historical_identity_unmatched") & usable).alias("unmatched_with_valid_location"))
 
 
-def conflict_counts(actions: DataFrame) -> DataFrame:
-    return actions.select(F.explode("source_metadata.conflicts").alias("conflict")).groupBy("conflict").agg(
+def reconciliation_report(actions: DataFrame) -> DataFrame:
+    """All counters of a run as rows ``counter, year, name, records``, from one pass over the actions.
+
+    ``outcome`` and ``matched`` are per year; ``conflict`` counts the records' own conflicts and ``location`` the methods of rows to be written.
+    """
+    usable = F.col("reported_valid") | F.col("calculated_valid")
+    unmatched = (F.col("outcome") == "historical_identity_unmatched") & usable
+
+    def item(counter, name, year=None):
+        return F.struct(F.lit(counter).alias("counter"), (F.lit(None) if year is None else year).cast("int").alias("year"), name.cast("string").alias("name"))
+
+    year = F.col("year")
+    fixed = F.array(
+        item("outcome", F.col("outcome"), year), F.when(F.col("existing").isNotNull(), item("matched", F.lit(None), year)),
+        F.when(unmatched, item("unmatched_with_valid_location", F.lit(None), year)),
+        F.when(F.col("values").isNotNull(), item("location", F.col("values.geocode_quality"))))
+    own = F.transform(F.coalesce(F.col("source_metadata.conflicts"), F.array().cast("array<string>")), lambda c: item("conflict", c))
+    return actions.select(F.explode(F.concat(fixed, own)).alias("i")).filter("i IS NOT NULL").groupBy("i.counter", "i.year", "i.name").agg(
         F.count(F.lit(1)).alias("records"))
 
 
-def location_counts(actions: DataFrame) -> DataFrame:
-    return actions.filter(F.col("values").isNotNull()).groupBy(F.col("values.geocode_quality").alias("method")).agg(
-        F.count(F.lit(1)).alias("records"))
+def changed_years(changed: DataFrame) -> DataFrame:
+    """The years that hold the rows to be written, before and after."""
+    return changed.select(F.explode(F.array(F.year("values.crash_date"), F.year(F.coalesce("existing.crash_date", "values.crash_date")))).alias("year")).distinct()
 
 
 def apply_reconciliation(existing: DataFrame, actions: DataFrame) -> DataFrame:
-    """New table state: untouched rows, updated rows, inserted rows (``crash_id`` NULL)."""
+    """New table state with ``action``: untouched rows, updated rows, inserted rows (``crash_id`` NULL)."""
     stored = {"longitude": "lon", "latitude": "lat"}
     back = {stored.get(c, c): c for c in V.CRASH_VALUE_COLUMNS}
     changed = actions.filter(F.col("values").isNotNull())
@@ -146,8 +203,8 @@ def apply_reconciliation(existing: DataFrame, actions: DataFrame) -> DataFrame:
     # Updates meet their crash in one left join; crashes without one stay as they are.
     merged = existing.join(updated, "crash_id", "left").select(*[
         F.when(F.col("_v").isNotNull(), F.col("_v")[back[c]]).otherwise(F.col(c)).alias(c) if c in back else F.col(c)
-        for c in existing.columns])
+        for c in existing.columns], F.when(F.col("_v").isNotNull(), "updated").otherwise("kept").alias("action"))
     inserted = changed.filter(F.col("crash_id").isNull()).select(*[
         (F.col("values")[back[c]] if c in back else F.lit(None).cast(existing.schema[c].dataType)).alias(c)
-        for c in existing.columns])
+        for c in existing.columns], F.lit("inserted").alias("action"))
     return merged.unionByName(inserted)

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hazardgrid import fixed_values as V
+from hazardgrid.operators.sketches import bloom_filter, keep_possible
 
 
 def merge(existing: DataFrame, incoming: DataFrame, key: list[str], update: dict[str, Column],
@@ -20,10 +21,12 @@ def merge(existing: DataFrame, incoming: DataFrame, key: list[str], update: dict
     ``update`` maps a column to its value for matched rows, written in terms of
     ``old.x`` and ``new.x``; other columns keep the old value.  Matched rows where
     ``allowed`` is not true stay as they are.  New rows take the incoming values.
-    The result has the columns of ``existing`` plus ``action``.
+    The result has the columns of ``existing`` plus ``action``.  A key with a null equals
+    no other: such rows are kept or inserted beside the join, however many they are.
     """
-    old = existing.withColumn("_old", F.lit(True)).alias("old")
-    new = incoming.withColumn("_new", F.lit(True)).alias("new")
+    whole = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in key))
+    old = existing.filter(whole).withColumn("_old", F.lit(True)).alias("old")
+    new = incoming.filter(whole).withColumn("_new", F.lit(True)).alias("new")
     joined = old.join(new, [F.col(f"old.{k}") == F.col(f"new.{k}") for k in key], "full")
     has_old, has_new = F.col("old._old").isNotNull(), F.col("new._new").isNotNull()
     touched = has_old & has_new & (F.coalesce(allowed, F.lit(False)) if allowed is not None else F.lit(True))
@@ -33,7 +36,9 @@ def merge(existing: DataFrame, incoming: DataFrame, key: list[str], update: dict
         value = F.when(touched, update[c]).otherwise(F.col(f"old.{c}")) if c in update else F.col(f"old.{c}")
         out.append(F.when(has_old, value).otherwise(fresh).alias(c))
     action = F.when(~has_old, "inserted").when(touched, "updated").when(has_new, "skipped").otherwise("kept")
-    return joined.select(*out, action.alias("action"))
+    fresh = incoming.filter(~whole).select(*[F.col(c) if c in incoming.columns else F.lit(None).cast(existing.schema[c].dataType).alias(c) for c in existing.columns])
+    return joined.select(*out, action.alias("action")).unionByName(
+        existing.filter(~whole).withColumn("action", F.lit("kept"))).unionByName(fresh.withColumn("action", F.lit("inserted")))
 
 
 def upsert_crashes(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -47,6 +52,16 @@ def upsert_crashes(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return merge(existing, incoming, ["external_id"], update, allowed=F.col("old.dashboard_id").isNull())
 
 
+def touched_years(existing: DataFrame, incoming: DataFrame, key: str = "external_id", date: str = "crash_date") -> DataFrame:
+    """``year`` of all rows that a merge on ``key`` writes: those of the incoming rows, and of stored rows of one of their keys.
+
+    Reads two columns of ``existing``; a Bloom filter leaves little of them for the join.
+    """
+    possible = keep_possible(existing.select(key, date), {key: bloom_filter(incoming, key)})
+    stored = possible.join(incoming.select(key), key, "left_semi")
+    return stored.select(F.year(date).alias("year")).unionByName(incoming.select(F.year(date).alias("year"))).distinct()
+
+
 def upsert_municipalities(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     replaced = [c for c in existing.columns if c in incoming.columns and c not in ("muni_code", "muni_id")]
     return merge(existing, incoming, ["muni_code"], {c: F.col(f"new.{c}") for c in replaced})

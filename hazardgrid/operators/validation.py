@@ -13,6 +13,7 @@ from hazardgrid import fixed_values as V
 from hazardgrid.functions import numbers as N
 from hazardgrid.functions import spatial as S
 from hazardgrid.functions import text as T
+from hazardgrid.session import stage
 
 
 def first_reason(*checks: tuple[Column, str | Column]) -> Column:
@@ -275,25 +276,39 @@ def prepare_dashboard(df: DataFrame, munis: DataFrame, **provenance) -> tuple[Da
     return split_rejects(tag_dashboard(df, munis, **provenance))
 
 
-def duplicate_identity_audit(tagged: DataFrame) -> DataFrame:
-    """Extend ``reason`` with identity problems and mark exact repeats.
+def payload_digest(tagged: DataFrame) -> Column:
+    """What makes two rows of one id the same record."""
+    columns = [c for c in tagged.columns if c not in ("line", "reason", "source_year")]
+    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+
 
-    Same id with another payload rejects all its rows; several ids claiming one
-    external id reject all of them; equal payloads keep one row (``repeat`` false).
+def identity_problems(tagged: DataFrame) -> DataFrame:
+    """``dashboard_id, first_line, problem`` of accepted ids that are repeated or in conflict, from narrow columns only.
+
+    ``tagged`` has ``dashboard_id, external_id, line, reason, payload``.
     """
-    payload_columns = [c for c in tagged.columns if c not in ("line", "reason", "source_year")]
-    payload = F.sha2(F.to_json(F.struct(*payload_columns), {"ignoreNullFields": "false"}), 256)
     good = tagged.filter(F.col("reason").isNull())
-    by_id = good.withColumn("_p", payload).groupBy("dashboard_id").agg(
-        (F.min("_p") != F.max("_p")).alias("_conflict"), F.min("line").alias("_first"),
-        F.min_by("external_id", "line").alias("_external"))
+    by_id = good.groupBy("dashboard_id").agg(
+        F.count(F.lit(1)).alias("n"), (F.min("payload") != F.max("payload")).alias("conflict"), F.min("line").alias("first_line"),
+        F.min_by("external_id", "line").alias("external"))
     # An id claims the external id of its first row, also when its rows conflict.
-    claims = by_id.groupBy("_external").agg((F.count(F.lit(1)) > 1).alias("_ambiguous"))
-    by_id = by_id.join(claims, "_external", "left").drop("_external")
-    joined = tagged.join(by_id, "dashboard_id", "left")
-    return joined.withColumn("reason", F.coalesce("reason", first_reason(
-        (F.col("_conflict"), "conflicting_dashboard_id"), (F.col("_ambiguous"), "ambiguous_legacy_identity"),
-    ))).withColumn("repeat", F.col("reason").isNull() & (F.col("line") > F.col("_first"))).drop("_conflict", "_ambiguous", "_first")
+    shared = by_id.groupBy("external").agg(F.count(F.lit(1)).alias("ids")).filter("ids > 1").select("external", F.lit(True).alias("shared"))
+    problem = first_reason((F.col("conflict"), "conflicting_dashboard_id"), (F.col("shared"), "ambiguous_legacy_identity"))
+    return by_id.join(shared, "external", "left").select("dashboard_id", "n", "first_line", problem.alias("problem")).filter(
+        "n > 1 OR problem IS NOT NULL").drop("n")
+
+
+def duplicate_identity_audit(tagged: DataFrame) -> DataFrame:
+    """Extend ``reason`` with identity problems and mark exact repeats.
+
+    Same id with another payload rejects all its rows; several ids claiming one external id reject all of them; equal payloads keep one row
+    (``repeat`` false).  Rows that have a reason already take no part in the join, so a placeholder id of many of them is no hot key.
+    """
+    narrow = stage(tagged.select("dashboard_id", "external_id", "line", "reason", payload_digest(tagged).alias("payload")), "audit-payloads")
+    good, bad = tagged.filter(F.col("reason").isNull()), tagged.filter(F.col("reason").isNotNull())
+    judged = good.join(identity_problems(narrow), "dashboard_id", "left").withColumn("reason", F.col("problem")).withColumn(
+        "repeat", F.col("reason").isNull() & F.coalesce(F.col("line") > F.col("first_line"), F.lit(False))).drop("problem", "first_line")
+    return judged.unionByName(bad.withColumn("repeat", F.lit(False)))
 
 
 def audit_counts(audited: DataFrame) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from hazardgrid import fixed_values as V
 from hazardgrid.operators import reconcile as R
-from hazardgrid.operators.freshness import crash_counts_by_year
+from hazardgrid.operators import snapshots
 from hazardgrid.operators.validation import audit_counts, duplicate_identity_audit, tag_dashboard
-from hazardgrid.session import cut_lineage
+from hazardgrid.session import spread, stage
 
 
 @dataclass(frozen=True)
@@ -24,40 +24,46 @@ class Staged:
 
 @dataclass(frozen=True)
 class Reconciled:
-    """Actions of a run, and the new table state when it was applied."""
+    """Actions of a run, its counters, and the new table state when it was applied."""
 
     actions: DataFrame
     outcomes: DataFrame
+    report: DataFrame
     state: DataFrame | None
 
 
 def stage_and_audit(raw: DataFrame, munis: DataFrame, **provenance) -> Staged:
-    """Validate a whole export (with ``line``) and resolve repeated identities."""
-    # The audit groups the validated rows and joins them back: validate once.
-    audited = duplicate_identity_audit(cut_lineage(tag_dashboard(raw, munis, **provenance)))
+    """Validate a whole export (with ``line``) and resolve repeated identities.
+
+    The validated rows are written once; the audit groups narrow rows: ids, line and a digest of the payload.
+    """
+    tagged = stage(tag_dashboard(spread(raw), munis, **provenance), "dashboard-tagged")
+    audited = duplicate_identity_audit(tagged)
     records = audited.filter(F.col("reason").isNull() & ~F.col("repeat")).drop("reason", "repeat", "line", "source_year")
     return Staged(audited, records, audit_counts(audited))
 
 
 def run_reconciliation(records: DataFrame, crashes: DataFrame, munis: DataFrame, *, allow_new: bool = False,
                        apply_to: str | None = None) -> Reconciled:
-    """Outcomes of all records; with ``apply_to`` the new state is written there.
+    """Outcomes of all records; with ``apply_to`` the changes are published there as a snapshot.
 
-    A dry run writes nothing.  An applied run checks its counts first: the table
-    grows by exactly the inserted records, and years outside the export's scope
-    keep their count.  ``apply_to`` must be a new folder, never the table's own.
+    A dry run writes nothing but staged actions.  An applied run merges into ``crashes``, the table at ``apply_to`` (see
+    :mod:`hazardgrid.operators.snapshots`) or, if there is none yet, its first content.  Only years that a record touches are written, and the snapshot
+    is published only if the counts taken while writing agree: exactly the inserted and updated records changed, years outside the export's scope did
+    not, and no row was lost.
     """
-    actions = cut_lineage(R.reconcile_dashboard(R.match_records(records, crashes, munis), allow_new))
-    outcomes = R.reconciliation_outcomes(actions)
+    actions = stage(R.reconcile_dashboard(R.match_records(records, crashes, munis), allow_new), "dashboard-actions")
+    outcomes, report = R.reconciliation_outcomes(actions), R.reconciliation_report(actions)
     if apply_to is None:
-        return Reconciled(actions, outcomes, None)
-    state = cut_lineage(R.apply_reconciliation(crashes, actions))
-    inserted = actions.filter(F.col("outcome") == "inserted").count()
-    if state.count() != crashes.count() + inserted:
-        raise RuntimeError("mutation_count_mismatch")
-    if not crash_counts_by_year(crashes, state, V.DASHBOARD_YEARS).filter(~F.col("allowed")).isEmpty():
-        raise RuntimeError("out_of_scope_year_changed")
-    if actions.filter(F.col("values").isNotNull()).isEmpty():
-        return Reconciled(actions, outcomes, crashes)       # nothing to write
-    state.write.mode("errorifexists").parquet(apply_to)
-    return Reconciled(actions, outcomes, state.sparkSession.read.parquet(apply_to))
+        return Reconciled(actions, outcomes, report, None)
+    changed = actions.filter(F.col("values").isNotNull())
+    if changed.isEmpty():
+        return Reconciled(actions, outcomes, report, crashes)       # nothing to write
+    spark = crashes.sparkSession
+    if snapshots.current(spark, apply_to) is None:
+        snapshots.create(crashes, apply_to, "crash_date")
+    wanted = {r["outcome"]: r["n"] for r in changed.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).collect()}
+    snapshots.apply_changes(
+        spark, apply_to, "crash_date", lambda rows: R.apply_reconciliation(rows, changed), R.changed_years(changed),
+        expected={"updated": wanted.get("updated", 0), "inserted": wanted.get("inserted", 0)}, scope=V.DASHBOARD_YEARS)
+    return Reconciled(actions, outcomes, report, snapshots.read(spark, apply_to))

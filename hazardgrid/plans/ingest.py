@@ -21,11 +21,13 @@ CRASH_TABLE = (
 
 @dataclass(frozen=True)
 class Load:
-    """New table state, one row per archive, and reason counts per archive."""
+    """New table state, the rows merged into it, one row per archive, reason counts per archive, and every rejected row with its reason."""
 
     state: DataFrame
+    incoming: DataFrame
     totals: DataFrame
     reasons: DataFrame
+    rejected: DataFrame
 
 
 def load_archives(rows: DataFrame, scan_rejects: DataFrame, existing: DataFrame, munis: DataFrame, routes: DataFrame) -> Load:
@@ -60,8 +62,9 @@ def load_archives(rows: DataFrame, scan_rejects: DataFrame, existing: DataFrame,
     audit = parts[0]
     for part in parts[1:]:
         audit = audit.unionByName(part)
-    state = upsert_crashes(existing, incoming.drop(*key)).drop("action")
-    return Load(state, archive_totals(audit), rejection_counts(audit))
+    incoming = incoming.drop(*key)
+    state = upsert_crashes(existing, incoming).drop("action")
+    return Load(state, incoming, archive_totals(audit), rejection_counts(audit), audit.filter("status = 'rejected'").select(*key, "reason"))
 
 
 def empty_crash_table(spark) -> DataFrame:

@@ -51,11 +51,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as the cluster has cores, for work that costs much more than moving its rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder below :func:`work_folder` that nobody has used."""
+    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet to a new folder below :func:`work_folder` and read it back.
 
     Like :func:`cut_lineage`, but columnar and compressed, so later readers prune columns.
     """
-    path = f"{work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

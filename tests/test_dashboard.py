@@ -116,6 +116,7 @@ def test_apply_writes_all_or_nothing(spark, munis, tmp_path):
     assert dry.state is None and not (tmp_path / "new").exists()
     done = D.run_reconciliation(prepared, crashes, munis, apply_to=str(tmp_path / "new"))
     assert rows(done.state, "dashboard_id", "severity", "crash_id") == [("42", "serious_injury", 1), ("50", "serious_injury", None)]
+    assert {(r["counter"], r["name"]): r["records"] for r in done.report.collect()}["outcome", "inserted"] == 1
     same = D.run_reconciliation(prepared.filter("dashboard_id = '42'"), done.state.filter("crash_id = 1"), munis, apply_to=str(tmp_path / "again"))
     assert same.actions.first()["outcome"] == "unchanged" and not (tmp_path / "again").exists()
 
