@@ -21,6 +21,7 @@ from hazardgrid.operators import upserts as U
 from hazardgrid.operators import validation as C
 from hazardgrid.plans import dashboard as J
 from hazardgrid.session import new_folder, stage
+from hazardgrid.sources import archives as A
 
 
 def archive(spark, d):
@@ -547,6 +548,58 @@ def validate_export(spark, d):
     return C.validate_export(raw_dash(spark, d), 2019, 2025)
 
 
+# --- archives as frames ------------------------------------------------------------------------
+# Rows of seven archives, one of them with over a third of all, of every width that record repair tells apart.
+_ARCHIVE_ROWS = """SELECT CASE WHEN o_custkey % 3 = 0 THEN 'A0' ELSE CONCAT('A', CAST(o_custkey % 7 AS STRING)) END AS archive, o_orderkey AS line,
+ CASE WHEN o_custkey % 11 < 3 THEN 50 WHEN o_custkey % 11 < 6 THEN 49 WHEN o_custkey % 11 < 8 THEN 1 WHEN o_custkey % 11 = 8 THEN 2 WHEN o_custkey % 11 = 9 THEN 0 ELSE 3 END AS width,
+ CONCAT('t', CAST(o_orderkey % 97 AS STRING)) AS txt, CONCAT('d', CAST(o_orderkey % 89 AS STRING)) AS dmg FROM orders"""
+
+
+@query("repair_split_records", f"""WITH r AS ({_ARCHIVE_ROWS}),
+ s AS (SELECT archive, list({{'w': CAST(width AS INT), 'line': CAST(line AS BIGINT), 'txt': txt, 'dmg': dmg, 'pend': CAST(NULL AS BIGINT), 'n': 0, 'chars': 0,
+        'found': CAST([] AS STRUCT(line BIGINT, damage VARCHAR)[])}} ORDER BY line) AS steps FROM r GROUP BY archive),
+ f AS (SELECT archive, list_reduce([{{'w': -1, 'line': CAST(0 AS BIGINT), 'txt': '', 'dmg': '', 'pend': CAST(NULL AS BIGINT), 'n': 0, 'chars': 0,
+        'found': CAST([] AS STRUCT(line BIGINT, damage VARCHAR)[])}}] || steps, lambda a, r: {{'w': r.w, 'line': r.line, 'txt': r.txt,
+   'dmg': CASE WHEN r.w = 49 THEN r.dmg WHEN r.w = 1 THEN a.dmg || ' ' || r.txt ELSE a.dmg END,
+   'pend': CASE WHEN r.w = 49 THEN r.line WHEN r.w = 0 THEN a.pend WHEN r.w = 1 AND a.n < 16 AND a.chars + length(r.txt) <= 4096 THEN a.pend END,
+   'n': CASE WHEN r.w = 49 THEN 0 WHEN r.w = 1 THEN a.n + 1 ELSE a.n END, 'chars': CASE WHEN r.w = 49 THEN 0 WHEN r.w = 1 THEN a.chars + CAST(length(r.txt) AS INT) ELSE a.chars END,
+   'found': a.found || CASE WHEN r.w = 50 THEN CASE WHEN a.pend IS NULL THEN [] ELSE [{{'line': a.pend, 'damage': NULL}}] END || [{{'line': r.line, 'damage': r.dmg}}]
+     WHEN r.w = 49 THEN CASE WHEN a.pend IS NULL THEN [] ELSE [{{'line': a.pend, 'damage': NULL}}] END
+     WHEN a.pend IS NULL THEN [{{'line': r.line, 'damage': NULL}}]
+     WHEN r.w = 0 OR (r.w = 1 AND a.n < 16 AND a.chars + length(r.txt) <= 4096) THEN []
+     WHEN r.w = 2 THEN [{{'line': a.pend, 'damage': a.dmg || ' ' || r.txt}}] ELSE [{{'line': a.pend, 'damage': NULL}}] END}}) AS state FROM s)
+SELECT archive, u.line AS line, u.damage AS damage FROM (SELECT archive, unnest(state.found || CASE WHEN state.pend IS NULL THEN [] ELSE [{{'line': state.pend, 'damage': NULL}}] END) AS u FROM f)""")
+def repair_split_records(spark, d):
+    n = F.col("width")
+    cell = lambda i: F.when((n >= 49) & (i == 49), F.col("dmg")).when((n <= 3) & (i == 1), F.col("txt")).when((n == 2) & (i == 2), "7").otherwise("")
+    cells = F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), cell))
+    rows = stage(view(spark, d, "orders", _ARCHIVE_ROWS).select("archive", F.col("line").cast("long").alias("line"), cells.alias("cells")), "checks-archive")
+    good, bad = A.repair_split_records(rows)
+    return good.select("archive", "line", F.get("cells", F.lit(V.DAMAGE_COLUMN)).alias("damage")).unionByName(
+        bad.select("archive", "line", F.lit(None).cast("string").alias("damage")))
+
+
+# Person rows of an archive for each county and year; a code or a year outside the contract spoils its whole archive.
+_PERSONS = """SELECT CASE o_custkey % 4 WHEN 0 THEN 'Mercer' WHEN 1 THEN 'Essex' WHEN 2 THEN 'Camden' ELSE 'Union' END AS county, CAST(2015 + o_custkey % 9 AS INT) AS year, o_orderkey AS line,
+ CASE WHEN o_orderkey % 3 = 0 THEN 'Y' WHEN o_orderkey % 3 = 1 THEN 'n' ELSE '' END AS flag, o_custkey % 9 = 3 AND o_orderkey % 500 = 4 AS bad_flag,
+ CASE o_custkey % 4 WHEN 0 THEN '11' WHEN 1 THEN '07' WHEN 2 THEN '04' ELSE '20' END AS code FROM orders"""
+
+
+@query("scan_person_archive", f"""WITH p AS (SELECT *, county || year AS archive, NOT year BETWEEN 2017 AND 2022 AS bad_name FROM ({_PERSONS})),
+ v AS (SELECT archive, min(line) FILTER (WHERE bad_flag OR bad_name) AS line, bool_or(bad_name) AS bad_name FROM p GROUP BY archive)
+SELECT p.archive, CAST(p.line AS BIGINT) AS line, p.year || p.code || '05' || p.line AS case_number, upper(flag) = 'Y' AS bicycle, CAST(NULL AS VARCHAR) AS reason FROM p JOIN v USING (archive) WHERE v.line IS NULL
+UNION ALL SELECT archive, CAST(line AS BIGINT), NULL, NULL, CASE WHEN bad_name THEN 'archive_name' ELSE 'bicycle_flag' END FROM v WHERE line IS NOT NULL""")
+def scan_person_archive(spark, d):
+    source_id = F.concat(F.col("year").cast("string"), "code", F.lit("05"), F.col("line").cast("string"))
+    cells = F.transform(F.sequence(F.lit(1), F.lit(V.PERSON_COLUMNS)), lambda i: F.when(i == 1, source_id).when(
+        i == V.PERSON_FLAG_COLUMN + 1, F.when(F.col("bad_flag"), "?").otherwise(F.col("flag"))).otherwise(""))
+    rows = view(spark, d, "orders", _PERSONS).select(
+        F.concat("county", F.col("year").cast("string")).alias("archive"), "county", "year", F.col("line").cast("long").alias("line"), cells.alias("cells"), F.lit(None).cast("string").alias("reason"))
+    good, refused = A.judge_person_rows(rows)
+    return good.select("archive", "line", F.substring_index("external_id", ":", -1).alias("case_number"), "bicycle", F.lit(None).cast("string").alias("reason")).unionByName(
+        refused.select("archive", "line", F.lit(None).cast("string").alias("case_number"), F.lit(None).cast("boolean").alias("bicycle"), "reason"))
+
+
 # --- reconciliation ----------------------------------------------------------------------------
 STAGED = AUDIT + """,
 r_new AS (SELECT g.*, CASE WHEN reported_lon BETWEEN x0 AND x0 + 0.3 AND reported_lat BETWEEN y0 AND y0 + 0.4 THEN 1 ELSE 0 END AS rep_ok,
