@@ -16,9 +16,11 @@ from hazardgrid.operators import boundaries as B
 from hazardgrid.operators import equity as E
 from hazardgrid.operators import loads as L
 from hazardgrid.operators import locating as K
+from hazardgrid.operators import overlay as O
 from hazardgrid.operators import reconcile as R
 from hazardgrid.operators import upserts as U
 from hazardgrid.operators import validation as C
+from hazardgrid.operators import validity as P
 from hazardgrid.plans import dashboard as J
 from hazardgrid.session import new_folder, stage
 from hazardgrid.sources import archives as A
@@ -314,22 +316,73 @@ def coded(spark, d):
 @query("clip_paths_to_boundaries", """SELECT r.source_id, m.muni_id, 0 AS part, round(greatest(x_start - 0.02 - rr * 1e-5, x0), 9) AS from_lon, round(least(x_end, x0 + 0.3), 9) AS to_lon
 FROM t_route r JOIN t_muni m ON x_end > x0 AND x_start - 0.02 - rr * 1e-5 < x0 + 0.3 - 1e-9 AND y BETWEEN y0 AND y0 + 0.4""")
 def clip_paths_to_boundaries(spark, d):
-    parts = B.clip_paths(cross_paths(spark, d), coded(spark, d)).filter(S.line_length_m(F.col("pts")) > 0.001)
+    parts = O.clip_paths(cross_paths(spark, d), coded(spark, d)).filter(S.line_length_m(F.col("pts")) > 0.001)
     return parts.select("source_id", "muni_id", "part", F.round(S.start_point(F.col("pts"))["x"], 9).alias("from_lon"),
                         F.round(S.end_point(F.col("pts"))["x"], 9).alias("to_lon"))
 
 
-@query("split_line_equal")
+# Municipalities with a slanted west side, a concave east side and a triangular hole; paths across them, and across their neighbours' ends.
+_SHAPED = """SELECT muni_id, x0, y0, CAST(FLOOR(muni_id / 5) AS INT) AS tier FROM t_muni"""
+_ACROSS = """SELECT c_custkey, CONCAT('NJDOT:', CAST(c_custkey AS STRING), ':0') AS source_id, x0 - 0.05 AS xa, x0 + 0.35 AS xb, CAST(FLOOR(muni_id / 5) AS INT) AS tier,
+ y0 + 0.4 * (CAST(c_custkey % 97 AS DOUBLE) + 0.5) / 97 AS y FROM customer JOIN t_muni ON muni_id = c_custkey % 25"""
+
+
+def shaped(spark, d):
+    x, y = F.col("x0"), F.col("y0")
+    shell = S.line((x, y), (x + 0.3, y), (x + 0.27, y + 0.2), (x + 0.3, y + 0.4), (x + 0.1, y + 0.4), (x, y))
+    hole = S.line((x + 0.15, y + 0.1), (x + 0.25, y + 0.1), (x + 0.2, y + 0.3), (x + 0.15, y + 0.1))
+    return view(spark, d, "t_muni", _SHAPED).select("muni_id", F.lpad(F.col("muni_id").cast("string"), 4, "0").alias("muni_code"), F.array(shell, hole).alias("rings"))
+
+
+def across(spark, d):
+    y = F.col("y")
+    return view(spark, d, "customer", _ACROSS).select("source_id", S.line((F.col("xa"), y), (F.col("xa") + 0.123, y), (F.col("xb"), y)).alias("pts"))
+
+
+_STRETCHES = f"""p AS ({_ACROSS}), m AS ({_SHAPED}),
+ met AS (SELECT p.source_id, muni_id, y, greatest(xa, x0 + 0.25 * (y - y0)) AS a, least(xb, x0 + 0.3 - 0.15 * least(y - y0, y0 + 0.4 - y)) AS b,
+   CASE WHEN y - y0 BETWEEN 0.1 AND 0.3 THEN x0 + 0.15 + 0.25 * (y - y0 - 0.1) END AS l, CASE WHEN y - y0 BETWEEN 0.1 AND 0.3 THEN x0 + 0.25 - 0.25 * (y - y0 - 0.1) END AS r
+   FROM p JOIN m ON m.tier = p.tier),
+ cut AS (SELECT source_id, muni_id, y, unnest(CASE WHEN l IS NULL OR l >= b OR r <= a THEN [{{'a': a, 'b': b}}] ELSE [{{'a': a, 'b': l}}, {{'a': r, 'b': b}}] END) AS s FROM met WHERE a < b),
+ parts AS (SELECT source_id, muni_id, y, s.a AS a, s.b AS b, count(*) OVER w AS n, row_number() OVER (w ORDER BY s.a) AS k FROM cut WHERE s.a < s.b WINDOW w AS (PARTITION BY source_id, muni_id))"""
+
+
+@query("clip_shaped_boundaries", f"""WITH {_STRETCHES} SELECT source_id, muni_id, CAST(CASE WHEN n = 1 THEN 0 ELSE k END AS INT) AS part, round(a, 8) AS from_lon, round(b, 8) AS to_lon FROM parts""")
+def clip_shaped_boundaries(spark, d):
+    return O.clip_paths(across(spark, d), shaped(spark, d)).select(
+        "source_id", "muni_id", "part", F.round(S.start_point(F.col("pts"))["x"], 8).alias("from_lon"), F.round(S.end_point(F.col("pts"))["x"], 8).alias("to_lon"))
+
+
+def _plane_sql(lon, lat):
+    """Easting and northing of a point, up to a shift, as SQL."""
+    s, dl = f"sin(radians({lat}))", f"radians({lon} + 75.0)"
+    t = f"sinh(atanh({s}) - {S._ECC!r} * atanh({S._ECC!r} * {s}))"
+    xi, eta = f"atan2({t}, cos({dl}))", f"asinh(sin({dl}) / sqrt(({t}) * ({t}) + cos({dl}) * cos({dl})))"
+    east = " + ".join([eta] + [f"{a!r} * cos({2 * k} * {xi}) * sinh({2 * k} * {eta})" for k, a in enumerate(S._TO_PLANE, 1)])
+    north = " + ".join([xi] + [f"{a!r} * sin({2 * k} * {xi}) * cosh({2 * k} * {eta})" for k, a in enumerate(S._TO_PLANE, 1)])
+    return f"{S._RECTIFYING!r} * ({east})", f"{S._RECTIFYING!r} * ({north})"
+
+
+(_E0, _N0), (_E1, _N1) = _plane_sql("a", "y"), _plane_sql("b", "y")
+
+
+@query("split_line_equal", f"""WITH {_STRETCHES}, straight AS (SELECT *, sqrt(pow({_E1} - ({_E0}), 2) + pow({_N1} - ({_N0}), 2)) AS len FROM parts
+   WHERE NOT (a < x_mid AND x_mid < b)),
+ counted AS (SELECT *, CAST(ceil(len / (0.5 * {V.METERS_PER_MILE!r})) AS INT) AS pieces FROM straight)
+SELECT source_id || ':M' || lpad(CAST(muni_id AS VARCHAR), 4, '0') || ':P' || CASE WHEN n = 1 THEN 0 ELSE k END || ':S' || i AS source_id, muni_id, round(len / pieces, 3) AS meters
+FROM counted, LATERAL (SELECT unnest(range(pieces)) AS i) u""".replace("SELECT source_id, muni_id, y, s.a AS a, s.b AS b,", "SELECT source_id, muni_id, y, xa + 0.123 AS x_mid, s.a AS a, s.b AS b,").replace(
+    "SELECT source_id, muni_id, y, unnest(", "SELECT source_id, muni_id, y, xa, unnest(").replace("SELECT p.source_id, muni_id, y, greatest(", "SELECT p.source_id, muni_id, y, xa, greatest("))
 def split_line_equal(spark, d):
-    parts = B.clip_paths(cross_paths(spark, d), coded(spark, d))
-    return B.split_line_equal(parts).select("source_id", "muni_id", F.round("length_miles", 6).alias("length_miles"))
+    # Parts of two vertices; those with the bend between them are longer than a straight line and are left to tests.
+    parts = O.clip_paths(across(spark, d), shaped(spark, d)).filter(F.size("pts") == 2)
+    return O.split_line_equal(parts, 0.5).select("source_id", "muni_id", F.round(S.metric_length(F.col("pts")), 3).alias("meters"))
 
 
 @query("paths_without_boundary", """SELECT source_id FROM t_route r WHERE rr % 3 = 0""")
 def paths_without_boundary(spark, d):
     far = F.when(F.regexp_extract("source_id", r":(\d+):", 1).cast("long") % 100000 % 3 == 0, 30.0).otherwise(0.0)
     moved = cross_paths(spark, d).withColumn("pts", F.transform("pts", lambda p: S.point(p["x"] + far, p["y"])))
-    return B.paths_without_boundary(moved, coded(spark, d)).select("source_id")
+    return O.paths_without_boundary(moved, coded(spark, d)).select("source_id")
 
 
 _FEATURE = """SELECT p_partkey, CASE WHEN p_partkey % 53 = 0 THEN '' ELSE CONCAT(' r', CAST(p_partkey % 40 AS STRING), CASE WHEN p_partkey % 59 = 0 THEN '_a_very_long_route_id' ELSE '' END) END AS sri,
@@ -925,10 +978,33 @@ def merge_demographics(spark, d):
     return E.merge_demographics(left, census(spark, d)).select("tract_id", F.col("B17001_002E").alias("poor"))
 
 
-@query("geometry_audit", "SELECT 0 AS invalid_geometries, count(CASE WHEN s_suppkey % 7 = 0 THEN 1 END) AS other_srid FROM supplier")
+def drawn_tracts(spark, d):
+    """Tracts whose outline crosses itself, has a hole inside or through the shell, folds back, or vanishes, by their number."""
+    box = S.ring_extent(F.col("rings"))
+    x0, y0, x1, y1 = (box[c] for c in ("x0", "y0", "x1", "y1"))
+    w, h = (x1 - x0) / 4, (y1 - y0) / 4
+    n = F.col("tract_id").cast("long") % 1000000000
+    inner = lambda dx: S.line((x0 + w + dx, y0 + h), (x1 - w + dx, y0 + h), (x1 - w + dx, y1 - h), (x0 + w + dx, y1 - h), (x0 + w + dx, y0 + h))
+    shell = F.col("rings")[0]
+    rings = (F.when(n % 11 == 0, F.array(S.line((x0, y0), (x1, y1), (x1, y0), (x0, y1), (x0, y0)))).when(n % 13 == 0, F.array(shell, inner(2 * w)))
+             .when(n % 17 == 0, F.array(shell, inner(F.lit(0.0)))).when(n % 19 == 0, F.array(S.line((x0, y0), (x1, y0), (x1, y1), (x1, y0), (x0, y0))))
+             .when(n % 23 == 0, F.array(S.line((x0, y0), (x0, y0), (x0, y0), (x0, y0)))).otherwise(F.col("rings")))
+    return tracts(spark, d).select("tract_id", rings.alias("rings"), F.when(n % 7 == 0, 3424).otherwise(4326).alias("srid"))
+
+
+_DRAWN = """CASE WHEN n % 11 = 0 THEN 'self_intersection' WHEN n % 13 = 0 THEN 'ring_crossing' WHEN n % 17 = 0 THEN NULL WHEN n % 19 = 0 THEN 'self_intersection' WHEN n % 23 = 0 THEN {empty} END"""
+
+
+@query("geometry_audit", f"""SELECT count({_DRAWN.format(empty='NULL')}) AS invalid_geometries, count(CASE WHEN n % 7 = 0 THEN 1 END) AS other_srid
+FROM (SELECT CAST(tract_id AS BIGINT) % 1000000000 AS n FROM t_tract) t""")
 def geometry_audit(spark, d):
-    df = tracts(spark, d).withColumn("srid", F.when(F.col("tract_id").cast("long") % 1000000000 % 7 == 0, 3424).otherwise(4326))
-    return B.geometry_audit(df, srid="srid")
+    return P.geometry_audit(drawn_tracts(spark, d), srid="srid")
+
+
+@query("repair_polygon", f"""SELECT tract_id, {_DRAWN.format(empty="'empty_geometry'")} AS reason FROM (SELECT tract_id, CAST(tract_id AS BIGINT) % 1000000000 AS n FROM t_tract) t""")
+def repair_polygon(spark, d):
+    good, bad = P.repair_polygon(drawn_tracts(spark, d))
+    return good.select("tract_id", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("tract_id", "reason"))
 
 
 @query("multipolygon_wkt", """SELECT tract_id, starts_with('MULTIPOLYGON (((', 'MULTIPOLYGON') AS is_wkt, 5 AS positions FROM t_tract""")

@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, functions as F
 
 from hazardgrid import fixed_values as V
+from hazardgrid.functions.binding import let
 
 # --- fixed values: WGS84 ellipsoid -------------------------------------------
 SEMI_MAJOR_M = 6378137.0
@@ -22,6 +23,9 @@ _RAD = math.pi / 180
 POINT_TYPE = "struct<x:double,y:double>"
 LINE_TYPE = f"array<{POINT_TYPE}>"
 RINGS_TYPE = f"array<array<{POINT_TYPE}>>"
+# A given point lies on an edge if rounding alone keeps it off; a computed one also within a tenth of a micrometre.
+EXACT_DEG = 1e-16
+ON_EDGE_DEG = 1e-12
 # A degree of latitude is never shorter than this.
 MIN_METERS_PER_DEGREE = 110_500.0
 
@@ -125,15 +129,15 @@ def ring_edges(rings) -> Column:
     return F.flatten(F.transform(rings, edges))
 
 
-def on_edge(px, py, edge_list) -> Column:
-    """Whether the point lies on one of the edges."""
+def on_edge(px, py, edge_list, within: float = EXACT_DEG) -> Column:
+    """Whether the point lies on one of the edges, ``within`` degrees whatever their length and direction."""
     def touches(e):
         ax, ay, bx, by = e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]
         cross = (bx - ax) * (py - ay) - (by - ay) * (px - ax)
         return (
-            (F.abs(cross) <= 1e-16)
-            & px.between(F.least(ax, bx), F.greatest(ax, bx))
-            & py.between(F.least(ay, by), F.greatest(ay, by))
+            (F.abs(cross) <= within * F.hypot(bx - ax, by - ay))
+            & px.between(F.least(ax, bx) - within, F.greatest(ax, bx) + within)
+            & py.between(F.least(ay, by) - within, F.greatest(ay, by) + within)
         )
     return F.exists(edge_list, touches)
 
@@ -146,9 +150,9 @@ def odd_crossings(px, py, edge_list) -> Column:
     return F.size(F.filter(edge_list, crosses)) % 2 == 1
 
 
-def covered_by(px, py, edge_list) -> Column:
+def covered_by(px, py, edge_list, within: float = EXACT_DEG) -> Column:
     """Point in polygon where the boundary counts as inside; holes are honoured."""
-    return on_edge(px, py, edge_list) | odd_crossings(px, py, edge_list)
+    return on_edge(px, py, edge_list, within) | odd_crossings(px, py, edge_list)
 
 
 def inside_of(px, py, edge_list) -> Column:
@@ -174,6 +178,17 @@ def segments_meet(ax, ay, bx, by, e) -> Column:
     )
 
 
+def segments_cross(ax, ay, bx, by, e) -> Column:
+    """Whether the edge a-b and the edge ``e`` cross in a point inside both."""
+    cx, cy, dx, dy = e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]
+
+    def side(px, py, qx, qy, rx, ry):
+        return F.signum((qx - px) * (ry - py) - (qy - py) * (rx - px))
+
+    return ((side(ax, ay, bx, by, cx, cy) * side(ax, ay, bx, by, dx, dy) < 0)
+            & (side(cx, cy, dx, dy, ax, ay) * side(cx, cy, dx, dy, bx, by) < 0))
+
+
 def ring_extent(rings) -> Column:
     """``struct(x0, y0, x1, y1)`` of all ring vertices."""
     pts = F.flatten(rings)
@@ -239,7 +254,7 @@ def rings_from_coordinates(coordinates) -> Column:
 
 
 def repair_rings(rings) -> Column:
-    """Close rings, drop repeated vertices and rings without area."""
+    """Close rings, drop repeated vertices and rings whose vertices are all on one line."""
     def tidy(ring):
         kept = F.filter(
             F.transform(ring, lambda p, i: F.struct(
@@ -249,27 +264,76 @@ def repair_rings(rings) -> Column:
         pts = F.transform(kept, lambda s: s["p"])
         return F.when(start_point(pts) == end_point(pts), pts).otherwise(
             F.concat(pts, F.array(start_point(pts))))
-    return F.filter(F.transform(rings, tidy), lambda r: (F.size(r) >= 4) & (ring_area(r) != 0))
-
-
-def ring_area(ring) -> Column:
-    """Signed shoelace area in square degrees."""
-    return F.aggregate(edges(ring), F.lit(0.0), lambda acc, e: acc + (
-        e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]) / 2)
-
-
-def self_crossing(ring) -> Column:
-    """Whether two edges of a ring that are not neighbours share a point."""
-    numbered = F.transform(edges(ring), lambda e, i: F.struct(e["a"].alias("a"), e["b"].alias("b"), i.alias("i")))
-    last = F.size(numbered) - 1
-    return F.exists(numbered, lambda e: F.exists(numbered, lambda o: (
-        (o["i"] > e["i"] + 1) & ~((e["i"] == 0) & (o["i"] == last))
-        & segments_meet(e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"], o))))
-
-
-def polygon_problem(rings) -> Column:
-    """Reason a repaired polygon is unusable, NULL when it is fine."""
-    return (
-        F.when(rings.isNull() | (F.size(rings) == 0), "empty_geometry")
-        .when(F.exists(rings, self_crossing), "self_intersection")
-    )
+    return F.filter(F.transform(rings, tidy), lambda r: (F.size(r) >= 4) & ~_on_one_line(r))
+
+
+def _on_one_line(ring) -> Column:
+    """Whether no vertex is beside the line through the first two; crossing outlines whose areas cancel are not on one line."""
+    a, b = F.get(ring, F.lit(0)), F.get(ring, F.lit(1))
+    return ~F.exists(ring, lambda p: (b["x"] - a["x"]) * (p["y"] - a["y"]) != (b["y"] - a["y"]) * (p["x"] - a["x"]))
+
+
+# --- metric projection --------------------------------------------------------
+
+# UTM zone 18N on GRS80, and the series of Krueger in the third flattening, to its fifth power.
+_UTM_LON, _UTM_SCALE, _UTM_EAST = -75.0, 0.9996, 500000.0
+_GRS_F = 1 / 298.257222101
+_N = _GRS_F / (2 - _GRS_F)
+_ECC = math.sqrt(_GRS_F * (2 - _GRS_F))
+_RECTIFYING = _UTM_SCALE * SEMI_MAJOR_M / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+_TO_PLANE = (
+    _N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16 + 41 * _N**4 / 180 - 127 * _N**5 / 288,
+    13 * _N**2 / 48 - 3 * _N**3 / 5 + 557 * _N**4 / 1440 + 281 * _N**5 / 630,
+    61 * _N**3 / 240 - 103 * _N**4 / 140 + 15061 * _N**5 / 26880,
+    49561 * _N**4 / 161280 - 179 * _N**5 / 168, 34729 * _N**5 / 80640,
+)
+_FROM_PLANE = (
+    _N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96 - _N**4 / 360 - 81 * _N**5 / 512,
+    _N**2 / 48 + _N**3 / 15 - 437 * _N**4 / 1440 + 46 * _N**5 / 105,
+    17 * _N**3 / 480 - 37 * _N**4 / 840 - 209 * _N**5 / 4480,
+    4397 * _N**4 / 161280 - 11 * _N**5 / 504, 4583 * _N**5 / 161280,
+)
+_FROM_CONFORMAL = (
+    2 * _N - 2 * _N**2 / 3 - 2 * _N**3 + 116 * _N**4 / 45 + 26 * _N**5 / 45,
+    7 * _N**2 / 3 - 8 * _N**3 / 5 - 227 * _N**4 / 45 + 2704 * _N**5 / 315,
+    56 * _N**3 / 15 - 136 * _N**4 / 35 - 1262 * _N**5 / 105, 4279 * _N**4 / 630 - 332 * _N**5 / 35, 4174 * _N**5 / 315,
+)
+
+
+def to_metric(lon, lat) -> Column:
+    """``struct(x, y)`` of a point in metres: transverse Mercator, zone 18 north."""
+    def plane(z):
+        xi, eta = z["xi"], z["eta"]
+        north = xi + sum((F.lit(a) * F.sin(2 * k * xi) * F.cosh(2 * k * eta) for k, a in enumerate(_TO_PLANE, 1)), F.lit(0.0))
+        east = eta + sum((F.lit(a) * F.cos(2 * k * xi) * F.sinh(2 * k * eta) for k, a in enumerate(_TO_PLANE, 1)), F.lit(0.0))
+        return point(_UTM_EAST + _RECTIFYING * east, _RECTIFYING * north)
+
+    def sphere(g):
+        t = F.sinh(F.atanh(g["s"]) - F.lit(_ECC) * F.atanh(F.lit(_ECC) * g["s"]))
+        return F.struct(F.atan2(t, F.cos(g["dl"])).alias("xi"), F.asinh(F.sin(g["dl"]) / F.hypot(t, F.cos(g["dl"]))).alias("eta"))
+
+    given = F.struct(F.sin(F.radians(lat)).alias("s"), F.radians(lon - _UTM_LON).alias("dl"))
+    return let(let(given, sphere), plane)
+
+
+def to_lonlat(x, y) -> Column:
+    """``struct(x, y)`` in degrees of a point of :func:`to_metric`."""
+    def sphere(w):
+        xi, eta = w["xi"], w["eta"]
+        return F.struct(
+            (xi - sum((F.lit(b) * F.sin(2 * k * xi) * F.cosh(2 * k * eta) for k, b in enumerate(_FROM_PLANE, 1)), F.lit(0.0))).alias("xi"),
+            (eta - sum((F.lit(b) * F.cos(2 * k * xi) * F.sinh(2 * k * eta) for k, b in enumerate(_FROM_PLANE, 1)), F.lit(0.0))).alias("eta"))
+
+    def degrees(z):
+        conformal = F.asin(F.sin(z["xi"]) / F.cosh(z["eta"]))
+        lat = let(conformal, lambda c: c + sum((F.lit(d) * F.sin(2 * k * c) for k, d in enumerate(_FROM_CONFORMAL, 1)), F.lit(0.0)))
+        return point(_UTM_LON + F.degrees(F.atan2(F.sinh(z["eta"]), F.cos(z["xi"]))), F.degrees(lat))
+
+    given = F.struct((y / _RECTIFYING).alias("xi"), ((x - _UTM_EAST) / _RECTIFYING).alias("eta"))
+    return let(let(given, sphere), degrees)
+
+
+def metric_length(pts) -> Column:
+    """Length in metres of a path's straight edges in the projection."""
+    return F.aggregate(edges(F.transform(pts, lambda p: to_metric(p["x"], p["y"]))), F.lit(0.0), lambda acc, e: acc + F.hypot(
+        e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]))

@@ -1,12 +1,9 @@
-"""Spatial joins with polygons, clipping and splitting of road paths."""
+"""Spatial joins of points, paths and polygons with polygons."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from hazardgrid import fixed_values as V
-from hazardgrid.functions import geometry as Geo
 from hazardgrid.functions import spatial as S
 from hazardgrid.operators.grid import (
     cell_index, explode_edge_cells, explode_edges, level_size, levels_in_use, point_cells, polygon_cells,
@@ -17,8 +14,8 @@ _CELL = ["level", "cx", "cy"]
 
 
 def point_covered(points: DataFrame, munis: DataFrame, out: str = "covered",
-                  lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """Whether the point lies in its own municipality, boundary included.
+                  lon: str = "lon", lat: str = "lat", within: float = S.EXACT_DEG) -> DataFrame:
+    """Whether the point lies in its own municipality, boundary included (and what is ``within`` degrees of it).
 
     One join on (municipality, latitude row); a missing point is not covered.
     """
@@ -30,7 +27,7 @@ def point_covered(points: DataFrame, munis: DataFrame, out: str = "covered",
         points.join(heights, "muni_id", "left")
         .withColumn("_row", cell_index(F.col(lat), F.col("_height")))
         .join(bands, ["muni_id", "_row"], "left")
-        .withColumn(out, F.coalesce(S.covered_by(F.col(lon), F.col(lat), F.col("band")), F.lit(False)))
+        .withColumn(out, F.coalesce(S.covered_by(F.col(lon), F.col(lat), F.col("band"), within), F.lit(False)))
         .drop("_row", "_height", "band")
     )
 
@@ -93,66 +90,3 @@ def tracts_touching_boundary(tracts: DataFrame, munis: DataFrame) -> DataFrame:
 def assign_tract_municipality(tracts: DataFrame, munis: DataFrame) -> DataFrame:
     """Left spatial join of tracts: one row per municipality met."""
     return tracts.drop("muni_id").join(tracts_touching_boundary(tracts, munis), "tract_id", "left")
-
-
-# --- clipping and splitting (vectorised, one path at a time) -----------------
-
-def clip_paths(paths: DataFrame, munis: DataFrame) -> DataFrame:
-    """Parts of each path inside each municipality it meets.
-
-    ``paths`` needs ``source_id, pts``; ``munis`` needs ``muni_id, muni_code, rings``.
-    ``part`` is ``0`` for a single part and counts from 1 otherwise.
-    """
-    met = lines_meeting_polygons(paths.select("source_id", "pts"), munis.select("muni_id", "rings"), "source_id").distinct()
-    full = met.join(paths, "source_id").join(munis.select("muni_id", "muni_code", "rings"), "muni_id")
-
-    @F.pandas_udf(f"array<{S.LINE_TYPE}>")
-    def inside(pts: pd.Series, rings: pd.Series) -> pd.Series:
-        return pd.Series([Geo.to_rows(Geo.clip(Geo.to_array(p), [Geo.to_array(r) for r in rs])) for p, rs in zip(pts, rings)])
-
-    parts = full.withColumn("_parts", inside("pts", "rings")).drop("rings", "pts")
-    return parts.select(
-        "*", F.size("_parts").alias("_n"), F.posexplode("_parts").alias("_pos", "pts"),
-    ).withColumn("part", F.when(F.col("_n") == 1, F.lit(0)).otherwise(F.col("_pos") + 1)).drop("_parts", "_n", "_pos")
-
-
-def split_line_equal(parts: DataFrame, piece_miles: float = V.PIECE_MILES) -> DataFrame:
-    """Cut every part into equal pieces no longer than the target; adds ids and lengths."""
-    if not piece_miles > 0:
-        raise ValueError("piece length must be positive")
-    target = piece_miles * V.METERS_PER_MILE
-
-    @F.pandas_udf(f"array<{S.LINE_TYPE}>")
-    def cut(pts: pd.Series) -> pd.Series:
-        return pd.Series([Geo.to_rows(Geo.split_equal(Geo.to_array(p), target)) for p in pts])
-
-    pieces = parts.filter(S.line_length_m(F.col("pts")) > 0).withColumn("_pieces", cut("pts")).drop("pts")
-    return (
-        pieces.select("*", F.posexplode("_pieces").alias("piece", "pts")).drop("_pieces")
-        .withColumn("length_miles", S.line_length_miles(F.col("pts"))).filter(F.col("length_miles") > 0)
-        .withColumn("path_id", F.col("source_id"))
-        .withColumn("source_id", F.concat(
-            F.col("path_id"), F.lit(":M"), F.col("muni_code"), F.lit(":P"), F.col("part").cast("string"),
-            F.lit(":S"), F.col("piece").cast("string")))
-    )
-
-
-def paths_without_boundary(paths: DataFrame, munis: DataFrame) -> DataFrame:
-    """Paths of which no stretch lies in any municipality (a touch is not enough)."""
-    covered = clip_paths(paths, munis).filter(S.line_length_m(F.col("pts")) > 0).select("source_id").distinct()
-    return paths.join(covered, "source_id", "left_anti")
-
-
-def geometry_audit(df: DataFrame, rings: str = "rings", srid: str | None = None) -> DataFrame:
-    """Counts of unusable geometries and of rows in another reference system."""
-    problem = S.polygon_problem(F.col(rings))
-    other = F.lit(False) if srid is None else F.col(srid) != 4326
-    return df.agg(
-        F.count_if(problem.isNotNull()).alias("invalid_geometries"),
-        F.count_if(other).alias("other_srid"))
-
-
-def repair_polygon(df: DataFrame, rings: str = "rings") -> tuple[DataFrame, DataFrame]:
-    """``(usable, rejects)`` after closing rings and dropping degenerate ones."""
-    fixed = df.withColumn(rings, S.repair_rings(F.col(rings))).withColumn("reason", S.polygon_problem(F.col(rings)))
-    return fixed.filter(F.col("reason").isNull()).drop("reason"), fixed.filter(F.col("reason").isNotNull())

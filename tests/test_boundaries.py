@@ -1,12 +1,14 @@
-import numpy as np
+import math
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from hazardgrid.functions import geometry as Geo
 from hazardgrid.functions import spatial as S
 from hazardgrid.operators import boundaries as B
 from hazardgrid.operators import equity as E
+from hazardgrid.operators import overlay as O
+from hazardgrid.operators import validity as P
 
 PTS = "array<struct<x:double,y:double>>"
 
@@ -52,26 +54,48 @@ def test_intersections_of_lines_and_polygons_of_all_sizes(spark):
     assert rows(B.tracts_touching_boundary(a, polys), "muni_id", "tract_id") == [(1, 7), (1, 8), (2, 8), (3, 8)]
 
 
-def test_projection_round_trip_and_known_point():
-    lonlat = np.array([(-75.0, 40.0), (-74.2, 40.9), (-75.5, 39.1)])
-    metric = Geo.to_metric(lonlat)
-    assert np.abs(Geo.to_lonlat(metric) - lonlat).max() < 1e-11
-    assert metric[0] == pytest.approx((500000.0, 4427757.219), abs=.01)
+def test_projection_round_trip_and_known_point(spark):
+    df = spark.createDataFrame([(-75.0, 40.0), (-74.2, 40.9), (-75.5, 39.1)], "lon double, lat double").withColumn("m", S.to_metric(F.col("lon"), F.col("lat")))
+    got = df.withColumn("g", S.to_lonlat(F.col("m.x"), F.col("m.y"))).collect()
+    assert max(max(abs(r["g"]["x"] - r["lon"]), abs(r["g"]["y"] - r["lat"])) for r in got) < 1e-11
+    assert tuple(got[0]["m"]) == pytest.approx((500000.0, 4427757.219), abs=.01)
+
+
+def clipped(spark, munis, **paths):
+    m = spark.createDataFrame([(i, str(i), rings) for i, rings in munis.items()], f"muni_id int, muni_code string, rings array<{PTS}>")
+    p = spark.createDataFrame(list(paths.items()), f"source_id string, pts {PTS}")
+    out = O.clip_paths(p, m)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+    return sorted((r["source_id"], r["muni_id"], r["part"], [(q["x"], q["y"]) for q in r["pts"]]) for r in out.collect())
+
+
+def test_clip_gives_parts_in_order_and_leaves_covered_paths_alone(spark):
+    two = [ring(0, 0, 1, 1), ring(2, 0, 3, 1)]
+    zigzag = pts((.1, .1), (.5, .9), (.5, .9), (.9, .1))
+    got = clipped(spark, {1: two}, across=pts((-1, .5), (4, .5)), inside=zigzag, far=pts((5, 5), (6, 6)), corner=pts((-1, 1), (1, 3)), border=pts((0, .2), (0, .7)))
+    assert got == [("across", 1, 1, [(0, .5), (1, .5)]), ("across", 1, 2, [(2, .5), (3, .5)]), ("border", 1, 0, [(0, .2), (0, .7)]),
+                   ("inside", 1, 0, [(.1, .1), (.5, .9), (.5, .9), (.9, .1)])]
 
 
-def test_clip_gives_parts_in_order():
-    rings = [np.array([(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)], float), np.array([(2, 0), (3, 0), (3, 1), (2, 1), (2, 0)], float)]
-    parts = Geo.clip(np.array([(-1, .5), (4, .5)], float), rings)
-    assert [p.tolist() for p in parts] == [[[0, .5], [1, .5]], [[2, .5], [3, .5]]]
-    whole = np.array([(.1, .1), (.5, .9), (.9, .1)])
-    assert Geo.clip(whole, rings[:1])[0].tolist() == whole.tolist()
-    assert Geo.clip(np.array([(5, 5), (6, 6)], float), rings) == []
+def test_clip_slanted_concave_and_holed(spark):
+    bay = pts((0, 0), (4, 0), (4, 3), (2, 1), (0, 3), (0, 0))                     # concave: a bay from the top
+    lake = [ring(10, 0, 14, 4), pts((11, 2), (12, 1), (13, 2), (12, 3), (11, 2))]
+    got = clipped(spark, {1: [bay], 2: lake}, high=pts((-1, 2), (5, 2)), low=pts((-1, .5), (5, .5)), tip=pts((1, 1), (3, 1)), wet=pts((9, 2), (15, 2)),
+                  shore=pts((11, 2), (12, 3)), through=pts((10.5, .5), (13.5, 3.5)))
+    by = {}
+    for source, muni, part, line in got:
+        by.setdefault((source, muni), []).append((part, [(round(x, 9), round(y, 9)) for x, y in line]))
+    assert by["high", 1] == [(1, [(0, 2), (1, 2)]), (2, [(3, 2), (4, 2)])] and by["low", 1] == [(0, [(0, .5), (4, .5)])]
+    assert by["tip", 1] == [(0, [(1, 1), (3, 1)])]                               # touches the bay's tip and stays inside
+    assert by["wet", 2] == [(1, [(10, 2), (11, 2)]), (2, [(13, 2), (14, 2)])] and by["shore", 2] == [(0, [(11, 2), (12, 3)])]
+    assert by["through", 2] == [(1, [(10.5, .5), (11.5, 1.5)]), (2, [(12.5, 2.5), (13.5, 3.5)])] and len(by) == 6
 
 
 def test_split_gives_equal_pieces_with_stable_ids(spark):
     munis = spark.createDataFrame([(1, "1114", [ring(-75, 40, -74, 41)])], f"muni_id int, muni_code string, rings array<{PTS}>")
     paths = spark.createDataFrame([("NJDOT:19:0", pts((-74.75, 40.2), (-74.747, 40.2)))], f"source_id string, pts {PTS}")
-    pieces = B.split_line_equal(B.clip_paths(paths, munis))
+    pieces = O.split_line_equal(O.clip_paths(paths, munis))
     got = rows(pieces, "source_id", "length_miles", "muni_id")
     assert [g[0] for g in got] == ["NJDOT:19:0:M1114:P0:S0", "NJDOT:19:0:M1114:P0:S1"]
     assert got[0][1] == pytest.approx(got[1][1], rel=1e-6) and .05 < got[0][1] <= .1
@@ -80,7 +104,7 @@ def test_split_gives_equal_pieces_with_stable_ids(spark):
 def test_paths_that_only_touch_have_no_boundary(spark):
     munis = spark.createDataFrame([(1, "1", [ring(0, 0, 1, 1)])], f"muni_id int, muni_code string, rings array<{PTS}>")
     paths = spark.createDataFrame([("in", pts((.1, .1), (.2, .2))), ("touch", pts((1, .5), (2, .5))), ("out", pts((5, 5), (6, 6)))], f"source_id string, pts {PTS}")
-    assert rows(B.paths_without_boundary(paths, munis), "source_id") == [("out",), ("touch",)]
+    assert rows(O.paths_without_boundary(paths, munis), "source_id") == [("out",), ("touch",)]
 
 
 def test_polygon_repair_and_audit(spark):
@@ -88,12 +112,36 @@ def test_polygon_repair_and_audit(spark):
         (1, [pts((0, 0), (1, 0), (1, 0), (1, 1), (0, 1))]),                    # open, repeated vertex
         (2, [pts((0, 0), (2, 2), (2, 0), (0, 1), (0, 0))]),                    # crosses itself
         (3, [pts((0, 0), (1, 1), (0, 0))]), (4, [ring(0, 0, 1, 1)])], f"id long, rings array<{PTS}>")
-    good, bad = B.repair_polygon(df)
+    good, bad = P.repair_polygon(df)
     assert rows(good, "id") == [(1,), (4,)]
     assert rows(bad, "id", "reason") == [(2, "self_intersection"), (3, "empty_geometry")]
     assert good.filter("id = 1").select(F.size(F.col("rings")[0])).first()[0] == 5
 
 
+def test_pieces_follow_bends_and_add_up(spark):
+    line = pts((-74.75, 40.2), (-74.748, 40.2004), (-74.748, 40.2004), (-74.7475, 40.2031), (-74.745, 40.2))
+    parts = spark.createDataFrame([("p", "1", 0, 7, line), ("none", "1", 0, 7, line[:1] * 2)], f"source_id string, muni_code string, part int, muni_id int, pts {PTS}")
+    got = sorted(O.split_line_equal(parts, 0.05).withColumn("m", S.metric_length(F.col("pts"))).collect(), key=lambda r: r["piece"])
+    total = parts.filter("source_id = 'p'").select(S.metric_length(F.col("pts"))).first()[0]
+    assert len(got) == math.ceil(total / (0.05 * 1609.344)) and {r["muni_id"] for r in got} == {7}
+    assert all(r["m"] == pytest.approx(total / len(got), abs=1e-6) for r in got)
+    ends = [(r["pts"][0], r["pts"][-1]) for r in got]
+    assert ends[0][0]["x"] == -74.75 and ends[-1][1]["x"] == -74.745
+    assert all(a[1]["x"] == pytest.approx(b[0]["x"], abs=1e-11) and a[1]["y"] == pytest.approx(b[0]["y"], abs=1e-11) for a, b in zip(ends, ends[1:]))
+    assert {(-74.748, 40.2004), (-74.7475, 40.2031)} <= {(q["x"], q["y"]) for r in got for q in r["pts"]}
+
+
+def test_large_ring_and_rings_through_each_other(spark):
+    n = 20_000
+    circle = [(math.cos(2 * math.pi * i / n), math.sin(2 * math.pi * i / n)) for i in range(n)]
+    loop = circle[:5000] + [circle[5002], circle[5001]] + circle[5003:]             # two vertices change places far inside the ring
+    df = spark.createDataFrame([
+        (1, [pts(*circle, circle[0])]), (2, [pts(*loop, loop[0])]), (3, [ring(0, 0, 4, 4), ring(1, 1, 2, 2)]), (4, [ring(0, 0, 4, 4), ring(3, 1, 5, 2)]),
+        (5, [ring(0, 0, 4, 4), pts((0, 2), (1, 1), (2, 2), (1, 3), (0, 2))]), (6, [pts((0, 0), (4, 0), (4, 4), (2, 4), (2, 6), (2, 4), (0, 4), (0, 0))]), (7, None), (8, [])],
+        f"id long, rings array<{PTS}>")
+    assert dict(rows(P.polygon_problems(df), "id", "reason")) == {2: "self_intersection", 4: "ring_crossing", 6: "self_intersection", 7: "empty_geometry", 8: "empty_geometry"}
+
+
 def test_wkt(spark):
     one = spark.range(1).select(
         S.to_multipolygon_wkt(F.array(S.box_rings(F.lit(0), F.lit(0), F.lit(1), F.lit(2)))).alias("ok"),
