@@ -152,11 +152,23 @@ def archive_totals(spark, d):
     return _archives(spark, d)
 
 
-@query("manifest_totals", f"""WITH {PREPARED} SELECT count(DISTINCT archive) AS archives, count(*) AS records, count(*) - count(reason) AS loaded, count(reason) AS rejected,
- 'running' AS status FROM a_tag""")
+@query("manifest_totals", f"""WITH {PREPARED}, per AS (SELECT archive, count(*) AS records, count(*) - count(reason) AS loaded, count(reason) AS rejected,
+  CASE WHEN archive = 'file3' THEN 'failed' WHEN archive = 'file2' THEN 'pending' ELSE 'succeeded' END AS status FROM a_tag GROUP BY archive),
+ picked AS (SELECT run, p.* FROM per p, (VALUES ('all'), ('sound'), ('open'), ('none')) r(run)
+   WHERE run = 'all' OR (run = 'sound' AND status = 'succeeded') OR (run = 'open' AND status <> 'failed'))
+SELECT run, count(status) AS archives, CAST(coalesce(sum(records), 0) AS BIGINT) AS records, CAST(coalesce(sum(loaded), 0) AS BIGINT) AS loaded, CAST(0 AS BIGINT) AS updated,
+ CAST(0 AS BIGINT) AS duplicates, CAST(coalesce(sum(rejected), 0) AS BIGINT) AS rejected, coalesce(count(CASE WHEN status = 'succeeded' THEN 1 END), 0) AS succeeded,
+ CASE WHEN coalesce(bool_or(status = 'failed'), FALSE) THEN 'failed' WHEN coalesce(bool_and(status = 'succeeded'), FALSE) THEN 'succeeded' ELSE 'running' END AS status
+FROM (VALUES ('all'), ('sound'), ('open'), ('none')) r(run) LEFT JOIN picked USING (run) GROUP BY run""")
 def manifest_totals(spark, d):
-    state = F.when(F.col("archive") == "file3", "pending").otherwise("succeeded")
-    return L.manifest_totals(_archives(spark, d).withColumn("status", state))
+    state = F.when(F.col("archive") == "file3", "failed").when(F.col("archive") == "file2", "pending").otherwise("succeeded")
+    archives = stage(_archives(spark, d).withColumn("status", state), "checks-archives")
+    out = None
+    for run, picked in (("all", "true"), ("sound", "status = 'succeeded'"), ("open", "status <> 'failed'"), ("none", "false")):
+        one = L.manifest_totals(archives.filter(picked)).withColumn("run", F.lit(run))
+        out = one if out is None else out.unionByName(one)
+    done = F.filter("status_counts", lambda s: s["status"] == "succeeded")
+    return out.withColumn("succeeded", F.coalesce(F.get(done, F.lit(0))["n"], F.lit(0)).cast("bigint")).drop("status_counts")
 
 
 @query("merged_reasons", f"WITH {PREPARED} SELECT 'rejection' AS kind, reason AS value, count(*) AS records FROM a_tag WHERE reason IS NOT NULL GROUP BY 2")
@@ -321,6 +333,20 @@ def clip_paths_to_boundaries(spark, d):
                         F.round(S.end_point(F.col("pts"))["x"], 9).alias("to_lon"))
 
 
+_BOUNDS = """SELECT c_custkey, CASE WHEN c_custkey % 31 = 0 THEN ' ' ELSE CONCAT(CAST(1000 + FLOOR(c_custkey / 2) AS STRING), ' ') END AS MUN_CODE,
+ CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE CONCAT('Place ', CAST(c_custkey AS STRING)) END AS MUN_LABEL, CONCAT('Name ', CAST(c_custkey AS STRING)) AS NAME, 'MERCER' AS COUNTY,
+ 'Township' AS MUN_TYPE, CASE WHEN c_custkey % 7 = 0 THEN 'LineString' ELSE 'Polygon' END AS geometry_type FROM customer"""
+
+
+@query("normalize_boundary", f"""WITH b AS (SELECT *, trim(MUN_CODE) AS code, CASE WHEN trim(MUN_CODE) = '' THEN 'required_fields' WHEN geometry_type = 'LineString' THEN 'boundary_geometry' END AS wrong FROM ({_BOUNDS}) q),
+ f AS (SELECT *, min(CASE WHEN wrong IS NULL THEN c_custkey END) OVER (PARTITION BY code) AS first FROM b)
+SELECT CAST(c_custkey AS BIGINT) AS seq, coalesce(wrong, CASE WHEN c_custkey > first THEN 'duplicate_code' END) AS reason, coalesce(MUN_LABEL, NAME) AS name FROM f""")
+def normalize_boundary(spark, d):
+    box = F.array(S.line((F.lit(0), F.lit(0)), (F.lit(1), F.lit(0)), (F.lit(1), F.lit(1)), (F.lit(0), F.lit(0))))
+    good, bad = C.normalize_boundary(view(spark, d, "customer", _BOUNDS).withColumns({"rings": box, "seq": F.col("c_custkey").cast("long")}))
+    return good.select("seq", F.lit(None).cast("string").alias("reason"), "name").unionByName(bad.select("seq", "reason", "name"))
+
+
 # Municipalities with a slanted west side, a concave east side and a triangular hole; paths across them, and across their neighbours' ends.
 _SHAPED = """SELECT muni_id, x0, y0, CAST(FLOOR(muni_id / 5) AS INT) AS tier FROM t_muni"""
 _ACROSS = """SELECT c_custkey, CONCAT('NJDOT:', CAST(c_custkey AS STRING), ':0') AS source_id, x0 - 0.05 AS xa, x0 + 0.35 AS xb, CAST(FLOOR(muni_id / 5) AS INT) AS tier,
@@ -515,10 +541,12 @@ def summary_labels(spark, d):
     return view(spark, d, "t_dash").groupBy("summary", F.array_join(T.summary_labels(F.col("summary")), "|").alias("labels")).agg(F.count("*").alias("n"))
 
 
-@query("json_point", """SELECT id_cr, geopoint, CASE WHEN lon BETWEEN -75.6 AND -73.9 AND lat BETWEEN 38.9 AND 41.4 THEN lon END AS lon, count(*) AS n
-FROM (SELECT *, TRY_CAST(NULLIF(geopoint, '') ->> 'lon' AS DOUBLE) AS lon, TRY_CAST(NULLIF(geopoint, '') ->> 'lat' AS DOUBLE) AS lat FROM (SELECT id_cr, geopoint FROM t_dash) q) t GROUP BY 1, 2, 3""")
+@query("json_point", """SELECT id_cr, geopoint, CASE WHEN lon BETWEEN -75.6 AND -73.9 AND lat BETWEEN 38.9 AND 41.4 THEN lon END AS lon,
+ CASE WHEN lon BETWEEN -75.6 AND -73.9 AND lat BETWEEN 38.9 AND 41.4 THEN lat END AS lat, count(*) AS n
+FROM (SELECT *, TRY_CAST(NULLIF(geopoint, '') ->> 'lon' AS DOUBLE) AS lon, TRY_CAST(NULLIF(geopoint, '') ->> 'lat' AS DOUBLE) AS lat FROM (SELECT id_cr, geopoint FROM t_dash) q) t GROUP BY 1, 2, 3, 4""")
 def json_point(spark, d):
-    return view(spark, d, "t_dash").groupBy("id_cr", "geopoint", N.json_point(F.col("geopoint"))["lon"].alias("lon")).agg(F.count("*").alias("n"))
+    p = N.json_point(F.col("geopoint"))
+    return view(spark, d, "t_dash").groupBy("id_cr", "geopoint", p["lon"].alias("lon"), p["lat"].alias("lat")).agg(F.count("*").alias("n"))
 
 
 @query("prepare_dashboard", f"""WITH {DASH} SELECT id_cr AS dashboard_id, {_DEXT} AS external_id, muni_id, CAST(dt AS VARCHAR) AS crash_date,
@@ -594,11 +622,16 @@ def ambiguous_legacy_identity(spark, d):
 
 
 @query("validate_export", f"""SELECT CAST(count(*) AS BIGINT) AS rows, count(DISTINCT id_cr) AS unique_ids, count(CASE WHEN r = 'year' THEN 1 END) AS outside_years, count(CASE WHEN r = 'date' THEN 1 END) AS invalid_dates,
- count(CASE WHEN r = 'date_year' THEN 1 END) AS date_year_conflicts, count(CASE WHEN r = 'id' THEN 1 END) AS invalid_ids, count(*) - count(DISTINCT id_cr) AS duplicate_ids
+ count(CASE WHEN r = 'date_year' THEN 1 END) AS date_year_conflicts, count(CASE WHEN r = 'id' THEN 1 END) AS invalid_ids, count(*) - count(DISTINCT id_cr) AS duplicate_ids, 20000 - count(*) AS missing_rows
 FROM (SELECT id_cr, CASE WHEN CAST(year AS INT) NOT BETWEEN 2019 AND 2025 THEN 'year' WHEN TRY_CAST(dateofcrash AS DATE) IS NULL THEN 'date'
   WHEN year(CAST(dateofcrash AS DATE)) <> CAST(year AS INT) THEN 'date_year' WHEN NOT regexp_full_match(id_cr, '[0-9]+') THEN 'id' END AS r FROM t_dash) t""")
 def validate_export(spark, d):
-    return C.validate_export(raw_dash(spark, d), 2019, 2025)
+    return C.validate_export(raw_dash(spark, d), 2019, 2025, expected_rows=20000)
+
+
+@query("export_counts_by_year", "SELECT year, count(*) AS rows FROM t_dash GROUP BY year")
+def export_counts_by_year(spark, d):
+    return C.export_counts_by_year(raw_dash(spark, d))
 
 
 # --- archives as frames ------------------------------------------------------------------------
@@ -608,6 +641,22 @@ _ARCHIVE_ROWS = """SELECT CASE WHEN o_custkey % 3 = 0 THEN 'A0' ELSE CONCAT('A',
  CONCAT('t', CAST(o_orderkey % 97 AS STRING)) AS txt, CONCAT('d', CAST(o_orderkey % 89 AS STRING)) AS dmg FROM orders"""
 
 
+@query("run_report", f"""WITH {PREPARED}, per AS (SELECT archive, count(*) AS records, count(reason) AS rejected FROM a_tag GROUP BY archive),
+ why AS (SELECT 'rejection' AS kind, reason AS value, count(*) AS n FROM a_tag WHERE reason IS NOT NULL GROUP BY ALL
+   UNION ALL SELECT 'coordinate_issue', issue, count(*) FROM (SELECT {_ISSUE} AS issue FROM t_archive) i WHERE issue IS NOT NULL GROUP BY ALL)
+SELECT 'archives' AS pipeline, 'failed' AS status, '2022' AS year, sum(records)::BIGINT AS records, sum(rejected)::BIGINT AS rejected, count(*) AS archives,
+ (SELECT string_agg(kind || '=' || value || ':' || n, '|' ORDER BY kind, value) FROM why) AS counts, string_agg(archive || ':' || records, '|' ORDER BY archive) AS listed FROM per""")
+def run_report(spark, d):
+    tagged = stage(C.tag_crash(archive(spark, d), "Mercer", 2022).withColumn("coordinate_issue", F.col("reported.issue")).select("archive", "reason", "coordinate_issue"), "checks-tagged")
+    status = F.when(F.col("archive") == "file3", "failed").otherwise("succeeded")
+    archives = L.archive_totals(tagged.withColumn("status", F.when(F.col("reason").isNull(), "loaded").otherwise("rejected"))).withColumn("status", status)
+    report = L.run_report("archives", archives, L.rejection_counts(tagged), {"year": 2022, "county": None})
+    return report.select(
+        "pipeline", "status", F.col("parameters")["year"].alias("year"), "totals.records", "totals.rejected", "totals.archives",
+        F.array_join(F.transform("counts", lambda c: F.concat(c["kind"], F.lit("="), c["value"], F.lit(":"), c["records"].cast("string"))), "|").alias("counts"),
+        F.array_join(F.transform("archives", lambda a: F.concat(a["archive"], F.lit(":"), a["records"].cast("string"))), "|").alias("listed"))
+
+
 @query("repair_split_records", f"""WITH r AS ({_ARCHIVE_ROWS}),
  s AS (SELECT archive, list({{'w': CAST(width AS INT), 'line': CAST(line AS BIGINT), 'txt': txt, 'dmg': dmg, 'pend': CAST(NULL AS BIGINT), 'n': 0, 'chars': 0,
         'found': CAST([] AS STRUCT(line BIGINT, damage VARCHAR)[])}} ORDER BY line) AS steps FROM r GROUP BY archive),
@@ -632,6 +681,16 @@ def repair_split_records(spark, d):
         bad.select("archive", "line", F.lit(None).cast("string").alias("damage")))
 
 
+_NAMES = """SELECT DISTINCT CONCAT('/data/', CASE o_custkey % 5 WHEN 0 THEN 'Mercer' WHEN 1 THEN 'Cape May' WHEN 2 THEN 'CapeMay' WHEN 3 THEN 'Atlantis' ELSE 'ESSEX' END,
+ CAST(2015 + o_orderkey % 9 AS STRING), CASE o_orderkey % 3 WHEN 0 THEN 'Accidents.zip' WHEN 1 THEN 'Pedestrians.txt' ELSE 'Other.txt' END) AS path FROM orders"""
+
+
+@query("archive_inventory", f"""SELECT path, CASE WHEN contains(path, 'Other') THEN NULL WHEN contains(path, 'Mercer') THEN 'Mercer' WHEN contains(path, 'Cape') THEN 'Cape May' WHEN contains(path, 'ESSEX') THEN 'Essex' END AS county,
+ CASE WHEN NOT contains(path, 'Other') THEN CAST(regexp_extract(path, '[0-9]+') AS INT) END AS year FROM ({_NAMES}) n""")
+def archive_inventory(spark, d):
+    return A.archive_inventory(view(spark, d, "orders", _NAMES))
+
+
 # Person rows of an archive for each county and year; a code or a year outside the contract spoils its whole archive.
 _PERSONS = """SELECT CASE o_custkey % 4 WHEN 0 THEN 'Mercer' WHEN 1 THEN 'Essex' WHEN 2 THEN 'Camden' ELSE 'Union' END AS county, CAST(2015 + o_custkey % 9 AS INT) AS year, o_orderkey AS line,
  CASE WHEN o_orderkey % 3 = 0 THEN 'Y' WHEN o_orderkey % 3 = 1 THEN 'n' ELSE '' END AS flag, o_custkey % 9 = 3 AND o_orderkey % 500 = 4 AS bad_flag,
@@ -845,6 +904,17 @@ def companion_totals(spark, d):
     return L.companion_totals(rows.withColumns({"external_id": F.concat("external_id", F.col("k").cast("string")), "bicycle": F.col("k") % 2 == 0}))
 
 
+@query("companion_report", f"""WITH c AS (SELECT CAST(year AS INT) AS year, county, count(*) AS n FROM {_EVID} e GROUP BY ALL)
+SELECT year, count(*) AS archives, CAST(sum(3 * n) AS BIGINT) AS source_rows, CAST(sum(2 * n) AS BIGINT) AS source_person_rows, CAST(sum(n) AS BIGINT) AS source_crashes, CAST(sum(n % 5) AS BIGINT) AS matched,
+ CAST(sum(n % 3) AS BIGINT) AS updated, CAST(sum(n % 2) AS BIGINT) AS already_known, CAST(sum(n % 7) AS BIGINT) AS unmatched, CAST(0 AS BIGINT) AS conflicting_false
+FROM c GROUP BY GROUPING SETS ((year), ())""")
+def companion_report(spark, d):
+    n = F.col("n")
+    counts = evidence(spark, d).groupBy(F.col("year").cast("int").alias("year"), "county").agg(F.count(F.lit(1)).alias("n"))
+    values = dict(zip(L.COMPANION_COUNTERS, (3 * n, 2 * n, n, n % 5, n % 3, n % 2, n % 7, n * 0)))
+    return L.companion_report(counts.select("year", "county", *[v.cast("bigint").alias(c) for c, v in values.items()]))
+
+
 @query("unmatched_ids", f"SELECT external_id FROM ({_NEW}) n EXCEPT SELECT external_id FROM ({_OLD}) o")
 def unmatched_ids(spark, d):
     old, new = old_new(spark, d)
@@ -883,29 +953,37 @@ def upsert_municipalities(spark, d):
     return U.upsert_municipalities(m.filter("muni_id % 3 <> 0"), new)
 
 
-@query("upsert_roads", """SELECT segment_id, CASE WHEN segment_id % 2 = 0 THEN 'renamed' ELSE road_name END AS road_name, CASE WHEN segment_id % 2 = 0 THEN 'updated' ELSE 'kept' END AS action FROM t_road""")
+@query("upsert_roads", """SELECT segment_id, CASE WHEN segment_id % 2 = 0 THEN 'renamed' ELSE road_name END AS road_name, CASE WHEN segment_id % 2 = 0 THEN 'updated' ELSE 'kept' END AS action FROM t_road
+UNION ALL SELECT -segment_id, 'fresh', 'inserted' FROM t_road WHERE segment_id % 10 = 0""")
 def upsert_roads(spark, d):
     old = stored_segments(spark, d).select("source_id", "segment_id", "road_name")
-    new = old.filter("segment_id % 2 = 0").select("source_id", F.lit("renamed").alias("road_name"))
+    new = old.filter("segment_id % 2 = 0").select("source_id", "segment_id", F.lit("renamed").alias("road_name")).unionByName(
+        old.filter("segment_id % 10 = 0").select(F.concat("source_id", F.lit("N")).alias("source_id"), (-F.col("segment_id")).alias("segment_id"), F.lit("fresh").alias("road_name")))
     return U.upsert_roads(old, new).select("segment_id", "road_name", "action")
 
 
 # --- legacy files, tracts, census ---------------------------------------------------------------------
-_LEGACY = """SELECT o_orderkey, CASE WHEN o_orderkey % 19 = 0 THEN 'n/a' ELSE CONCAT('2001-', LPAD(CAST(1 + o_orderkey % 12 AS STRING), 2, '0'), '-05') END AS DATE_,
+_LEGACY = """SELECT o_orderkey, CASE WHEN o_orderkey % 19 = 0 THEN 'n/a' WHEN o_orderkey % 29 = 0 THEN '2001-04-05 junk' WHEN o_orderkey % 3 = 0 THEN CONCAT(LPAD(CAST(1 + o_orderkey % 12 AS STRING), 2, '0'), '/05/2001 08:15') ELSE CONCAT('2001-', LPAD(CAST(1 + o_orderkey % 12 AS STRING), 2, '0'), '-05') END AS DATE_,
  CASE o_custkey % 6 WHEN 0 THEN 'Fatality' WHEN 1 THEN 'Incapacitating' WHEN 2 THEN 'possible injury' WHEN 3 THEN 'PDO' WHEN 4 THEN NULL ELSE 'strange' END AS SEVERITY,
  CAST(CAST(38 + o_custkey % 5 AS DOUBLE) AS STRING) AS LAT, CASE WHEN o_orderkey % 23 = 0 THEN '' ELSE '-74.5' END AS LONG_,
  CASE o_orderkey % 4 WHEN 0 THEN 'Yes' WHEN 1 THEN 'y' WHEN 2 THEN NULL ELSE 'no' END AS PEDESTRIAN FROM orders"""
 
 
-@query("standardize_legacy_crashes", f"""SELECT o_orderkey, DATE_ AS crash_date, CASE lower(SEVERITY) WHEN 'fatality' THEN 'fatal' WHEN 'incapacitating' THEN 'serious_injury' WHEN 'possible injury' THEN 'minor_injury'
+@query("standardize_legacy_crashes", f"""SELECT o_orderkey, '2001-' || lpad(CAST(1 + o_orderkey % 12 AS VARCHAR), 2, '0') || '-05' AS crash_date, CASE lower(SEVERITY) WHEN 'fatality' THEN 'fatal' WHEN 'incapacitating' THEN 'serious_injury' WHEN 'possible injury' THEN 'minor_injury'
  ELSE 'property_damage' END AS severity, COALESCE(lower(PEDESTRIAN) IN ('yes', 'true', '1', 'y'), FALSE) AS ped_involved, 'medium' AS geocode_quality
-FROM ({_LEGACY}) l WHERE DATE_ <> 'n/a' AND LONG_ <> '' AND CAST(LAT AS DOUBLE) BETWEEN 38.5 AND 41.5""")
+FROM ({_LEGACY}) l WHERE DATE_ NOT IN ('n/a', '2001-04-05 junk') AND LONG_ <> '' AND CAST(LAT AS DOUBLE) BETWEEN 38.5 AND 41.5""")
 def standardize_legacy_crashes(spark, d):
     raw = view(spark, d, "orders", _LEGACY).withColumnsRenamed({"DATE_": "DATE", "LONG_": "LONG"})
     return C.standardize_legacy_crashes(raw).select(
         "o_orderkey", F.col("crash_date").cast("string").alias("crash_date"), "severity", "ped_involved", "geocode_quality")
 
 
+@query("legacy_drops", f"""SELECT CASE WHEN DATE_ IN ('n/a', '2001-04-05 junk') THEN 'date' WHEN LONG_ = '' THEN 'coordinates' ELSE 'bounds' END AS reason, count(*) AS records
+FROM ({_LEGACY}) l WHERE DATE_ IN ('n/a', '2001-04-05 junk') OR LONG_ = '' OR NOT CAST(LAT AS DOUBLE) BETWEEN 38.5 AND 41.5 GROUP BY ALL""")
+def legacy_drops(spark, d):
+    return C.legacy_drops(view(spark, d, "orders", _LEGACY).withColumnsRenamed({"DATE_": "DATE", "LONG_": "LONG"}))
+
+
 _SVI = """SELECT c_custkey, CASE WHEN c_custkey % 31 = 0 THEN 'PA' ELSE 'NJ' END AS ST_ABBR,
  CASE WHEN c_custkey % 37 = 0 THEN '3400' ELSE CONCAT('34', LPAD(CAST(c_custkey AS STRING), 9, '0')) END AS FIPS,
  CASE WHEN c_custkey % 41 = 0 THEN 'Point' ELSE 'Polygon' END AS geometry_type,
@@ -953,10 +1031,12 @@ def census(spark, d):
     return view(spark, d, "customer", _CENSUS)
 
 
-@query("vulnerability_index", f"WITH {INDEX} SELECT tract_id, round(pn, 6) AS pct_below_poverty_norm, round(score, 6) AS svi_score FROM v_rank")
+@query("vulnerability_index", f"""WITH {INDEX} SELECT tract_id, round(pn, 6) AS pct_below_poverty_norm, round(vn, 6) AS pct_no_vehicle_norm, round(mn, 6) AS pct_minority_norm, round(score, 6) AS svi_score,
+ round((r + (ties - 1) / 2) / n * 100 + 1e-10, 6) AS svi_percentile FROM v_rank""")
 def vulnerability_index(spark, d):
     return E.vulnerability_index(census(spark, d)).select(
-        "tract_id", F.round("pct_below_poverty_norm", 6).alias("pct_below_poverty_norm"), F.round("svi_score", 6).alias("svi_score"))
+        "tract_id", *[F.round(c, 6).alias(c) for c in ("pct_below_poverty_norm", "pct_no_vehicle_norm", "pct_minority_norm", "svi_score")],
+        F.round(F.col("svi_percentile") + 1e-10, 6).alias("svi_percentile"))
 
 
 @query("percentile_rank_avg", """WITH r AS (SELECT s_suppkey, s_suppkey % 40 AS v, rank() OVER (ORDER BY s_suppkey % 40) AS r, count(*) OVER (PARTITION BY s_suppkey % 40) AS t, count(*) OVER () AS n FROM supplier)
@@ -1007,7 +1087,23 @@ def repair_polygon(spark, d):
     return good.select("tract_id", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("tract_id", "reason"))
 
 
-@query("multipolygon_wkt", """SELECT tract_id, starts_with('MULTIPOLYGON (((', 'MULTIPOLYGON') AS is_wkt, 5 AS positions FROM t_tract""")
+# Quarter degrees, so that both engines write the same digits.
+_QUARTERS = """SELECT s_suppkey, CAST(s_suppkey % 300 AS DOUBLE) / CAST(4 AS DOUBLE) - CAST(75 AS DOUBLE) AS x, CAST(s_suppkey % 30 AS DOUBLE) / CAST(4 AS DOUBLE) AS y FROM supplier"""
+
+
+def _wkt_box(size, shift):
+    corners = [(shift, shift), (shift + size, shift), (shift + size, shift + size), (shift, shift + size), (shift, shift)]
+    return "'(' || " + " || ', ' || ".join(f"CAST(x + {dx} AS DOUBLE) || ' ' || CAST(y + {dy} AS DOUBLE)" for dx, dy in corners) + " || ')'"
+
+
+@query("multipolygon_wkt", f"""SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE 'MULTIPOLYGON ((' || {_wkt_box(8, 0)} || ', ' || {_wkt_box(2, 1)} || ')' ||
+ CASE WHEN s_suppkey % 2 = 0 THEN ', (' || {_wkt_box(1, 20)} || ')' ELSE '' END || ')' END AS wkt FROM ({_QUARTERS}) q""")
 def multipolygon_wkt(spark, d):
-    wkt = tracts(spark, d).select("tract_id", S.to_multipolygon_wkt(F.array("rings")).alias("w"))
-    return wkt.select("tract_id", F.col("w").startswith("MULTIPOLYGON (((").alias("is_wkt"), F.size(F.split("w", ",")).alias("positions"))
+    def box(size, shift):
+        x, y = F.col("x") + shift, F.col("y") + shift
+        return S.line((x, y), (x + size, y), (x + size, y + size), (x, y + size), (x, y))
+
+    first, far = F.array(box(8, 0), box(2, 1)), F.array(box(1, 20))
+    broken = F.array(F.slice(box(8, 0), 1, 4))                     # an open ring
+    shape = F.when(F.col("s_suppkey") % 5 == 0, F.array(broken)).when(F.col("s_suppkey") % 2 == 0, F.array(first, far)).otherwise(F.array(first))
+    return view(spark, d, "supplier", _QUARTERS).select("s_suppkey", S.to_multipolygon_wkt(shape).alias("wkt"))

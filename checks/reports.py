@@ -526,15 +526,25 @@ def crash_counts_by_year(spark, d):
     return M.crash_counts_by_year(before, after, (1998, 1999))
 
 
-@query("dataset_fingerprint")
+def _digest_sql(columns, dataset=None):
+    values = " || ',' || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in sorted(columns))
+    halves = " || '-' || ".join(f"CAST(coalesce(sum(CAST('0x' || substr(m, {at}, 15) AS BIGINT)), 0) AS VARCHAR)" for at in (1, 16))
+    name = f"'{dataset}' AS dataset, " if dataset else ""
+    return f"SELECT {name}count(*) AS rows, {halves} AS digest FROM (SELECT md5({values}) AS m FROM t_case) r"
+
+
+_CASE_COLUMNS = ("crash_id", "muni_id", "segment_id", "crash_date", "severity", "ped_involved", "bike_involved", "total_killed")
+
+
+@query("dataset_fingerprint", _digest_sql([c for c in _CASE_COLUMNS if c != "segment_id"], "crashes"))
 def dataset_fingerprint(spark, d):
-    columns = [c for c in cases(spark, d).columns if c != "segment_id"]
+    columns = [c for c in _CASE_COLUMNS if c != "segment_id"]
     return M.dataset_fingerprint("crashes", cases(spark, d), columns)
 
 
-@query("row_fingerprint")
+@query("row_fingerprint", _digest_sql([c for c in _CASE_COLUMNS if c != "bike_involved"]))
 def row_fingerprint(spark, d):
-    return M.row_fingerprint(cases(spark, d), exclude=("bike_involved",))
+    return M.row_fingerprint(cases(spark, d).select(*_CASE_COLUMNS), exclude=("bike_involved",))
 
 
 _LOADS = """SELECT p_brand, count(*) AS source_count, count(*) - CASE WHEN min(p_partkey) % 7 = 1 THEN 1 ELSE 0 END AS fetched,
@@ -578,12 +588,14 @@ def csv_formula_guard(spark, d):
     return cases(spark, d).select("crash_id", T.csv_formula_guard(F.col("road_name")).alias("cell"))
 
 
-@query("crash_geojson", f"""SELECT crash_id, severity, total_killed, dashboard_id IS NOT NULL AS dashboard FROM t_case WHERE muni_id = 8 AND {PERIOD} AND ped_involved""")
+@query("crash_geojson", f"""SELECT crash_id, CAST(crash_date AS VARCHAR) AS date, severity, CAST(ped_involved AS VARCHAR) AS ped_involved, CAST(bike_involved AS VARCHAR) AS bike_involved, total_killed, road_name, geocode_quality,
+ dashboard_id IS NOT NULL AS dashboard, segment_id / 1000 AS lon, 40.5::DOUBLE AS lat FROM t_case WHERE {PERIOD} AND ped_involved""")
 def crash_geojson(spark, d):
-    f = X.crash_geojson(export_cases(spark, d), muni_id=8, y1=Y1, y2=Y2, ped_only=True)
+    f = X.crash_geojson(export_cases(spark, d), y1=Y1, y2=Y2, ped_only=True)
     p = lambda name: F.get_json_object("feature", f"$.properties.{name}")
-    return f.select("crash_id", p("severity").alias("severity"), p("total_killed").try_cast("int").alias("total_killed"),
-                    p("source_name").isNotNull().alias("dashboard"))
+    at = lambda i: F.get_json_object("feature", f"$.geometry.coordinates[{i}]").try_cast("double")
+    return f.select("crash_id", *[p(c).alias(c) for c in ("date", "severity", "ped_involved", "bike_involved", "road_name", "geocode_quality")],
+                    p("total_killed").try_cast("int").alias("total_killed"), p("source_name").isNotNull().alias("dashboard"), at(0).alias("lon"), at(1).alias("lat"))
 
 
 @query("hin_geojson", """SELECT h.hin_id, h.segment_id, r.road_name, h.crash_rate, round(x2, 6) AS end_lon

@@ -12,18 +12,20 @@ from hazardgrid.operators.ranking import average_rank_pct
 def first_intersecting_tract(roads: DataFrame, tracts: DataFrame) -> DataFrame:
     """``segment_id, tract_id, svi_score, svi_percentile`` of the lowest tract id met.
 
-    Tracts with the same outline are merged first: only the lowest id can win.
+    Of tracts with the same outline only the one with the lowest id can win; outlines are compared by digest, so that no geometry is grouped.
     """
-    outlines = tracts.groupBy("rings").agg(F.min_by(
-        F.struct("tract_id", "svi_score", "svi_percentile"), "tract_id").alias("tract"))
+    digests = tracts.select("tract_id", F.sha2(F.to_json("rings"), 256).alias("outline"))
+    winners = digests.groupBy("outline").agg(F.min("tract_id").alias("tract_id")).select("tract_id")
+    outlines = tracts.join(winners, "tract_id", "left_semi").select(F.struct("tract_id", "svi_score", "svi_percentile").alias("tract"), "rings")
     hits = lines_meeting_polygons(roads.select("segment_id", "pts"), outlines)
     best = hits.groupBy("segment_id").agg(F.min_by("tract", F.col("tract.tract_id")).alias("tract"))
     return roads.select("segment_id").join(best, "segment_id", "left").select("segment_id", "tract.*")
 
 
 def equity_overlay(results: DataFrame, roads: DataFrame, tracts: DataFrame) -> DataFrame:
-    """Set ``avg_svi_score`` and ``in_vulnerable_tract``; without a tract both are NULL."""
-    found = first_intersecting_tract(roads, tracts).select(
+    """Set ``avg_svi_score`` and ``in_vulnerable_tract``; without a tract both are NULL.  Only roads of ``results`` are overlaid."""
+    asked = roads.join(results.select("segment_id").distinct(), "segment_id", "left_semi")
+    found = first_intersecting_tract(asked, tracts).select(
         "segment_id", F.col("svi_score").alias("avg_svi_score"),
         (F.col("svi_percentile") > V.VULNERABLE_PERCENTILE).alias("in_vulnerable_tract"))
     return results.drop("avg_svi_score", "in_vulnerable_tract").join(found, "segment_id", "left")

@@ -80,6 +80,18 @@ def _counts(spark: SparkSession, root: str, load: str) -> dict[int, tuple[str, i
     return {r["part_year"]: (load, r["count"]) for r in found}
 
 
+def write_checked(state: DataFrame, folder: str, expected: int) -> DataFrame:
+    """Write a table with ``action`` to a new folder and read it back without it; ``expected`` rows must be inserted or updated.
+
+    The count is taken by the write itself.  With another count the folder must not be used, and :class:`CountMismatch` says so.
+    """
+    watch = Observation()
+    state.observe(watch, F.count_if(F.col("action").isin("inserted", "updated")).alias("changed")).drop("action").write.mode("errorifexists").parquet(folder)
+    if watch.get["changed"] != expected:
+        raise CountMismatch(f"affected {watch.get['changed']} rows, expected {expected}: {folder} is not valid")
+    return state.sparkSession.read.schema(state.drop("action").schema).parquet(folder)
+
+
 def create(rows: DataFrame, root: str, date: str, version: int = 1) -> None:
     """Write a whole table as its first version."""
     spark, watch = rows.sparkSession, Observation()

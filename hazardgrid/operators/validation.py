@@ -344,8 +344,16 @@ def dashboard_details(crashes: DataFrame) -> DataFrame:
     return crashes.withColumns(out)
 
 
-def validate_export(df: DataFrame, y1: int, y2: int) -> DataFrame:
-    """One row of problem counts for a dashboard export, plus rows and distinct ids."""
+def export_counts_by_year(df: DataFrame) -> DataFrame:
+    """``year, rows`` of an export, by the text of its year column."""
+    return df.groupBy(T.strip(F.coalesce("Year", F.lit(""))).alias("year")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def validate_export(df: DataFrame, y1: int, y2: int, expected_rows: int | None = None) -> DataFrame:
+    """One row of problem counts for a dashboard export, plus rows and distinct ids.
+
+    ``missing_rows`` is how many fewer rows there are than expected (negative: more), null without an expectation.
+    """
     year_text = T.strip(F.coalesce("Year", F.lit("")))
     year = F.when(year_text.rlike(r"^\d+$"), year_text.try_cast("long"))
     day = N.iso_date(F.col("dateofcrash"))
@@ -360,16 +368,34 @@ def validate_export(df: DataFrame, y1: int, y2: int) -> DataFrame:
     return per_id.agg(
         F.sum("n").alias("rows"), F.count(F.lit(1)).alias("unique_ids"), F.sum("year").alias("outside_years"),
         F.sum("date").alias("invalid_dates"), F.sum("date_year").alias("date_year_conflicts"),
-        F.sum("bad_id").alias("invalid_ids"), F.sum(F.col("n") - 1).alias("duplicate_ids"))
+        F.sum("bad_id").alias("invalid_ids"), F.sum(F.col("n") - 1).alias("duplicate_ids"),
+        (F.lit(expected_rows).cast("bigint") - F.coalesce(F.sum("n"), F.lit(0))).alias("missing_rows"))
 
 
 # --- legacy crash CSV ---------------------------------------------------------
 
 def standardize_legacy_crashes(df: DataFrame) -> DataFrame:
-    """Alias names, known vocabularies, bounds and essential fields of a legacy CSV."""
+    """Alias names, known vocabularies, bounds and essential fields of a legacy CSV; rows that miss an essential field go, see :func:`legacy_drops`."""
+    kept = tag_legacy_crashes(df)
+    return kept.filter(F.col("reason").isNull()).drop("reason")
+
+
+def legacy_drops(df: DataFrame) -> DataFrame:
+    """``reason, records`` of the rows that :func:`standardize_legacy_crashes` leaves out."""
+    return tag_legacy_crashes(df).filter(F.col("reason").isNotNull()).groupBy("reason").agg(F.count(F.lit(1)).alias("records"))
+
+
+def tag_legacy_crashes(df: DataFrame) -> DataFrame:
+    """Standardised rows with ``reason``: ``date``, ``coordinates`` (missing or no numbers) or ``bounds``.
+
+    A date is a whole ISO or US date, alone or before a time of day.
+    """
     df = df.withColumnsRenamed({k: v for k, v in V.LEGACY_COLUMN_ALIASES.items() if k in df.columns})
     text = F.col("crash_date").cast("string")
-    day = F.coalesce(N.iso_date(F.substring(text, 1, 10)), N.us_date(text))
+    # The whole cell must have the form; what follows the date must be a time.
+    form = r"^(\d{4}-\d{2}-\d{2}|\d{8}|\d{1,2}/\d{1,2}/\d{4})([T ]\d{1,2}:\d{2}(:\d{2}([.,]\d+)?)?( ?[AaPp][Mm])?(Z|[+-]\d{2}:?\d{2})?)?$"
+    date = F.nullif(F.regexp_extract(T.strip(text), form, 1), F.lit(""))
+    day = F.coalesce(N.iso_date(date), N.us_date(date))
     out = {
         "crash_date": day,
         "severity": F.coalesce(T.lookup(V.LEGACY_SEVERITY, F.lower("severity")), F.lit("property_damage")),
@@ -380,8 +406,9 @@ def standardize_legacy_crashes(df: DataFrame) -> DataFrame:
     for flag in ("ped_involved", "bike_involved"):
         if flag in df.columns:
             out[flag] = F.coalesce(F.lower(F.col(flag).cast("string")).isin(*V.LEGACY_TRUE), F.lit(False))
-    return df.withColumns(out).filter(
-        N.inside_bounds(F.col("longitude"), F.col("latitude"), V.LEGACY_BOUNDS) & F.col("crash_date").isNotNull())
+    return df.withColumns(out).withColumn("reason", first_reason(
+        (F.col("crash_date").isNull(), "date"), (F.col("longitude").isNull() | F.col("latitude").isNull(), "coordinates"),
+        (~N.inside_bounds(F.col("longitude"), F.col("latitude"), V.LEGACY_BOUNDS), "bounds")))
 
 
 # --- tracts, boundaries, roads -------------------------------------------------

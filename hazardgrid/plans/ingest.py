@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from hazardgrid.operators.loads import archive_totals, rejection_counts
 from hazardgrid.operators.locating import resolve_location
-from hazardgrid.operators.upserts import upsert_crashes
+from hazardgrid.operators.snapshots import write_checked
+from hazardgrid.operators.upserts import upsert_crashes, upsert_tracts
 from hazardgrid.operators.validation import dedupe_last_wins, match_municipality, split_rejects, tag_crash
 from hazardgrid.session import cut_lineage
 
@@ -71,3 +72,6 @@ def empty_crash_table(spark) -> DataFrame:
     return spark.createDataFrame([], CRASH_TABLE)
 
 
+def load_tracts(incoming: DataFrame, existing: DataFrame, folder: str) -> DataFrame:
+    """The tract table with all incoming tracts merged in, written to a new folder; refused unless exactly these were inserted or updated."""
+    return write_checked(upsert_tracts(existing, incoming), folder, incoming.count())

@@ -50,14 +50,22 @@ def crash_geojson(crashes: DataFrame, **filters) -> DataFrame:
     return df.select("crash_id", _feature(geometry, properties).alias("feature"))
 
 
-def hin_features(results: DataFrame, roads: DataFrame, kind: str = "general") -> DataFrame:
-    """Significant results of one kind with the feature properties as columns plus ``pts``."""
-    joined = filter_hin_type(results, kind).join(roads.select("segment_id", "road_name", "pts"), "segment_id")
+def hin_features(results: DataFrame, roads: DataFrame, kind: str = "general", crashes: DataFrame | None = None) -> DataFrame:
+    """Significant results of one kind with the feature properties as columns plus ``pts``.
+
+    The bicycle network needs the ``crashes`` behind the results, and is refused while the involvement of any of them is unknown.
+    """
+    unknown = 0
+    if kind == "bicycle":
+        if crashes is None:
+            raise ValueError("the bicycle network needs the crashes of the analysis")
+        unknown = crashes.filter(F.col("bike_involved").isNull()).limit(1).count()
+    joined = filter_hin_type(results, kind, unknown).join(roads.select("segment_id", "road_name", "pts"), "segment_id")
     return joined.withColumn("crash_count", F.col("crash_count_total")).select(*SEGMENT_PROPERTIES, "pts")
 
 
-def hin_geojson(results: DataFrame, roads: DataFrame, kind: str = "general") -> DataFrame:
-    df = hin_features(results, roads, kind)
+def hin_geojson(results: DataFrame, roads: DataFrame, kind: str = "general", crashes: DataFrame | None = None) -> DataFrame:
+    df = hin_features(results, roads, kind, crashes)
     geometry = F.struct(F.lit("LineString").alias("type"), F.transform(
         "pts", lambda p: F.array(p["x"], p["y"])).alias("coordinates"))
     return df.select("hin_id", _feature(geometry, F.struct(*SEGMENT_PROPERTIES)).alias("feature"))
@@ -106,5 +114,8 @@ def write_features(features: DataFrame, path: str, single_collection: bool = Fal
 
 
 def write_run_report(report: DataFrame, path: str) -> None:
-    """Manifest rows as JSON.  Spark's commit makes the folder appear complete or not at all."""
-    report.write.mode("errorifexists").json(path, ignoreNullFields=False)
+    """A report (:func:`hazardgrid.operators.loads.run_report`, one row) as one JSON line.
+
+    Spark writes below a temporary name and renames when the job commits, so the folder appears complete or not at all.
+    """
+    report.coalesce(1).write.mode("errorifexists").json(path, ignoreNullFields=False)

@@ -29,22 +29,35 @@ def check_source_contract(available: dict[str, str] | T.StructType, required: li
         raise SourceContractError("road source has no measures")
 
 
-def scan_dashboard_csv(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
-    """Headered UTF-8 CSV as strings; a bad header or row width fails the whole job, also files whose headers differ.
-
-    With ``multi_line=False`` (no line breaks inside cells) one file is split over
-    many tasks.
-    """
-    head = spark.read.option("multiLine", multi_line).option("encoding", "UTF-8").csv(path, header=False).limit(1).first()
+def _dashboard_header(spark: SparkSession, file: str, multi_line: bool) -> tuple[str, ...]:
+    head = spark.read.option("multiLine", multi_line).option("encoding", "UTF-8").csv(file, header=False).limit(1).first()
     if head is None:
         raise SourceContractError("empty_csv")
-    names = [(n or "").lstrip("﻿") for n in head]
+    names = tuple((n or "").lstrip("\ufeff") for n in head)
     if len(set(names)) != len(names) or not set(V.DASHBOARD_REQUIRED) <= set(names):
         raise SourceContractError("missing_or_duplicate_columns")
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    rows = spark.read.schema(schema).csv(
-        path, header=True, multiLine=multi_line, mode="FAILFAST", enforceSchema=False, encoding="UTF-8",
-        quote='"', escape='"').fillna("")          # a blank cell is text, a short row already failed
+    return names
+
+
+def scan_dashboard_csv(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
+    """Headered UTF-8 CSV as strings, every file read by its own header; a bad header or row width fails the whole job.
+
+    Columns are matched by name, whatever their order; a column that a file lacks is blank there.  An export is a handful of files, and only their
+    header rows reach the driver.  With ``multi_line=False`` (no line breaks inside cells) one file is split over many tasks.
+    """
+    files = sorted(r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect())
+    if not files:
+        raise SourceContractError("empty_csv")
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for file in files:
+        by_header.setdefault(_dashboard_header(spark, file, multi_line), []).append(file)
+    rows = None
+    for names, same in by_header.items():
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        part = spark.read.schema(schema).csv(
+            same, header=True, multiLine=multi_line, mode="FAILFAST", enforceSchema=False, encoding="UTF-8", quote='"', escape='"')
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    rows = rows.fillna("")          # a blank cell is text, a short row already failed
     if rows.isEmpty():
         raise SourceContractError("empty_csv")
     return rows

@@ -207,3 +207,20 @@ def test_refresh_guards(spark):
     assert {r["problem"] for r in moved.collect()} == {"length"}
     with pytest.raises(RuntimeError):
         U.require_compatible(moved)
+
+
+def test_long_edges_cost_two_buckets(spark):
+    route = spark.createDataFrame([("r", "A", 0.0, 1e9, [{"x": -75.0, "y": 40.0, "m": 0.0}, {"x": -74.0, "y": 40.0, "m": 1e9}, {"x": -74.0, "y": 40.5, "m": 1e9 + .05}])],
+                                  "source_id string, sri string, mp_start double, mp_end double, pts array<struct<x:double,y:double,m:double>>")
+    assert K.measure_edges(route).count() <= 4
+    munis = spark.createDataFrame([(1, [[{"x": -76.0, "y": 39.0}, {"x": -73.0, "y": 39.0}, {"x": -73.0, "y": 41.0}, {"x": -76.0, "y": 41.0}, {"x": -76.0, "y": 39.0}]])],
+                                  "muni_id int, rings array<array<struct<x:double,y:double>>>")
+    asked = spark.createDataFrame([(1, 1, "A", 5e8), (2, 1, "A", -1.0), (3, 1, "B", 1.0), (4, 1, "A", 0.0)], "line long, muni_id int, sri string, milepost double")
+    assert rows(K.locate_route_milepost(asked, route, munis, ["line"]), "line", "lon") == [(1, -74.5), (4, -75.0)]
+
+
+def test_legacy_dates_are_whole(spark):
+    texts = ["2022-01-05 junk", "01/05/2022 08:15", "2022-01-05", "20220105", "2022-01-05T10:00:00Z", "1/5/2022 8:15 PM", "2022-02-30", "05.01.2022", None]
+    df = spark.createDataFrame([(i, t, "fatal", 40.0, -74.5) for i, t in enumerate(texts)], "i int, crash_date string, severity string, latitude double, longitude double")
+    assert [r[0] for r in rows(C.standardize_legacy_crashes(df), "i")] == [1, 2, 3, 4, 5]
+    assert rows(C.legacy_drops(df)) == [("date", 4)]

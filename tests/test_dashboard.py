@@ -205,12 +205,16 @@ def test_files_are_read_by_their_own_header(spark, tmp_path):
 
 
 @pytest.mark.parametrize("multi_line", [True, False])
-def test_a_second_header_order_is_refused(spark, tmp_path, multi_line):
+def test_every_file_is_read_by_its_own_header(spark, tmp_path, multi_line):
     from hazardgrid import fixed_values as V
-    from hazardgrid.sources.files import scan_dashboard_csv
+    from hazardgrid.sources.files import SourceContractError, scan_dashboard_csv
     names = list(V.DASHBOARD_REQUIRED)
-    (tmp_path / "a.csv").write_bytes(b"\xef\xbb\xbf" + (",".join(names) + "\n" + ",".join("1" for _ in names) + "\n").encode())
+    (tmp_path / "a.csv").write_bytes(b"\xef\xbb\xbf" + (",".join(names) + "\n" + ",".join(f"a{i}" for i, _ in enumerate(names)) + "\n").encode())
     assert scan_dashboard_csv(spark, str(tmp_path), multi_line=multi_line).count() == 1
-    (tmp_path / "b.csv").write_text(",".join(reversed(names)) + "\n" + ",".join("2" for _ in names) + "\n")
-    with pytest.raises(Exception):
-        scan_dashboard_csv(spark, str(tmp_path), multi_line=multi_line).collect()
+    other = [*reversed(names), "extra"]
+    (tmp_path / "b.csv").write_text(",".join(other) + "\n" + ",".join([*(f"b{len(names) - 1 - i}" for i, _ in enumerate(names)), "more"]) + "\n")
+    got = rows(scan_dashboard_csv(spark, str(tmp_path), multi_line=multi_line), *names, "extra")
+    assert got == [(*(f"{f}{i}" for i, _ in enumerate(names)), e) for f, e in (("a", ""), ("b", "more"))]
+    (tmp_path / "c.csv").write_text(",".join(names[1:]) + "\n")
+    with pytest.raises(SourceContractError):
+        scan_dashboard_csv(spark, str(tmp_path), multi_line=multi_line)

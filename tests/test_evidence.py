@@ -127,6 +127,11 @@ def test_exports(spark, world, tmp_path):
     assert line["properties"]["crash_count_possible_injury"] is None and line["geometry"]["coordinates"] == [[-74.5, 40.0], [-74.4, 40.0]]
     with pytest.raises(ValueError):
         D.filter_hin_type(hin, "bicycle", unknown_involvement=3)
+    known = spark.createDataFrame([(True,), (False,)], "bike_involved boolean")
+    assert X.hin_features(hin, shaped, "bicycle", known).count() == hin.filter("is_significant AND is_bike_hin").join(shaped, "segment_id").count()
+    for crashes_ in (None, known.unionByName(spark.createDataFrame([(None,)], "bike_involved boolean"))):
+        with pytest.raises(ValueError):
+            X.hin_geojson(hin, shaped, "bicycle", crashes_)
     with pytest.raises(ValueError):
         D.filter_hin_type(hin, "other")
     X.write_run_report(spark.range(1), str(tmp_path / "run"))

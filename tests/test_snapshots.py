@@ -84,3 +84,13 @@ def test_bloom_filter_keeps_every_member_and_few_others(spark):
     assert kept.count() < 4000 * 1.25 and kept.filter("k IS NULL").isEmpty()
     none = sketches.keep_possible(all_, {"k": sketches.bloom_filter(members.limit(0), "k")})
     assert none.isEmpty()
+
+
+def test_tract_load_is_refused_unless_every_row_counts(spark, tmp_path):
+    from hazardgrid.plans.ingest import load_tracts
+    schema = "tract_id string, muni_id int, pct_below_poverty double, svi_percentile double"
+    old = spark.createDataFrame([("a", 1, .1, 10.0), ("b", 2, .2, 20.0)], schema)
+    new = spark.createDataFrame([("b", None, None, 25.0), ("c", None, None, 30.0)], schema)
+    assert rows(load_tracts(new, old, str(tmp_path / "ok"))) == [("a", 1, .1, 10.0), ("b", 2, .2, 25.0), ("c", None, None, 30.0)]
+    with pytest.raises(snapshots.CountMismatch):              # two stored rows of one id
+        load_tracts(new, old.unionByName(old), str(tmp_path / "bad"))
