@@ -52,6 +52,7 @@ def run_reconciliation(records: DataFrame, crashes: DataFrame, munis: DataFrame,
     is published only if the counts taken while writing agree: exactly the inserted and updated records changed, years outside the export's scope did
     not, and no row was lost.
     """
+    records = stage(records, "dashboard-records")       # several narrow tables are made of it
     actions = stage(R.reconcile_dashboard(R.match_records(records, crashes, munis), allow_new), "dashboard-actions")
     outcomes, report = R.reconciliation_outcomes(actions), R.reconciliation_report(actions)
     if apply_to is None:
