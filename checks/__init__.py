@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("screening", "reports", "ingest")
+MODULES = ("screening", "reports", "ingest", "published")
 
 
 def load_all() -> None:
