@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,11 +64,39 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+#: Folders staged inside the scopes that are open, innermost last.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, every folder that :func:`stage` wrote inside this scope.
+
+    What leaves the scope must not read them any more: stage it with ``keep=True``, or write it, before the scope ends.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            remove_folder(spark, path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that its path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def stage(df: DataFrame, name: str = "stage", keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to a new folder below :func:`work_folder` and read it back.
 
-    Like :func:`cut_lineage`, but columnar and compressed, so later readers prune columns.
+    Like :func:`cut_lineage`, but columnar and compressed, so later readers prune columns.  Inside a :func:`scratch` scope the folder lives as long as the
+    scope, with ``keep`` as long as the one around it.
     """
     path = new_folder(df.sparkSession, name)
+    scopes = _SCOPES[:-1] if keep else _SCOPES
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

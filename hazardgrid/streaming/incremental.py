@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from hazardgrid.operators import snapshots
 from hazardgrid.operators.upserts import touched_years, upsert_crashes
 from hazardgrid.plans.ingest import empty_crash_table, load_archives
-from hazardgrid.session import stage
+from hazardgrid.session import scratch, stage
 from hazardgrid.sources.archives import read_crash_files
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
@@ -36,13 +36,14 @@ def load_new_archives(spark: SparkSession, folder: str, root: str, munis: DataFr
         if snapshots.current(session, crashes) is None:
             snapshots.create(empty_crash_table(session), crashes, "crash_date")
         base = batch_id + 1
-        result = load_archives(*read_crash_files(batch), snapshots.read(session, crashes, base), munis, routes)
-        incoming = stage(result.incoming, "archive-incoming")
-        if snapshots.current(session, crashes) == base:
-            snapshots.apply_changes(session, crashes, "crash_date", lambda old: upsert_crashes(old, incoming),
-                                    touched_years(snapshots.read(session, crashes, base), incoming), base=base)
-        for name, frame in (("manifest", result.totals), ("reasons", result.reasons), ("rejected", result.rejected)):
-            frame.write.mode("overwrite").json(f"{root}/{name}/batch_{batch_id:08d}")
+        with scratch(session):          # all that this batch leaves behind is written below
+            result = load_archives(*read_crash_files(batch), snapshots.read(session, crashes, base), munis, routes)
+            incoming = stage(result.incoming, "archive-incoming")
+            if snapshots.current(session, crashes) == base:
+                snapshots.apply_changes(session, crashes, "crash_date", lambda old: upsert_crashes(old, incoming),
+                                        touched_years(snapshots.read(session, crashes, base), incoming), base=base)
+            for name, frame in (("manifest", result.totals), ("reasons", result.reasons), ("rejected", result.rejected)):
+                frame.write.mode("overwrite").json(f"{root}/{name}/batch_{batch_id:08d}")
 
     return (
         files.writeStream.foreachBatch(load).option("checkpointLocation", f"{root}/progress")
