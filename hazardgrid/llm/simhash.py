@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from hazardgrid.llm.common import map_texts, mix64, small_batches
 from hazardgrid.operators.corridors import connected_components
-from hazardgrid.session import stage
+from hazardgrid.session import scratch, stage
 
 #: Classes of one key compared in one task; larger keys are cut into chunks of half that size.
 PACK_MEMBERS = 4096
@@ -302,13 +302,14 @@ def keep_first(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Da
     A group is what pairs with a Jaccard similarity of ``similarity`` or more on sets of word shingles connect; every link
     is verified on the sets.  Rows equal in id and text are one; rows without an id stay, once per text.
     """
-    rows = stage(shingle_sets(docs, shingle=shingle), "near-sets").filter("id IS NOT NULL").withColumn("id", F.col("id").cast("bigint"))
-    classes = stage(rows.groupBy("digest").agg(F.min(F.struct("id", "uid")).alias("of")).select("digest", "of.id", "of.uid"), "near-classes")
-    sets = rows.join(classes.select("uid"), "uid", "left_semi")
-    roots = connected_components(alike_links(sets, similarity).select(F.lit(0).alias("scope"), "u", "v"))
-    # Sets of one id are one node.
-    named = classes.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("digest", F.coalesce("root", "id").alias("component_id"))
-    gone = rows.join(named, "digest").filter(F.col("component_id") < F.col("id")).select(F.col("id").alias("_gone")).distinct()
-    gone = stage(gone, "near-gone")
+    with scratch(docs.sparkSession):        # of all that is staged here only the ids that go are needed afterwards
+        rows = stage(shingle_sets(docs, shingle=shingle), "near-sets").filter("id IS NOT NULL").withColumn("id", F.col("id").cast("bigint"))
+        classes = stage(rows.groupBy("digest").agg(F.min(F.struct("id", "uid")).alias("of")).select("digest", "of.id", "of.uid"), "near-classes")
+        sets = rows.join(classes.select("uid"), "uid", "left_semi")
+        roots = connected_components(alike_links(sets, similarity).select(F.lit(0).alias("scope"), "u", "v"))
+        # Sets of one id are one node.
+        named = classes.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("digest", F.coalesce("root", "id").alias("component_id"))
+        gone = rows.join(named, "digest").filter(F.col("component_id") < F.col("id")).select(F.col("id").alias("_gone")).distinct()
+        gone = stage(gone, "near-gone", keep=True)
     left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left").filter("_gone IS NULL").drop("_gone")
     return left.dropDuplicates(["doc_id", "text"])
