@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import query
-from checks.reports import cases, muni_polygons, munis
+from checks.reports import muni_polygons, munis
 from checks.screening import crashes, roads, tracts
 from checks.views import view
 from hazardgrid import fixed_values as V
