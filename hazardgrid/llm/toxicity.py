@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples.
 
-Texts are vectors over words and character n-grams of words that labelled examples tie
-to toxicity, weighted by TF-IDF; document frequencies come from all texts.  The examples
+Texts are vectors over every word of the labelled examples, and over character n-grams
+that examples tie to toxicity.  A feature weighs TF-IDF times how surely the examples
+tell the classes apart by it; document frequencies come from all texts.  The examples
 are a bounded sample, so their inverted index is bounded too and may be broadcast: per
 feature it has postings and, per block of examples, the highest weight.  Blocks are
 visited by their bound until none can reach the k-th best cosine, so the neighbours are
@@ -11,6 +12,7 @@ fitted on leave-one-out votes of the examples.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 
@@ -19,27 +21,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from hazardgrid.llm.common import held_out, small_batches
-from hazardgrid.session import stage
+from hazardgrid.session import spread, stage
 
 #: Labelled examples per class that are indexed; which ones is decided by a hash of their id.
-EXAMPLES_PER_CLASS = 8192
-#: Features kept, and what makes one: examples that have it, standard errors between the classes, and how many times
-#: as frequent it is among toxic examples.  Ordinary texts then have few or none.
-FEATURES = 1024
+EXAMPLES_PER_CLASS = 2048
+#: Words of the examples that the index may hold; of more, those of the fewest examples are left out.
+VOCABULARY = 1 << 20
+#: N-grams kept, and what makes one: examples that have it, standard errors between the classes, and how many times
+#: as frequent it is among toxic examples.
+NGRAM_FEATURES = 1024
 MIN_EXAMPLES = 3
 MIN_Z = 5.0
 MIN_RATIO = 10.0
 NGRAMS = (4, 5)
+#: Least association of a feature, in standard errors: a word that tells nothing still finds neighbours.
+LEAST_ASSOCIATION = 0.1
 BLOCK = 64
 NEIGHBOURS = 25
 _WORD = re.compile(r"[^\W\d_]+")
 _WORDS_REMEMBERED = 200_000
+_SCORES_REMEMBERED = 20_000
 
 
-def word_features(word: str) -> set[str]:
-    """The word, and the n-grams of it with its borders marked."""
+def ngrams(word: str) -> set[str]:
+    """N-grams of a word with its borders marked; a blank in front tells them from words."""
     marked = f"^{word}$"
-    return {word, *(marked[i:i + n] for n in NGRAMS for i in range(len(marked) - n + 1))}
+    return {" " + marked[i:i + n] for n in NGRAMS for i in range(len(marked) - n + 1)}
 
 
 def words(text: str) -> list[str]:
@@ -60,7 +67,8 @@ def _example_counts(batches):
 
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts[toxic].update({f for w in {*words(text)} for f in word_features(w)})
+            own = {*words(text)}
+            counts[toxic].update(own.union(*map(ngrams, own)))
         if len(counts[0]) + len(counts[1]) > 500_000:
             yield flush()
     if counts[0] or counts[1]:
@@ -83,52 +91,80 @@ def examples_of(labels: DataFrame, remainder: int | None) -> tuple[DataFrame, di
         c: total.get(c, 0) / max(1, min(total.get(c, 0), EXAMPLES_PER_CLASS)) for c in (0, 1)}
 
 
-def choose_features(docs: DataFrame, examples: DataFrame) -> list[str]:
-    """Features that examples tie to toxicity, best first."""
+def choose_features(docs: DataFrame, examples: DataFrame) -> tuple[list[str], np.ndarray]:
+    """All words of the examples and the n-grams that they tie to toxicity, and the association of each."""
     small_batches(docs.sparkSession)
-    # At most 2 * EXAMPLES_PER_CLASS ids are broadcast.
-    chosen = docs.select("doc_id", "text").join(F.broadcast(examples), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
     sizes = {r["toxic"]: r["n"] for r in examples.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     a, b = sizes.get(1, 0), sizes.get(0, 0)
     if not a or not b:
-        return []
+        return [], np.zeros(0)
+    # At most 2 * EXAMPLES_PER_CLASS ids are broadcast.
+    chosen = docs.select("doc_id", "text").join(F.broadcast(examples), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
     counts = chosen.mapInArrow(_example_counts, "feature string, toxic bigint, other bigint").groupBy("feature").agg(
         F.sum("toxic").alias("x"), F.sum("other").alias("y"))
-    share = (F.col("x") + F.col("y")) / (a + b)
-    z = (F.col("x") / a - F.col("y") / b) / F.sqrt(share * (1 - share) * (1 / a + 1 / b))
+    # An id with several texts may count a feature more than once.
+    share = F.least((F.col("x") + F.col("y")) / (a + b), F.lit(1.0))
+    spread_of = F.sqrt(share * (1 - share) * (1 / a + 1 / b))
+    z = F.when(share < 1, (F.col("x") / a - F.col("y") / b) / spread_of).otherwise(0.0)
+    counts = stage(counts.withColumn("z", z).withColumn("ngram", F.col("feature").startswith(" ")), "toxicity-features")
     often = F.col("x") / a >= MIN_RATIO * (F.col("y") + 1) / b
-    best = counts.filter((F.col("x") >= MIN_EXAMPLES) & (share < 1) & often).withColumn("z", z).filter(F.col("z") >= MIN_Z)
-    return [r["feature"] for r in best.orderBy(F.desc("z"), "feature").limit(FEATURES).collect()]
+    parts = counts.filter(F.col("ngram") & (F.col("x") >= MIN_EXAMPLES) & often & (F.col("z") >= MIN_Z)).orderBy(F.desc("z"), "feature").limit(NGRAM_FEATURES)
+    whole = counts.filter(~F.col("ngram")).orderBy(F.desc(F.col("x") + F.col("y")), "feature").limit(VOCABULARY)
+    rows = whole.unionByName(parts).select("feature", "z").toArrow()
+    return rows["feature"].to_pylist(), np.maximum(np.abs(rows["z"].to_numpy()), LEAST_ASSOCIATION)
 
 
 def vectors(docs: DataFrame, features: list[str]) -> DataFrame:
     """``id, at, tf``: which features a text has and how often its words show them."""
-    number = {f: i for i, f in enumerate(features)}
+    shared = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(features)})
+    some = any(f[0] == " " for f in features)
     small_batches(docs.sparkSession)
 
     def run(batches):
+        number = shared.value
         known: dict[str, tuple[int, ...]] = {}
         for batch in batches:
-            at, tf = [], []
+            ends, at, tf = [0], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for text in batch.column(1).to_pylist():
-                count: Counter = Counter()
-                for w in words(text):
+                f: list[int] = []
+                c: list[int] = []
+                for w, n in Counter(words(text)).items():
                     got = known.get(w)
                     if got is None:
-                        got = known[w] = tuple(number[f] for f in word_features(w) if f in number)
-                    if got:
-                        count.update(got)
+                        mine = [w, *ngrams(w)] if some else [w]
+                        got = known[w] = tuple(number[x] for x in mine if x in number)
+                    for x in got:
+                        f.append(x)
+                        c.append(n)
                 if len(known) > _WORDS_REMEMBERED:
                     known.clear()
-                at.append(sorted(count))
-                tf.append([count[i] for i in at[-1]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(tf, pa.list_(pa.int32()))], ["id", "at", "tf"])
+                places, back = np.unique(np.array(f, np.int64), return_inverse=True)
+                at.append(places)
+                tf.append(np.bincount(back, c, len(places)).astype(np.int64) if len(places) else places)
+                ends.append(ends[-1] + len(places))
+            offsets = pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x).astype(np.int32))) for x in (at, tf)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["id", "at", "tf"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
         run, f"id {id_type}, at array<int>, tf array<int>")
 
 
+def ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges ``start .. stop - 1`` one after the other, and the ranges' sizes."""
+    sizes = stop - start
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(start - before, sizes) + np.arange(int(sizes.sum())), sizes
+
+
+def rows_of(batch: pa.RecordBatch, *columns: int):
+    """Per row, the lists of the given columns as numpy arrays."""
+    flat = [(batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy()) for c in columns]
+    for i in range(batch.num_rows):
+        yield tuple(v[o[i]:o[i + 1]] for o, v in flat)
+
+
 class Index:
     """Block-max inverted index over distinct example vectors."""
 
@@ -146,21 +182,26 @@ class Index:
         who = np.repeat(np.arange(len(full)), [len(r[0]) for _, r in full]) if full else np.zeros(0, int)
         val = np.concatenate([v for v, _ in full]) if full else np.zeros(0)
         order = np.lexsort((who, at))
-        self.who, self.val = who[order], val[order]
-        self.start = np.searchsorted(at[order], np.arange(len(idf) + 1))
-        self.blocks: list = []
-        for f in range(len(idf)):
-            a, b = self.start[f], self.start[f + 1]
-            block, first = np.unique(self.who[a:b] // BLOCK, return_index=True)
-            top = np.maximum.reduceat(self.val[a:b], first) if b > a else np.zeros(0)
-            self.blocks.append((block, np.append(first, b - a) + a, top))
+        at, who, self.val = at[order], who[order], val[order]
+        # An entry is a feature in a block: its postings start at ``edge``, its highest weight is ``top``.
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = (at[1:] != at[:-1]) | (who[1:] // BLOCK != who[:-1] // BLOCK)
+        first = np.flatnonzero(fresh)
+        self.inside = who % BLOCK
+        self.edge = np.append(first, len(at))
+        self.block = who[first] // BLOCK
+        self.top = np.maximum.reduceat(self.val, first) if len(first) else np.zeros(0)
+        self.entries = np.searchsorted(at[first], np.arange(len(idf) + 1))
         none = [r for r in rows if not r[0]]
         self.none = sum(r[2] for r in none) * weight[1], sum(r[3] for r in none) * weight[0]
+        every = self.none[0] + (self.toxic.sum() * weight[1]), self.none[1] + (self.other.sum() * weight[0])
+        #: Toxic rate of all examples; nothing can be told without both classes.
+        self.rate = every[0] / (every[0] + every[1]) if min(every) > 0 else 0.0
         self.lines: tuple = ([], [])                 # the isotonic map
         self.seen: dict = {}
 
     def weigh(self, at, tf) -> np.ndarray:
-        v = (1 + np.log(np.asarray(tf, float))) * self.idf[list(at)]
+        v = (1 + np.log(np.asarray(tf, float))) * self.idf[np.asarray(at, int)]
         return v / np.sqrt((v * v).sum())
 
     def nearest(self, at, tf, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
@@ -168,12 +209,11 @@ class Index:
 
         Blocks are visited in groups of doubling size, by falling bound.
         """
-        q = self.weigh(at, tf)
+        q, at = self.weigh(at, tf), np.asarray(at, int)
         n = -(-len(self.ids) // BLOCK)
-        bound = np.zeros(n)
-        for f, w in zip(at, q):
-            block, _, top = self.blocks[f]
-            bound[block] += w * top
+        entry, sizes = ranges(self.entries[at], self.entries[at + 1])
+        weight, block = np.repeat(q, sizes), self.block[entry]
+        bound = np.bincount(block, weight * self.top[entry], n)
         order = np.argsort(-bound, kind="stable")
         slot = np.full(n, -1)
         who, score, least = np.zeros(0, int), np.zeros(0), 0.0
@@ -184,13 +224,9 @@ class Index:
             if not len(group):
                 break
             slot[group] = np.arange(len(group))
-            got = np.zeros(len(group) * BLOCK)
-            for f, w in zip(at, q):
-                block, edge, _ = self.blocks[f]
-                i = np.flatnonzero(slot[block] >= 0)
-                sizes = edge[i + 1] - edge[i]
-                s = np.repeat(edge[i] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-                got[slot[self.who[s] // BLOCK] * BLOCK + self.who[s] % BLOCK] += w * self.val[s]
+            mine = np.flatnonzero(slot[block] >= 0)
+            posting, sizes = ranges(self.edge[entry[mine]], self.edge[entry[mine] + 1])
+            got = np.bincount(np.repeat(slot[block[mine]] * BLOCK, sizes) + self.inside[posting], np.repeat(weight[mine], sizes) * self.val[posting], len(group) * BLOCK)
             slot[group] = -1
             hit = np.flatnonzero(got > 0)
             who, score = np.append(who, group[hit // BLOCK] * BLOCK + hit % BLOCK), np.append(score, got[hit])
@@ -228,15 +264,15 @@ class Index:
 
     def score(self, at, tf) -> tuple[float, list[int], list[float]]:
         """Probability, and the ids and cosines of the three nearest examples."""
-        key = (*at, *tf)
+        key = hashlib.blake2b(np.concatenate((at, tf)).astype(np.int64).tobytes(), digest_size=16).digest()
         if key not in self.seen:
-            vote, who, cosine = self.vote(at, tf) if at else (None, [], [])
+            vote, who, cosine = self.vote(at, tf) if len(at) else (None, [], [])
             if vote is None:
                 t, o = self.none
-                p = (t + 0.5) / (t + o + 1.0) if t + o else 0.0
+                p = (t + self.rate) / (t + o + 1.0) if self.rate else 0.0
             else:
                 p = float(np.interp(vote, *self.lines)) if self.lines[0] else vote
-            if len(self.seen) > 100_000:
+            if len(self.seen) > _SCORES_REMEMBERED:
                 self.seen.clear()
             self.seen[key] = min(1.0, max(0.0, p)), [int(i) for i in self.ids[who[:3]]] if len(who) else [], [float(c) for c in cosine[:3]]
         return self.seen[key]
@@ -246,19 +282,19 @@ def score_documents(docs: DataFrame, labels: DataFrame, remainder: int | None =
     """``doc_id, score, evidence``: probability of the toxic label and the nearest examples with their cosines.
 
     Examples are labelled rows whose crc32 remainder modulo 5 is not ``remainder`` (None: all labelled rows).  Texts
-    without any feature, empty and null ones included, get the toxic rate of such examples; without labels of both
-    classes every score is that of no evidence.  Rows are scored by their text alone, so repeated rows score alike and
+    without any feature, empty and null ones included, get the toxic rate of such examples, smoothed by that of all;
+    without labels of both classes every score is 0.  Rows are scored by their text alone, so repeated rows score alike and
     null ids are carried; other columns are ignored.
     """
     spark = docs.sparkSession
     examples, weight = examples_of(labels, remainder)
-    features = choose_features(docs, examples)
+    features, association = choose_features(docs, examples)
     found = stage(vectors(docs, features), "toxicity-vectors")
     n = found.count()
     df = np.zeros(len(features))
-    for r in found.select(F.explode("at").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).collect():
-        df[r["f"]] = r["n"]
-    idf = np.log((n + 1) / (df + 1)) + 1
+    seen = found.select(F.explode("at").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).toArrow()      # at most the features
+    df[seen["f"].to_numpy()] = seen["n"].to_numpy()
+    idf = (np.log((n + 1) / (df + 1)) + 1) * association
     # Of several texts of one id the first by hash stands for it, so that there are no more vectors than examples.
     of = found.join(F.broadcast(examples.withColumnRenamed("doc_id", "id")), "id")
     of = of.groupBy("id").agg(F.min(F.struct(F.xxhash64("at", "tf").alias("hash"), "at", "tf", "toxic")).alias("v"))
@@ -269,26 +305,26 @@ def score_documents(docs: DataFrame, labels: DataFrame, remainder: int | None =
 
     def votes(batches):
         for batch in batches:
-            out = [(shared.value.vote(a, t, own)[0], own) for a, t, own in zip(*(batch.column(i).to_pylist() for i in range(3))) if a]
+            out = [(shared.value.vote(a, t, own)[0], own) for (a, t), own in zip(rows_of(batch, 0, 1), batch.column(2).to_pylist()) if len(a)]
             out = [(v, own) for v, own in out if v is not None]
             yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in out], pa.float64()), pa.array([o for _, o in out], pa.int32())], ["vote", "toxic"])
 
     small_batches(spark)
-    bins = labelled.select("at", "tf", "toxic").mapInArrow(votes, "vote double, toxic int").groupBy(F.floor(F.col("vote") * 100).alias("bin"), "toxic").agg(
+    bins = spread(labelled.select("at", "tf", "toxic")).mapInArrow(votes, "vote double, toxic int").groupBy(F.floor(F.col("vote") * 100).alias("bin"), "toxic").agg(
         F.avg("vote").alias("vote"), F.count(F.lit(1)).alias("n")).collect()
     index.calibrate([(r["vote"], r["n"] * weight[1] * r["toxic"], r["n"] * weight[r["toxic"]]) for r in bins])
     ready = spark.sparkContext.broadcast(index)
 
     def scores(batches):
         for batch in batches:
-            got = [ready.value.score(a, t) for a, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            got = [ready.value.score(a, t) for a, t in rows_of(batch, 1, 2)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([g[0] for g in got], pa.float64()),
                  pa.array([[{"doc_id": i, "cosine": c} for i, c in zip(g[1], g[2])] for g in got], pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())])))],
                 ["doc_id", "score", "evidence"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(scores, f"doc_id {id_type}, score double, evidence array<struct<doc_id:bigint,cosine:double>>")
+    return spread(found).mapInArrow(scores, f"doc_id {id_type}, score double, evidence array<struct<doc_id:bigint,cosine:double>>")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
