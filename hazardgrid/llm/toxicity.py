@@ -38,6 +38,8 @@ NGRAMS = (4, 5)
 LEAST_ASSOCIATION = 0.1
 BLOCK = 64
 NEIGHBOURS = 25
+#: A feature of more than this part of the examples has its postings as a table of all places; only the layout differs.
+FULL_SHARE = 0.125
 _WORD = re.compile(r"[^\W\d_]+")
 _WORDS_REMEMBERED = 200_000
 _SCORES_REMEMBERED = 20_000
@@ -49,6 +51,13 @@ def ngrams(word: str) -> set[str]:
     return {" " + marked[i:i + n] for n in NGRAMS for i in range(len(marked) - n + 1)}
 
 
+def starts_of_ngrams(word: str) -> list[str]:
+    """The shortest n-grams; every longer one begins with one of them."""
+    marked = f"^{word}$"
+    n = min(NGRAMS)
+    return [marked[i:i + n] for i in range(len(marked) - n + 1)]
+
+
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
@@ -117,7 +126,7 @@ def choose_features(docs: DataFrame, examples: DataFrame) -> tuple[list[str], np
 def vectors(docs: DataFrame, features: list[str]) -> DataFrame:
     """``id, at, tf``: which features a text has and how often its words show them."""
     shared = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(features)})
-    some = any(f[0] == " " for f in features)
+    begin = frozenset(f[1:1 + min(NGRAMS)] for f in features if f[0] == " ")
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -131,7 +140,7 @@ def vectors(docs: DataFrame, features: list[str]) -> DataFrame:
                 for w, n in Counter(words(text)).items():
                     got = known.get(w)
                     if got is None:
-                        mine = [w, *ngrams(w)] if some else [w]
+                        mine = [w] if begin.isdisjoint(starts_of_ngrams(w)) else [w, *ngrams(w)]
                         got = known[w] = tuple(number[x] for x in mine if x in number)
                     for x in got:
                         f.append(x)
@@ -187,6 +196,7 @@ class Index:
         fresh = np.ones(len(at), bool)
         fresh[1:] = (at[1:] != at[:-1]) | (who[1:] // BLOCK != who[:-1] // BLOCK)
         first = np.flatnonzero(fresh)
+        self._full_rows(at, who, first)
         self.inside = who % BLOCK
         self.edge = np.append(first, len(at))
         self.block = who[first] // BLOCK
@@ -200,6 +210,18 @@ class Index:
         self.lines: tuple = ([], [])                 # the isotonic map
         self.seen: dict = {}
 
+    def _full_rows(self, at: np.ndarray, who: np.ndarray, first: np.ndarray) -> None:
+        """Tables of the postings and block maxima of the features that most blocks have."""
+        n = -(-len(self.ids) // BLOCK)
+        often = np.bincount(at, minlength=len(self.idf)) if len(at) else np.zeros(len(self.idf), int)
+        common = np.flatnonzero(often > FULL_SHARE * max(1, len(self.ids)))
+        self.row = np.full(len(self.idf), -1)
+        self.row[common] = np.arange(len(common))
+        self.full = np.zeros((len(common), n, BLOCK))
+        mine = np.flatnonzero(self.row[at] >= 0) if len(at) else at
+        self.full[self.row[at[mine]], who[mine] // BLOCK, who[mine] % BLOCK] = self.val[mine]
+        self.full_top = self.full.max(axis=2) if n else np.zeros((len(common), 0))
+
     def weigh(self, at, tf) -> np.ndarray:
         v = (1 + np.log(np.asarray(tf, float))) * self.idf[np.asarray(at, int)]
         return v / np.sqrt((v * v).sum())
@@ -207,17 +229,20 @@ class Index:
     def nearest(self, at, tf, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` examples of the highest cosine and their cosines, exactly; ties go to the lower place.
 
-        Blocks are visited in groups of doubling size, by falling bound.
+        Blocks are visited in growing groups, by falling bound.
         """
         q, at = self.weigh(at, tf), np.asarray(at, int)
         n = -(-len(self.ids) // BLOCK)
-        entry, sizes = ranges(self.entries[at], self.entries[at + 1])
-        weight, block = np.repeat(q, sizes), self.block[entry]
-        bound = np.bincount(block, weight * self.top[entry], n)
+        row = self.row[at]
+        dense, rest = np.flatnonzero(row >= 0), np.flatnonzero(row < 0)
+        row, heavy = row[dense], q[dense]
+        entry, sizes = ranges(self.entries[at[rest]], self.entries[at[rest] + 1])
+        weight, block = np.repeat(q[rest], sizes), self.block[entry]
+        bound = np.bincount(block, weight * self.top[entry], n) + np.einsum("i,ij->j", heavy, self.full_top[row])
         order = np.argsort(-bound, kind="stable")
         slot = np.full(n, -1)
         who, score, least = np.zeros(0, int), np.zeros(0), 0.0
-        done, size = 0, 4
+        done, size = 0, 8
         while done < n:
             group = order[done:done + size]
             group = group[(bound[group] > 0) & ((len(score) < k) | (bound[group] >= least - 1e-12))]
@@ -227,13 +252,19 @@ class Index:
             mine = np.flatnonzero(slot[block] >= 0)
             posting, sizes = ranges(self.edge[entry[mine]], self.edge[entry[mine] + 1])
             got = np.bincount(np.repeat(slot[block[mine]] * BLOCK, sizes) + self.inside[posting], np.repeat(weight[mine], sizes) * self.val[posting], len(group) * BLOCK)
+            if len(row):
+                got = got + np.einsum("i,ij->j", heavy, self.full[row[:, None], group].reshape(len(row), len(got)))
+            got = np.round(got, 12)                  # the order of summing decides no tie
             slot[group] = -1
             hit = np.flatnonzero(got > 0)
             who, score = np.append(who, group[hit // BLOCK] * BLOCK + hit % BLOCK), np.append(score, got[hit])
+            if len(score) > k:
+                good = score >= np.partition(score, -k)[-k]
+                who, score = who[good], score[good]
             best = np.lexsort((who, -score))[:k]
             who, score = who[best], score[best]
             least = score[-1] if len(score) else 0.0
-            done, size = done + size, 2 * size
+            done, size = done + size, 4 * size
         return who, score
 
     def vote(self, at, tf, own: int | None = None) -> tuple[float | None, np.ndarray, np.ndarray]:
