@@ -191,17 +191,17 @@ class Index:
         who = np.repeat(np.arange(len(full)), [len(r[0]) for _, r in full]) if full else np.zeros(0, int)
         val = np.concatenate([v for v, _ in full]) if full else np.zeros(0)
         order = np.lexsort((who, at))
-        at, who, self.val = at[order], who[order], val[order]
+        at, who, val = self._full_rows(at[order], who[order], val[order])
+        self.val = val
         # An entry is a feature in a block: its postings start at ``edge``, its highest weight is ``top``.
         fresh = np.ones(len(at), bool)
         fresh[1:] = (at[1:] != at[:-1]) | (who[1:] // BLOCK != who[:-1] // BLOCK)
         first = np.flatnonzero(fresh)
-        self._full_rows(at, who, first)
-        self.inside = who % BLOCK
-        self.edge = np.append(first, len(at))
-        self.block = who[first] // BLOCK
+        self.inside = (who % BLOCK).astype(np.int16)
+        self.edge = np.append(first, len(at)).astype(np.int32)
+        self.block = (who[first] // BLOCK).astype(np.int32)
         self.top = np.maximum.reduceat(self.val, first) if len(first) else np.zeros(0)
-        self.entries = np.searchsorted(at[first], np.arange(len(idf) + 1))
+        self.entries = np.searchsorted(at[first], np.arange(len(idf) + 1)).astype(np.int32)
         none = [r for r in rows if not r[0]]
         self.none = sum(r[2] for r in none) * weight[1], sum(r[3] for r in none) * weight[0]
         every = self.none[0] + (self.toxic.sum() * weight[1]), self.none[1] + (self.other.sum() * weight[0])
@@ -210,17 +210,18 @@ class Index:
         self.lines: tuple = ([], [])                 # the isotonic map
         self.seen: dict = {}
 
-    def _full_rows(self, at: np.ndarray, who: np.ndarray, first: np.ndarray) -> None:
-        """Tables of the postings and block maxima of the features that most blocks have."""
+    def _full_rows(self, at: np.ndarray, who: np.ndarray, val: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tables of the postings and block maxima of the features that many examples have; returns the other postings."""
         n = -(-len(self.ids) // BLOCK)
-        often = np.bincount(at, minlength=len(self.idf)) if len(at) else np.zeros(len(self.idf), int)
+        often = np.bincount(at.astype(int), minlength=len(self.idf))
         common = np.flatnonzero(often > FULL_SHARE * max(1, len(self.ids)))
-        self.row = np.full(len(self.idf), -1)
+        self.row = np.full(len(self.idf), -1, np.int32)
         self.row[common] = np.arange(len(common))
         self.full = np.zeros((len(common), n, BLOCK))
-        mine = np.flatnonzero(self.row[at] >= 0) if len(at) else at
-        self.full[self.row[at[mine]], who[mine] // BLOCK, who[mine] % BLOCK] = self.val[mine]
-        self.full_top = self.full.max(axis=2) if n else np.zeros((len(common), 0))
+        mine = self.row[at.astype(int)] >= 0
+        self.full[self.row[at[mine].astype(int)], who[mine] // BLOCK, who[mine] % BLOCK] = val[mine]
+        self.full_top = self.full.max(axis=2)
+        return at[~mine], who[~mine], val[~mine]
 
     def weigh(self, at, tf) -> np.ndarray:
         v = (1 + np.log(np.asarray(tf, float))) * self.idf[np.asarray(at, int)]
@@ -344,11 +345,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, remainder: int | None =
     bins = spread(labelled.select("at", "tf", "toxic")).mapInArrow(votes, "vote double, toxic int").groupBy(F.floor(F.col("vote") * 100).alias("bin"), "toxic").agg(
         F.avg("vote").alias("vote"), F.count(F.lit(1)).alias("n")).collect()
     index.calibrate([(r["vote"], r["n"] * weight[1] * r["toxic"], r["n"] * weight[r["toxic"]]) for r in bins])
-    ready = spark.sparkContext.broadcast(index)
+    lines = index.lines                               # at most 202 bins; the index itself is sent once
 
     def scores(batches):
+        ready = shared.value
+        ready.lines = lines
         for batch in batches:
-            got = [ready.value.score(a, t) for a, t in rows_of(batch, 1, 2)]
+            got = [ready.score(a, t) for a, t in rows_of(batch, 1, 2)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([g[0] for g in got], pa.float64()),
                  pa.array([[{"doc_id": i, "cosine": c} for i, c in zip(g[1], g[2])] for g in got], pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())])))],
