@@ -82,3 +82,19 @@ def test_one_vector_per_example(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, score int")
     assert toxicity.score_documents(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), None).count() == len(rows)
     assert sizes == [len(examples)]
+
+
+@pytest.mark.parametrize("toxic", [0, 1])
+def test_labels_of_one_class_tell_nothing(spark, toxic):
+    docs = spark.createDataFrame([(1, "filthy a"), (2, "b"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, toxic), (2, toxic)], "doc_id long, toxic int")
+    assert {r.score for r in toxicity.score_documents(docs, labels, None).collect()} == {0.0}
+    assert toxicity.drop_toxic(docs, labels).count() == 3
+
+
+def test_every_word_of_an_example_finds_neighbours(spark):
+    rows, labels = corpus()
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    by = {r.doc_id: r for r in toxicity.score_documents(docs, labels, None).collect()}
+    assert all(by[i].evidence for i in range(400))
