@@ -3,28 +3,29 @@
 Passages of every text are projected into a latent space and compared by cosine with
 the benchmark's items; candidates are verified by the longest common subsequence of
 words and by the item's answer.  The space comes from a randomised SVD of TF-IDF rows:
-the benchmark's passages and a bounded sample of the texts' passages, chosen by hash,
-multiplied in tasks.  Document frequencies count all texts and every passage of every
-text is compared.
+the benchmark's passages and a sketch of all passages of all texts.  The sketch adds every
+passage, with a random sign, to one of a fixed number of rows (CountSketch), so its
+products with itself are those of all passages in expectation; its counts are whole numbers, so
+any order of the texts gives the same.  Document frequencies count all texts and every
+passage of every text is compared.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from hazardgrid.llm.common import map_texts
+from hazardgrid.llm.common import map_texts, mix64, small_batches
 from hazardgrid.session import stage
 
 #: Items per broadcast; a larger benchmark is taken in several rounds, so the broadcast stays bounded.
 ITEMS_PER_ROUND = 512
-#: Passages of the texts that the space is fitted on, and their weight beside the benchmark's.
-SAMPLE = 8192
-SAMPLE_WEIGHT = 0.2
+#: Rows of the sketch that all passages of the texts are added up in, and its weight (sum of squares) beside the benchmark's items.
+SKETCH = 1024
+SKETCH_WEIGHT = 320.0
 RANK = 640
 OVERSAMPLE = 16
 POWER_ROUNDS = 2
@@ -76,36 +77,59 @@ class Item:
 
 
 def scan(docs: DataFrame, number: dict[bytes, int]) -> DataFrame:
-    """Document frequencies of the benchmark's words (``word``, ``n``) and hashed passages (``hash``, ``at``, ``other``)."""
-    def make():
-        def work(ids, texts):
-            df = Counter()
-            order, at, other = [], [], []
-            for t in texts:
-                ws = words(t)
-                got = [number.get(w, -1) for w in ws]
-                df.update({*got})
-                # One passage of each text, chosen by its hash, stands for it in the sample.
-                key = zlib.crc32(t)
-                s = key % max(1, -(-(len(ws) - STEP) // STEP)) * STEP
-                part = got[s:s + PASSAGE]
-                known = [i for i in part if i >= 0]
-                if known:
-                    order.append(key)
-                    at.append(known)
-                    other.append(len(part) - len(known))
-            # Only those of the lowest hashes of a batch can be among the lowest of all.
-            best = np.argsort(np.array(order, np.int64), kind="stable")[:SAMPLE].tolist()
-            df.pop(-1, None)
-            w = list(df)
-            n, m = len(w), len(best)
-            return pa.RecordBatch.from_arrays([
-                pa.array(w + [-1] + [None] * m, pa.int32()), pa.array([df[i] for i in w] + [len(texts)] + [None] * m, pa.int64()),
-                pa.array([None] * (n + 1) + [order[i] for i in best], pa.int64()), pa.array([None] * (n + 1) + [at[i] for i in best], pa.list_(pa.int32())),
-                pa.array([None] * (n + 1) + [other[i] for i in best], pa.int32())], ["word", "n", "hash", "at", "other"])
-        return work
+    """Document frequencies of the benchmark's words and the sketch of all passages, a part for each task.
 
-    return map_texts(docs, "doc_id", "text", "word int, n bigint, hash bigint, at array<int>, other int", make)
+    ``row`` -1 holds, by word number, the texts with the word and last the number of all texts; the other rows are those of the sketch,
+    each the signed counts of the words of its passages.  ``counts`` are 64-bit integers as bytes; sum them by ``row``.
+    """
+    small_batches(docs.sparkSession)
+    width = len(number)
+    chosen = docs.select(F.col("doc_id").cast("string").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+    def run(batches):
+        df = np.zeros(width + 1, np.int64)
+        sketch = np.zeros(SKETCH * width, np.int64)
+        get = number.get
+        for batch in batches:
+            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                df[width] += 1
+                got = np.array([get(w, -1) for w in words(t)], np.int64)
+                at = np.flatnonzero(got >= 0)
+                if not len(at):
+                    continue
+                known = got[at]
+                df[np.unique(known)] += 1
+                # Each word lies in the passage that begins in its step and in the one before.
+                spots, signs = passage_spots(zlib.crc32(t, zlib.crc32(repr(key).encode())), -(-len(got) // STEP))
+                last = max(0, -(-(len(got) - STEP) // STEP) - 1)
+                step = at // STEP
+                for ok, passage in ((step <= last, step), (step > 0, step - 1)):
+                    p = passage[ok]
+                    np.add.at(sketch, spots[p] * width + known[ok], signs[p])
+        parts = sketch.reshape(SKETCH, width)
+        used = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([
+            pa.array([-1, *used.tolist()], pa.int32()), pa.array([df.tobytes(), *(parts[i].tobytes() for i in used)], pa.binary())], ["row", "counts"])
+
+    return chosen.mapInArrow(run, "row int, counts binary")
+
+
+def passage_spots(key: int, passages: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sketch row and sign of each passage of a text, by hash."""
+    h = mix64(np.arange(passages, dtype=np.uint64) + (np.uint64(key) << np.uint64(32)))
+    return (h % np.uint64(SKETCH)).astype(np.int64), 1 - 2 * (h >> np.uint64(63)).astype(np.int64)
+
+
+def added(parts: DataFrame) -> DataFrame:
+    """``row, counts`` of :func:`scan` summed by row."""
+    def total(table: pa.Table) -> pa.Table:
+        out = None
+        for counts in table.column("counts").to_pylist():
+            one = np.frombuffer(counts, np.int64)
+            out = one.copy() if out is None else out + one
+        return pa.table([pa.array([table.column("row")[0].as_py()], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["row", "counts"])
+
+    return parts.groupBy("row").applyInArrow(total, "row int, counts binary")
 
 
 def tfidf(at: list[int], other: int, idf: np.ndarray, unknown: float) -> tuple[np.ndarray, np.ndarray]:
@@ -115,34 +139,19 @@ def tfidf(at: list[int], other: int, idf: np.ndarray, unknown: float) -> tuple[n
     return f, v / max(1e-9, np.sqrt((v * v).sum() + other * unknown ** 2))
 
 
-def latent_space(rows: DataFrame, idf: np.ndarray, unknown: float, rank: int) -> np.ndarray:
-    """Right singular vectors (terms x rank) of the TF-IDF rows ``at, other, weight`` by randomised SVD.
+def latent_space(items: np.ndarray, sketch: np.ndarray, rank: int) -> np.ndarray:
+    """Right singular vectors (terms x rank) of the items' TF-IDF rows and the sketch's by randomised SVD.
 
-    The products with the transposed matrix are summed per task; a task sends one terms x rank block.
+    Both are bounded: at most ``ITEMS_PER_ROUND`` and ``SKETCH`` rows over the benchmark's words.
     """
-    spark = rows.sparkSession
+    rows = np.concatenate([items, sketch]).astype(np.float32)
 
     def multiply(basis: np.ndarray) -> np.ndarray:
-        shared = spark.sparkContext.broadcast(basis.astype(np.float32))
-
-        def run(batches):
-            total = np.zeros(basis.shape, np.float32)
-            for batch in batches:
-                for at, other, weight in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    f, v = tfidf(at, other, idf, unknown)
-                    v = (v * weight).astype(np.float32)
-                    total[f] += np.outer(v, v @ shared.value[f])
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["block"])
-
-        out = np.zeros(basis.shape)
-        for r in rows.coalesce(4).mapInArrow(run, "block binary").toLocalIterator():
-            out += np.frombuffer(r["block"], np.float32).reshape(basis.shape)
-        shared.unpersist()
-        return out
+        return (rows.T @ (rows @ basis.astype(np.float32))).astype(np.float64)
 
     rng = np.random.default_rng(7)
-    size = min(rank + OVERSAMPLE, len(idf))
-    basis = np.linalg.qr(rng.standard_normal((len(idf), size)))[0]
+    size = min(rank + OVERSAMPLE, rows.shape[1])
+    basis = np.linalg.qr(rng.standard_normal((rows.shape[1], size)))[0]
     for _ in range(POWER_ROUNDS):
         basis = np.linalg.qr(multiply(basis))[0]
     image = multiply(basis)                                # (A'A) Q
@@ -154,24 +163,27 @@ def leaks_of(docs: DataFrame, items: list[Item]) -> DataFrame:
     """One round of :func:`leaks` for a bounded list of items."""
     spark = docs.sparkSession
     number = {w: i for i, w in enumerate(sorted({w for it in items for w in it.words}))}
-    seen = stage(scan(docs, number), "decontam-scan")
-    df = np.zeros(len(number))
-    total = 0
-    for r in seen.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")).collect():   # the benchmark's words
-        if r["word"] < 0:
-            total = r["n"]
+    df, total = np.zeros(len(number)), 0
+    sketch = np.zeros((SKETCH, len(number)))
+    for r in stage(added(scan(docs, number)), "decontam-scan").toLocalIterator():    # at most SKETCH + 1 rows over the benchmark's words
+        counts = np.frombuffer(r["counts"], np.int64)
+        if r["row"] < 0:
+            df, total = counts[:-1].astype(float), int(counts[-1])
         else:
-            df[r["word"]] = r["n"]
+            sketch[r["row"]] = counts
     idf = np.log(1 + total / (df + 0.5))
     unknown = float(idf.mean())
-    own = spark.createDataFrame([([number[w] for w in it.words], 0, 1.0) for it in items], "at array<int>, other int, weight double")
-    sample = seen.filter("hash IS NOT NULL").orderBy("hash", "other", "at").limit(SAMPLE).select("at", "other", F.lit(SAMPLE_WEIGHT).alias("weight"))
-    # As many directions as there are items, so that each keeps its own, and some for what texts share.
-    space = latent_space(stage(own.unionByName(sample).repartition(4), "decontam-rows"), idf, unknown, min(RANK, len(items) + 64))
-    targets = np.zeros((len(items), space.shape[1]), np.float32)
+    own = np.zeros((len(items), len(number)))
     for k, it in enumerate(items):
         f, v = tfidf([number[w] for w in it.words], 0, idf, unknown)
-        targets[k] = v.astype(np.float32) @ space[f]
+        own[k, f] = v
+    sketch *= idf
+    sketch *= np.sqrt(SKETCH_WEIGHT / max(1e-9, (sketch ** 2).sum()))
+    # As many directions as there are items, so that each keeps its own, and some for what texts share.
+    space = latent_space(own, sketch, min(RANK, len(items) + 64))
+    targets = np.zeros((len(items), space.shape[1]), np.float32)
+    for k in range(len(items)):
+        targets[k] = own[k].astype(np.float32) @ space
     targets /= np.maximum(np.linalg.norm(targets, axis=1, keepdims=True), 1e-9)
     # Terms x items: the projection and the comparison in one table, since both are linear.
     shared = spark.sparkContext.broadcast((number, idf, unknown, (space @ targets.T).astype(np.float32), items))
