@@ -13,6 +13,7 @@ passage of every text is compared.
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -91,21 +92,25 @@ def scan(docs: DataFrame, number: dict[bytes, int]) -> DataFrame:
         sketch = np.zeros(SKETCH * width, np.int64)
         get = number.get
         for batch in batches:
-            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                df[width] += 1
-                got = np.array([get(w, -1) for w in words(t)], np.int64)
-                at = np.flatnonzero(got >= 0)
-                if not len(at):
-                    continue
-                known = got[at]
-                df[np.unique(known)] += 1
-                # Each word lies in the passage that begins in its step and in the one before.
-                spots, signs = passage_spots(zlib.crc32(t, zlib.crc32(repr(key).encode())), -(-len(got) // STEP))
-                last = max(0, -(-(len(got) - STEP) // STEP) - 1)
-                step = at // STEP
-                for ok, passage in ((step <= last, step), (step > 0, step - 1)):
-                    p = passage[ok]
-                    np.add.at(sketch, spots[p] * width + known[ok], signs[p])
+            keys, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
+            if not texts:
+                continue
+            found = [[get(w, -1) for w in words(t)] for t in texts]
+            n = np.array([len(f) for f in found], np.int64)
+            ids = np.fromiter(chain.from_iterable(found), np.int64, int(n.sum()))
+            at = np.flatnonzero(ids >= 0)
+            known, text = ids[at], np.repeat(np.arange(len(n)), n)[at]
+            df[width] += len(n)
+            np.add.at(df, np.unique(text * width + known) % width, 1)
+            # Each word lies in the passage that begins in its step and in the one before.
+            steps = np.maximum(1, -(-n // STEP))
+            first = np.cumsum(steps) - steps
+            spots, signs = passage_spots([zlib.crc32(t, zlib.crc32(repr(k).encode())) for k, t in zip(keys, texts)], steps)
+            step = (at - (np.cumsum(n) - n)[text]) // STEP
+            last = np.maximum(0, -(-(n - STEP) // STEP) - 1)[text]
+            for ok, passage in ((step <= last, step), (step > 0, step - 1)):
+                p = (first[text] + passage)[ok]
+                np.add.at(sketch, spots[p] * width + known[ok], signs[p])
         parts = sketch.reshape(SKETCH, width)
         used = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_arrays([
@@ -114,9 +119,10 @@ def scan(docs: DataFrame, number: dict[bytes, int]) -> DataFrame:
     return chosen.mapInArrow(run, "row int, counts binary")
 
 
-def passage_spots(key: int, passages: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sketch row and sign of each passage of a text, by hash."""
-    h = mix64(np.arange(passages, dtype=np.uint64) + (np.uint64(key) << np.uint64(32)))
+def passage_spots(keys: list[int], passages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sketch row and sign of each passage of each text, by hash."""
+    own = np.arange(int(passages.sum())) - np.repeat(np.cumsum(passages) - passages, passages)
+    h = mix64(own.astype(np.uint64) + (np.repeat(np.array(keys, np.uint64), passages) << np.uint64(32)))
     return (h % np.uint64(SKETCH)).astype(np.int64), 1 - 2 * (h >> np.uint64(63)).astype(np.int64)
 
 

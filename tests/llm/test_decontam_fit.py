@@ -18,7 +18,7 @@ def test_sketch_holds_every_passage_of_every_text(spark):
         df[-1] += 1
         for w in {w.encode() for w in ws} & number.keys():
             df[number[w]] += 1
-        spots, signs = D.passage_spots(zlib.crc32((text or "").encode(), zlib.crc32(repr(None if key is None else str(key)).encode())), len(ws) // D.STEP + 1)
+        spots, signs = D.passage_spots([zlib.crc32((text or "").encode(), zlib.crc32(repr(None if key is None else str(key)).encode()))], np.array([len(ws) // D.STEP + 1]))
         for p, start in enumerate(range(0, max(1, len(ws) - D.STEP), D.STEP)):
             for w in ws[start:start + D.PASSAGE]:
                 if w.encode() in number:
