@@ -20,6 +20,10 @@ def written(pages, name: str) -> str:
     return f"{folder}/page=*"
 
 
+#: Features of a page at most; a service hands out a large layer in more pages, not in longer ones.
+PAGE_FEATURES = 10_000
+
+
 def page_of(key: str, pages: int = 6):
     return (F.col(key) % pages).cast("int").alias("page")
 
@@ -27,7 +31,8 @@ def page_of(key: str, pages: int = 6):
 def feature_pages(df, key: str, feature, **head):
     """Pages ``{..., "features": [...]}`` of one feature a row."""
     extra = [v.alias(k) for k, v in head.items()]
-    return df.groupBy(page_of(key)).agg(F.collect_list(feature).alias("features")).select("page", F.to_json(F.struct(*extra, "features")).alias("value"))
+    pages = max(6, -(-df.count() // PAGE_FEATURES))
+    return df.groupBy(page_of(key, pages)).agg(F.collect_list(feature).alias("features")).select("page", F.to_json(F.struct(*extra, "features")).alias("value"))
 
 
 def square(x, y):
