@@ -13,16 +13,26 @@ import functools
 import heapq
 import re
 import struct
+from array import array
+from itertools import chain, repeat
+from operator import add
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from hazardgrid.llm.common import map_texts
 
 SPACE = "▁"
-#: Units remembered per Python worker (about 100 MB), and the longest that is.
+#: Units remembered per Python worker in each of two generations (about 100 MB), and the longest that is.
 REMEMBERED = 300_000
 LONGEST_REMEMBERED = 64
+#: Characters up to which a unit's agenda is a plain list, looked through for the best place at each step.
+SHORT = 32
+#: Units that the library checks in one call, as lines of a text.
+CHECKED_AT_ONCE = 100
+#: A place behind all others.
+NEVER = 1 << 30
 
 # Fixed values of the model file: kinds of pieces.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -92,11 +102,27 @@ class Pieces:
             raise ValueError("pieces reach over spaces")
         together = re.escape("".join(sorted({c for p in joined for c in p} - {SPACE})))
         self.units = re.compile(f"{SPACE}*[{together}]+|{SPACE}+|[^{together}{SPACE}]")
+        # Units seen lately, and those of the generation before, which come back when they are seen again.
         self.known: dict[str, tuple[tuple[int, ...], bytes]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], bytes]] = {}
         self.fresh: list[str] = []
 
-    def merge(self, unit: str) -> list[int]:
-        """Ids of one unit: best-scored adjacent pair first, leftmost of equals.
+    def merge_short(self, unit: str) -> list[str]:
+        """As :meth:`merge_long`; the agenda is a list that holds the place of every adjacent pair."""
+        get, symbols = self.place.get, list(unit)
+        agenda = [*map(get, map(add, symbols, symbols[1:]), repeat(NEVER)), NEVER]
+        while (best := min(agenda)) != NEVER:
+            left = agenda.index(best)
+            del agenda[left]
+            symbols[left] = pair = symbols[left] + symbols.pop(left + 1)
+            if left:
+                agenda[left - 1] = get(symbols[left - 1] + pair, NEVER)
+            if left + 1 < len(symbols):
+                agenda[left] = get(pair + symbols[left + 1], NEVER)
+        return symbols
+
+    def merge_long(self, unit: str) -> list[str]:
+        """Symbols of one unit: best-scored adjacent pair first, leftmost of equals.
 
         An agenda entry is ``place of the score * n + left``; it is stale if that pair is no longer there.
         """
@@ -118,21 +144,24 @@ class Pieces:
                     heapq.heappush(agenda, place[p] * n + left)
             if (first := before[left]) >= 0 and (p := symbols[first] + pair) in place:
                 heapq.heappush(agenda, place[p] * n + first)
-        ids = []
-        for s in symbols:
-            if s is not None:
-                if s in self.id:
-                    ids.append(self.id[s])
-                else:
-                    ids.extend(self.byte[b] for b in s.encode())
-        return ids
+        return [s for s in symbols if s is not None]
+
+    def merge(self, unit: str) -> list[int]:
+        """Ids of one unit."""
+        symbols = self.merge_short(unit) if len(unit) <= SHORT else self.merge_long(unit)
+        try:
+            return [self.id[s] for s in symbols]
+        except KeyError:
+            return [i for s in symbols for i in ([self.id[s]] if s in self.id else [self.byte[b] for b in s.encode()])]
 
     def unit(self, unit: str) -> tuple[tuple[int, ...], bytes]:
         got = self.known.get(unit)
         if got is None:
-            ids = self.merge(unit)
-            got = tuple(ids), b"".join([self.text[i] for i in ids])
-            self.fresh.append(unit)
+            got = self.older.get(unit)
+            if got is None:
+                ids = self.merge(unit)
+                got = tuple(ids), b"".join([self.text[i] for i in ids])
+                self.fresh.append(unit)
             if len(unit) <= LONGEST_REMEMBERED:
                 self.known[unit] = got
         return got
@@ -151,17 +180,20 @@ class Pieces:
 
     def check(self, texts: list[str]) -> None:
         """Hold the units seen since the last call, and the first text, against the library."""
-        want = self.library.encode(["\n" + u.replace(SPACE, " ") for u in self.fresh], num_threads=1)
-        for u, ids in zip(self.fresh, want):
-            if ids[2:] != list(self.unit(u)[0]):
-                raise ValueError(f"the library encodes {u!r} differently")
+        for at in range(0, len(self.fresh), CHECKED_AT_ONCE):
+            units = self.fresh[at:at + CHECKED_AT_ONCE]
+            # No piece reaches over a line's end, and nothing but a line's end has its byte.
+            line = self.byte[ord("\n")]
+            want = self.library.encode("\n" + "\n".join(units).replace(SPACE, " "))[1:]
+            if want != [i for u in units for i in (line, *self.unit(u)[0])]:
+                raise ValueError(f"the library encodes some of {units!r} differently")
         if texts:
             ids = self.encode(texts[0])
             if ids != self.library.encode(texts[0], add_eos=True) or self.decode(ids) != self.library.decode(ids):
                 raise ValueError(f"the library encodes a text differently: {texts[0][:80]!r}")
         self.fresh.clear()
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.older, self.known = self.known, {}
 
 
 @functools.lru_cache(maxsize=1)
@@ -180,16 +212,20 @@ def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_c
         pieces = load(model_path)
 
         def work(ids, texts):
-            codes, decoded = [], []
+            known, unit = pieces.known.get, pieces.unit
+            codes, sizes, decoded = array("i"), [0], []
             plain = [t.decode() for t in texts]
             for t in plain:
-                got = [pieces.unit(u) for u in pieces.split(t)]
-                codes.append([i for g, _ in got for i in g] + [pieces.end])
+                got = [known(u) or unit(u) for u in pieces.split(t)]
+                codes.extend(chain.from_iterable([g for g, _ in got]))
+                codes.append(pieces.end)
+                sizes.append(len(codes))
                 data = b"".join([d for _, d in got])
                 decoded.append(data[1:] if data[:1] == b" " else data)
             pieces.check(plain)
             return pa.RecordBatch.from_arrays(
-                [ids, pa.array(codes, pa.list_(pa.int32())), pa.array([d.decode(errors="replace") for d in decoded], pa.string())],
+                [ids, pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.frombuffer(codes, np.int32))),
+                 pa.array([d.decode(errors="replace") for d in decoded], pa.string())],
                 ["id", "ids", "decoded"])
         return work
 

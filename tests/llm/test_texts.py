@@ -140,6 +140,21 @@ def test_a_difference_from_the_library_stops_the_batch():
         p.check(["the"])
 
 
+def test_short_and_long_agendas_agree():
+    p = pieces.Pieces(MODEL)
+    units = {u for _, t in docs() for u in p.split(t or "")} | {"▁" * n + c * n for n in range(1, 40) for c in ("a", "é", "the", "1")}
+    assert all(p.merge_short(u) == p.merge_long(u) for u in units)
+
+
+def test_units_of_the_generation_before_are_not_merged_again(monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 3)
+    p = pieces.Pieces(MODEL)
+    text = "one two three four five"
+    first = p.encode(text)
+    p.check([])
+    assert p.encode(text) == first and not p.fresh and len(p.known) == 5
+
+
 def test_contract_queries(spark):
     rows = queries.op6_sentencepiece(spark, SF).collect()
     assert len(rows) == 200 and {len(r.ids_sha256) for r in rows} == {64}
