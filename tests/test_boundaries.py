@@ -61,6 +61,22 @@ def test_projection_round_trip_and_known_point(spark):
     assert tuple(got[0]["m"]) == pytest.approx((500000.0, 4427757.219), abs=.01)
 
 
+def test_projection_in_columns_is_the_projection(spark):
+    df = spark.createDataFrame([(-75.0, 40.0), (-74.2, 40.9), (None, 39.1)], "lon double, lat double").withColumn("m", S.to_metric(F.col("lon"), F.col("lat")))
+    df = S.with_steps(df, "n", S.TO_METRIC, {"lon": F.col("lon"), "lat": F.col("lat")})
+    df = S.with_steps(df, "g", S.TO_LONLAT, {"x": F.col("m.x"), "y": F.col("m.y")}).withColumn("h", S.to_lonlat(F.col("m.x"), F.col("m.y")))
+    assert df.columns == ["lon", "lat", "m", "n", "g", "h"] and all(r["m"] == r["n"] and r["g"] == r["h"] for r in df.collect())
+
+
+def test_pieces_are_projected_in_compiled_columns_and_paths_are_spread(spark):
+    parts = spark.createDataFrame([("p", "1", 0, 7, pts((-74.75, 40.2), (-74.7, 40.3)))], f"source_id string, muni_code string, part int, muni_id int, pts {PTS}")
+    plan = O.split_line_equal(parts, 0.05)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "sinh(" in plan and not [p for p in plan.splitlines() if "sinh(" in p and "lambda" in p]
+    munis = spark.createDataFrame([(1, "1", [ring(0, 0, 1, 1)])], f"muni_id int, muni_code string, rings array<{PTS}>")
+    paths = spark.createDataFrame([("in", pts((.1, .1), (.2, .2)))], f"source_id string, pts {PTS}").coalesce(1)
+    assert "RoundRobinPartitioning" in O.stretches_inside(paths, munis)._jdf.queryExecution().executedPlan().toString()
+
+
 def clipped(spark, munis, **paths):
     m = spark.createDataFrame([(i, str(i), rings) for i, rings in munis.items()], f"muni_id int, muni_code string, rings array<{PTS}>")
     p = spark.createDataFrame(list(paths.items()), f"source_id string, pts {PTS}")
