@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from hazardgrid.llm.common import map_texts, mix64, small_batches
 from hazardgrid.operators.corridors import connected_components
+from hazardgrid.operators.sketches import bloom_filter, keep_possible
 from hazardgrid.session import scratch, stage
 
 #: Classes of one key compared in one task; larger keys are cut into chunks of half that size.
@@ -276,6 +277,8 @@ def alike_links(sets: DataFrame, similarity: float) -> DataFrame:
     # Keys with the same members say the same.
     shared = stage(shared.dropDuplicates(["n", "sum", "low", "high"]).select("key", "low"), "near-keys")
     members = stage(keys.join(shared, "key").join(sets.select("uid", "id", "n"), "uid"), "near-members")
+    # Only sets that share a key are moved; the joins below are exact.
+    sets = keep_possible(sets, {"uid": bloom_filter(members.select("uid").distinct(), "uid")})
     first = members.groupBy("uid").agg(F.min("low").alias("low")).filter("low < uid")
     mine = sets.select("uid", F.col("id").alias("v"), F.col("shingles").alias("b"))
     other = sets.select(F.col("uid").alias("low"), F.col("id").alias("u"), F.col("shingles").alias("a"))

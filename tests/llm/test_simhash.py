@@ -128,3 +128,18 @@ def test_keep_first_against_all_pairs(spark, monkeypatch):
                 root = {k: low if r == high else r for k, r in root.items()}
     left = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert left == set(root.values()) and 6 < len(left) < len(rows)
+
+
+def test_only_sets_that_share_a_key_are_moved(spark, monkeypatch):
+    plans, real = {}, simhash.stage
+
+    def watch(df, name, **k):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return real(df, name, **k)
+
+    monkeypatch.setattr(simhash, "stage", watch)
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (2, text + " end"), (3, None), (4, "")] + [(i, " ".join(f"x{i}.{k}" for k in range(30))) for i in range(10, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_first(df).collect()) == [1, 3, *range(10, 40)]
+    assert plans["near-stars"].count("getbit") >= 2
