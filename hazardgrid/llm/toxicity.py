@@ -123,9 +123,8 @@ def choose_features(docs: DataFrame, examples: DataFrame) -> tuple[list[str], np
     return rows["feature"].to_pylist(), np.maximum(np.abs(rows["z"].to_numpy()), LEAST_ASSOCIATION)
 
 
-def vectors(docs: DataFrame, features: list[str]) -> DataFrame:
-    """``id, at, tf``: which features a text has and how often its words show them."""
-    shared = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(features)})
+def vectors(docs: DataFrame, features: list[str], shared) -> DataFrame:
+    """``id, at, tf``: which features a text has and how often its words show them; ``shared``: their numbers, as a broadcast."""
     begin = frozenset(f[1:1 + min(NGRAMS)] for f in features if f[0] == " ")
     small_batches(docs.sparkSession)
 
@@ -174,24 +173,34 @@ def rows_of(batch: pa.RecordBatch, *columns: int):
         yield tuple(v[o[i]:o[i + 1]] for o, v in flat)
 
 
+def example_rows(table: pa.Table) -> list[tuple]:
+    """The rows that :class:`Index` takes; their lists stay views of the table's arrays."""
+    return [(*row, x, y, first) for batch in table.to_batches()
+            for row, x, y, first in zip(rows_of(batch, 0, 1), *(batch.column(c).to_pylist() for c in (2, 3, 4)))]
+
+
 class Index:
     """Block-max inverted index over distinct example vectors."""
 
     def __init__(self, rows: list, idf: np.ndarray, weight: dict[int, float]):
-        """``rows``: (feature numbers, counts, toxic examples, other examples, smallest id)."""
+        """``rows``: (feature numbers, counts, toxic examples, other examples, smallest id); the first two may be views of one array,
+        so that the driver holds no object for a posting."""
         self.idf = idf
-        full = [(self.weigh(r[0], r[1]), r) for r in rows if r[0]]
+        full = [(self.weigh(r[0], r[1]), r) for r in rows if len(r[0])]
         # Examples led by the same feature share blocks, which keeps the bounds of other blocks low.
         full.sort(key=lambda v: (v[1][0][int(np.argmax(v[0]))], v[1][4]))
         self.toxic = np.array([r[2] for _, r in full], float)
         self.other = np.array([r[3] for _, r in full], float)
         self.ids = np.array([r[4] for _, r in full], np.int64)
         self.weight = weight
-        at = np.concatenate([np.array(r[0]) for _, r in full]) if full else np.zeros(0, int)
-        who = np.repeat(np.arange(len(full)), [len(r[0]) for _, r in full]) if full else np.zeros(0, int)
+        at = np.concatenate([np.asarray(r[0], np.int32) for _, r in full]) if full else np.zeros(0, np.int32)
+        who = np.repeat(np.arange(len(full), dtype=np.int32), [len(r[0]) for _, r in full]) if full else np.zeros(0, np.int32)
         val = np.concatenate([v for v, _ in full]) if full else np.zeros(0)
-        order = np.lexsort((who, at))
-        at, who, val = self._full_rows(at[order], who[order], val[order])
+        del full
+        order = np.argsort(at, kind="stable")        # a feature's examples stay in order
+        at, who, val = at[order], who[order], val[order]
+        del order
+        at, who, val = self._full_rows(at, who, val)
         self.val = val
         # An entry is a feature in a block: its postings start at ``edge``, its highest weight is ``top``.
         fresh = np.ones(len(at), bool)
@@ -202,7 +211,7 @@ class Index:
         self.block = (who[first] // BLOCK).astype(np.int32)
         self.top = np.maximum.reduceat(self.val, first) if len(first) else np.zeros(0)
         self.entries = np.searchsorted(at[first], np.arange(len(idf) + 1)).astype(np.int32)
-        none = [r for r in rows if not r[0]]
+        none = [r for r in rows if not len(r[0])]
         self.none = sum(r[2] for r in none) * weight[1], sum(r[3] for r in none) * weight[0]
         every = self.none[0] + (self.toxic.sum() * weight[1]), self.none[1] + (self.other.sum() * weight[0])
         #: Toxic rate of all examples; nothing can be told without both classes.
@@ -213,13 +222,13 @@ class Index:
     def _full_rows(self, at: np.ndarray, who: np.ndarray, val: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tables of the postings and block maxima of the features that many examples have; returns the other postings."""
         n = -(-len(self.ids) // BLOCK)
-        often = np.bincount(at.astype(int), minlength=len(self.idf))
+        often = np.bincount(at, minlength=len(self.idf))
         common = np.flatnonzero(often > FULL_SHARE * max(1, len(self.ids)))
         self.row = np.full(len(self.idf), -1, np.int32)
         self.row[common] = np.arange(len(common))
         self.full = np.zeros((len(common), n, BLOCK))
-        mine = self.row[at.astype(int)] >= 0
-        self.full[self.row[at[mine].astype(int)], who[mine] // BLOCK, who[mine] % BLOCK] = val[mine]
+        mine = self.row[at] >= 0
+        self.full[self.row[at[mine]], who[mine] // BLOCK, who[mine] % BLOCK] = val[mine]
         self.full_top = self.full.max(axis=2)
         return at[~mine], who[~mine], val[~mine]
 
@@ -321,7 +330,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, remainder: int | None =
     spark = docs.sparkSession
     examples, weight = examples_of(labels, remainder)
     features, association = choose_features(docs, examples)
-    found = stage(vectors(docs, features), "toxicity-vectors")
+    numbers = spark.sparkContext.broadcast({f: i for i, f in enumerate(features)})
+    found = stage(vectors(docs, features, numbers), "toxicity-vectors")
+    numbers.destroy()                                 # the vectors are written
     n = found.count()
     df = np.zeros(len(features))
     seen = found.select(F.explode("at").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).toArrow()      # at most the features
@@ -331,8 +342,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, remainder: int | None =
     of = found.join(F.broadcast(examples.withColumnRenamed("doc_id", "id")), "id")
     of = of.groupBy("id").agg(F.min(F.struct(F.xxhash64("at", "tf").alias("hash"), "at", "tf", "toxic")).alias("v"))
     labelled = stage(of.select("id", "v.at", "v.tf", "v.toxic"), "toxicity-index")
-    rows = labelled.groupBy("at", "tf").agg(F.sum("toxic").alias("x"), F.sum(1 - F.col("toxic")).alias("y"), F.min("id").alias("first")).collect()
-    index = Index([(tuple(r["at"]), tuple(r["tf"]), r["x"], r["y"], r["first"]) for r in rows], idf, weight)
+    rows = labelled.groupBy("at", "tf").agg(F.sum("toxic").alias("x"), F.sum(1 - F.col("toxic")).alias("y"), F.min("id").alias("first"))
+    index = Index(example_rows(rows.select("at", "tf", "x", "y", "first").toArrow()), idf, weight)
     shared = spark.sparkContext.broadcast(index)      # bounded: 2 * EXAMPLES_PER_CLASS vectors
 
     def votes(batches):

@@ -98,3 +98,25 @@ def test_every_word_of_an_example_finds_neighbours(spark):
     labels = spark.createDataFrame(labels, "doc_id long, toxic int")
     by = {r.doc_id: r for r in toxicity.score_documents(docs, labels, None).collect()}
     assert all(by[i].evidence for i in range(400))
+
+
+def test_examples_stay_arrays_on_the_driver(spark, monkeypatch):
+    """No Python object for a posting: the lists of all examples are views of the arrays that came from Spark."""
+    seen = []
+    plain = toxicity.Index.__init__
+    monkeypatch.setattr(toxicity.Index, "__init__", lambda self, rows, *more: seen.extend(rows) or plain(self, rows, *more))
+    rows, labels = corpus()
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    toxicity.score_documents(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), None).count()
+    assert len(seen) > 1 and all(isinstance(r[k], np.ndarray) and r[k].base is not None for r in seen for k in (0, 1))
+
+
+def test_index_of_views_and_of_tuples():
+    rng = np.random.default_rng(3)
+    rows = [(np.sort(rng.choice(300, rng.integers(0, 60), False)).astype(np.int32), i % 3, (i + 1) % 2, i) for i in range(400)]
+    rows = [(at, rng.integers(1, 9, len(at)).astype(np.int32), x, y, i) for at, x, y, i in rows]
+    idf = rng.uniform(1, 5, 300)
+    a, b = (toxicity.Index(r, idf, {0: 1.0, 1: 2.0}) for r in (rows, [(tuple(r[0].tolist()), tuple(r[1].tolist()), *r[2:]) for r in rows]))
+    assert all(np.array_equal(getattr(a, k), getattr(b, k)) for k in ("ids", "val", "inside", "edge", "block", "top", "entries", "full", "toxic"))
+    for r in rows[:20]:
+        assert not len(r[0]) or a.nearest(r[0], r[1])[0][0] in range(len(a.ids))
