@@ -10,19 +10,24 @@ import numpy as np
 from hazardgrid.llm.warc import filesystem
 
 _U = np.uint64
-_POP8 = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 # Place of the r-th set bit of a byte.
-_SELECT8 = np.array([[([k for k in range(8) if b >> k & 1] + [8] * 8)[r] for r in range(8)] for b in range(256)], np.uint8)
+_SELECT8 = np.array([[([k for k in range(8) if b >> k & 1] + [8] * 8)[r] for r in range(8)] for b in range(256)], np.uint8).ravel()
+#: Steps along a bucket before its end is looked up and the rest halved.
+_WALK = 4
 
 
 def _select_in_word(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Place of the ``rank``-th set bit of each 64-bit word."""
-    octets = np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8)
-    before = np.cumsum(_POP8[octets], axis=1, dtype=np.int64)
-    byte = (before <= rank[:, None]).sum(axis=1)
-    row = np.arange(len(words))
-    left = rank - np.where(byte > 0, before[row, byte - 1], 0)
-    return byte * 8 + _SELECT8[octets[row, byte], left]
+    """Place of the ``rank``-th set bit of each 64-bit word: halves down to a byte, then a table."""
+    words, rank = words.copy(), rank.astype(np.uint8)
+    place = np.zeros(len(words), np.uint8)
+    for width in (32, 16, 8):
+        below = np.bitwise_count(words & _U((1 << width) - 1))
+        up = rank >= below
+        rank -= below * up
+        step = up * np.uint8(width)
+        words >>= step
+        place += step
+    return place.astype(np.int64) + _SELECT8[(words & _U(255)).astype(np.int64) * 8 + rank]
 
 
 class Sequence:
@@ -52,34 +57,72 @@ class Sequence:
         high = np.packbits(bits, bitorder="little").view(_U)
         return cls(n, width, low, high, np.concatenate(([0], np.cumsum(np.bitwise_count(high), dtype=np.int64))))
 
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        """The packed low bits of some values."""
+        if not self.width:
+            return np.zeros(len(i), np.int64)
+        at = i * self.width
+        w, shift = at >> 6, (at & 63).astype(_U)
+        bits = self.low[w] >> shift
+        over = np.flatnonzero(shift > _U(64 - self.width))
+        bits[over] |= self.low[w[over] + 1] << (_U(64) - shift[over])
+        return (bits & _U((1 << self.width) - 1)).astype(np.int64)
+
+    def _is_one(self, place: np.ndarray) -> np.ndarray:
+        return (self.high[place >> 6] >> (place & 63).astype(_U) & _U(1)).astype(bool)
+
+    def _zero(self, k: np.ndarray) -> np.ndarray:
+        """Place of the ``k``-th zero of the high bits."""
+        word = np.searchsorted(self.zeros, k, side="right") - 1
+        return word * 64 + _select_in_word(~self.high[word], k - self.zeros[word])
+
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         word = np.searchsorted(self.ones, i, side="right") - 1
         place = word * 64 + _select_in_word(self.high[word], i - self.ones[word])
         value = (place - i) << self.width
-        if self.width:
-            at = i.astype(_U) * _U(self.width)
-            w, shift = (at >> _U(6)).astype(np.int64), at & _U(63)
-            bits = self.low[w] >> shift
-            over = shift > 0
-            bits = np.where(over, bits | (self.low[w + 1] << ((_U(64) - shift) & _U(63))), bits)
-            value = value | (bits & _U((1 << self.width) - 1)).astype(np.int64)
-        return value
+        return value | self._low(i) if self.width else value
 
     def successor(self, x: np.ndarray) -> np.ndarray:
         """Index of the first value that is at least ``x``; ``n`` if there is none."""
-        bucket = x >> self.width
+        return self._search(x)[0]
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """Index of the first value that is ``x``, -1 if there is none."""
+        i, same = self._search(x)
+        return np.where(same, i, -1)
+
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the first value that is at least ``x``, and whether it is ``x``.
+
+        The values of a bucket, those with the high bits of ``x``, lie together and rise by their low bits alone.
+        """
+        bucket, rest = x >> self.width, x & ((1 << self.width) - 1)
+        same = np.zeros(len(x), bool)
         i = np.where(bucket < int(self.zeros[-1]), 0, self.n)
         some = np.flatnonzero((bucket > 0) & (i == 0))
-        before = bucket[some] - 1                        # the zero that ends the bucket before
-        word = np.searchsorted(self.zeros, before, side="right") - 1
-        i[some] = word * 64 + _select_in_word(~self.high[word], before - self.zeros[word]) - before
+        i[some] = self._zero(bucket[some] - 1) - bucket[some] + 1       # after the zero that ends the bucket before
         going = np.flatnonzero(i < self.n)
-        while len(going):                                # within a bucket: a few steps
-            less = self[i[going]] < x[going]
-            going = going[less]
+        for _ in range(_WALK):
+            going = going[self._is_one(i[going] + bucket[going])]       # still in the bucket
+            low = self._low(i[going])
+            same[going] = low == rest[going]
+            going = going[low < rest[going]]
+            if not len(going):
+                return i, same
             i[going] += 1
             going = going[i[going] < self.n]
-        return i
+        going = going[self._is_one(i[going] + bucket[going])]
+        first, end = i[going], self._zero(bucket[going]) - bucket[going]
+        stop = end.copy()
+        while len(open_ := np.flatnonzero(first < end)):                # the lowest place of at least the low bits
+            middle = (first[open_] + end[open_]) >> 1
+            less = self._low(middle) < rest[going[open_]]
+            first[open_[less]] = middle[less] + 1
+            end[open_[~less]] = middle[~less]
+        i[going] = first
+        inside = np.flatnonzero(first < stop)
+        same[going[inside]] = self._low(first[inside]) == rest[going[inside]]
+        return i, same
 
     def arrays(self, name: str) -> dict[str, np.ndarray]:
         return {f"{name}.n": np.array([self.n, self.width], np.int64), f"{name}.low": self.low, f"{name}.high": self.high, f"{name}.ones": self.ones}
@@ -160,15 +203,19 @@ class Level:
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Global places of the children, -1 where there is none."""
         c = context - self.first
-        start, end = self.pointers[c], self.pointers[c + 1]
-        base = np.where(start > 0, self.words[np.maximum(start - 1, 0)], 0) if self.words.n else np.zeros(len(c), np.int64)
         out = np.full(len(c), -1)
-        some = np.flatnonzero(start < end)
+        if not self.words.n:
+            return out
+        # Equal contexts that stand together are looked up once.
+        new = np.concatenate(([True], c[1:] != c[:-1])) if len(c) else np.zeros(0, bool)
+        back, c = np.cumsum(new) - 1, c[new]
+        start, end = self.pointers[c], self.pointers[c + 1]
+        base = np.where(start > 0, self.words[np.maximum(start - 1, 0)], 0)
+        some = np.flatnonzero((start < end)[back])
         if len(some):
-            x = base[some] + word[some] + 1
-            i = self.words.successor(x)
-            good = (i >= start[some]) & (i < end[some])
-            good[good] = self.words[i[good]] == x[good]
+            mine = back[some]
+            i = self.words.find(base[mine] + word[some] + 1)
+            good = (i >= start[mine]) & (i < end[mine])
             out[some[good]] = i[good] + self.offset
         return out
 
@@ -183,9 +230,11 @@ class Levels:
 
     def _each(self, key: np.ndarray, edges: np.ndarray):
         part = np.searchsorted(edges, key, side="right") - 1
-        for p in np.unique(part):
-            if p >= 0:
-                yield self.parts[p], np.flatnonzero(part == p)
+        order = np.argsort(part, kind="stable") if (part[1:] < part[:-1]).any() else np.arange(len(part))
+        sizes = np.bincount(part + 1, minlength=len(self.parts) + 1)
+        ends = np.cumsum(sizes)
+        for p in np.flatnonzero(sizes[1:]):
+            yield self.parts[p], order[ends[p]:ends[p + 1]]
 
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         out = np.full(len(context), -1)
@@ -204,10 +253,10 @@ class Levels:
         """The word at each place: its value less that of the context before."""
         out = np.zeros(len(place), np.int64)
         for s, at in self._each(place, self.offset):
-            i = place[at] - s.offset
+            i, back = np.unique(place[at] - s.offset, return_inverse=True)
             context = s.pointers.successor(i + 1) - 1
             start = s.pointers[context]
-            out[at] = s.words[i] - np.where(start > 0, s.words[np.maximum(start - 1, 0)], 0) - 1
+            out[at] = (s.words[i] - np.where(start > 0, s.words[np.maximum(start - 1, 0)], 0) - 1)[back]
         return out
 
     def prob(self, place: np.ndarray) -> np.ndarray:

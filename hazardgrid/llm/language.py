@@ -17,7 +17,7 @@ from __future__ import annotations
 import functools
 import uuid
 from collections import Counter
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +26,9 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from hazardgrid.llm.common import crc_mod5, map_texts, small_batches
+from hazardgrid.llm.common import crc_mod5, map_texts, mix64, small_batches
 from hazardgrid.llm.eliasfano import Level, Levels, load, save
-from hazardgrid.session import stage, work_folder
+from hazardgrid.session import scratch, stage, work_folder
 
 DICTIONARY_SHARE = 2.5e-7
 #: Occurrences of a word and of an n-gram in the trie.
@@ -40,6 +40,8 @@ PRIOR = 100.0
 SEGMENT = 2_000_000
 END = b""
 _WORDS_AT_ONCE = 500_000
+#: Tokens that a task counts the pairs of at once, and at most about as many pairs that a task merges.
+_TOKENS_AT_ONCE = 4_000_000
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -146,7 +148,7 @@ def encode(docs: DataFrame, d, remainder: int | None) -> DataFrame:
             words = [tokens(t) for t in texts]
             sizes = np.array([len(w) for w in words])
             edges = np.concatenate(([0], np.cumsum(sizes)))
-            every = np.fromiter(map(d.value.number.get, (w for ws in words for w in ws), repeat(-1)), np.int64, edges[-1])
+            every = np.fromiter(map(d.value.number.get, chain.from_iterable(words), repeat(-1)), np.int64, edges[-1])
             known = every >= 0
             base = np.where(known, d.value.log10[np.maximum(every, 0)], 0.0) if len(d.value.c) else np.zeros(len(every))
             rare: list[list] = [[] for _ in words]
@@ -196,7 +198,7 @@ def number_rare(words: DataFrame, first: int) -> tuple[DataFrame, tuple[str, ...
             save(path[0], {"first": number[often][:1], "count": c[often]})
         return pa.table({"h": h, "c": c, "number": pa.array(number, pa.int32(), mask=~often), "path": pa.array(path, pa.string())})
 
-    done = stage(words.groupBy("part").applyInArrow(build, "h bigint, c bigint, number int, path string"), "lm-numbered")
+    done = stage(words.groupBy("part").applyInArrow(build, "h bigint, c bigint, number int, path string"), "lm-numbered", keep=True)
     return done.select("h", "c", "number"), tuple(sorted(r["path"] for r in done.filter("path IS NOT NULL").select("path").collect())), first
 
 
@@ -237,31 +239,51 @@ def _flat(numbers: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return numbers.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(sizes) - sizes
 
 
-def _counted(coded: DataFrame, pairs_of, bits: int) -> DataFrame:
-    """``context, word, c`` of the training texts' pairs, summed per task first; a word has ``bits`` bits."""
+def _counted(coded: DataFrame, pairs_of, bits: int, n: int) -> DataFrame:
+    """``context, word, c`` of the training texts' pairs that occur ``MIN_NGRAM`` times; a word has ``bits`` bits.
+
+    A task counts some millions of its tokens at a time and sends each share of the pairs, by their hash, as one block of keys and
+    one of counts; shares are as many as ``n``, the training tokens, ask for, so that one is merged in bounded memory.
+    """
+    shares, least = max(4 * coded.sparkSession.sparkContext.defaultParallelism, -(-n // _TOKENS_AT_ONCE)), MIN_NGRAM
+
     def run(batches):
         keys, sizes = [], 0
 
         def flush():
             packed = np.sort(np.concatenate(keys))
             first = np.flatnonzero(np.concatenate(([True], packed[1:] != packed[:-1])))
-            c = np.diff(np.append(first, len(packed)))
-            return pa.RecordBatch.from_arrays([pa.array(packed[first] >> bits), pa.array(packed[first] & (1 << bits) - 1), pa.array(c)], ["context", "word", "c"])
+            key, c = packed[first], np.diff(np.append(first, len(packed))).astype(np.int32)
+            share = (mix64(key.astype(np.uint64)) % np.uint64(shares)).astype(np.int32)
+            order = np.argsort(share, kind="stable")
+            ends = np.append(0, np.cumsum(np.bincount(share, minlength=shares)))
+            blocks = [pa.Array.from_buffers(pa.binary(), shares, [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x[order])]) for x in (key, c)]
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(shares, dtype=np.int32)), *blocks], ["share", "keys", "counts"])
 
         for batch in batches:
             if batch.num_rows:
                 context, word = pairs_of(*_flat(batch.column(0)))
                 keys.append(context << bits | word)
                 sizes += len(word)
-            if sizes > 4_000_000:
+            if sizes > _TOKENS_AT_ONCE:
                 yield flush()
                 keys, sizes = [], 0
         if sizes:
             yield flush()
 
+    def merge(table: pa.Table) -> pa.Table:
+        key, c = (np.frombuffer(b"".join(table[x].to_pylist()), t) for x, t in (("keys", np.int64), ("counts", np.int32)))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        c = np.add.reduceat(c[order].astype(np.int64), first)
+        often = c >= least
+        key, c = key[first[often]], c[often]
+        return pa.table({"context": key >> bits, "word": key & (1 << bits) - 1, "c": c})
+
     small_batches(coded.sparkSession)
-    return coded.filter("learns").select("numbers").mapInArrow(
-        run, "context bigint, word bigint, c bigint").groupBy("context", "word").agg(F.sum("c").alias("c"))
+    blocks = coded.filter("learns").select("numbers").mapInArrow(run, "share int, keys binary, counts binary").filter(F.length("keys") > 0)
+    return blocks.groupBy("share").applyInArrow(merge, "context bigint, word bigint, c bigint")
 
 
 def build_level(grams: DataFrame, contexts: int, lower) -> tuple[str, ...]:
@@ -348,23 +370,27 @@ def score_documents(docs: DataFrame, remainder: int | None = 1) -> DataFrame:
     are ignored.  With no training text every token is unseen.
     """
     spark = docs.sparkSession
-    words = stage(count_words(docs, remainder).withColumn("h", F.xxhash64("word")), "lm-words")
-    total = words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n, v = total["n"] or 0, total["v"]
-    common = max(2, DICTIONARY_SHARE * n)
-    end = F.col("word") == F.lit(END)
-    own = Dictionary(words.filter((F.col("c") >= common) | end).select("word", "c").collect(), n, v)   # at most 1 / DICTIONARY_SHARE words
-    rare, own.paths, own.size = number_rare(words.filter((F.col("c") < common) & ~end), own.size)
-    d = spark.sparkContext.broadcast(own)
-    coded = stage(fill(stage(encode(docs, d, remainder), "lm-coded"), rare, own.total), "lm-numbers")
+    # Staged tables go as soon as the next one is written; what stays are the numbered texts and the files of counts and levels.
+    with scratch(spark):
+        with scratch(spark):
+            words = stage(count_words(docs, remainder).withColumn("h", F.xxhash64("word")), "lm-words")
+            total = words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
+            n, v = total["n"] or 0, total["v"]
+            common = max(2, DICTIONARY_SHARE * n)
+            end = F.col("word") == F.lit(END)
+            own = Dictionary(words.filter((F.col("c") >= common) | end).select("word", "c").collect(), n, v)   # at most 1 / DICTIONARY_SHARE words
+            rare, own.paths, own.size = number_rare(words.filter((F.col("c") < common) & ~end), own.size)
+        d = spark.sparkContext.broadcast(own)
+        coded = stage(fill(stage(encode(docs, d, remainder), "lm-coded"), rare, own.total), "lm-numbers", keep=True)
 
     def pairs_of(every, starts):
         w, before = d.value.contexts(every, starts)
         both = (w >= 0) & (before >= 0)
         return before[both], w[both]
 
-    pairs = build_level(stage(_counted(coded, pairs_of, own.bits).filter(F.col("c") >= MIN_NGRAM), "lm-pairs"), own.size,
-                        lambda context, word: (d.value.counts(context), d.value.prob(word)))
+    with scratch(spark):
+        pairs = build_level(stage(_counted(coded, pairs_of, own.bits, n), "lm-pairs"), own.size,
+                            lambda context, word: (d.value.counts(context), d.value.prob(word)))
     triples: tuple[str, ...] = ()
     if pairs:
         def triples_of(every, starts):
@@ -379,14 +405,13 @@ def score_documents(docs: DataFrame, remainder: int | None = 1) -> DataFrame:
             size = max(size, f.offset + f.words.n)
         if size.bit_length() + own.bits > 63:
             raise ValueError("too many pairs and words for keys of 63 bits")
-        rows = stage(_counted(coded, triples_of, own.bits).filter(F.col("c") >= MIN_NGRAM), "lm-triples")
-
         def lower(context, word):
             levels = open_levels(pairs)
             shorter = levels.find(levels.word(context), word)
             return levels.count(context).astype(float), 10.0 ** levels.prob(shorter)
 
-        triples = build_level(rows, size, lower)
+        with scratch(spark):
+            triples = build_level(stage(_counted(coded, triples_of, own.bits, n), "lm-triples"), size, lower)
     return _scores(coded, d, pairs, triples).select(
         "doc_id", "n_tokens", (F.col("n_known") + F.col("more")).cast("bigint").alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.col("rest")).alias("base_score"), (F.col("model") + F.col("bare")).alias("score"))

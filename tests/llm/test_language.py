@@ -1,6 +1,7 @@
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ import pytest
 from hazardgrid.llm import language
 from hazardgrid.llm.common import crc_mod5
 from hazardgrid.llm.eliasfano import Level, Levels, Sequence, load, save
+from hazardgrid.session import work_folder
 
 RNG = random.Random(5)
 
@@ -134,3 +136,42 @@ def test_trie_holds_every_repeated_word_and_ngram(spark, monkeypatch, share):
         assert sum(p.words.n for p in levels.parts) == sum(c >= 2 for c in want.values())
         assert sorted(np.concatenate([p.count for p in levels.parts]).tolist()) == sorted(c for c in want.values() if c >= 2)
     assert got[1000].score > got[1000].base_score + 1 and got[1000].score == got[1001].score
+
+
+def test_search_in_long_buckets():
+    """A frequent context has many words close together: they share their high bits."""
+    rng = np.random.default_rng(8)
+    v = np.unique(np.concatenate([rng.integers(0, 10**8, 300), np.arange(5 * 10**7, 5 * 10**7 + 20_000, 3), [10**8]]))
+    s = Sequence.of(v)
+    x = np.concatenate([v, v + 1, v - 1, rng.integers(0, 10**8 + 9, 5000)])
+    x = x[x >= 0]
+    want = np.searchsorted(v, x)
+    assert (s.successor(x) == want).all()
+    assert (s.find(x) == np.where(np.isin(x, v), want, -1)).all()
+
+
+def test_staged_tables_go_with_their_last_use(spark):
+    """What a later step does not read is deleted, so that the disk holds one step's tables, not all."""
+    folder = Path(work_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    df = language.score_documents(spark.createDataFrame(corpus(), "doc_id long, text string"))
+    left = {p.name.split("-")[0] + "-" + p.name.split("-")[1] for p in set(folder.iterdir()) - before if p.name.startswith(("lm-", "trie-"))}
+    assert "lm-numbers" in left and not left & {"lm-words", "lm-rare", "lm-numbered", "lm-coded", "lm-pairs", "lm-triples", "trie-grams", "trie-files"}
+    assert df.count() == len(corpus())
+
+
+def test_counts_do_not_depend_on_blocks(spark, monkeypatch):
+    """Few tokens at once give many blocks of a share; a pair's counts are added up over them."""
+    monkeypatch.setattr(language, "_TOKENS_AT_ONCE", 50)
+    rng = random.Random(4)
+    texts = [[rng.randrange(40) for _ in range(rng.randrange(1, 60))] for _ in range(300)]
+    coded = spark.createDataFrame([(i % 7 != 0, t) for i, t in enumerate(texts)], "learns boolean, numbers array<int>")
+
+    def pairs_of(every, starts):
+        before = np.concatenate(([-1], every[:-1]))
+        before[starts] = -1
+        return before[before >= 0], every[before >= 0]
+
+    got = {(r.context, r.word): r.c for r in language._counted(coded, pairs_of, 6, 9000).collect()}
+    want = Counter(p for i, t in enumerate(texts) if i % 7 for p in zip(t, t[1:]))
+    assert got == {p: c for p, c in want.items() if c >= language.MIN_NGRAM}
