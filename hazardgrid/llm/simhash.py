@@ -265,10 +265,11 @@ def links_of_sets(table: pa.Table, similarity: float) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def alike_links(sets: DataFrame, similarity: float) -> DataFrame:
+def alike_links(sets: DataFrame, similarity: float, shingles: DataFrame | None = None) -> DataFrame:
     """``u, v``: links of ids that connect what pairs with a common key and a Jaccard similarity of ``similarity`` connect.
 
-    ``sets``: one row per distinct set.  First every set is compared with one other of its keys, which settles groups of
+    ``sets``: one row per distinct set; ``shingles``: rows with the shingles of at least these sets by ``uid``, if a cheaper scan than
+    ``sets`` has them.  First every set is compared with one other of its keys, which settles groups of
     near copies in linear time; then all pairs of the keys that still hold several components.
     """
     keys = sets.select(F.explode("keys").alias("key"), "uid")
@@ -277,11 +278,12 @@ def alike_links(sets: DataFrame, similarity: float) -> DataFrame:
     # Keys with the same members say the same.
     shared = stage(shared.dropDuplicates(["n", "sum", "low", "high"]).select("key", "low"), "near-keys")
     members = stage(keys.join(shared, "key").join(sets.select("uid", "id", "n"), "uid"), "near-members")
-    # Only sets that share a key are moved; the joins below are exact.
-    sets = keep_possible(sets, {"uid": bloom_filter(members.select("uid").distinct(), "uid")})
-    first = members.groupBy("uid").agg(F.min("low").alias("low")).filter("low < uid")
-    mine = sets.select("uid", F.col("id").alias("v"), F.col("shingles").alias("b"))
-    other = sets.select(F.col("uid").alias("low"), F.col("id").alias("u"), F.col("shingles").alias("a"))
+    # Each join below is exact; only sets that it may need are moved to it.
+    sets = sets if shingles is None else shingles
+    first = stage(members.groupBy("uid").agg(F.min("low").alias("low")).filter("low < uid"), "near-first")
+    mine = keep_possible(sets, {"uid": bloom_filter(first, "uid")}).select("uid", F.col("id").alias("v"), F.col("shingles").alias("b"))
+    other = keep_possible(sets, {"uid": bloom_filter(first.select(F.col("low").alias("uid")).distinct(), "uid")}).select(
+        F.col("uid").alias("low"), F.col("id").alias("u"), F.col("shingles").alias("a"))
     common = F.size(F.array_intersect("a", "b"))
     stars = stage(first.join(mine, "uid").join(other, "low").filter(alike(common, F.size("a") + F.size("b"), similarity)).select("u", "v"), "near-stars")
     roots = connected_components(stars.filter("u <> v").select(F.lit(0).alias("scope"), "u", "v")).select(F.col("node").alias("id"), "root")
@@ -294,6 +296,7 @@ def alike_links(sets: DataFrame, similarity: float) -> DataFrame:
     own = F.pmod(F.xxhash64("uid"), chunks).cast("int")
     tasks = F.when(F.col("total") <= PACK_SHINGLES, F.array(F.pmod(F.xxhash64("key"), F.lit(packs)))).otherwise(
         F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.xxhash64("key", F.least(c, own), F.greatest(c, own))))
+    sets = keep_possible(sets, {"uid": bloom_filter(rooted.select("uid").distinct(), "uid")})
     placed = rooted.withColumn("task", F.explode(tasks)).join(sets.select("uid", "id", "shingles"), "uid").select("task", "key", "id", "root", "shingles")
     found = placed.groupBy("task").applyInArrow(lambda t: links_of_sets(t, similarity), "u bigint, v bigint")
     return stars.unionByName(found).filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
@@ -309,7 +312,7 @@ def keep_first(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Da
         rows = stage(shingle_sets(docs, shingle=shingle), "near-sets").filter("id IS NOT NULL").withColumn("id", F.col("id").cast("bigint"))
         classes = stage(rows.groupBy("digest").agg(F.min(F.struct("id", "uid")).alias("of")).select("digest", "of.id", "of.uid"), "near-classes")
         sets = rows.join(classes.select("uid"), "uid", "left_semi")
-        roots = connected_components(alike_links(sets, similarity).select(F.lit(0).alias("scope"), "u", "v"))
+        roots = connected_components(alike_links(sets, similarity, rows).select(F.lit(0).alias("scope"), "u", "v"))
         # Sets of one id are one node.
         named = classes.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("digest", F.coalesce("root", "id").alias("component_id"))
         gone = rows.join(named, "digest").filter(F.col("component_id") < F.col("id")).select(F.col("id").alias("_gone")).distinct()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from hazardgrid.llm.common import held_out, small_batches
-from hazardgrid.session import spread, stage
+from hazardgrid.session import scratch, spread, stage
 
 #: Labelled examples per class that are indexed; which ones is decided by a hash of their id.
 EXAMPLES_PER_CLASS = 2048
@@ -374,6 +374,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, remainder: int | None =
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` without the ids that score ``threshold`` or more; of rows without an id all go if one does."""
-    scored = score_documents(docs, labels, None).filter(F.col("score") >= threshold)
-    gone = stage(scored.select(F.col("doc_id").alias("_gone")).distinct(), "toxicity-gone")
+    with scratch(docs.sparkSession):        # of all that is staged here only the ids that go are needed afterwards
+        scored = score_documents(docs, labels, None).filter(F.col("score") >= threshold)
+        gone = stage(scored.select(F.col("doc_id").alias("_gone")).distinct(), "toxicity-gone", keep=True)
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")

@@ -5,6 +5,7 @@ import pytest
 import xxhash
 
 from hazardgrid.llm import simhash
+from hazardgrid.session import stage
 
 
 def brute_fp(text, k=4):
@@ -143,3 +144,15 @@ def test_only_sets_that_share_a_key_are_moved(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.keep_first(df).collect()) == [1, 3, *range(10, 40)]
     assert plans["near-stars"].count("getbit") >= 2
+
+
+def test_links_do_not_depend_on_where_the_shingles_come_from(spark):
+    """All rows may stand in for the distinct sets, so that these are not moved to be told apart."""
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base), " ".join([*base[:-1], "x"]), " ".join(base), "a b c d e f g", "a b c d e f g", "q r s t u v", ""]
+    rows = simhash.shingle_sets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    rows = stage(rows, "test-sets")
+    sets = rows.dropDuplicates(["digest"])
+    sets = stage(sets, "test-sets")
+    a, b = ({(r.u, r.v) for r in simhash.alike_links(sets, 0.8, more).collect()} for more in (None, rows))
+    assert a == b and len(a) == 1

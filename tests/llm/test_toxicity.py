@@ -1,10 +1,12 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from hazardgrid.llm import queries, toxicity
 from hazardgrid.llm.common import crc_mod5
+from hazardgrid.session import work_folder
 
 BAD = ["rotten", "filthy", "gredlax", "gredmor"]
 
@@ -120,3 +122,14 @@ def test_index_of_views_and_of_tuples():
     assert all(np.array_equal(getattr(a, k), getattr(b, k)) for k in ("ids", "val", "inside", "edge", "block", "top", "entries", "full", "toxic"))
     for r in rows[:20]:
         assert not len(r[0]) or a.nearest(r[0], r[1])[0][0] in range(len(a.ids))
+
+
+def test_dropping_leaves_only_the_ids_that_go(spark):
+    """The vectors of all texts are not kept beside the later stages' tables."""
+    folder = Path(work_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    rows, labels = corpus()
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    left = toxicity.drop_toxic(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert {"-".join(p.name.split("-")[:2]) for p in set(folder.iterdir()) - before if p.name.startswith("toxicity-")} == {"toxicity-gone"}
+    assert 0 < left.count() < len(rows)
