@@ -25,17 +25,35 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS_PER_BATCH))
 
 
+#: What tasks share in this Python worker, by name.
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str | None, make: Callable[[], object] | None = None) -> object:
+    """What the tasks of ``name`` share in a Python worker, made by the first of them.
+
+    Spark goes on to use a worker for other operators, beside whose tasks nothing should lie that they cannot use: what is
+    kept under any other name is dropped.  Without ``make`` nothing is made, without a name nothing stays.
+    """
+    for other in _KEPT.keys() - {name}:
+        del _KEPT[other]
+    if make and name not in _KEPT:
+        _KEPT[name] = make()
+    return _KEPT.get(name)
+
+
 def map_texts(df: DataFrame, id_col: str, text_col: str, schema: str,
-              make: Callable[[], Callable[[pa.Array, list[bytes]], pa.RecordBatch | None]]) -> DataFrame:
+              make: Callable[[], Callable[[pa.Array, list[bytes]], pa.RecordBatch | None]], keep: str | None = None) -> DataFrame:
     """Run ``make()(ids, texts)`` over every Arrow batch of ``id_col, text_col``.
 
-    ``make`` runs once per task, so caches live as long as a task.  Texts arrive as
-    UTF-8 bytes; a null text is empty.
+    ``make`` runs once per task, so caches live as long as a task, but for what it has from :func:`kept` under the name
+    ``keep``.  Texts arrive as UTF-8 bytes; a null text is empty.
     """
     small_batches(df.sparkSession)
     chosen = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(keep)
         work = make()
         for batch in batches:
             if batch.num_rows:

@@ -9,7 +9,6 @@ one whole text against the sentencepiece library.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import re
 import struct
@@ -21,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from hazardgrid.llm.common import map_texts
+from hazardgrid.llm.common import kept, map_texts
 
 SPACE = "▁"
 #: Units remembered per Python worker in each of two generations (about 100 MB), and the longest that is.
@@ -196,10 +195,9 @@ class Pieces:
             self.older, self.known = self.known, {}
 
 
-@functools.lru_cache(maxsize=1)
 def load(model_path: str) -> Pieces:
-    """The vocabulary, kept by a Python worker over its tasks."""
-    return Pieces(model_path)
+    """The vocabulary, kept by a Python worker over its tasks until another operator's come."""
+    return kept(model_path, lambda: Pieces(model_path))
 
 
 def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,4 +228,4 @@ def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_c
         return work
 
     id_type = df.schema[id_col].dataType.simpleString()
-    return map_texts(df, id_col, text_col, f"id {id_type}, ids array<int>, decoded string", make).withColumnRenamed("id", id_col)
+    return map_texts(df, id_col, text_col, f"id {id_type}, ids array<int>, decoded string", make, keep=model_path).withColumnRenamed("id", id_col)

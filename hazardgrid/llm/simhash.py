@@ -38,6 +38,8 @@ PACK_ROWS = 40_000
 BANDS, BAND_ROWS = 40, 5
 #: Shingles compared in one task; keys with more are cut into chunks of half that size.
 PACK_SHINGLES = 2_000_000
+#: MB of sets in a row group, which a task holds in several forms while it looks for those that it needs.
+SETS_MB = 4
 
 
 def fingerprint(words: list[bytes], shingle: int, count: int = 1) -> np.ndarray:
@@ -187,7 +189,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def shingle_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """``uid, id, digest, n, shingles, keys`` per row: the set of hashed word shingles, a digest of it, and ``BANDS`` keys.
+    """``uid, id, digest, n, shingles, keys`` per row: the set of hashed word shingles, eight bytes each, a digest of it, and ``BANDS`` keys.
 
     Words as in :func:`fingerprints`; a text of fewer words is one shingle, one without words the empty shingle.  A key is
     the lowest values of the set under ``BAND_ROWS`` permutations.
@@ -214,12 +216,11 @@ def shingle_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 band = np.arange(1, BANDS + 1, dtype=np.uint64)
                 for part in low.reshape(BANDS, BAND_ROWS).T:
                     band = mix64(band ^ part)
-                sets.append(own.view(np.int64))
+                sets.append(own.tobytes())
                 keys.append(band.view(np.int64))
-            sizes = np.array([len(s) for s in sets])
             out = pa.RecordBatch.from_arrays([
-                pa.array(np.arange(uid, uid + len(sets))), ids, pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(sizes, pa.int64()),
-                pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.concatenate(sets))),
+                pa.array(np.arange(uid, uid + len(sets))), ids, pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()),
+                pa.array([len(s) // 8 for s in sets], pa.int64()), pa.array(sets, pa.binary()),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(np.concatenate(keys)))],
                 ["uid", "id", "digest", "n", "shingles", "keys"])
             uid += len(sets)
@@ -227,7 +228,7 @@ def shingle_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return work
 
     id_type = df.schema[id_col].dataType.simpleString()
-    return map_texts(df, id_col, text_col, f"uid bigint, id {id_type}, digest binary, n bigint, shingles array<bigint>, keys array<bigint>", make)
+    return map_texts(df, id_col, text_col, f"uid bigint, id {id_type}, digest binary, n bigint, shingles binary, keys array<bigint>", make)
 
 
 def alike(shared, total, similarity: float):
@@ -235,12 +236,28 @@ def alike(shared, total, similarity: float):
     return shared >= similarity * (total - shared) - 1e-9
 
 
+def hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the sets of a column of ``shingles`` one after the other, and where each set begins and the last ends."""
+    _, offsets, data = column.cast(pa.binary()).buffers()
+    return np.frombuffer(data or b"", np.int64), np.frombuffer(offsets, np.int32)[column.offset:column.offset + len(column) + 1] // 8
+
+
+def alike_pairs(similarity: float):
+    """For ``mapInArrow``: ``u, v`` of the rows ``u, v, a, b`` whose sets ``a`` and ``b`` are alike."""
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                (a, start), (b, begin) = (hashes(batch.column(c)) for c in (2, 3))
+                sizes = np.diff(start) + np.diff(begin)
+                shared = np.array([len(np.intersect1d(a[start[i]:start[i + 1]], b[begin[i]:begin[i + 1]], assume_unique=True)) for i in range(len(sizes))])
+                yield batch.select([0, 1]).filter(pa.array(alike(shared, sizes, similarity)))
+    return run
+
+
 def links_of_sets(table: pa.Table, similarity: float) -> pa.Table:
     """Links ``u, v`` of ids that join what pairs of one ``key`` of different ``root`` with alike sets join."""
     key, ids, root = (table[c].to_numpy() for c in ("key", "id", "root"))
-    shingles = table["shingles"].combine_chunks()
-    edges = shingles.offsets.to_numpy()
-    values = shingles.values.to_numpy()
+    values, edges = hashes(table["shingles"].combine_chunks())
     u, v = [], []
     order = np.argsort(key, kind="stable")
     for group in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
@@ -272,11 +289,12 @@ def alike_links(sets: DataFrame, similarity: float, shingles: DataFrame | None =
     ``sets`` has them.  First every set is compared with one other of its keys, which settles groups of
     near copies in linear time; then all pairs of the keys that still hold several components.
     """
+    small_batches(sets.sparkSession)
     keys = sets.select(F.explode("keys").alias("key"), "uid")
     shared = keys.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("uid").cast("decimal(38,0)")).alias("sum"), F.min("uid").alias("low"), F.max("uid").alias("high")).filter("n > 1")
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("uid")).alias("mix"), F.min("uid").alias("low"), F.max("uid").alias("high")).filter("n > 1")
     # Keys with the same members say the same.
-    shared = stage(shared.dropDuplicates(["n", "sum", "low", "high"]).select("key", "low"), "near-keys")
+    shared = stage(shared.dropDuplicates(["n", "mix", "low", "high"]).select("key", "low"), "near-keys")
     members = stage(keys.join(shared, "key").join(sets.select("uid", "id", "n"), "uid"), "near-members")
     # Each join below is exact; only sets that it may need are moved to it.
     sets = sets if shingles is None else shingles
@@ -284,8 +302,8 @@ def alike_links(sets: DataFrame, similarity: float, shingles: DataFrame | None =
     mine = keep_possible(sets, {"uid": bloom_filter(first, "uid")}).select("uid", F.col("id").alias("v"), F.col("shingles").alias("b"))
     other = keep_possible(sets, {"uid": bloom_filter(first.select(F.col("low").alias("uid")).distinct(), "uid")}).select(
         F.col("uid").alias("low"), F.col("id").alias("u"), F.col("shingles").alias("a"))
-    common = F.size(F.array_intersect("a", "b"))
-    stars = stage(first.join(mine, "uid").join(other, "low").filter(alike(common, F.size("a") + F.size("b"), similarity)).select("u", "v"), "near-stars")
+    met = first.join(mine, "uid").join(other, "low").select("u", "v", "a", "b")
+    stars = stage(met.mapInArrow(alike_pairs(similarity), "u bigint, v bigint"), "near-stars")
     roots = connected_components(stars.filter("u <> v").select(F.lit(0).alias("scope"), "u", "v")).select(F.col("node").alias("id"), "root")
     rooted = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     unsettled = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.sum("n").alias("total")).filter("a < b").select("key", "total")
@@ -309,7 +327,7 @@ def keep_first(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Da
     is verified on the sets.  Rows equal in id and text are one; rows without an id stay, once per text.
     """
     with scratch(docs.sparkSession):        # of all that is staged here only the ids that go are needed afterwards
-        rows = stage(shingle_sets(docs, shingle=shingle), "near-sets").filter("id IS NOT NULL").withColumn("id", F.col("id").cast("bigint"))
+        rows = stage(shingle_sets(docs, shingle=shingle), "near-sets", group_mb=SETS_MB).filter("id IS NOT NULL").withColumn("id", F.col("id").cast("bigint"))
         classes = stage(rows.groupBy("digest").agg(F.min(F.struct("id", "uid")).alias("of")).select("digest", "of.id", "of.uid"), "near-classes")
         sets = rows.join(classes.select("uid"), "uid", "left_semi")
         roots = connected_components(alike_links(sets, similarity, rows).select(F.lit(0).alias("scope"), "u", "v"))

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from hazardgrid.llm.common import held_out, small_batches
+from hazardgrid.llm.common import held_out, kept, small_batches
 from hazardgrid.session import scratch, spread, stage
 
 #: Labelled examples per class that are indexed; which ones is decided by a hash of their id.
@@ -74,6 +74,7 @@ def _example_counts(batches):
         counts[1].clear()
         return out
 
+    kept(None)
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             own = {*words(text)}
@@ -129,6 +130,7 @@ def vectors(docs: DataFrame, features: list[str], shared) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches):
+        kept(None)
         number = shared.value
         known: dict[str, tuple[int, ...]] = {}
         for batch in batches:

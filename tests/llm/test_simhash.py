@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 
@@ -156,3 +157,23 @@ def test_links_do_not_depend_on_where_the_shingles_come_from(spark):
     sets = stage(sets, "test-sets")
     a, b = ({(r.u, r.v) for r in simhash.alike_links(sets, 0.8, more).collect()} for more in (None, rows))
     assert a == b and len(a) == 1
+
+
+def test_no_task_holds_many_sets_at_once(spark, monkeypatch):
+    """Staged sets lie in row groups of bounded size, however many a task writes, and are plain bytes."""
+    groups, real = [], simhash.stage
+
+    def watch(df, name, **k):
+        out = real(df, name, **k)
+        if name == "near-sets":
+            assert dict(out.dtypes)["shingles"] == "binary"
+            for f in out.inputFiles():
+                meta = pq.ParquetFile(f.removeprefix("file://")).metadata
+                groups.extend(meta.row_group(i).total_byte_size for i in range(meta.num_row_groups))
+        return out
+
+    monkeypatch.setattr(simhash, "stage", watch)
+    monkeypatch.setattr(simhash, "SETS_MB", 1, raising=False)
+    rows = [(i, " ".join(f"{i % 399}.{k}" for k in range(1000))) for i in range(400)]
+    assert simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).count() == 399
+    assert sum(groups) > 3_000_000 and max(groups) < 2_000_000

@@ -1,13 +1,15 @@
 """Operators that judge each text alone, against brute force and the sentencepiece library."""
 
+import gc
 import hashlib
 import re
+import weakref
 
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
 
-from hazardgrid.llm import personal, pieces, queries, repetition
+from hazardgrid.llm import personal, pieces, queries, repetition, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -167,3 +169,22 @@ def test_contract_queries(spark):
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert repetition.repetition(df).count() == personal.personal_data(df).count() == pieces.encode_decode(df, MODEL).count() == personal.mask(df).count() == 0
+
+
+def test_a_worker_drops_what_it_kept_for_another_operator(spark, monkeypatch):
+    """Remembered units stay over the tasks of one operator, not beside those of the next."""
+    few = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    runs = []
+    monkeypatch.setattr(type(few), "mapInArrow", lambda self, run, schema: runs.append(run) or self)
+    pieces.encode_decode(few, MODEL)
+    simhash.fingerprints(few)
+    toxicity.vectors(few, [], spark.sparkContext.broadcast({}))
+    encode, *others = runs
+    for other in [*others, toxicity._example_counts]:
+        list(encode(iter([])))
+        first = weakref.ref(pieces.load(MODEL))
+        list(encode(iter([])))
+        assert first() is not None and pieces.load(MODEL) is first()
+        list(other(iter([])))
+        gc.collect()
+        assert first() is None
