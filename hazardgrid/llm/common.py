@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -35,8 +36,11 @@ def kept(name: str | None, make: Callable[[], object] | None = None) -> object:
     Spark goes on to use a worker for other operators, beside whose tasks nothing should lie that they cannot use: what is
     kept under any other name is dropped.  Without ``make`` nothing is made, without a name nothing stays.
     """
-    for other in _KEPT.keys() - {name}:
-        del _KEPT[other]
+    if others := _KEPT.keys() - {name}:
+        for other in others:
+            del _KEPT[other]
+        gc.collect()                                   # what is kept may refer to itself
+        pa.default_memory_pool().release_unused()
     if make and name not in _KEPT:
         _KEPT[name] = make()
     return _KEPT.get(name)
@@ -60,6 +64,7 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, schema: str,
                 out = work(batch.column(0), batch.column(1).cast(pa.binary()).to_pylist())
                 if out is not None and out.num_rows:
                     yield out
+        pa.default_memory_pool().release_unused()      # the worker may stay idle for long
 
     return chosen.mapInArrow(run, schema)
 
