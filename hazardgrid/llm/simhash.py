@@ -38,6 +38,8 @@ PACK_ROWS = 40_000
 BANDS, BAND_ROWS = 40, 5
 #: Shingles compared in one task; keys with more are cut into chunks of half that size.
 PACK_SHINGLES = 2_000_000
+#: Keys that a task counts at once.
+TASK_KEYS = 200_000
 #: MB of sets in a row group, which a task holds in several forms while it looks for those that it needs.
 SETS_MB = 4
 
@@ -297,7 +299,8 @@ def alike_links(sets: DataFrame, similarity: float, shingles: DataFrame | None =
     shared = stage(shared.dropDuplicates(["n", "mix", "low", "high"]).select("key", "low"), "near-keys")
     members = stage(keys.join(shared, "key").join(sets.select("uid", "id", "n"), "uid"), "near-members")
     # Each join below is exact; only sets that it may need are moved to it.
-    sets = sets if shingles is None else shingles
+    sets = keep_possible(sets if shingles is None else shingles, {"uid": bloom_filter(members.select("uid").distinct(), "uid")})
+    sets = stage(sets.select("uid", "id", "shingles"), "near-shared", group_mb=SETS_MB)
     first = stage(members.groupBy("uid").agg(F.min("low").alias("low")).filter("low < uid"), "near-first")
     mine = keep_possible(sets, {"uid": bloom_filter(first, "uid")}).select("uid", F.col("id").alias("v"), F.col("shingles").alias("b"))
     other = keep_possible(sets, {"uid": bloom_filter(first.select(F.col("low").alias("uid")).distinct(), "uid")}).select(
@@ -329,7 +332,9 @@ def keep_first(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Da
     with scratch(docs.sparkSession):        # of all that is staged here only the ids that go are needed afterwards
         rows = stage(shingle_sets(docs, shingle=shingle), "near-sets", group_mb=SETS_MB).filter("id IS NOT NULL").withColumn("id", F.col("id").cast("bigint"))
         classes = stage(rows.groupBy("digest").agg(F.min(F.struct("id", "uid")).alias("of")).select("digest", "of.id", "of.uid"), "near-classes")
-        sets = rows.join(classes.select("uid"), "uid", "left_semi")
+        # A task lists all keys of its sets.
+        parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-classes.count() * BANDS // TASK_KEYS))
+        sets = rows.repartition(parts, "uid").join(classes.select("uid"), "uid", "left_semi")
         roots = connected_components(alike_links(sets, similarity, rows).select(F.lit(0).alias("scope"), "u", "v"))
         # Sets of one id are one node.
         named = classes.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("digest", F.coalesce("root", "id").alias("component_id"))

@@ -160,8 +160,9 @@ def test_links_do_not_depend_on_where_the_shingles_come_from(spark):
 
 
 def test_no_task_holds_many_sets_at_once(spark, monkeypatch):
-    """Staged sets lie in row groups of bounded size, however many a task writes, and are plain bytes."""
-    groups, real = [], simhash.stage
+    """Staged sets lie in row groups of bounded size, however many a task writes, and are plain bytes; they are looked through
+    once, for those that share a key."""
+    groups, shared, real = [], [], simhash.stage
 
     def watch(df, name, **k):
         out = real(df, name, **k)
@@ -170,10 +171,13 @@ def test_no_task_holds_many_sets_at_once(spark, monkeypatch):
             for f in out.inputFiles():
                 meta = pq.ParquetFile(f.removeprefix("file://")).metadata
                 groups.extend(meta.row_group(i).total_byte_size for i in range(meta.num_row_groups))
+        if name == "near-shared":
+            shared.append(out.count())
         return out
 
     monkeypatch.setattr(simhash, "stage", watch)
     monkeypatch.setattr(simhash, "SETS_MB", 1, raising=False)
-    rows = [(i, " ".join(f"{i % 399}.{k}" for k in range(1000))) for i in range(400)]
+    rows = [(i, " ".join(f"{i % 399}.{k}" for k in range(1000 + i // 399))) for i in range(400)]
     assert simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).count() == 399
     assert sum(groups) > 3_000_000 and max(groups) < 2_000_000
+    assert len(shared) == 1 and 2 <= shared[0] < 40
