@@ -10,8 +10,9 @@ distance, but only the links of a spanning forest leave the task.  Keys with mor
 members than ``PACK_MEMBERS`` are cut into chunks and each pair of chunks is a task of
 its own.  Components come from large-star/small-star rounds.
 
-:func:`keep_first` needs pairs from a Jaccard similarity on, which few of these keys share, so it has keys of its own
-(lowest values of the shingle set under permutations) and verifies the candidates on the sets.
+:func:`keep_first` takes what :func:`near_duplicates` finds over several fingerprints as candidates.  Pairs just above its
+Jaccard similarity can lie too far apart in bits, so lowest values of the shingle set under permutations are keys as well;
+every candidate is verified on the sets.
 """
 
 from __future__ import annotations
@@ -284,25 +285,30 @@ def links_of_sets(table: pa.Table, similarity: float) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def alike_links(sets: DataFrame, similarity: float, shingles: DataFrame | None = None) -> DataFrame:
+def alike_links(sets: DataFrame, similarity: float, shingles: DataFrame | None = None, close: DataFrame | None = None) -> DataFrame:
     """``u, v``: links of ids that connect what pairs with a common key and a Jaccard similarity of ``similarity`` connect.
 
     ``sets``: one row per distinct set; ``shingles``: rows with the shingles of at least these sets by ``uid``, if a cheaper scan than
-    ``sets`` has them.  First every set is compared with one other of its keys, which settles groups of
-    near copies in linear time; then all pairs of the keys that still hold several components.
+    ``sets`` has them; ``close``: ``uid, component_id`` of groups that are keys as well.  First every set is compared with one other
+    of its keys and one of its groups, which settles groups of near copies in linear time; then all pairs of the keys that still
+    hold several components.
     """
     small_batches(sets.sparkSession)
-    keys = sets.select(F.explode("keys").alias("key"), "uid")
+    # Keys of groups are odd, the others even.
+    keys = sets.select(F.explode("keys").alias("key"), "uid").withColumn("key", F.col("key").bitwiseAND(-2))
+    if close is not None:
+        keys = keys.unionByName(close.select(F.xxhash64("component_id").bitwiseOR(1).alias("key"), "uid"))
     shared = keys.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("uid")).alias("mix"), F.min("uid").alias("low"), F.max("uid").alias("high")).filter("n > 1")
-    # Keys with the same members say the same.
-    shared = stage(shared.dropDuplicates(["n", "mix", "low", "high"]).select("key", "low"), "near-keys")
+    # Keys with the same members say the same; a key of the sets stands for them, if there is one.
+    shared = stage(shared.groupBy("n", "mix", "low", "high").agg(F.min_by("key", F.col("key").bitwiseAND(1)).alias("key")).select("key", "low"), "near-keys")
     members = stage(keys.join(shared, "key").join(sets.select("uid", "id", "n"), "uid"), "near-members")
     # Each join below is exact; only sets that it may need are moved to it.
     sets = keep_possible(sets if shingles is None else shingles, {"uid": bloom_filter(members.select("uid").distinct(), "uid")})
     sets = stage(sets.select("uid", "id", "shingles"), "near-shared", group_mb=SETS_MB)
-    first = stage(members.groupBy("uid").agg(F.min("low").alias("low")).filter("low < uid"), "near-first")
-    mine = keep_possible(sets, {"uid": bloom_filter(first, "uid")}).select("uid", F.col("id").alias("v"), F.col("shingles").alias("b"))
+    first = members.groupBy("uid", F.col("key").bitwiseAND(1).alias("of")).agg(F.min("low").alias("low")).filter("low < uid")
+    first = stage(first.select("uid", "low").distinct(), "near-first")
+    mine = keep_possible(sets, {"uid": bloom_filter(first.select("uid").distinct(), "uid")}).select("uid", F.col("id").alias("v"), F.col("shingles").alias("b"))
     other = keep_possible(sets, {"uid": bloom_filter(first.select(F.col("low").alias("uid")).distinct(), "uid")}).select(
         F.col("uid").alias("low"), F.col("id").alias("u"), F.col("shingles").alias("a"))
     met = first.join(mine, "uid").join(other, "low").select("u", "v", "a", "b")
@@ -323,19 +329,35 @@ def alike_links(sets: DataFrame, similarity: float, shingles: DataFrame | None =
     return stars.unionByName(found).filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def keep_first(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def most_bits(similarity: float, bits: int, margin: float) -> int:
+    """Bits of ``bits`` in which fingerprints of equally large sets with a Jaccard similarity of ``similarity`` differ, and ``margin`` standard deviations."""
+    rate = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * rate + margin * (bits * rate * (1 - rate)) ** 0.5)
+
+
+def keep_first(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, count: int = 6, margin: float = 1.0) -> DataFrame:
     """``docs`` with one document of each group of near copies, that with the smallest id.
 
     A group is what pairs with a Jaccard similarity of ``similarity`` or more on sets of word shingles connect; every link
-    is verified on the sets.  Rows equal in id and text are one; rows without an id stay, once per text.
+    is verified on the sets.  Candidates are the components of :func:`near_duplicates` over ``count`` fingerprints, ``margin``
+    standard deviations granted, and what shares a key of the sets.  Rows equal in id and text are one; rows without an id
+    stay, once per text.
     """
     with scratch(docs.sparkSession):        # of all that is staged here only the ids that go are needed afterwards
-        rows = stage(shingle_sets(docs, shingle=shingle), "near-sets", group_mb=SETS_MB).filter("id IS NOT NULL").withColumn("id", F.col("id").cast("bigint"))
+        # Texts go by a hash: ids may repeat.
+        text = F.xxhash64("text").alias("mark")
+        with scratch(docs.sparkSession):
+            close = near_duplicates(docs.select(text, "text"), "mark", shingle=shingle, count=count, most=most_bits(similarity, 64 * count, margin))
+            close = stage(close.select("mark", "component_id").distinct(), "near-close", keep=True)
+        rows = docs.select(F.struct("doc_id", text).alias("doc_id"), "text")
+        rows = stage(shingle_sets(rows, shingle=shingle), "near-sets", group_mb=SETS_MB).filter("id.doc_id IS NOT NULL").withColumns(
+            {"mark": F.col("id.mark"), "id": F.col("id.doc_id").cast("bigint")})
         classes = stage(rows.groupBy("digest").agg(F.min(F.struct("id", "uid")).alias("of")).select("digest", "of.id", "of.uid"), "near-classes")
         # A task lists all keys of its sets.
         parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-classes.count() * BANDS // TASK_KEYS))
         sets = rows.repartition(parts, "uid").join(classes.select("uid"), "uid", "left_semi")
-        roots = connected_components(alike_links(sets, similarity, rows).select(F.lit(0).alias("scope"), "u", "v"))
+        close = rows.select("mark", "digest").distinct().join(close, "mark").join(classes.select("digest", "uid"), "digest").select("uid", "component_id").distinct()
+        roots = connected_components(alike_links(sets, similarity, rows, close).select(F.lit(0).alias("scope"), "u", "v"))
         # Sets of one id are one node.
         named = classes.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("digest", F.coalesce("root", "id").alias("component_id"))
         gone = rows.join(named, "digest").filter(F.col("component_id") < F.col("id")).select(F.col("id").alias("_gone")).distinct()

@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from hazardgrid.llm import simhash
 from hazardgrid.session import stage
@@ -181,3 +182,32 @@ def test_no_task_holds_many_sets_at_once(spark, monkeypatch):
     assert simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).count() == 399
     assert sum(groups) > 3_000_000 and max(groups) < 2_000_000
     assert len(shared) == 1 and 2 <= shared[0] < 40
+
+
+def test_keep_first_compares_what_near_duplicates_groups(spark, monkeypatch):
+    """The operator sees every text, and its groups are candidates where no key of the sets is shared."""
+    calls, real = [], simhash.near_duplicates
+
+    def watch(df, *a, **k):
+        calls.append((df.count(), k["count"], k["most"]))
+        return real(df, *a, **k)
+
+    monkeypatch.setattr(simhash, "near_duplicates", watch)
+    monkeypatch.setattr(simhash, "BANDS", 1)
+    monkeypatch.setattr(simhash, "BAND_ROWS", 300)
+    rows = [*pairs_at((285, 15), (150, 150), n=10), (7, "other"), (7, "more of it"), (None, None)]
+    left = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"), shingle=1).collect()
+    assert sorted(r.doc_id for r in left if r.doc_id is not None) == sorted([*range(0, 20, 2), *range(20, 40)])
+    assert len(left) == 31 and calls == [(43, 6, 65)]
+
+
+@pytest.mark.parametrize("pack", [2_000_000, 300])
+def test_keep_first_verifies_what_near_duplicates_groups(spark, monkeypatch, pack):
+    """With all texts in one group those of 0.8 are linked, though no key of the sets is shared, and those just below are not."""
+    monkeypatch.setattr(simhash, "PACK_SHINGLES", pack)
+    monkeypatch.setattr(simhash, "BANDS", 1)
+    monkeypatch.setattr(simhash, "BAND_ROWS", 300)
+    monkeypatch.setattr(simhash, "near_duplicates", lambda df, id_col, **k: df.withColumn("component_id", F.lit(0)))
+    rows = pairs_at((240, 30), (238, 31), n=8)
+    left = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"), shingle=1).collect()}
+    assert left == set(range(0, 16, 2)) | set(range(16, 32))
